@@ -92,3 +92,16 @@ def text_of(col: str | Column) -> Column:
 def replaced(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     """withColumns, where a new column takes the place of one of its name in any case."""
     return df.withColumns(cols)
+
+
+def bounded_sample(df: DataFrame, by: str, n: int) -> DataFrame:
+    """At most n rows of df, those with the smallest hashes of column ``by``; of rows with the same value the choice is open.
+
+    A first pass counts rows. The hash's threshold then lets about 2 n rows through, so that what is sorted
+    doesn't grow with the table or its partitions.
+    """
+    total = df.count()
+    share = min(1.0, 2 * n / max(1, total) + 64 / max(1, total))
+    h = F.xxhash64(by)
+    low = df.where(h <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)))) if share < 1 else df
+    return low.orderBy(h, by).limit(n)

@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, secretscan
-from .common import read
+from . import linededup, secretscan, tokenout
+from .common import new_path, read
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +41,13 @@ FROM cut
 """
 
 
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written in the binary format and read back."""
+    docs, path = read(spark, sf_dir, "documents").select("doc_id", "text"), new_path(spark, "ids")
+    tokenout.write(docs, path, vocabulary("byte_bpe_50k.json"), end_id=0)
+    return tokenout.read(spark, path, ids=False)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model spans of secrets in every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,7 +56,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op10_secret_scan": op10_secret_scan}
+    return {"op1_line_dedup": op1_line_dedup, "op9_token_ids": op9_token_ids, "op10_secret_scan": op10_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import bounded_sample, text_of
 
 # Fixed patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -76,7 +76,7 @@ def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, text: s
     )
     parts = [random, named]
     if docs is not None:
-        some = docs.select(text_of(text).alias("_t")).orderBy(F.xxhash64("_t"), "_t").limit(ORDINARY_DOCUMENTS)
+        some = bounded_sample(docs.select(text_of(text).alias("_t")), "_t", ORDINARY_DOCUMENTS)
         word = F.explode(F.regexp_extract_all("_t", F.lit(r"([A-Za-z]{3,})"), F.lit(1)))
         parts.append(some.select(word.alias("sample"), F.lit(False).alias("is_random")))
     return reduce(DataFrame.union, parts)
