@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, secretscan, tokenout
+from . import linededup, packing, secretscan, tokenout
 from .common import new_path, read
 
 
@@ -41,6 +41,12 @@ FROM cut
 """
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their places in sequences of 4096 tokens."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), end_id=2, length=4096)
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written in the binary format and read back."""
     docs, path = read(spark, sf_dir, "documents").select("doc_id", "text"), new_path(spark, "ids")
@@ -56,7 +62,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op9_token_ids": op9_token_ids, "op10_secret_scan": op10_secret_scan}
+    return {"op1_line_dedup": op1_line_dedup, "op4_packing": op4_packing, "op9_token_ids": op9_token_ids, "op10_secret_scan": op10_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
