@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, packing, secretscan, tokenout
+from . import decontam, linededup, packing, secretscan, tokenout
 from .common import new_path, read
 
 
@@ -47,6 +47,34 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary("word_bpe_49k.json"), end_id=2, length=4096)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside windows of the benchmark."""
+    found = decontam.scan(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+OP5_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS win
+  FROM (SELECT item, w, least(len(w), 10) AS n, unnest(generate_series(1, greatest(1, len(w) - 9))) AS k FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM windows),
+found AS (
+  SELECT d.doc_id, d.k, d.n, x.item
+  FROM (SELECT doc_id, n, k, array_to_string(list_slice(w, k, k + n - 1), ' ') AS win
+        FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM docs, sizes WHERE len(w) >= n)) d
+  JOIN windows x ON d.win = x.win AND d.n = x.n),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + n - 1)) AS p FROM found) GROUP BY 1),
+who AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY 1)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(o.n_items, 0) AS n_items, sha256(coalesce(o.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN who o ON d.doc_id = o.doc_id
+"""
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written in the binary format and read back."""
     docs, path = read(spark, sf_dir, "documents").select("doc_id", "text"), new_path(spark, "ids")
@@ -62,8 +90,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op4_packing": op4_packing, "op9_token_ids": op9_token_ids, "op10_secret_scan": op10_secret_scan}
+    return {"op1_line_dedup": op1_line_dedup, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination, "op9_token_ids": op9_token_ids, "op10_secret_scan": op10_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_decontamination": OP5_SQL}
