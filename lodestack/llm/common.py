@@ -94,6 +94,11 @@ def replaced(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     return df.withColumns(cols)
 
 
+def threshold(share: float) -> int:
+    """The 64-bit hash value below which about this share of hashes lies."""
+    return min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)))
+
+
 def bounded_sample(df: DataFrame, by: str, n: int) -> DataFrame:
     """At most n rows of df, those with the smallest hashes of column ``by``; of rows with the same value the choice is open.
 
@@ -103,5 +108,5 @@ def bounded_sample(df: DataFrame, by: str, n: int) -> DataFrame:
     total = df.count()
     share = min(1.0, 2 * n / max(1, total) + 64 / max(1, total))
     h = F.xxhash64(by)
-    low = df.where(h <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)))) if share < 1 else df
+    low = df.where(h <= F.lit(threshold(share))) if share < 1 else df
     return low.orderBy(h, by).limit(n)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, packing, secretscan, tokenout
+from . import decontam, langid, linededup, packing, secretscan, tokenout
 from .common import new_path, read
 
 
@@ -75,6 +75,13 @@ FROM docs d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN who o ON d.doc_id =
 """
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the folds that aren't held out."""
+    docs = read(spark, sf_dir, "documents")
+    net = langid.learn(docs)
+    return langid.predict(docs.select("doc_id", "text"), net).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written in the binary format and read back."""
     docs, path = read(spark, sf_dir, "documents").select("doc_id", "text"), new_path(spark, "ids")
@@ -90,7 +97,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination, "op9_token_ids": op9_token_ids, "op10_secret_scan": op10_secret_scan}
+    return {"op1_line_dedup": op1_line_dedup, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op9_token_ids": op9_token_ids, "op10_secret_scan": op10_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
