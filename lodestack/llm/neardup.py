@@ -31,6 +31,7 @@ are keys of joins, which adaptive execution splits, and of combined counts.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -119,33 +120,32 @@ def _fits(similarity: float) -> Column:
     return (F.col("x.n") * 100 >= F.col("y.n") * round(similarity * 100)) & (F.col("y.n") * 100 >= F.col("x.n") * round(similarity * 100))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, similarity: float, key: str, text: str, k: int = K) -> DataFrame:
-    """Those of pairs(a, b) whose sets are similar: the union's sketch decides for sets that it holds whole, and filters the others."""
-    spark, percent = docs.sparkSession, round(similarity * 100)
+def screened(pairs: DataFrame, classes: DataFrame, similarity: float, k: int = K) -> DataFrame:
+    """Those of pairs(a, b) that the union's sketch leaves; _whole says that it held both sets and so has decided."""
     of = lambda end: classes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("sketch").alias(f"s{end}"))
-    common = F.array_intersect("sa", "sb")
-    union = F.array_sort(F.array_union("sa", "sb"))
-    seen = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("_common", common).withColumn("_union", union)
+    seen = pairs.join(of("a"), "a").join(of("b"), "b")
+    seen = seen.withColumns({"_common": F.array_intersect("sa", "sb"), "_union": F.array_sort(F.array_union("sa", "sb"))})
     whole = (F.col("na") <= k) & (F.col("nb") <= k)
     cut = F.element_at("_union", F.least(F.size("_union"), F.lit(k)))
     hits = F.size(F.filter("_common", lambda v: v <= cut))
     floor = similarity - SIGMAS * math.sqrt(similarity * (1 - similarity) / k)
-    exact = F.lit(100) * F.size("_common") >= F.lit(percent) * F.size("_union")
-    seen = seen.withColumn("_whole", whole).where(F.when(whole, exact).otherwise(hits >= F.lit(floor * k)))
-    seen = stored(seen.select("a", "b", "_whole"), "pairs")
+    exact = F.lit(100) * F.size("_common") >= F.lit(round(similarity * 100)) * F.size("_union")
+    return seen.withColumn("_whole", whole).where(F.when(whole, exact).otherwise(hits >= F.lit(floor * k))).select("a", "b", "_whole")
+
+
+def confirmed(seen: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
+    """Those of seen(a, b, _whole) that are decided or whose full sets are similar; texts(nodes) gives (node, text) of these nodes."""
+    ship(seen.sparkSession)
+    percent = round(similarity * 100)
+    seen = stored(seen, "pairs")
     open_ = seen.where("not _whole").select("a", "b")
-    ends = open_.select(F.col("a").alias("node")).unionByName(open_.select(F.col("b").alias("node"))).distinct()
-    ends = stored(ends, "ends")
-    if ends.count() <= BROADCAST_ROWS:  # of 8 bytes each
-        ends = F.broadcast(ends)
-    ship(spark)
+    ends = stored(open_.select(F.col("a").alias("node")).unionByName(open_.select(F.col("b").alias("node"))).distinct(), "ends")
 
     def sets(batches):
         for b in batches:
             yield pd.DataFrame({"node": b["node"], "set": [shingles(t, words).tobytes() for t in b["text"]]})
 
-    rows = docs.select(F.col(key).cast("long").alias("node"), text_of(text).alias("text")).join(ends, "node", "left_semi")
-    held = stored(rows.mapInPandas(sets, "node long, set binary"), "sets").dropDuplicates(["node"])
+    held = stored(texts(ends).mapInPandas(sets, "node long, set binary"), "sets").dropDuplicates(["node"])
 
     def check(batches):
         for b in batches:
@@ -160,12 +160,25 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
     return seen.where("_whole").select("a", "b").unionByName(joined.mapInPandas(check, "a long, b long"))
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, similarity: float, key: str, text: str) -> DataFrame:
-    """Confirmed links (a, b) between classes(node, n, sketch) that join the same components as all links would."""
-    front = stored(fronts(classes, similarity), "fronts")
+def bounded(ends: DataFrame) -> DataFrame:
+    """A stored table of nodes, to be broadcast if it has at most BROADCAST_ROWS rows of some 8 to 20 bytes."""
+    return F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
+
+
+def document_texts(docs: DataFrame, key: str, text: str) -> Callable[[DataFrame], DataFrame]:
+    rows = docs.select(F.col(key).cast("long").alias("node"), text_of(text).alias("text"))
+    return lambda ends: rows.join(bounded(ends), "node", "left_semi")
+
+
+def links(front: DataFrame, screen: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], words: int, similarity: float, overlap: int = OVERLAP) -> DataFrame:
+    """Confirmed links (a, b) that join the same components as all links would.
+
+    front(value, node, n): a pair of large sets has ``overlap`` values in common at least, a pair with a small set one.
+    """
+    front = stored(front, "fronts")
     lists = stored(front.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where(f"size > {LONG}").select("value"), "long-lists")
     short, long_ = front.join(lists, "value", "left_anti"), front.join(lists, "value", "left_semi")
-    asked = F.when((F.col("x.n") <= SMALL) | (F.col("y.n") <= SMALL), F.lit(1)).otherwise(F.lit(OVERLAP))
+    asked = F.when((F.col("x.n") <= SMALL) | (F.col("y.n") <= SMALL), F.lit(1)).otherwise(F.lit(overlap))
     near = (
         short.alias("x").join(short.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")) & _fits(similarity))
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), asked.alias("asked"))
@@ -173,15 +186,14 @@ def links(docs: DataFrame, classes: DataFrame, words: int, similarity: float, ke
         .where("overlap >= asked").select("a", "b")
     )
     # Of a long list, the same few members are centres in every executor: those with the smallest hashes.
-    centre = long_
     pick = Window.partitionBy("value", "_part").orderBy("_h", "node")
-    centre = centre.withColumns({"_h": F.xxhash64("node"), "_part": F.pmod(F.xxhash64("node", F.lit(1)), F.lit(64))})
+    centre = long_.withColumns({"_h": F.xxhash64("node"), "_part": F.pmod(F.xxhash64("node", F.lit(1)), F.lit(64))})
     centre = centre.withColumn("_r", F.row_number().over(pick)).where(f"_r <= {CENTRES}")
     centre = centre.withColumn("_r", F.row_number().over(Window.partitionBy("value").orderBy("_h", "node"))).where(f"_r <= {CENTRES}").select("value", "node", "n")
     pair = lambda x, y, more: x.alias("x").join(y.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.node") != F.col("y.node")) & _fits(similarity) & more)
     ends = lambda df: df.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     first = stored(near.unionByName(ends(pair(centre, long_, F.lit(True)))).distinct(), "candidates")
-    found = stored(confirmed(first, classes, docs, words, similarity, key, text), "links")
+    found = stored(confirmed(screen(first), texts, words, similarity), "links")
     if lists.isEmpty():
         return found
     # What the centres left apart.
@@ -193,7 +205,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, similarity: float, ke
     apart = labelled.join(largest, "value").where("component <> largest").drop("largest", "parts")
     rest = ends(pair(apart, labelled, F.col("x.component") != F.col("y.component")))
     rest = stored(rest.join(first, ["a", "b"], "left_anti"), "candidates")
-    return found.unionByName(confirmed(rest, classes, docs, words, similarity, key, text))
+    return found.unionByName(confirmed(screen(rest), texts, words, similarity))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,7 +216,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ke
     classes = stored(classes, "classes")
     full = known.join(classes, ["d1", "d2"]).where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"])
     full = stored(full, "class-sketches")
-    groups = components(links(docs, full, words, similarity, key, text))
+    found = links(fronts(full, similarity), lambda pairs: screened(pairs, full, similarity), document_texts(docs, key, text), words, similarity)
+    groups = components(found)
     labels = classes.join(groups, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
     out = all_.drop("sketch").join(labels, ["d1", "d2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.col("component_id"))

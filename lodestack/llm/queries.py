@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, linededup, neardup, packing, secretscan, tokenout
+from . import ann, decontam, langid, linededup, neardup, packing, secretscan, substring, tokenout
 from .common import new_path, read
 
 
@@ -109,6 +109,11 @@ FROM docs d JOIN low l ON l.node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.do
 """
 
 
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph of 50 words or more that repeats, and where it stays."""
+    return substring.repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written in the binary format and read back."""
     docs, path = read(spark, sf_dir, "documents").select("doc_id", "text"), new_path(spark, "ids")
@@ -124,7 +129,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_nearest_neighbours": op2_nearest_neighbours, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_near_duplicates": op7_near_duplicates, "op9_token_ids": op9_token_ids, "op10_secret_scan": op10_secret_scan}
+    return {"op1_line_dedup": op1_line_dedup, "op2_nearest_neighbours": op2_nearest_neighbours, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_near_duplicates": op7_near_duplicates, "op8_repeated_passages": op8_repeated_passages, "op9_token_ids": op9_token_ids, "op10_secret_scan": op10_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
