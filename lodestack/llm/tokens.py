@@ -25,6 +25,15 @@ _SPACED = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{
 _BARE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 
 
+def _byte_characters() -> dict[int, int]:
+    """Byte-level models write a byte as its own character if that is printable, and else as the next one from U+0100."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+_BYTES = _byte_characters()
+
+
 class Encoder:
     """ids(texts) gives each text's ids as little-endian unsigned 32-bit integers in bytes."""
 
@@ -36,6 +45,7 @@ class Encoder:
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self._tokenizer.get_vocab_size()
         self._kept: dict[str, bytes] = {}
+        self._model = self._tokenizer.model
         self._pieces = self._cutter(json.loads(self._tokenizer.to_str()))
 
     @staticmethod
@@ -53,6 +63,11 @@ class Encoder:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """A piece goes straight to the library's model, in the characters that stand for its bytes."""
+        tokenize = self._model.tokenize
+        return [array("I", [x.id for x in tokenize(p.encode().decode("latin-1").translate(_BYTES))]).tobytes() for p in pieces]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         start = size = 0
@@ -68,7 +83,7 @@ class Encoder:
         kept = self._kept
         new = list(set().union(*filter(None, cut)) - kept.keys())
         room = max(0, KEEP - len(kept))
-        kept.update(zip(new, self._encoded(new)) if new else ())
+        kept.update(zip(new, self._of_pieces(new)))
         whole = iter(self._encoded([t for t, pieces in zip(texts, cut) if pieces is None]))
         out = [next(whole) if pieces is None else b"".join(map(kept.__getitem__, pieces)) for pieces in cut]
         for p in new[room:]:
