@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, linededup, neardup, packing, secretscan, substring, tokenout
+from . import ann, decontam, langid, linededup, neardup, packing, secretscan, substring, tokenout, urlfilter
 from .common import new_path, read
 
 
@@ -47,6 +47,62 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(rows, rows.where("vec_id % 20 = 0"), top=20)
 
 
+# Fixed dated list: list, kind, pattern, since (Unix seconds of a day in 2024), action.
+JAN_1 = 1704067200
+URL_LIST = [
+    (name, kind, pattern, JAN_1 + 86400 * day, action)
+    for name, kind, pattern, day, action in (
+        ("gambling", "domain", "casino-win.example.net", 20, "add"),
+        ("gambling", "domain", "casino-win.example.net", 140, "remove"),
+        ("gambling", "domain", "casino-win.example.net", 200, "add"),
+        ("adult", "domain", "adult-x.example.com", 0, "add"),
+        ("adult", "host", "adult-x.example.com", 90, "add"),
+        ("adult", "host", "adult-x.example.com", 90, "remove"),
+        ("spam", "url", "tionsh.example.net/fr", 45, "add"),
+        ("spam", "url", "tionsh.example.net/fr", 75, "remove"),
+        ("spam", "url", "tionsh.example.net/de", 100, "add"),
+        ("spam", "host", "tionsh.example.net", 300, "add"),
+        ("spam", "host", "m.thther.example.org", 10, "add"),
+        ("spam", "host", "m.thther.example.org", 10, "add"),
+        ("malware", "domain", "example.org", 250, "add"),
+        ("malware", "domain", "example.org", 260, "remove"),
+        ("malware", "domain", "tiontion.example.com", 5, "add"),
+        ("malware", "domain", "tiontion.example.com", 65, "remove"),
+        ("malware", "domain", "tiontion.example.com", 66, "add"),
+        ("malware", "url", "ththon.example.com/en", 30, "remove"),
+        ("malware", "url", "ththon.example.com/en", 120, "add"),
+    )
+]
+FETCHED = "1704067200 + (page_id * 2221) % 31622400"
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's active list entries at its fetch time, which goes by page_id over the year 2024."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", F.expr(FETCHED).alias("fetched_at"))
+    entries = spark.createDataFrame(URL_LIST, "list string, kind string, pattern string, since long, action string")
+    return urlfilter.evaluate(pages, entries)
+
+
+OP3_SQL = f"""
+WITH entries(list, kind, pattern, since, action) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}', {d}, '{e}')" for a, b, c, d, e in URL_LIST)}),
+once AS (SELECT list, kind || ':' || pattern AS key, since, max(action) AS action FROM entries GROUP BY ALL),
+spans AS (SELECT * FROM (SELECT list, key, since, action, lead(since) OVER (PARTITION BY list, key ORDER BY since) AS until FROM once) WHERE action = 'add'),
+caps AS (SELECT page_id, url, {FETCHED} AS fetched_at, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '') AS host,
+  list_filter(string_split(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS steps FROM pages),
+keys AS (
+  SELECT page_id, fetched_at, unnest(list_distinct(list_concat(
+    list_transform(generate_series(1, len(string_split(host, '.'))), lambda k: 'domain:' || array_to_string(list_slice(string_split(host, '.'), k, len(string_split(host, '.'))), '.')),
+    ['host:' || host],
+    list_transform(generate_series(0, len(steps)), lambda k: 'url:' || host || CASE WHEN k = 0 THEN '' ELSE '/' || array_to_string(list_slice(steps, 1, k), '/') END)))) AS key
+  FROM caps WHERE host IS NOT NULL),
+found AS (
+  SELECT k.page_id, string_agg(DISTINCT s.list, ',' ORDER BY s.list) AS lists, string_agg(s.list || '/' || s.key, ',' ORDER BY s.list || '/' || s.key) AS entries, count(*) AS n
+  FROM keys k JOIN spans s ON k.key = s.key AND s.since <= k.fetched_at AND (s.until IS NULL OR k.fetched_at < s.until) GROUP BY k.page_id)
+SELECT c.page_id, c.url, c.fetched_at, c.host, coalesce(f.lists, '') AS lists, coalesce(f.entries, '') AS entries, coalesce(f.n, 0) AS n_entries, f.n IS NOT NULL AS blocked
+FROM caps c LEFT JOIN found f ON c.page_id = f.page_id
+"""
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with their places in sequences of 4096 tokens."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -129,8 +185,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_nearest_neighbours": op2_nearest_neighbours, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_near_duplicates": op7_near_duplicates, "op8_repeated_passages": op8_repeated_passages, "op9_token_ids": op9_token_ids, "op10_secret_scan": op10_secret_scan}
+    return {"op1_line_dedup": op1_line_dedup, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_url_filters": op3_url_filters, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_near_duplicates": op7_near_duplicates, "op8_repeated_passages": op8_repeated_passages, "op9_token_ids": op9_token_ids, "op10_secret_scan": op10_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op5_decontamination": OP5_SQL, "op7_near_duplicates": OP7_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_url_filters": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_near_duplicates": OP7_SQL}

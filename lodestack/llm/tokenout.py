@@ -42,7 +42,7 @@ HEADER_BYTES = struct.calcsize(HEADER)
 SAMPLE_DOCUMENTS, DICTIONARY_BYTES = 400, 64 << 10
 LEVEL = 3
 #: Shards aim at this many bytes of frames.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 24 << 20
 READ_BYTES = 4 << 20
 
 
