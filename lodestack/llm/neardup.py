@@ -1,30 +1,32 @@
 """Near-duplicate documents by bottom-k sketches and inverted lists.
 
 One hash function numbers the word shingles; a document's sketch is its ``K`` smallest
-numbers (all of a smaller set). Documents with equal sets are one class, and only
-classes go on. Retained values are ordered by how many sketches hold them, rarest
-first. If two sets are similar enough, then both sketches have common values near the
-front of that order: a sketch of which at least m values are in the other one has at
-least l common values among its first ``size - m + l``. Inverted lists are made of
-these front values only. For sets of up to SMALL shingles m is exact; for larger ones
-it lies ``SIGMAS`` standard deviations below the expected overlap. Lists give pairs
-and their overlaps, the estimate from the union's sketch removes most other pairs,
-and the rest is confirmed by exact Jaccard on full sets of 64-bit shingle hashes.
+numbers (all of a smaller set), in order. Documents with equal sets are one class, and
+only classes go on. Inverted lists hold, for each run of ``RUN`` neighbouring retained
+values, the sketches that have it: a run is as good a sign of overlap as ``RUN`` single
+values, and one that unrelated documents with a few common shingles hardly share. If
+two whole sets have a Jaccard similarity of 0.8 or more, their I common and B other
+values satisfy I >= 4 B, so with two marks at each end some run of (I + 4) / (B + 1) >= 4
+common values is unbroken: lists of runs of 4 miss no pair. For larger sets a pair of
+exactly 0.8 is missed with a chance of some 0.8 ** K, below one in a million. Pairs of
+the lists are filtered by the estimate from the union's sketch, and confirmed by exact
+Jaccard on full sets of 64-bit shingle hashes.
 
 Long lists (over ``LONG``) are mostly large groups of near copies. Pairs with a few
 centres of the list come first; then, knowing the components so far, the members
-outside a list's largest component meet all members of other components. So no link
-that could join two components is left out, and a large group costs links in
-proportion to its size instead of its square.
+outside a list's largest component meet all members of other components, in blocks of
+sketches where they are many. So no link that could join two components is left out,
+and a large group costs links in proportion to its size instead of its square.
 
 Defined cases: a null or empty text, or one without words, has the empty set and is
 linked with nothing; a text with fewer words than a shingle has one shingle of them
 all; equal sets are linked; rows without a doc_id are linked with nothing and are
 their own, null, component; doc_ids are taken to be unique, and repeated rows are all
-returned; an empty table gives an empty table; extra columns are not read.
+returned; an empty table gives an empty table; extra columns are not read. For a
+similarity below 0.8 runs are shorter, see ``run_length``.
 
 Scale: texts are shuffled only if the documents in question don't fit
-``BROADCAST_ROWS``; else what moves is ``K`` values for each distinct text. Hot values
+``BROADCAST_ROWS``; else what moves is ``K`` values for each distinct text. Hot runs
 are keys of joins, which adaptive execution splits, and of combined counts.
 """
 
@@ -43,11 +45,9 @@ from .components import components
 
 K = 64
 SIGMAS = 5
-#: Common values asked of two large sketches.
-OVERLAP = 4
 LONG, CENTRES = 16, 4
-#: Sets up to here are so small that no partner's sketch can be cut.
-SMALL = int(0.8 * K)
+#: Lists with more pairs to look at than this are worked through in blocks of so many sketches.
+PLAIN_PAIRS, BLOCK = 2048, 512
 BROADCAST_ROWS = 500_000
 
 
@@ -92,45 +92,97 @@ def sketches(docs: DataFrame, words: int, key: str, text: str, k: int = K) -> Da
     return rows.mapInPandas(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>")
 
 
-def _least_overlap(n: Column, similarity: float, k: int) -> Column:
-    """Values of a sketch of a set of n that a similar set's sketch holds at least."""
-    m = max(1, math.floor(similarity * k - SIGMAS * math.sqrt(k * similarity * (1 - similarity))))
-    exact = F.ceil(F.lit(similarity) * n - F.lit(1e-9))
-    return F.when(n <= SMALL, exact).otherwise(F.least(exact, F.lit(m))).cast("int")
+def run_length(similarity: float) -> int:
+    """The longest run of common values that two similar whole sets have for certain, with two marks at each end; 4 at most."""
+    return max(1, min(4, math.floor(similarity / (1 - similarity) + 1e-9))) if similarity < 1 else 4
 
 
-def fronts(classes: DataFrame, similarity: float, k: int = K) -> DataFrame:
-    """Front values (value, node, n) of classes(node, n, sketch)."""
-    postings = classes.select("node", "n", F.explode("sketch").alias("value"))
-    counts = postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = postings.join(counts, "value")
-    # A value of its own sorts before shared ones, so the number of those is enough.
-    order = Window.partitionBy("node").orderBy("df", "value")  # at most k rows
-    total = Window.partitionBy("node")
-    need = F.when(F.col("n") <= SMALL, F.lit(1)).otherwise(F.lit(OVERLAP))
-    size = F.least(F.col("n"), F.lit(k)).cast("int")
-    return (
-        shared.withColumn("_rank", F.row_number().over(order) + size - F.count(F.lit(1)).over(total))
-        .where(F.col("_rank") <= size - _least_overlap(F.col("n"), similarity, k) + need)
-        .select("value", "node", "n")
-    )
+def runs(classes: DataFrame, similarity: float, k: int = K) -> DataFrame:
+    """Runs that two or more of classes(node, n, sketch) have: value, df (how many), node, n."""
+    r = run_length(similarity)
+    marks = lambda low: F.array(*[F.lit((-(1 << 63) + i) if low else ((1 << 63) - 1 - i)) for i in range(2)])
+    marked = F.when(F.col("n") <= k, F.concat(marks(True), F.col("sketch"), marks(False))).otherwise(F.col("sketch"))
+    places = F.sequence(F.lit(1), F.size("_m") - r + 1)
+    held = classes.withColumn("_m", marked).where(F.size("_m") >= r)
+    held = held.select("node", "n", F.explode(F.transform(places, lambda i: F.xxhash64(F.slice("_m", i, F.lit(r))))).alias("value"))
+    counts = held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    return held.join(counts, "value").select("value", "df", "node", "n")
 
 
 def _fits(similarity: float) -> Column:
-    return (F.col("x.n") * 100 >= F.col("y.n") * round(similarity * 100)) & (F.col("y.n") * 100 >= F.col("x.n") * round(similarity * 100))
+    """Sets of too different sizes can't be similar."""
+    percent = round(similarity * 100)
+    return (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+
+
+def _agreement(x: np.ndarray, y: np.ndarray, nx: int, ny: int, k: int) -> tuple[int, int]:
+    """(common values, values) of the union's sketch, or of the whole sets if the sketches hold them."""
+    union = np.union1d(x, y)
+    both = np.intersect1d(x, y, assume_unique=True)
+    if nx <= k and ny <= k:
+        return len(both), len(union)
+    cut = union[min(k, len(union)) - 1]
+    return int(np.searchsorted(both, cut, "right")), min(k, len(union))
 
 
 def screened(pairs: DataFrame, classes: DataFrame, similarity: float, k: int = K) -> DataFrame:
     """Those of pairs(a, b) that the union's sketch leaves; _whole says that it held both sets and so has decided."""
+    ship(pairs.sparkSession)
     of = lambda end: classes.select(F.col("node").alias(end), F.col("n").alias(f"n{end}"), F.col("sketch").alias(f"s{end}"))
-    seen = pairs.join(of("a"), "a").join(of("b"), "b")
-    seen = seen.withColumns({"_common": F.array_intersect("sa", "sb"), "_union": F.array_sort(F.array_union("sa", "sb"))})
-    whole = (F.col("na") <= k) & (F.col("nb") <= k)
-    cut = F.element_at("_union", F.least(F.size("_union"), F.lit(k)))
-    hits = F.size(F.filter("_common", lambda v: v <= cut))
+    percent = round(similarity * 100)
     floor = similarity - SIGMAS * math.sqrt(similarity * (1 - similarity) / k)
-    exact = F.lit(100) * F.size("_common") >= F.lit(round(similarity * 100)) * F.size("_union")
-    return seen.withColumn("_whole", whole).where(F.when(whole, exact).otherwise(hits >= F.lit(floor * k))).select("a", "b", "_whole")
+
+    def run(batches):
+        for b in batches:
+            keep, whole = [], []
+            for x, y, nx, ny in zip(b["sa"], b["sb"], b["na"], b["nb"]):
+                hits, size = _agreement(x, y, nx, ny, k)
+                whole.append(nx <= k and ny <= k)
+                keep.append(100 * hits >= percent * size if whole[-1] else hits >= floor * size)
+            out = b[["a", "b"]].assign(_whole=whole)
+            yield out[np.array(keep, dtype=bool)]
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(run, "a long, b long, _whole boolean")
+
+
+def block_pairs(apart: DataFrame, members: DataFrame, sketches_: DataFrame, column: str, need: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Pairs of apart(value, blocks_a, blocks_b, node, n, component) with members of the same list whose sketches have enough values in common.
+
+    A group holds one block of each side, so its memory is bounded; need(n, n) says how many values are enough.
+    """
+    ship(apart.sparkSession)
+    deal = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    side = lambda df: df.join(sketches_.select("node", F.col(column).alias("sketch")), "node")
+    left = side(apart).withColumn("i", deal(F.col("blocks_a"), 1)).withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("blocks_b") - 1).cast("int"))))
+    right = side(members).withColumn("j", deal(F.col("blocks_b"), 2)).withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("blocks_a") - 1).cast("int"))))
+    cols = ["value", "i", "j", "node", "n", "component", "sketch"]
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        lengths = [[len(v) for v in side["sketch"]] for side in (x, y)]
+        seen, code, times = np.unique(np.concatenate([*x["sketch"], *y["sketch"]]), return_inverse=True, return_counts=True)
+        often = np.flatnonzero(times > 1)
+        place = np.full(len(seen), -1)
+        place[often] = np.arange(len(often))
+        tables = []
+        at = 0
+        for length in lengths:
+            t = np.zeros((len(length), len(often)), dtype=np.float32)
+            col = place[code[at : at + sum(length)]]
+            row = np.repeat(np.arange(len(length)), length)
+            t[row[col >= 0], col[col >= 0]] = 1
+            tables.append(t)
+            at += sum(length)
+        both = tables[0] @ tables[1].T
+        enough = need(x["n"].to_numpy()[:, None], y["n"].to_numpy()[None])
+        hit = (both >= enough - 1e-6) & (x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None])
+        r, c = np.nonzero(hit)
+        p, q = x["node"].to_numpy()[r], y["node"].to_numpy()[c]
+        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+
+    left, right = (df.select(*[F.col(c).alias(f"{c}_{end}") for c in cols]).toDF(*cols) for df, end in ((left, "a"), (right, "b")))  # columns of their own
+    return left.groupBy("value", "i", "j").cogroup(right.groupBy("value", "i", "j")).applyInPandas(run, "a long, b long").distinct()
 
 
 def confirmed(seen: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
@@ -170,40 +222,36 @@ def document_texts(docs: DataFrame, key: str, text: str) -> Callable[[DataFrame]
     return lambda ends: rows.join(bounded(ends), "node", "left_semi")
 
 
-def links(front: DataFrame, screen: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], words: int, similarity: float, overlap: int = OVERLAP) -> DataFrame:
+def links(lists: DataFrame, screen: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], blocks: Callable[[DataFrame, DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
     """Confirmed links (a, b) that join the same components as all links would.
 
-    front(value, node, n): a pair of large sets has ``overlap`` values in common at least, a pair with a small set one.
+    lists(value, df, node, n) are inverted lists of which every two similar nodes share one. blocks(apart, members) gives
+    the pairs of long lists whose members are many.
     """
-    front = stored(front, "fronts")
-    lists = stored(front.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where(f"size > {LONG}").select("value"), "long-lists")
-    short, long_ = front.join(lists, "value", "left_anti"), front.join(lists, "value", "left_semi")
-    asked = F.when((F.col("x.n") <= SMALL) | (F.col("y.n") <= SMALL), F.lit(1)).otherwise(F.lit(overlap))
-    near = (
-        short.alias("x").join(short.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.node") < F.col("y.node")) & _fits(similarity))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), asked.alias("asked"))
-        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"), F.max("asked").alias("asked"))
-        .where("overlap >= asked").select("a", "b")
-    )
-    # Of a long list, the same few members are centres in every executor: those with the smallest hashes.
-    pick = Window.partitionBy("value", "_part").orderBy("_h", "node")
-    centre = long_.withColumns({"_h": F.xxhash64("node"), "_part": F.pmod(F.xxhash64("node", F.lit(1)), F.lit(64))})
-    centre = centre.withColumn("_r", F.row_number().over(pick)).where(f"_r <= {CENTRES}")
-    centre = centre.withColumn("_r", F.row_number().over(Window.partitionBy("value").orderBy("_h", "node"))).where(f"_r <= {CENTRES}").select("value", "node", "n")
-    pair = lambda x, y, more: x.alias("x").join(y.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.node") != F.col("y.node")) & _fits(similarity) & more)
+    front = stored(lists, "lists")
+    short, long_ = front.where(F.col("df") <= LONG), front.where(F.col("df") > LONG)
+    pair = lambda x, y, more: x.alias("x").join(y.alias("y"), (F.col("x.value") == F.col("y.value")) & _fits(similarity) & more)
     ends = lambda df: df.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    first = stored(near.unionByName(ends(pair(centre, long_, F.lit(True)))).distinct(), "candidates")
+    near = ends(pair(short, short, F.col("x.node") < F.col("y.node")))
+    # Of a long list the members with the smallest hashes are centres, found within parts of it first.
+    pick = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("_h", "node"))
+    centre = long_.withColumns({"_h": F.xxhash64("node"), "_part": F.pmod(F.xxhash64("node", F.lit(1)), F.lit(64))})
+    centre = centre.withColumn("_r", pick("value", "_part")).where(f"_r <= {CENTRES}").withColumn("_r", pick("value")).where(f"_r <= {CENTRES}").select("value", "node", "n")
+    first = stored(near.unionByName(ends(pair(centre, long_, F.col("x.node") != F.col("y.node")))).distinct(), "candidates")
     found = stored(confirmed(screen(first), texts, words, similarity), "links")
-    if lists.isEmpty():
-        return found
     # What the centres left apart.
     groups = components(found)
     labelled = long_.join(groups.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = stored(labelled, "labelled")
     held = labelled.groupBy("value", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = held.groupBy("value").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    apart = labelled.join(largest, "value").where("component <> largest").drop("largest", "parts")
-    rest = ends(pair(apart, labelled, F.col("x.component") != F.col("y.component")))
+    by_list = held.groupBy("value").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.max("size").alias("most"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    by_list = by_list.select("value", "largest", "size", (F.col("size") - F.col("most")).alias("others"))
+    labelled = stored(labelled.join(by_list, "value"), "open-lists")
+    small = F.col("size") * F.col("others") <= PLAIN_PAIRS
+    plain, large = labelled.where(small), labelled.where(~small)
+    rest = ends(pair(plain.where("component <> largest"), plain, (F.col("x.node") != F.col("y.node")) & (F.col("x.component") != F.col("y.component"))))
+    large = large.withColumns({"blocks_a": F.ceil(F.col("others") / BLOCK), "blocks_b": F.ceil(F.col("size") / BLOCK)})
+    rest = rest.unionByName(blocks(large.where("component <> largest"), large)).distinct()
     rest = stored(rest.join(first, ["a", "b"], "left_anti"), "candidates")
     return found.unionByName(confirmed(screen(rest), texts, words, similarity))
 
@@ -216,7 +264,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ke
     classes = stored(classes, "classes")
     full = known.join(classes, ["d1", "d2"]).where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"])
     full = stored(full, "class-sketches")
-    found = links(fronts(full, similarity), lambda pairs: screened(pairs, full, similarity), document_texts(docs, key, text), words, similarity)
+    floor = similarity - SIGMAS * math.sqrt(similarity * (1 - similarity) / K)
+
+    def need(x, y):  # of n common values of two sketches; whole sets are decided by them
+        whole = (x <= K) & (y <= K)
+        return np.where(whole, similarity * (x + y) / (1 + similarity), floor * K)
+
+    found = links(
+        runs(full, similarity), lambda pairs: screened(pairs, full, similarity), document_texts(docs, key, text),
+        lambda apart, members: block_pairs(apart, members, full, "sketch", need), words, similarity,
+    )
     groups = components(found)
     labels = classes.join(groups, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
     out = all_.drop("sketch").join(labels, ["d1", "d2"], "left")
