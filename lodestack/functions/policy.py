@@ -111,14 +111,15 @@ def resume_action(status: str | Column, has_output: str | Column, batch: str | C
 def retried(outcomes: str | Column, rate_budget: int = 100, other_budget: int = 3) -> Column:
     """[R9] struct(attempts, waited, ok) of a call whose attempts end in outcomes: ok, rate_limit, connection or api.
 
-    Rate limits and other errors have budgets of their own; the call ends with the first success or a spent budget.
+    Rate limits and other errors have budgets of repeats of their own; the call ends with the first success or an error
+    beyond its budget.
     """
     zero = F.struct(F.lit(0).alias("attempts"), F.lit(0.0).alias("waited"), F.lit(0).alias("rate"), F.lit(0).alias("other"), F.lit(False).alias("ok"), F.lit(False).alias("over"))
 
     def step(s: Column, o: Column) -> Column:
         rate = s["rate"] + (o == "rate_limit").cast("int")
         other = s["other"] + (~o.isin("ok", "rate_limit")).cast("int")
-        over = (o == "ok") | (rate > rate_budget) | (other >= other_budget)
+        over = (o == "ok") | (rate > rate_budget) | (other > other_budget)
         wait = F.when(over, 0.0).otherwise(backoff(o, F.when(o == "rate_limit", s["rate"]).otherwise(s["other"])))
         after = F.struct((s["attempts"] + 1).alias("attempts"), (s["waited"] + wait).alias("waited"), rate.alias("rate"), other.alias("other"), (o == "ok").alias("ok"), over.alias("over"))
         return F.when(s["over"], s).otherwise(after)
