@@ -15,7 +15,7 @@ Jaccard on full sets of 64-bit shingle hashes.
 Long lists (over ``LONG``) are mostly large groups of near copies. Pairs with a few
 centres of the list come first; then, knowing the components so far, the members
 outside a list's largest component meet all members of other components, in blocks of
-sketches where they are many. So no link that could join two components is left out,
+full sets where they are many. So no link that could join two components is left out,
 and a large group costs links in proportion to its size instead of its square.
 
 Defined cases: a null or empty text, or one without words, has the empty set and is
@@ -46,8 +46,8 @@ from .components import components
 K = 64
 SIGMAS = 5
 LONG, CENTRES = 16, 4
-#: Lists with more pairs to look at than this are worked through in blocks of so many sketches.
-PLAIN_PAIRS, BLOCK = 2048, 512
+#: Lists with more pairs to look at than this are worked through in blocks of about so many sets and bytes.
+PLAIN_PAIRS, BLOCK, BLOCK_BYTES = 2048, 512, 4 << 20
 BROADCAST_ROWS = 500_000
 
 
@@ -145,44 +145,77 @@ def screened(pairs: DataFrame, classes: DataFrame, similarity: float, k: int = K
     return pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(run, "a long, b long, _whole boolean")
 
 
-def block_pairs(apart: DataFrame, members: DataFrame, sketches_: DataFrame, column: str, need: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Pairs of apart(value, blocks_a, blocks_b, node, n, component) with members of the same list whose sketches have enough values in common.
-
-    A group holds one block of each side, so its memory is bounded; need(n, n) says how many values are enough.
+def joining(hit: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Places of links that join components x of the rows and y of the columns, as few as do it."""
+    root: dict[int, int] = {}
+
+    def find(k: int) -> int:
+        while root.setdefault(k, k) != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    out = []
+    for r in np.flatnonzero(hit.any(axis=1)).tolist():
+        cols = np.flatnonzero(hit[r])
+        for other, at in zip(*np.unique(y[cols], return_index=True)):
+            p, q = find(int(x[r])), find(int(other))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((r, int(cols[at])))
+    return out
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
+    """Sizes of the intersections of the sets x with the sets y, by products of incidence matrices of so many values at once."""
+    values, code, times = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
+    often = np.flatnonzero(times > 1)
+    place = np.full(len(values), -1)
+    place[often] = np.arange(len(often))
+    row = np.repeat(np.arange(len(x) + len(y)), [len(v) for v in (*x, *y)])
+    col = place[code]
+    row, col = row[col >= 0], col[col >= 0]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    for first in range(0, len(often), columns):
+        a, b = np.searchsorted(col, [first, first + columns])
+        table = np.zeros((len(x) + len(y), min(columns, len(often) - first)), dtype=np.float32)
+        table[row[a:b], col[a:b] - first] = 1
+        out += table[: len(x)] @ table[len(x) :].T
+    return out
+
+
+def block_links(apart: DataFrame, members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of apart(value, blocks_a, blocks_b, node, n, component) with members of the same list and other components.
+
+    A group holds one block of each side with their full sets, so its memory is bounded, its links are exact, and only
+    those are given that join components.
     """
     ship(apart.sparkSession)
-    deal = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
-    side = lambda df: df.join(sketches_.select("node", F.col(column).alias("sketch")), "node")
-    left = side(apart).withColumn("i", deal(F.col("blocks_a"), 1)).withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("blocks_b") - 1).cast("int"))))
-    right = side(members).withColumn("j", deal(F.col("blocks_b"), 2)).withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("blocks_a") - 1).cast("int"))))
-    cols = ["value", "i", "j", "node", "n", "component", "sketch"]
+    percent = round(similarity * 100)
+    deal = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    left = apart.join(sets, "node").withColumn("i", deal("blocks_a", 1)).withColumn("j", every("blocks_b"))
+    right = members.join(sets, "node").withColumn("j", deal("blocks_b", 2)).withColumn("i", every("blocks_a"))
+    cols = ["value", "i", "j", "node", "component", "set"]
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         if not len(x) or not len(y):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        lengths = [[len(v) for v in side["sketch"]] for side in (x, y)]
-        seen, code, times = np.unique(np.concatenate([*x["sketch"], *y["sketch"]]), return_inverse=True, return_counts=True)
-        often = np.flatnonzero(times > 1)
-        place = np.full(len(seen), -1)
-        place[often] = np.arange(len(often))
-        tables = []
-        at = 0
-        for length in lengths:
-            t = np.zeros((len(length), len(often)), dtype=np.float32)
-            col = place[code[at : at + sum(length)]]
-            row = np.repeat(np.arange(len(length)), length)
-            t[row[col >= 0], col[col >= 0]] = 1
-            tables.append(t)
-            at += sum(length)
-        both = tables[0] @ tables[1].T
-        enough = need(x["n"].to_numpy()[:, None], y["n"].to_numpy()[None])
-        hit = (both >= enough - 1e-6) & (x["component"].to_numpy()[:, None] != y["component"].to_numpy()[None])
-        r, c = np.nonzero(hit)
-        p, q = x["node"].to_numpy()[r], y["node"].to_numpy()[c]
-        return pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+            return none
+        p, q = ([np.frombuffer(v, np.int64) for v in side["set"]] for side in (x, y))
+        both = common_counts(p, q)
+        sizes = np.array([len(v) for v in p])[:, None] + np.array([len(v) for v in q])[None]
+        cx, cy = x["component"].to_numpy(), y["component"].to_numpy()
+        links_ = joining((100 * both >= percent * (sizes - both)) & (cx[:, None] != cy[None]), cx, cy)
+        if not links_:
+            return none
+        r, c = np.array(links_).T
+        m, n = x["node"].to_numpy()[r], y["node"].to_numpy()[c]
+        return pd.DataFrame({"a": np.minimum(m, n), "b": np.maximum(m, n)})
 
     left, right = (df.select(*[F.col(c).alias(f"{c}_{end}") for c in cols]).toDF(*cols) for df, end in ((left, "a"), (right, "b")))  # columns of their own
-    return left.groupBy("value", "i", "j").cogroup(right.groupBy("value", "i", "j")).applyInPandas(run, "a long, b long").distinct()
+    return left.groupBy("value", "i", "j").cogroup(right.groupBy("value", "i", "j")).applyInPandas(run, "a long, b long")
 
 
 def confirmed(seen: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
@@ -193,11 +226,7 @@ def confirmed(seen: DataFrame, texts: Callable[[DataFrame], DataFrame], words: i
     open_ = seen.where("not _whole").select("a", "b")
     ends = stored(open_.select(F.col("a").alias("node")).unionByName(open_.select(F.col("b").alias("node"))).distinct(), "ends")
 
-    def sets(batches):
-        for b in batches:
-            yield pd.DataFrame({"node": b["node"], "set": [shingles(t, words).tobytes() for t in b["text"]]})
-
-    held = stored(texts(ends).mapInPandas(sets, "node long, set binary"), "sets").dropDuplicates(["node"])
+    held = full_sets(texts(ends), words)
 
     def check(batches):
         for b in batches:
@@ -212,6 +241,17 @@ def confirmed(seen: DataFrame, texts: Callable[[DataFrame], DataFrame], words: i
     return seen.where("_whole").select("a", "b").unionByName(joined.mapInPandas(check, "a long, b long"))
 
 
+def full_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(node, set) of texts(node, text): all shingle hashes, in order, as bytes."""
+    ship(texts.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"node": b["node"], "set": [shingles(t, words).tobytes() for t in b["text"]]})
+
+    return stored(texts.mapInPandas(run, "node long, set binary"), "sets").dropDuplicates(["node"])
+
+
 def bounded(ends: DataFrame) -> DataFrame:
     """A stored table of nodes, to be broadcast if it has at most BROADCAST_ROWS rows of some 8 to 20 bytes."""
     return F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
@@ -222,11 +262,10 @@ def document_texts(docs: DataFrame, key: str, text: str) -> Callable[[DataFrame]
     return lambda ends: rows.join(bounded(ends), "node", "left_semi")
 
 
-def links(lists: DataFrame, screen: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], blocks: Callable[[DataFrame, DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
+def links(lists: DataFrame, screen: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
     """Confirmed links (a, b) that join the same components as all links would.
 
-    lists(value, df, node, n) are inverted lists of which every two similar nodes share one. blocks(apart, members) gives
-    the pairs of long lists whose members are many.
+    lists(value, df, node, n) are inverted lists of which every two similar nodes share one.
     """
     front = stored(lists, "lists")
     short, long_ = front.where(F.col("df") <= LONG), front.where(F.col("df") > LONG)
@@ -243,17 +282,24 @@ def links(lists: DataFrame, screen: Callable[[DataFrame], DataFrame], texts: Cal
     groups = components(found)
     labelled = long_.join(groups.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = stored(labelled, "labelled")
-    held = labelled.groupBy("value", "component").agg(F.count(F.lit(1)).alias("size"))
-    by_list = held.groupBy("value").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.max("size").alias("most"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    by_list = by_list.select("value", "largest", "size", (F.col("size") - F.col("most")).alias("others"))
+    held = labelled.groupBy("value", "component").agg(F.count(F.lit(1)).alias("size"), (F.sum("n") * 8).alias("bytes"))
+    by_list = held.groupBy("value").agg(
+        F.max_by(F.struct("component", "size", "bytes"), F.struct("size", "component")).alias("largest"), F.sum("size").alias("size"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("parts")
+    ).where("parts > 1")
+    # The members of the other components meet all: their number and bytes, and all members', make the blocks.
+    others = F.col("size") - F.col("largest.size")
+    share = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    by_list = by_list.select(
+        "value", F.col("largest.component").alias("largest"), (F.col("size") * others).alias("pairs"),
+        share(others, F.col("bytes") - F.col("largest.bytes")).alias("blocks_a"), share(F.col("size"), F.col("bytes")).alias("blocks_b"),
+    )
     labelled = stored(labelled.join(by_list, "value"), "open-lists")
-    small = F.col("size") * F.col("others") <= PLAIN_PAIRS
-    plain, large = labelled.where(small), labelled.where(~small)
+    plain, large = labelled.where(F.col("pairs") <= PLAIN_PAIRS), labelled.where(F.col("pairs") > PLAIN_PAIRS)
     rest = ends(pair(plain.where("component <> largest"), plain, (F.col("x.node") != F.col("y.node")) & (F.col("x.component") != F.col("y.component"))))
-    large = large.withColumns({"blocks_a": F.ceil(F.col("others") / BLOCK), "blocks_b": F.ceil(F.col("size") / BLOCK)})
-    rest = rest.unionByName(blocks(large.where("component <> largest"), large)).distinct()
     rest = stored(rest.join(first, ["a", "b"], "left_anti"), "candidates")
-    return found.unionByName(confirmed(screen(rest), texts, words, similarity))
+    wanted = stored(large.select("node").distinct(), "ends")
+    blocked = block_links(large.where("component <> largest"), large, full_sets(texts(wanted), words), similarity)
+    return found.unionByName(confirmed(screen(rest), texts, words, similarity)).unionByName(blocked)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -264,16 +310,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ke
     classes = stored(classes, "classes")
     full = known.join(classes, ["d1", "d2"]).where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"])
     full = stored(full, "class-sketches")
-    floor = similarity - SIGMAS * math.sqrt(similarity * (1 - similarity) / K)
-
-    def need(x, y):  # of n common values of two sketches; whole sets are decided by them
-        whole = (x <= K) & (y <= K)
-        return np.where(whole, similarity * (x + y) / (1 + similarity), floor * K)
-
-    found = links(
-        runs(full, similarity), lambda pairs: screened(pairs, full, similarity), document_texts(docs, key, text),
-        lambda apart, members: block_pairs(apart, members, full, "sketch", need), words, similarity,
-    )
+    found = links(runs(full, similarity), lambda pairs: screened(pairs, full, similarity), document_texts(docs, key, text), words, similarity)
     groups = components(found)
     labels = classes.join(groups, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
     out = all_.drop("sketch").join(labels, ["d1", "d2"], "left")

@@ -112,12 +112,7 @@ def repeats(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
         lines = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text")).join(wanted, "doc_id")
         return lines.select("node", F.element_at(F.split("text", "\n", -1), (F.col("paragraph") + 1).cast("int")).alias("text"))
 
-    def blocks(apart: DataFrame, members: DataFrame) -> DataFrame:
-        # a minimum counts by its place in the signature
-        placed = full.select("node", F.transform("signature", lambda v, i: v.cast("long") * PERMUTATIONS + i).alias("placed"))
-        return neardup.block_pairs(apart, members, placed, "placed", lambda x, y: np.full(np.broadcast(x, y).shape, floor * PERMUTATIONS))
-
-    groups = components(neardup.links(lists, screen, texts, blocks, words, similarity))
+    groups = components(neardup.links(lists, screen, texts, words, similarity))
     named = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     whole = named.groupBy("component").agg(F.min("first").alias("first"), F.sum("size").alias("size")).where("size > 1")
     labels = named.drop("first", "size").join(whole, "component").select(F.col("node").alias("d1"), "d2", "first")
