@@ -72,12 +72,19 @@ def _forget_all() -> None:
             return
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of df: write it to the shared folder and read it back."""
+def stored(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Cut the lineage of df: write it to the shared folder and read it back.
+
+    A table that this returned before and that nothing but df still needs can be deleted on the way.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    if instead_of is not None:
+        forget(spark, instead_of._stored_at)
+    return out
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -89,11 +96,6 @@ def text_of(col: str | Column) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def replaced(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
-    """withColumns, where a new column takes the place of one of its name in any case."""
-    return df.withColumns(cols)
-
-
 def threshold(share: float) -> int:
     """The 64-bit hash value below which about this share of hashes lies."""
     return min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)))

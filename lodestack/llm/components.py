@@ -35,7 +35,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     clean = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}").distinct()
     now, seen = stored(clean, "edges"), None
     for _ in range(MAX_ROUNDS):
-        now = stored(_star(_star(now, True), False), "edges")
+        now = stored(_star(_star(now, True), False), "edges", instead_of=now)
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen:
             break

@@ -165,12 +165,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
         return run
 
+    held: DataFrame | None = None
     for k, part in enumerate(parts):
         last = k == len(parts) - 1
         shared = spark.sparkContext.broadcast((next(_slice_ids), part))
         state = state.mapInPandas(step(shared, last), done if last else state.schema)
         if not last:
-            state = stored(state, "decontam")
+            state = held = stored(state, "decontam", instead_of=held)
     return state
 
 
