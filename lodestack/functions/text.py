@@ -228,6 +228,11 @@ def estimated_pages(paragraphs: str | Column, each: int = 10) -> Column:
     return F.ceil(_c(paragraphs) / each).cast("long")
 
 
+def paragraph_count(elements: str | Column) -> Column:
+    """[A20] Paragraphs among a document's elements(is_paragraph)."""
+    return F.size(F.filter(_c(elements), lambda e: e["is_paragraph"]))
+
+
 def resized(width: str | Column, height: str | Column, most: int = 1280) -> Column:
     """struct(width, height) whose longest side is ``most`` at most, at least one pixel each."""
     w, h = _c(width), _c(height)

@@ -115,6 +115,28 @@ def top_sessions(spark, sf_dir):
     return statistics.top_sessions(s, 20)
 
 
+LOG_SESSIONS = SESSIONS.replace("ORDER BY ts, event_id", "ORDER BY event_id")
+
+
+@query(LOG_SESSIONS + """x AS (SELECT event_id, extract(hour FROM ts) * 3600 + extract(minute FROM ts) * 60 + floor(extract(second FROM ts)) AS start_seconds FROM events)
+SELECT s.user_id, s.session, 'doc::images/' || s.key || '.png' AS key, CAST(x.start_seconds AS DOUBLE) AS start_seconds, s.tool_calls, s.status, round(s.elapsed, 6) AS elapsed,
+  CASE WHEN s.status = 'failed' THEN 'rate_limit' END AS error_type FROM s JOIN x ON x.event_id = s.key""")
+def log_sessions(spark, sf_dir):
+    """Events written as the lines of one log and read again."""
+    from ..sources.sinks import log_line
+
+    seconds = F.concat(F.lit("["), F.col("value").cast("string"), F.lit("s] "))
+    body = (
+        F.when(F.col("event_type") == "signup", F.concat(F.lit("▶ START doc::images/"), F.col("event_id").cast("string"), F.lit(".png")))
+        .when(F.col("event_type") == "purchase", F.concat(F.lit("✓ "), seconds, F.lit("DONE")))
+        .when(F.col("event_type") == "error", F.concat(F.lit("✗ "), seconds, F.lit("FAILED HTTP 429 rate limit")))
+        .otherwise("  [ToolCall] AI wants +5up/-5down")
+    )
+    lines = read(spark, sf_dir, "events").select(F.lit("img2text_1.log").alias("file"), F.col("event_id").alias("line_no"), log_line("ts", "user_id", body).alias("value"))
+    found = sessions.log_sessions(lines)
+    return found.select(F.col("tid").cast("long").alias("user_id"), "session", "key", T.seconds_of_day("start_ts").alias("start_seconds"), "tool_calls", "status", F.round("elapsed", 6).alias("elapsed"), "error_type")
+
+
 @query("SELECT user_id, count(*) AS lines FROM events GROUP BY 1")
 def lines_per_thread(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("lines"))
