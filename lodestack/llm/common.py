@@ -15,6 +15,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def id_columns(key: str) -> list[Column]:
+    """An integer key for pandas, which would make a column with nulls a float: the key, 0 for null, and whether it is known."""
+    return [F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("doc_id"), F.col(key).isNotNull().alias("_known")]
+
+
+def ids_of(batch: pd.DataFrame) -> pd.arrays.IntegerArray:
+    """The keys of id_columns, with their nulls."""
+    return pd.arrays.IntegerArray(batch["doc_id"].to_numpy("int64").copy(), ~batch["_known"].to_numpy("bool"))
+
+
 def text_of(col: str | Column) -> Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

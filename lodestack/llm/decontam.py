@@ -24,7 +24,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,10 +138,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
     def step(shared, last: bool):
         def run(batches):
+            import pyarrow as pa
+
             m = matcher(shared, window)
             for b in batches:
                 out = []
-                for t, runs, items in zip(b["text"], b["runs"], b["items"]):
+                for t, runs, items in zip(*(b.column(c).to_pylist() for c in ("text", "runs", "items"))):
                     words = normalised(t)
                     found = m.hits(words)
                     runs, names = [(r["first"], r["last"]) for r in runs] + [(first, first + n) for first, n, _ in found], set(items).union(*(who for *_, who in found))
@@ -159,9 +160,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                         out.append((len(words), n_hit, sorted(names), spans, n_hit > 0))
                     else:
                         out.append((t, [{"first": a, "last": z} for a, z in runs], sorted(names)))
-                made = pd.DataFrame(out, columns=["n_words", "n_hit", "items", "spans", "contaminated"] if last else ["text", "runs", "items"])
-                made.insert(0, key, b[key].astype("Int64") if kind in ("bigint", "int") else b[key])
-                yield made
+                place = lambda a, z: pa.list_(pa.struct([(a, pa.int64()), (z, pa.int64())]))
+                words_, names_ = pa.list_(pa.string()), ["n_words", "n_hit", "items", "spans", "contaminated"]
+                kinds = [pa.int64(), pa.int64(), words_, place("start", "end"), pa.bool_()] if last else [pa.string(), place("first", "last"), words_]
+                made = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([b.column(key), *made], [key, *(names_ if last else ["text", "runs", "items"])])
 
         return run
 
@@ -169,7 +172,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     for k, part in enumerate(parts):
         last = k == len(parts) - 1
         shared = spark.sparkContext.broadcast((next(_slice_ids), part))
-        state = state.mapInPandas(step(shared, last), done if last else state.schema)
+        state = state.mapInArrow(step(shared, last), done if last else state.schema)
         if not last:
             state = held = stored(state, "decontam", instead_of=held)
     return state

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stored, text_of
+from .common import id_columns, ids_of, ship, stored, text_of
 from .components import components
 
 K = 64
@@ -82,13 +82,13 @@ def sketches(docs: DataFrame, words: int, key: str, text: str, k: int = K) -> Da
 
         for b in batches:
             out = []
-            for doc, t in zip(b["doc_id"].astype("Int64"), b["text"]):
+            for doc, t in zip(ids_of(b), b["text"]):
                 s = shingles(t, words)
                 d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
                 out.append((doc, len(s), int(d[0]), int(d[1]), s[:k]))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "d1", "d2", "sketch"]).astype({"doc_id": "Int64"})
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    rows = docs.select(*id_columns(key), text_of(text).alias("text"))
     return rows.mapInPandas(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>")
 
 

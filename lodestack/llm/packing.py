@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stored, text_of
+from .common import id_columns, ids_of, ship, stored, text_of
 from .tokens import encoder
 
 LENGTH = 4096
@@ -53,14 +53,14 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGT
         enc = encoder(tokenizer)
         for b in batches:
             out = []
-            for doc, x in zip(b["doc_id"].astype("Int64"), enc.ids(b["text"].tolist())):
+            for doc, x in zip(ids_of(b), enc.ids(b["text"].tolist())):
                 x += end
                 n = len(x) // 4
                 out += [(doc, s, min(length, n - s), zlib.crc32(x[4 * s : 4 * (s + length)]), n) for s in range(0, n, length)]
             made = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
             yield made.astype({"doc_id": "Int64"})
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    rows = docs.select(*id_columns(key), text_of(text).alias("text"))
     return rows.mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 

@@ -67,7 +67,7 @@ def paragraphs(docs: DataFrame, words: int, min_words: int, key: str, text: str,
         by = _multipliers(permutations)
         for b in batches:
             out = []
-            for doc, t in zip(b["doc_id"].astype("Int64"), b["text"]):
+            for doc, t in zip(b["doc_id"], b["text"]):
                 at = 0
                 for number, line in enumerate(t.split("\n")):
                     n_words = len(line.split()) if len(line) >= 2 * min_words - 1 else 0

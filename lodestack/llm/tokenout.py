@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, ship, stored, text_of
+from .common import bounded_sample, id_columns, ids_of, ship, stored, text_of
 from .tokens import encoder
 
 MAGIC = b"LSTKIDS1"
@@ -88,22 +88,10 @@ def frames(docs: DataFrame, tokenizer: str, dictionary: bytes, end_id: int = 0,
         enc, zip_ = encoder(tokenizer), _compressor(dictionary)
         for b in batches:
             ids = [x + end for x in enc.ids(b["text"].tolist())]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text_hash": b["text_hash"], "n_tokens": [len(x) // 4 for x in ids], "frame": [zip_.compress(_serial(x, width)) for x in ids]})
+            yield pd.DataFrame({"doc_id": ids_of(b), "text_hash": b["text_hash"], "n_tokens": [len(x) // 4 for x in ids], "frame": [zip_.compress(_serial(x, width)) for x in ids]})
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text_of(text).alias("text"))
-    return rows.mapInPandas(_with_null_ids(run), "doc_id long, text_hash long, n_tokens long, frame binary")
-
-
-def _with_null_ids(run):
-    """Keep doc_id a nullable integer: pandas would make it a float."""
-
-    def safe(batches):
-        for out in run(batches):
-            if out["doc_id"].dtype.kind == "f":
-                out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
-
-    return safe
+    rows = docs.select(*id_columns(key), F.xxhash64(text).alias("text_hash"), text_of(text).alias("text"))
+    return rows.mapInPandas(run, "doc_id long, text_hash long, n_tokens long, frame binary")
 
 
 def _open(path: str):
@@ -136,8 +124,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, key: str
                 continue
             if out is None:
                 out = own.open_output_stream(part)
-            known.append(b["doc_id"].notna().to_numpy())
-            ids.append(b["doc_id"].fillna(0).to_numpy("int64"))
+            known.append(b["_known"].to_numpy("bool"))
+            ids.append(b["doc_id"].to_numpy("int64"))
             sizes, n = b["frame"].map(len).to_numpy("int64"), b["n_tokens"].to_numpy("int64")
             offsets.append(at + np.cumsum(sizes) - sizes)
             starts.append(tokens + np.cumsum(n) - n)
@@ -155,6 +143,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, key: str
         yield pd.DataFrame({"shard": [name], "documents": [count], "tokens": [tokens]})
 
     ordered = made.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text_hash", "n_tokens")
+    ordered = ordered.select(*id_columns("doc_id"), "n_tokens", "frame")
     entries = sorted(ordered.mapInPandas(run, "shard string, documents long, tokens long").collect())  # one row a shard
     manifest = {"width": width, "dictionary_sha256": digest.hex(), "end_id": end_id, "shards": [list(e) for e in entries]}
     with fs.open_output_stream(f"{root}/manifest.json") as f:

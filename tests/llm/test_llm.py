@@ -28,6 +28,13 @@ def prose(rng, n):
     return " ".join(rng.choice(WORDS) for _ in range(n))
 
 
+def test_large_ids_beside_null(spark):
+    big = (1 << 62) + 1
+    d = docs(spark, ["a b c d e f", "a b c d e f", "x"], ids=[big, None, big + 2])
+    for df in (neardup.near_duplicates(d), packing.pack(d, vocabulary("word_bpe_49k.json")), decontam.scan(d, spark.createDataFrame([], "item_id long, text string"))):
+        assert {r["doc_id"] for r in df.collect()} == {big, None, big + 2}
+
+
 # 1. Lines
 
 
@@ -368,6 +375,9 @@ def test_token_files(spark, tmp_path):
         at += len(got)
         if r["doc_id"] and r["doc_id"] != 7:
             assert bytes(r["ids"]) == enc.ids([by[r["doc_id"]] or ""])[0] + bytes(4)
+    big = docs(spark, ["a", "b"], ids=[(1 << 62) + 1, None])
+    tokenout.write(big, str(tmp_path / "big"), vocabulary("byte_bpe_50k.json"))
+    assert {r["doc_id"] for r in tokenout.read(spark, str(tmp_path / "big")).collect()} == {(1 << 62) + 1, None}
     assert len(tokenout.lookup(path, 7)) == 3 and len(tokenout.lookup(path, 150)) == 1 and tokenout.lookup(path, 1) == []
     assert tokenout.write(d.limit(0), str(tmp_path / "none"), vocabulary("byte_bpe_50k.json"))["shards"] == []
     assert tokenout.read(spark, str(tmp_path / "none")).count() == 0
