@@ -25,7 +25,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once for each application."""
+    """Give the executors' Python workers this package, once for each application.
+
+    Rows here are whole texts, so Arrow batches of the default of 10,000 rows would take much memory: a session that
+    has the default gets smaller ones.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -39,6 +45,28 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+_worker: dict[str, dict] = {}
+
+
+def kept_for(operator: str) -> dict:
+    """What a Python worker keeps for an operator from task to task. Workers are used again by other operators: what was
+    kept for those is given up then, and freed memory goes back to the system."""
+    if operator not in _worker:
+        import ctypes
+        import gc
+
+        import pyarrow
+
+        _worker.clear()
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+    return _worker.setdefault(operator, {})
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, stored, text_of
+from .common import kept_for, ship, stored, text_of
 
 WINDOW = 10
 SLICE_WORDS = 200_000
@@ -100,15 +100,13 @@ class Matcher:
         return [(end - n + 1, n, names) for end, (n, names) in self.automaton.iter(ids)]
 
 
-_matchers: dict[int, Matcher] = {}
-
-
 def matcher(broadcast, window: int) -> Matcher:
     """One for each worker process and broadcast slice."""
-    if broadcast.value[0] not in _matchers:
-        _matchers.clear()
-        _matchers[broadcast.value[0]] = Matcher(broadcast.value[1], window)
-    return _matchers[broadcast.value[0]]
+    kept, (number, items) = kept_for("decontam"), broadcast.value
+    if number not in kept:
+        kept.clear()
+        kept[number] = Matcher(items, window)
+    return kept[number]
 
 
 _slice_ids = iter(range(1 << 62))

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_columns, ids_of, ship, stored, text_of
+from .common import id_columns, ids_of, kept_for, ship, stored, text_of
 from .components import components
 
 K = 64
@@ -80,6 +80,7 @@ def sketches(docs: DataFrame, words: int, key: str, text: str, k: int = K) -> Da
     def run(batches):
         import xxhash
 
+        kept_for("neardup")
         for b in batches:
             out = []
             for doc, t in zip(ids_of(b), b["text"]):
@@ -133,6 +134,7 @@ def screened(pairs: DataFrame, classes: DataFrame, similarity: float, k: int = K
     floor = similarity - SIGMAS * math.sqrt(similarity * (1 - similarity) / k)
 
     def run(batches):
+        kept_for("neardup")
         for b in batches:
             keep, whole = [], []
             for x, y, nx, ny in zip(b["sa"], b["sb"], b["na"], b["nb"]):
@@ -200,6 +202,7 @@ def block_links(apart: DataFrame, members: DataFrame, sets: DataFrame, similarit
     cols = ["value", "i", "j", "node", "component", "set"]
 
     def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        kept_for("neardup")
         none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
         if not len(x) or not len(y):
             return none
@@ -229,6 +232,7 @@ def confirmed(seen: DataFrame, texts: Callable[[DataFrame], DataFrame], words: i
     held = full_sets(texts(ends), words)
 
     def check(batches):
+        kept_for("neardup")
         for b in batches:
             ok = []
             for x, y in zip(b["x"], b["y"]):
@@ -246,6 +250,7 @@ def full_sets(texts: DataFrame, words: int) -> DataFrame:
     ship(texts.sparkSession)
 
     def run(batches):
+        kept_for("neardup")
         for b in batches:
             yield pd.DataFrame({"node": b["node"], "set": [shingles(t, words).tobytes() for t in b["text"]]})
 

@@ -41,7 +41,8 @@ GAP = 3e-3
 MAX_COLUMNS = 1500
 #: A column is priced with so many of the densest widths first, and with all of them before the program counts as solved.
 DENSEST = 24
-RANK_BUCKETS = 256
+#: Ranks are counted by so many buckets of each class at least, and by one for so many pieces.
+RANK_BUCKETS, BUCKET_PIECES = 256, 500_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,7 +229,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH,
     upper = F.array(*[F.lit(int(x)) for x in np.searchsorted(widths, np.arange(length + 1))])
     classed = cut.withColumn("_class", F.element_at(upper, F.col("length").cast("int") + 1))
     order = ["doc_id", "start", "ids_crc32", "doc_tokens"]
-    placed = ranked(classed, "_class", order).join(F.broadcast(table), "_class")  # the table is bounded by classes and patterns
+    placed = ranked(classed, "_class", order, max(RANK_BUCKETS, sum(histogram.values()) // BUCKET_PIECES)).join(F.broadcast(table), "_class")  # the table is bounded by classes and patterns
     slot = F.filter("_slots", lambda s: (s["first"] <= F.col("_rank")) & (F.col("_rank") < s["first"] + s["ranks"]))[0]
     placed = placed.withColumn("_slot", slot).withColumn("sequence_id", F.expr("_slot.sequence + (_rank - _slot.first) div _slot.each"))
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), *order).rowsBetween(Window.unboundedPreceding, -1)  # at most ``length`` rows

@@ -43,6 +43,8 @@ SAMPLE_DOCUMENTS, DICTIONARY_BYTES = 400, 64 << 10
 LEVEL = 3
 #: Shards aim at this many bytes of frames.
 SHARD_BYTES = 24 << 20
+#: The manifest has at most about so many entries; beyond, shards grow.
+MOST_SHARDS = 50_000
 READ_BYTES = 4 << 20
 
 
@@ -111,7 +113,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, key: str
         f.write(dictionary)
     made = stored(frames(docs, tokenizer, dictionary, end_id, key, text), "frames")
     total = made.agg(F.sum(F.octet_length("frame"))).first()[0] or 0
-    shards = max(spark.sparkContext.defaultParallelism, -(-total // shard_bytes))
+    shards = max(spark.sparkContext.defaultParallelism, min(MOST_SHARDS, -(-total // shard_bytes)))
 
     def run(batches):
         context = TaskContext.get()
@@ -140,11 +142,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, key: str
         out.write(struct.pack(HEADER, MAGIC, width, digest, count, at))
         out.close()
         own.move(part, f"{base}/{name}")
-        yield pd.DataFrame({"shard": [name], "documents": [count], "tokens": [tokens]})
+        named = np.concatenate(ids)[np.concatenate(known)]
+        ends = [int(named.min()), int(named.max())] if len(named) else [0, -1]
+        yield pd.DataFrame({"shard": [name], "documents": [count], "tokens": [tokens], "first_id": ends[:1], "last_id": ends[1:]})
 
     ordered = made.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text_hash", "n_tokens")
     ordered = ordered.select(*id_columns("doc_id"), "n_tokens", "frame")
-    entries = sorted(ordered.mapInPandas(run, "shard string, documents long, tokens long").collect())  # one row a shard
+    entries = sorted(ordered.mapInPandas(run, "shard string, documents long, tokens long, first_id long, last_id long").collect())  # one row a shard
     manifest = {"width": width, "dictionary_sha256": digest.hex(), "end_id": end_id, "shards": [list(e) for e in entries]}
     with fs.open_output_stream(f"{root}/manifest.json") as f:
         f.write(json.dumps(manifest).encode())
@@ -194,9 +198,11 @@ class Shard:
 
 
 def lookup(path: str, doc_id: int) -> list[np.ndarray]:
-    """Ids of the documents with this doc_id, reading one index and their frames only."""
+    """Ids of the documents with this doc_id: reads the manifest, the indexes of shards whose range holds it, and their frames."""
     found = []
-    for name, *_ in manifest_of(path)["shards"]:
+    for name, _, _, first, last in manifest_of(path)["shards"]:
+        if not first <= doc_id <= last:
+            continue
         shard = Shard(path, name)
         at = np.flatnonzero((shard.ids == doc_id) & shard.known)
         found += shard.documents(int(at[0]), int(at[-1]) + 1) if len(at) else []
@@ -207,7 +213,7 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """What the files hold: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (little-endian 32 bits each)."""
     ship(spark)
     shards, start = [], 0
-    for name, _, tokens in manifest_of(path)["shards"]:
+    for name, _, tokens, *_ in manifest_of(path)["shards"]:
         shards.append((name, start))
         start += tokens
 

@@ -13,8 +13,10 @@ import os
 import re
 from array import array
 
+from .common import kept_for
+
 #: Pieces that a worker keeps; others are encoded anew in each batch.
-KEEP = 400_000
+KEEP = 300_000
 #: Characters that are gathered before new pieces are encoded.
 BATCH_CHARS = 2_000_000
 
@@ -91,11 +93,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One for each worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    kept = kept_for("tokens")
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]

@@ -67,8 +67,8 @@ def _seconds(df: DataFrame, col: str) -> Column:
 
 
 def matches(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
-    """Active entries of each distinct (url, time): url, fetched, list, key."""
-    seen = captures.select(F.col(url).alias("url"), F.col(fetched).alias("fetched")).where("url is not null and fetched is not null").distinct()
+    """Active entries of each capture: url, fetched, list, key."""
+    seen = captures.select(F.col(url).alias("url"), F.col(fetched).alias("fetched")).where("url is not null and fetched is not null")
     last = seen.agg(F.max(_seconds(seen, "fetched"))).first()[0]
     spans = intervals(entries)
     period = lambda c: F.floor(c / PERIOD).cast("long")
@@ -86,12 +86,13 @@ def matches(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
 
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """All captures with host, lists (active lists, sorted, comma-joined), entries (active patterns, likewise), n_entries and blocked."""
-    found = matches(captures, entries, url, fetched).groupBy("url", "fetched").agg(
-        F.array_join(F.array_sort(F.collect_set("list")), ",").alias("_lists"),
-        F.array_join(F.array_sort(F.collect_set(F.concat_ws("/", "list", "key"))), ",").alias("_entries"),
-        F.count(F.lit(1)).alias("_n"),
-    )  # at most lists x keys of one url
-    found = found.select(F.col("url").alias("_url"), F.col("fetched").alias("_fetched"), "_lists", "_entries", "_n")
+    # At most lists x keys of one url; only captures with a match are shuffled, and repeated ones combine before.
+    found = matches(captures, entries, url, fetched).groupBy("url", "fetched").agg(F.array_sort(F.collect_set(F.struct("list", "key"))).alias("_s"))
+    found = found.select(
+        F.col("url").alias("_url"), F.col("fetched").alias("_fetched"), F.size("_s").alias("_n"),
+        F.array_join(F.array_distinct(F.transform("_s", lambda s: s["list"])), ",").alias("_lists"),
+        F.array_join(F.array_sort(F.transform("_s", lambda s: F.concat_ws("/", s["list"], s["key"]))), ",").alias("_entries"),
+    )
     out = captures.join(found, (F.col(url) == F.col("_url")) & (F.col(fetched) == F.col("_fetched")), "left")
     host = host_of(F.col(url))
     return out.withColumns({
