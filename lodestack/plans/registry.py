@@ -205,16 +205,18 @@ def sample_n(spark, sf_dir):
     return sessions.sample_n(read(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id", 50, 42)
 
 
-POLL = """
+_NOTE = "(p.pages - f.pages >= 100 OR p.state = 'done')"
+_DUE = f"(NOT {_NOTE} AND p.hours - f.hours >= f.wait)"
+POLL = f"""
 WITH RECURSIVE p AS (
-  SELECT user_id, CAST(ts AS DATE) AS day, epoch_us(ts) / 1e6 / 3600 AS at, CAST(floor(value) AS BIGINT) AS pages, CASE WHEN event_type = 'purchase' THEN 'done' ELSE 'running' END AS state,
+  SELECT user_id, CAST(ts AS DATE) AS day, epoch_us(ts) / 1e6 / 3600 AS hours, CAST(floor(value) AS BIGINT) AS pages, CASE WHEN event_type = 'purchase' THEN 'done' ELSE 'running' END AS state,
     row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS place FROM events),
 f AS (
-  SELECT user_id, day, place, pages, at, CAST(3.0 AS DOUBLE) AS wait, true AS shown FROM p WHERE place = 1
+  SELECT user_id, day, place, pages, hours, CAST(3.0 AS DOUBLE) AS wait, true AS shown FROM p WHERE place = 1
   UNION ALL
-  SELECT p.user_id, p.day, p.place, CASE WHEN n OR d THEN p.pages ELSE f.pages END, CASE WHEN n OR d THEN p.at ELSE f.at END, CASE WHEN n THEN 3.0 WHEN d THEN least(f.wait * 2, 64.0) ELSE f.wait END, n OR d
-  FROM f JOIN p ON p.user_id = f.user_id AND p.day = f.day AND p.place = f.place + 1,
-    LATERAL (SELECT p.pages - f.pages >= 100 OR p.state = 'done' AS n) x, LATERAL (SELECT NOT n AND p.at - f.at >= f.wait AS d) y)
+  SELECT p.user_id, p.day, p.place, CASE WHEN {_NOTE} OR {_DUE} THEN p.pages ELSE f.pages END, CASE WHEN {_NOTE} OR {_DUE} THEN p.hours ELSE f.hours END,
+    CASE WHEN {_NOTE} THEN CAST(3.0 AS DOUBLE) WHEN {_DUE} THEN least(f.wait * 2, 64.0) ELSE f.wait END, {_NOTE} OR {_DUE}
+  FROM f JOIN p ON p.user_id = f.user_id AND p.day = f.day AND p.place = f.place + 1)
 SELECT user_id, day, place FROM f WHERE shown
 """
 
