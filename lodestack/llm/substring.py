@@ -1,4 +1,4 @@
-"""Repeated passages: paragraph MinHash banding.
+"""Repeated passages: paragraph MinHash banding, and runs of words wherever lines break.
 
 A paragraph is a line of at least ``MIN_WORDS`` words. Its signature has
 ``PERMUTATIONS`` minima of its ``WORDS``-word shingles. Paragraphs that agree in a
@@ -8,28 +8,40 @@ agree well enough are confirmed by exact Jaccard on full shingle sets; component
 confirmed links are groups of which one paragraph stays, the first by doc_id and
 place.
 
+A run is more than ``MIN_WORDS`` words in a row that occur word for word in another
+place, wherever lines begin and end; words are those of ``neardup.shingles``. Texts are
+marked by winnowing: of every window of neighbouring word grams, as many as a shortest
+run has, the one with the least hash is a mark. Two copies of a run share a mark for
+certain, so only windows of words with shared marks are grouped, by 64-bit hashes, and
+neighbouring windows of one mark go together where they can. Of equal windows the first
+by doc_id and place stays; neighbouring windows with the same first document are one
+passage. What a paragraph's row says already isn't listed again, and links chain: the
+first holder of a run may lie in a paragraph that goes for a similar one.
+
 Defined cases: a null or empty text has no paragraphs; paragraphs with equal shingle
 sets are one class and linked; a paragraph that repeats within a document counts like
 one across documents; rows without a doc_id take no part (``cut_repeats`` keeps them);
 doc_ids are taken to be unique, and of repeated rows every one is cut alike; an empty
 table gives an empty table; extra columns are not read; a doc_id of repeated rows is
-listed once for each row.
+listed once for each row by paragraphs, and once by runs; passages of one document may
+overlap where parts of a text have different first holders; words that belong to a
+passage that stays are not cut.
 
 Scale: texts stay where they are read; what moves is a signature for each distinct
 paragraph. Long lists of colliding paragraphs are resolved through centres and
-components, not by all their pairs.
+components, not by all their pairs. Of runs, a mark for some 18 words moves, and where
+the holders of a mark differ a hash for each window of each different surrounding.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import neardup
-from .common import ship, stored, text_of
+from .common import kept_for, ship, stored, text_of
 from .components import components
 
 WORDS, SIMILARITY, MIN_WORDS = 5, 0.8, 50
@@ -83,7 +95,7 @@ def paragraphs(docs: DataFrame, words: int, min_words: int, key: str, text: str,
     return rows.mapInPandas(run, schema)
 
 
-def repeats(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, words: int, similarity: float, min_words: int, key: str, text: str) -> DataFrame:
     """Paragraphs that repeat: doc_id, paragraph, start, end, n_words, first_doc_id and first_paragraph of the group, kept."""
     all_ = stored(paragraphs(docs, words, min_words, key, text), "paragraphs")
     # A class of equal sets goes by one half of its digest; both halves name it among paragraphs.
@@ -121,9 +133,203 @@ def repeats(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     return out.select("doc_id", "paragraph", "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), kept.alias("kept"))
 
 
-def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """All rows of docs, without the repeated paragraphs that aren't the first of their group."""
-    gone = repeats(docs, key=key, text=text, **how).where("not kept").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("paragraph").alias("_gone"))
-    joined = docs.join(stored(gone, "gone"), F.col(key).cast("long") == F.col("_doc"), "left")
-    kept = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains(F.col("_gone"), i.cast("long")))
-    return joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop("_doc", "_gone")
+def _hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word of a text."""
+    import xxhash
+
+    h = xxhash.xxh3_64_intdigest
+    return np.array([h(w) for w in text.encode("utf-8", "surrogatepass").translate(neardup._LOWER).split()], dtype=np.uint64)
+
+
+def _joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    out = x * np.uint64(0x9E3779B97F4A7C15) + y
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
+
+
+def grams(x: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every n neighbours of x, put together from blocks of 1, 2, 4 and more."""
+    if len(x) < n:
+        return x[:0]
+    out, size, block, length = None, 0, x, 1
+    while True:
+        if n & length:
+            out = block if out is None else _joined(out[: len(x) - size - length + 1], block[size:])
+            size += length
+        if 2 * length > n:
+            return out
+        block, length = _joined(block[:-length], block[length:]), 2 * length
+
+
+def blocks(x: np.ndarray, run: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, number, mark, block) of neighbouring windows of run words with the same least gram, the mark; block is a hash of all their words."""
+    h, g, wide = grams(x, run), grams(x, gram), run - gram + 1
+    if not len(h):
+        return (np.empty(0, dtype=np.int64),) * 4
+    at = np.lib.stride_tricks.sliding_window_view(g, wide).argmin(axis=1) + np.arange(len(h))
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    n = np.diff(np.r_[first, len(h)])
+    # Two windows with the same gram overlap, so the first and the last one hold all words.
+    block = _joined(_joined(h[first], h[first + n - 1]), g[at[first]] + n.astype(np.uint64))
+    return first, n, g[at[first]].view(np.int64), block.view(np.int64)
+
+
+def _places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, line number) of each word of a text."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = np.r_[True, (codes == 32) | ((codes >= 9) & (codes <= 13)), True]
+    turns = np.flatnonzero(blank[1:] != blank[:-1])
+    start, end = turns[::2], turns[1::2]
+    return start, end, np.searchsorted(np.flatnonzero(codes == 10), start)
+
+
+def _at(rows: DataFrame, by_doc: DataFrame, column: str) -> DataFrame:
+    """rows(doc_id, text) with what by_doc holds for each document, broadcast if its lists have few entries."""
+    by_doc = stored(by_doc, "by-document")
+    few = (by_doc.agg(F.sum(F.size(column) + 1)).first()[0] or 0) <= neardup.BROADCAST_ROWS
+    return rows.join(F.broadcast(by_doc) if few else by_doc, "doc_id")
+
+
+def _frame(parts: list, names: list[str]) -> pd.DataFrame:
+    """One table of parts, tuples of columns as arrays or values for all of a part's rows."""
+    columns = [[] for _ in names]
+    for part in parts:
+        n = max((len(c) for c in part if isinstance(c, np.ndarray)), default=0)
+        for held, c in zip(columns, part):
+            held.append(c if isinstance(c, np.ndarray) else np.full(n, c))
+    return pd.DataFrame({name: np.concatenate(held) if held else np.empty(0, dtype=np.int64) for name, held in zip(names, columns)})
+
+
+def equal_windows(rows: DataFrame, run: int) -> DataFrame:
+    """Ranges of equal windows of run words: doc_id, at, to (the first and last window's word), first_doc_id, first_at, first_line.
+
+    Copies agree in whole blocks but for their ends: blocks are classes, and only one of each class is looked at window by
+    window, if its mark has other classes too.
+    """
+    gram = max(1, run // 3)
+
+    def mark(batches):
+        kept_for("passages")
+        for b in batches:
+            made = []
+            for doc, t in zip(b["doc_id"], b["text"]):
+                at, n, m, block = blocks(_hashes(t), run, gram)
+                if len(at):
+                    made.append((doc, at, n, _places(t)[2][at], m, block))
+            yield _frame(made, ["doc_id", "at", "n", "line", "mark", "block"])
+
+    marks = stored(rows.mapInPandas(mark, "doc_id long, at int, n int, line int, mark long, block long"), "marks")
+    shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1").drop("_df")
+    hits = stored(marks.join(shared, "mark"), "hits")
+    classes = hits.groupBy("block").agg(F.min("mark").alias("mark"), F.min(F.struct("doc_id", "at", "line", "n")).alias("first"), F.count(F.lit(1)).alias("size"))
+    classes = stored(classes.select("block", "mark", "first.*", "size"), "classes")
+    several = classes.groupBy("mark").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1").drop("_df")
+    whole = classes.where("size > 1").join(several, "mark", "left_anti")
+    whole = whole.select("block", F.lit(0).alias("i"), (F.col("n") - 1).alias("j"), F.col("doc_id").alias("first_doc_id"), F.col("at").alias("first_at"), F.col("line").alias("first_line"))
+    open_ = classes.join(several, "mark").groupBy("doc_id").agg(F.collect_list(F.struct("block", "at", "n", "size")).alias("open"))
+
+    def spread(batches):
+        kept_for("passages")
+        for b in batches:
+            made = []
+            for doc, t, found in zip(b["doc_id"], b["text"], b["open"]):
+                h = grams(_hashes(t), run)
+                line = _places(t)[2]
+                for r in found:
+                    at = np.arange(r["at"], min(r["at"] + r["n"], len(h)))
+                    made.append((h[at].view(np.int64), r["block"], at - r["at"], doc, at, line[at], r["size"]))
+            yield _frame(made, ["h", "block", "i", "doc_id", "at", "line", "size"])
+
+    single = stored(_at(rows, open_, "open").mapInPandas(spread, "h long, block long, i int, doc_id long, at int, line int, size long"), "windows")
+    first = single.groupBy("h").agg(F.min(F.struct("doc_id", "at", "line")).alias("first"), F.sum("size").alias("size")).where("size > 1").drop("size")
+    found = single.select("h", "block", "i").join(first, "h")
+    by = ["block", "first_doc_id", "_shift"]
+    found = found.select("block", "i", F.col("first.doc_id").alias("first_doc_id"), F.col("first.at").alias("first_at"), F.col("first.line").alias("first_line"), (F.col("first.at") - F.col("i")).alias("_shift"))
+    found = found.withColumn("_island", F.col("i") - F.dense_rank().over(Window.partitionBy(*by).orderBy("i")))
+    part = found.groupBy(*by, "_island").agg(F.min("i").alias("i"), F.max("i").alias("j"), F.min("first_at").alias("first_at"), F.min("first_line").alias("first_line"))
+    ranges = stored(whole.unionByName(part.select(*whole.columns)), "ranges")
+    return hits.select("doc_id", "at", "block").join(ranges, "block").select("doc_id", (F.col("at") + F.col("i")).alias("at"), (F.col("at") + F.col("j")).alias("to"), "first_doc_id", "first_at", "first_line")
+
+
+def repeated_runs(docs: DataFrame, lines: DataFrame, min_words: int, key: str, text: str) -> DataFrame:
+    """Runs of more than min_words words that repeat and that lines, the repeated paragraphs, don't name; columns as there."""
+    ship(docs.sparkSession)
+    run = min_words + 1
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    equal = equal_windows(rows, run).groupBy("doc_id").agg(F.collect_set(F.struct("at", "to", "first_doc_id", "first_at", "first_line")).alias("equal"))
+    named = lines.groupBy("doc_id").agg(F.collect_set(F.struct("paragraph", "kept")).alias("named"))
+
+    def merged(batches):
+        kept_for("passages")
+        names = ["doc_id", "paragraph", "start", "end", "n_words", "first_doc_id", "first_paragraph", "kept"]
+        for b in batches:
+            out = []
+            for doc, t, found, lines_ in zip(b["doc_id"], b["text"], b["equal"], b["named"]):
+                found = sorted((r["at"], r["to"], r["first_doc_id"], r["first_at"], r["first_line"]) for r in found)
+                places: list[list] = []
+                kept_of = {} if lines_ is None else {r["paragraph"]: r["kept"] for r in lines_}
+                start, end, line = _places(t)
+                last = None
+                for at, to, first, first_at, first_line in found:
+                    kept = first == doc and first_at == at
+                    s = np.arange(at, min(to, len(line) - run) + 1)
+                    if kept_of:  # without what the paragraph's row says
+                        said = [number for number, stays in kept_of.items() if kept or not stays]
+                        s = s[(line[s] != line[s + run - 1]) | ~np.isin(line[s], said)]
+                    for part in np.split(s, np.flatnonzero(np.diff(s) > 1) + 1) if len(s) else []:
+                        x, y = int(part[0]), int(part[-1])
+                        if last and last[0] == (first, kept) and x <= last[2] + 1:
+                            last[2] = max(y, last[2])
+                        else:
+                            last = [(first, kept), x, y, first_line]
+                            places.append(last)
+                out += [(doc, int(line[x]), int(start[x]), int(end[y + run - 1]), y - x + run, first, at, kept) for (first, kept), x, y, at in places]
+            yield pd.DataFrame(out, columns=names)
+
+    schema = "doc_id long, paragraph long, start long, `end` long, n_words long, first_doc_id long, first_paragraph long, kept boolean"
+    return _at(rows, equal.join(named, "doc_id", "left"), "equal").mapInPandas(merged, schema)
+
+
+def repeats(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Passages that repeat, paragraphs and runs: doc_id, paragraph (line number of its start), start, end, n_words, first_doc_id and first_paragraph, kept."""
+    lines = stored(repeated_paragraphs(docs, words, similarity, min_words, key, text), "repeated")
+    return lines.unionByName(repeated_runs(docs, lines, min_words, key, text))
+
+
+def without(text: str, gone, cut, stay) -> str:
+    """A text without the lines gone and without what lies in spans of cut and not in spans of stay; lines emptied by this go as well."""
+    goes = np.zeros(len(text), dtype=bool)
+    for spans, value in ((cut, True), (stay, False)):
+        for a, z in spans:
+            goes[a:z] = value
+    gone, out, at = set(gone), [], 0
+    for number, line in enumerate(text.split("\n")):
+        part = goes[at : at + len(line)]
+        at += len(line) + 1
+        if number in gone:
+            continue
+        if part.any():
+            line = "".join(c for c, g in zip(line, part.tolist()) if not g)
+            if not line.strip():
+                continue
+        out.append(line)
+    return "\n".join(out)
+
+
+def cut_repeats(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All rows of docs, without the repeated passages that aren't the first of their group."""
+    ship(docs.sparkSession)
+    lines = stored(repeated_paragraphs(docs, words, similarity, min_words, key, text), "repeated")
+    span = F.array("start", "end")
+    gone = lines.where("not kept").select("doc_id", "paragraph", F.lit(None).cast("array<long>").alias("cut"), F.lit(None).cast("array<long>").alias("stay"))
+    runs = repeated_runs(docs, lines, min_words, key, text).select("doc_id", F.lit(None).cast("long").alias("paragraph"), F.when(~F.col("kept"), span).alias("cut"), F.when(F.col("kept"), span).alias("stay"))
+    what = gone.unionByName(runs).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("paragraph").alias("_gone"), F.collect_set("cut").alias("_cut"), F.collect_set("stay").alias("_stay"))
+    what = stored(what.where(F.size("_gone") + F.size("_cut") > 0), "gone")
+
+    @F.pandas_udf("string")
+    def rest(t: pd.Series, gone: pd.Series, cut: pd.Series, stay: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else x if g is None else without(x, g, c, s) for x, g, c, s in zip(t, gone, cut, stay)], dtype=object)
+
+    joined = docs.join(what, F.col(key).cast("long") == F.col("_doc"), "left")
+    return joined.withColumn(text, rest(F.col(text), "_gone", "_cut", "_stay")).drop("_doc", "_gone", "_cut", "_stay")

@@ -342,6 +342,59 @@ def test_repeats(spark):
     assert bands * rows_ <= substring.PERMUTATIONS and 1 - (1 - 0.8**rows_) ** bands >= substring.RECALL
 
 
+def brute_runs(texts, n):
+    """For each text the places of words that lie in a run of n words that occurs twice."""
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    words = {k: re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for k, t in texts.items()}
+    held = defaultdict(list)
+    for k, w in words.items():
+        for i in range(len(w) - n + 1):
+            held[tuple(w[i : i + n])].append((k, i))
+    out = defaultdict(set)
+    for who in held.values():
+        if len(who) > 1:
+            for k, i in who:
+                out[k].update(range(i, i + n))
+    return out
+
+
+def test_repeated_runs_wherever_lines_break(spark):
+    rng = random.Random(18)
+    p, q, r = (prose(rng, n).split() for n in (51, 120, 60))
+    wrapped = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+    texts = [
+        prose(rng, 70) + " " + " ".join(p) + " " + prose(rng, 80), "x " + wrapped(p, 7) + "\n" + prose(rng, 9), " ".join(p[:50]), "one\n" + prose(rng, 5) + " " + " ".join(q) + " " + prose(rng, 5) + "\nend",
+        wrapped(q[:70], 20).upper(), wrapped(q[40:], 11), " ".join(r), prose(rng, 40) + " " + " ".join(r), "Ä " + " ".join(r), None, "", "a " * 130, "b " * 50, prose(rng, 200),
+    ]
+    d = docs(spark, texts)
+    want = brute_runs(dict(enumerate(texts)), 51)
+    rows = substring.repeats(d).collect()
+    got = defaultdict(set)
+    for row in rows:
+        places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", texts[row["doc_id"]])]
+        inside = [k for k, (a, z) in enumerate(places) if row["start"] <= a and z <= row["end"]]
+        assert len(inside) == row["n_words"] and texts[row["doc_id"]][: row["start"]].count("\n") == row["paragraph"]
+        got[row["doc_id"]].update(inside)
+    assert set(want) == {0, 1, 3, 4, 5, 6, 7, 8, 11} and all(want[k] <= got[k] for k in want) and set(got) == set(want)
+    assert {(row["doc_id"], row["first_doc_id"]) for row in rows if not row["kept"]} == {(1, 0), (4, 3), (5, 3), (7, 6), (8, 6), (11, 11)}
+    cut = {row["doc_id"]: row["text"] for row in substring.cut_repeats(d).collect()}
+    assert all(cut[k] == texts[k] for k in (0, 2, 3, 6, 9, 10, 12, 13))
+    assert cut[1] == "x \n" + texts[1].split("\n")[-1] and cut[4] == cut[5] == "" and len(cut[7].split()) == 40 and len(cut[11].split()) == 51
+
+
+def test_blocks_hold_every_window():
+    rng = np.random.default_rng(4)
+    for alphabet in (1, 2, 3, 1000):
+        x = rng.integers(0, alphabet, 700).astype(np.uint64)
+        x[300:500] = 0
+        for run, gram in ((51, 17), (9, 3), (2, 1)):
+            g, (at, n, mark, _) = substring.grams(x, gram).view(np.int64), substring.blocks(x, run, gram)
+            assert [s for a, k in zip(at, n) for s in range(a, a + k)] == list(range(len(x) - run + 1))
+            of = np.repeat(mark, n)
+            assert all(of[s] == g[s : s + run - gram + 1].view(np.uint64).min().view(np.int64) for s in range(len(of)))
+    assert len(substring.blocks(x[:50], 51, 17)[0]) == 0
+
+
 # 9. Ids
 
 
