@@ -176,7 +176,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     return state
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **names) -> DataFrame:
-    """The rows of docs whose text holds no window; keys have to be unique and known."""
-    bad = scan(docs, benchmark, key, **names).where("contaminated").select(F.col(key).alias("_key"))
-    return docs.join(stored(bad, "contaminated"), F.col(key) == F.col("_key"), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **names) -> DataFrame:
+    """The rows of docs whose text holds no window. Whether it does depends on the text alone, so rows are known by its hash."""
+    of_text = F.sha2(text_of(text).cast("binary"), 256)
+    bad = scan(docs.select(of_text.alias("_text"), text), benchmark, "_text", text, **names).where("contaminated").select("_text").distinct()
+    return docs.join(stored(bad, "contaminated"), of_text == F.col("_text"), "left_anti")

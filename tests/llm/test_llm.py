@@ -193,6 +193,15 @@ def test_decontamination(spark, slice_words):
     assert sorted(r["doc_id"] for r in decontam.clean(d, b).collect()) == [i for i in range(len(texts)) if not got[i][1]]
 
 
+def test_clean_with_null_and_repeated_ids(spark):
+    rng = random.Random(27)
+    item = prose(rng, 30)
+    bad, good = prose(rng, 5) + " " + item, prose(rng, 40)
+    d = docs(spark, [bad, good, bad, good, bad, None], ids=[None, None, 7, 7, 8, None])
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in decontam.clean(d, b).collect()) == sorted([("None", good), ("7", good), ("None", "None")])
+
+
 # 6. Languages
 
 
