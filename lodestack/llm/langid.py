@@ -4,9 +4,10 @@ Bytes are embedded, convolved with filters of several widths, rectified, max-poo
 over a window and classified by softmax. A text is cut into windows of ``WINDOW``
 bytes, all of them are classified, and their probabilities are averaged by length.
 
-Learning reads at most ``PER_LANGUAGE`` labelled rows of each of the
-``MOST_LANGUAGES`` most frequent languages, by hash order, and ``PLACES`` windows of
-each; everything else covers all rows and whole texts.
+Learning reads at most ``PER_LANGUAGE`` labelled rows of each language, and fewer of
+each (one at least) where all languages together would have over ``MOST_ROWS``, by
+hash order, and ``PLACES`` windows of each; every language that has a label to learn
+from is a class, and everything else covers all rows and whole texts.
 
 Defined cases: a text that is null or holds no letter is ``und`` with score 0; so is
 any text if there was nothing to learn from; a null key is never learned from and not
@@ -35,7 +36,7 @@ EMBED, WIDTHS, FILTERS = 6, (2, 3, 4, 5), 8
 PAD = 256
 BATCH = 32
 #: Bounds of what is learned from.
-PER_LANGUAGE, MOST_LANGUAGES, PLACES = 600, 200, 3
+PER_LANGUAGE, MOST_ROWS, PLACES = 600, 120_000, 3
 EPOCHS, LEARN_BATCH, RATE, SEED = 5, 48, 4e-3, 7
 UNDETERMINED = "und"
 #: Below this score the pipeline rejects a document.
@@ -54,9 +55,10 @@ def labelled_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h")
     )
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return []
+    per_language = max(1, min(per_language, MOST_ROWS // len(counts)))
     limit = {r["lang"]: threshold((1.5 * per_language + 40) / r["count"]) for r in counts}
     low = F.create_map(*[F.lit(x) for pair in limit.items() for x in pair])
     at = lambda k: F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.length("text") - WINDOW // 2, F.lit(1))).cast("int") + 1

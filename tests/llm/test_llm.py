@@ -244,6 +244,16 @@ def test_network_gradients():
         assert abs((up - down) / (2 * eps) - g[name][at]) < 2e-3 + 0.05 * abs(g[name][at]), name
 
 
+def test_every_language_is_a_class(spark, monkeypatch):
+    d = spark.createDataFrame([(8 * k + i, f"text {k} {i}", f"l{k:03}") for k in range(230) for i in range(8)], "doc_id long, text string, lang string")
+    of = [lang for lang, _ in langid.labelled_windows(d)]
+    learned = {r["lang"] for r in d.where(~langid.held_out()).select("lang").distinct().collect()}
+    assert set(of) == learned and len(learned) > 200
+    monkeypatch.setattr(langid, "MOST_ROWS", 460)
+    of = [lang for lang, _ in langid.labelled_windows(d)]
+    assert set(of) == learned and max(map(of.count, learned)) <= langid.PLACES * 2
+
+
 # 7. Near duplicates
 
 
