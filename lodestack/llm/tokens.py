@@ -3,7 +3,8 @@
 Byte-pair encoding never crosses the pieces that a tokenizer's pre-tokenizer makes,
 so the ids of a text are those of its pieces in a row. For the two pre-tokenizers
 below and texts of common Latin characters, pieces are cut here and each distinct
-piece is encoded by the library once; any other text or tokenizer is encoded whole.
+piece is encoded by the library once; any other text or tokenizer, and a text that
+holds the string of an added token, is encoded whole by the library's own call.
 """
 
 from __future__ import annotations
@@ -44,11 +45,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self._tokenizer.get_vocab_size()
         self._kept: dict[str, bytes] = {}
         self._model = self._tokenizer.model
-        self._pieces = self._cutter(json.loads(self._tokenizer.to_str()))
+        spec = json.loads(self._tokenizer.to_str())
+        self._pieces = self._cutter(spec)
+        # The library cuts out the strings of added tokens before all else, some of them in the normalised text.
+        added = [re.escape(x["content"]) for x in spec.get("added_tokens", [])]
+        self._added = re.compile("|".join(added), re.IGNORECASE) if added else None
 
     @staticmethod
     def _cutter(spec: dict):
@@ -65,6 +69,10 @@ class Encoder:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain(self, text: str) -> bool:
+        """Whether pieces can be cut here."""
+        return not (self._pieces is None or _ODD.search(text) or self._added and self._added.search(text))
+
     def _of_pieces(self, pieces: list[str]) -> list[bytes]:
         """A piece goes straight to the library's model, in the characters that stand for its bytes."""
         tokenize = self._model.tokenize
@@ -81,7 +89,7 @@ class Encoder:
         return out
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        cut = [None if self._pieces is None or _ODD.search(t) else self._pieces(t) for t in texts]
+        cut = [self._pieces(t) if self._plain(t) else None for t in texts]
         kept = self._kept
         new = list(set().union(*filter(None, cut)) - kept.keys())
         room = max(0, KEEP - len(kept))

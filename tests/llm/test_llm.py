@@ -287,8 +287,6 @@ def test_near_duplicates(spark, monkeypatch, blocks):
     if blocks:
         monkeypatch.setattr(neardup, "PLAIN_PAIRS", 0)
         monkeypatch.setattr(neardup, "BLOCK", 7)
-        monkeypatch.setattr(neardup, "LONG", 3)
-        monkeypatch.setattr(neardup, "CENTRES", 1)
         monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
     rng = random.Random(9)
     texts = []
@@ -422,13 +420,13 @@ def test_encoder_is_the_library():
 
     rng = random.Random(3)
     alphabet = list("aäñÉß  \n\t'sdlrev19_.,-…€²日👍́ \x1cİſ")
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(800)] + ["", " ", "<|endoftext|> don't  stop"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(800)] + ["", " ", "<|endoftext|> don't  stop", "a<|EndOfText|>b", " <|startoftext|>x <|endoftext|> <|endoftext", "it's<|endoftext|>\n\nit's", "<|endoftext|>" * 3]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         t = Tokenizer.from_file(vocabulary(name))
-        t.encode_special_tokens = True
         enc = tokens.Encoder(vocabulary(name))
         for text, got in zip(texts, enc.ids(texts)):
             assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, (name, text)
+    assert 50256 in np.frombuffer(tokens.Encoder(vocabulary("byte_bpe_50k.json")).ids(["a<|endoftext|>b"])[0], "<u4")
 
 
 def test_token_files(spark, tmp_path):
