@@ -130,6 +130,15 @@ def ids_of(batch: pd.DataFrame) -> pd.arrays.IntegerArray:
     return pd.arrays.IntegerArray(batch["doc_id"].to_numpy("int64").copy(), ~batch["_known"].to_numpy("bool"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, like these, that no column of df has."""
+    taken = " ".join(df.columns).lower()
+    lead = "_"
+    while any(f"{lead}{n}" in taken for n in names):
+        lead += "_"
+    return [f"{lead}{n}" for n in names]
+
+
 def text_of(col: str | Column) -> Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

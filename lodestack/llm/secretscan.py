@@ -9,34 +9,39 @@ entries whatever the data, so it travels as a literal.
 Defined cases: a null text counts as empty and has no spans; matches are leftmost
 and do not overlap within a kind; positions are code points, ends exclusive;
 candidates that touch a base span add nothing; repeated rows are all returned; an
-empty table gives an empty table; extra columns are not read.
+empty table gives an empty table; extra columns are returned as they are, those named
+base or spans are replaced.
 
-Scale: no shuffle; each text is scanned where it is read. Positions come from the
-pieces between matches, so a text costs time in proportion to its length and, for
-one that holds m matches, m more array appends.
+Scale: no shuffle; each text is scanned where it is read. Positions are running sums of
+the lengths of matches and the pieces between them, in log2(matches) rounds, so a text
+costs time in proportion to its length and to m log m for m matches; a candidate costs
+time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, text_of
+from .common import bounded_sample, text_of, unused
 
 # Fixed patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
+SPANS = "array<struct<start:int,kind:int,end:int,hit:string>>"
 
 #: A candidate of the model: a run of at least MIN_LENGTH of these characters.
-MIN_LENGTH = 16
+MIN_LENGTH = 12
 CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH
-#: Nats for each transition by which the random model has to be the likelier one.
-MARGIN = 0.5
+PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "random": CANDIDATE}
+#: Nats for each transition by which the random model has to be the likelier one, and more for a run shorter than LENGTH.
+MARGIN, LENGTH, SHORT = 0.5, 24, 0.5
 #: Labelled samples: so many random strings, and at most so many ordinary words from so many documents.
 RANDOM_SAMPLES = 6000
 ORDINARY_DOCUMENTS = 400
@@ -82,6 +87,11 @@ def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, text: s
     return reduce(DataFrame.union, parts)
 
 
+def needed(length: Column, margin: float = MARGIN) -> Column:
+    """The ratio that a run of this length has to exceed."""
+    return F.lit(margin) * (length - 1) + F.lit(SHORT) * F.greatest(F.lit(LENGTH) - length, F.lit(0))
+
+
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratios (random over ordinary) by 128 * first + second character, add-one smoothed.
 
@@ -90,8 +100,9 @@ def train(samples: DataFrame) -> list[float]:
     """
     pairs = (
         samples.where(F.length("sample") >= 2)
-        .select("is_random", "sample", F.explode(F.sequence(F.lit(1), F.length("sample") - 1)).alias("i"))
-        .select("is_random", F.ascii(F.expr("substring(sample, i, 1)")).alias("a"), F.ascii(F.expr("substring(sample, i + 1, 1)")).alias("b"))
+        .select("is_random", F.transform(F.filter(F.split("sample", "", -1), lambda c: c != ""), F.ascii).alias("c"))
+        .select("is_random", F.explode(F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p"))
+        .select("is_random", "p.a", "p.b")
         .where("a between 0 and 127 and b between 0 and 127")
         .groupBy("is_random", "a", "b").count()
     )
@@ -103,20 +114,46 @@ def train(samples: DataFrame) -> list[float]:
     return [math.log((seen[1][k] + 1) / sums[1][k // 128]) - math.log((seen[0][k] + 1) / sums[0][k // 128]) for k in range(16384)]
 
 
-def _starts(text: Column, pattern: str, kind: str) -> Column:
-    """array<struct<start int, end int, kind int, hit string>> of a pattern's matches."""
-    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    k = F.lit(KINDS.index(kind))
-    none = F.expr("named_struct('at', 0, 'found', cast(array() as array<struct<start:int,end:int,kind:int,hit:string>>))")
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.length(x["hit"])
-        one = F.struct(start.alias("start"), end.alias("end"), k.alias("kind"), x["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
-
-    zipped = F.zip_with(F.slice(pieces, F.lit(1), F.size(hits)), hits, lambda p, h: F.struct(p.alias("piece"), h.alias("hit")))
-    return F.when(text.rlike(pattern), F.aggregate(zipped, none, step)["found"]).otherwise(none["found"])
+def _running(xs: Column, both: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """xs[0], xs[0] with xs[1], and so on: each round joins every entry with the one 1, 2, 4, ... places before."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(xs), F.lit(1)))).cast("int"))
+    before = lambda acc, k: F.slice(F.concat(F.array_repeat(zero, F.pow(F.lit(2), k).cast("int")), acc), F.lit(1), F.size(acc))
+    return F.aggregate(rounds, xs, lambda acc, k: F.zip_with(before(acc, k), acc, both))
+
+
+def _found(df: DataFrame, names: dict[str, str], text: str) -> DataFrame:
+    """df with a column of spans, structs (start, kind, end, hit) of a pattern's matches, for each of names(column, kind)."""
+    # Steps of their own: matches are looked for once, though they are used more than once.
+    hits = lambda kind: F.when(F.col(text).rlike(PATTERNS[kind]), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)))
+    df = df.withColumns({f"{c}_hits": hits(kind) for c, kind in names.items()})
+    total = lambda c, kind: F.zip_with(F.slice(F.split(text, PATTERNS[kind], -1), F.lit(1), F.size(f"{c}_hits")), f"{c}_hits", lambda p, h: F.length(p) + F.length(h))
+    df = df.withColumns({f"{c}_ends": F.when(F.col(f"{c}_hits").isNotNull(), total(c, kind)) for c, kind in names.items()})
+    df = df.withColumns({f"{c}_ends": F.when(F.col(f"{c}_ends").isNotNull(), _running(F.col(f"{c}_ends"), lambda x, y: x + y, F.lit(0))) for c in names})
+    k = lambda kind: F.lit(KINDS.index(kind))
+    span = lambda kind: lambda e, h: F.struct((e - F.length(h)).alias("start"), k(kind).alias("kind"), e.alias("end"), h.alias("hit"))
+    none = F.expr(f"cast(array() as {SPANS})")
+    return df.withColumns({c: F.coalesce(F.zip_with(f"{c}_ends", f"{c}_hits", span(kind)), none) for c, kind in names.items()}).drop(*[f"{c}_{x}" for c in names for x in ("hits", "ends")])
+
+
+def ratio_of(hit: Column, ratios: Column) -> Column:
+    """The log-likelihood ratio of a string's transitions, in nats."""
+    codes = F.transform(F.filter(F.split(hit, "", -1), lambda c: c != ""), lambda c: F.least(F.ascii(c), F.lit(127)))
+    last = F.greatest(F.length(hit) - 1, F.lit(0))
+    each = F.zip_with(F.slice(codes, F.lit(1), last), F.slice(codes, F.lit(2), last), lambda a, b: F.element_at(ratios, a * 128 + b + 1))
+    return F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _apart(base: Column, found: Column) -> Column:
+    """Those of found that touch no span of base: none of those before reaches into it and none after begins in it."""
+    every = F.array_sort(F.concat(base, found))
+    is_base = lambda x: x["kind"] != KINDS.index("random")
+    most = F.lit((1 << 31) - 1)
+    reach = _running(F.transform(every, lambda x: F.when(is_base(x), x["end"]).otherwise(F.lit(0))), lambda x, y: F.greatest(x, y), F.lit(0))
+    after = F.reverse(_running(F.reverse(F.transform(every, lambda x: F.when(is_base(x), x["start"]).otherwise(most))), lambda x, y: F.least(x, y), most))
+    ends = F.zip_with(reach, after, lambda r, a: F.struct(r.alias("reach"), a.alias("after")))
+    both = F.zip_with(every, ends, lambda x, e: F.struct(x.alias("span"), e.alias("ends")))
+    free = lambda z: ~is_base(z["span"]) & (z["ends"]["reach"] <= z["span"]["start"]) & (z["ends"]["after"] >= z["span"]["end"])
+    return F.when(F.size(found) == 0, found).when(F.size(base) == 0, found).otherwise(F.transform(F.filter(both, free), lambda z: z["span"]))
 
 
 def _said(spans: Column) -> Column:
@@ -126,29 +163,18 @@ def _said(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, ratios: list[float], text: str = "text", margin: float = MARGIN) -> DataFrame:
-    """docs with base and spans, arrays of structs (start, end, kind index, hit), each by start and then kind."""
-    t = text_of(text)
-    assign = F.filter(_starts(F.col("_t"), ASSIGN, "assign"), lambda x: F.length(F.regexp_extract(x["hit"], f"^{ASSIGN}$", 2)) >= 8)
-    base = F.array_sort(F.concat(assign, _starts(F.col("_t"), ACCESS, "access"), _starts(F.col("_t"), HEX, "hex")).cast("array<struct<start:int,end:int,kind:int,hit:string>>"))
-    by_start = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])
-    table = F.split(F.lit(",".join(f"{x:.6g}" for x in ratios)), ",").cast("array<double>")
-    code = lambda x, i: F.least(F.ascii(F.substring(x["hit"], i, F.lit(1))), F.lit(127))
-    ratio = lambda x: F.aggregate(
-        F.sequence(F.lit(1), F.length(x["hit"]) - 1), F.lit(0.0),
-        lambda acc, i: acc + F.element_at(F.col("_ratios"), code(x, i) * 128 + code(x, i + 1) + 1),
-    )
-    mixed = lambda x: x["hit"].rlike("[0-9]") | (x["hit"].rlike("[a-z]") & x["hit"].rlike("[A-Z]"))
-    added = F.filter(
-        _starts(F.col("_t"), CANDIDATE, "random"),
-        lambda x: mixed(x)
-        & ~x["hit"].rlike("^[0-9+/_=-]*$")
-        & ~F.exists(F.col("base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        & (ratio(x) > F.lit(margin) * (F.length(x["hit"]) - 1)),
-    )
-    out = docs.withColumn("_t", t).withColumn("base", base)
-    out = out.withColumn("base", F.array_sort("base", by_start))
-    out = out.withColumn("_ratios", table)
-    return out.withColumn("spans", F.array_sort(F.concat(F.col("base"), added), by_start)).drop("_t", "_ratios")
+    """docs with base and spans, arrays of structs (start, kind index, end, hit), each by start and then kind."""
+    kept = [c for c in docs.columns if c.lower() not in ("base", "spans")]
+    names = unused(docs, "t", "assign", "access", "hex", "random", "ratios")
+    t, assign, access, hex_, random, table = names
+    out = docs.select(*[F.col(f"`{c}`") for c in kept], text_of(f"`{text}`").alias(t))
+    out = _found(out, dict(zip(names[1:5], KINDS)), t)
+    long_ = F.filter(assign, lambda x: F.length(F.regexp_extract(x["hit"], f"^{ASSIGN}$", 2)) >= 8)
+    out = out.withColumn("base", F.array_sort(F.concat(long_, access, hex_)))
+    out = out.withColumn(table, F.split(F.lit(",".join(f"{x:.6g}" for x in ratios)), ",").cast("array<double>"))
+    likely = lambda x: ~x["hit"].rlike("^[0-9+/_=-]*$") & (ratio_of(x["hit"], F.col(table)) > needed(F.length(x["hit"]), margin))
+    out = out.withColumn(random, F.filter(random, likely))
+    return out.withColumn("spans", F.array_sort(F.concat("base", _apart(F.col("base"), F.col(random))))).drop(*names)
 
 
 def digest(scanned: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -485,10 +485,47 @@ def test_secrets(spark):
         assert [s for s in got[i]["spans"].split(",") if s and not s.startswith("random")] == [s for s in said.split(",") if s]
     n = len(texts)
     assert got[n - 3]["spans"] == "random:10:34" and got[n - 2]["spans"] == "" and got[n - 1]["spans"] == "assign:0:30"
+    assert [r["text"] for r in secretscan.scan(d, ratios).orderBy("doc_id").select("text").collect()] == texts
     assert secretscan.scan(d.limit(0), ratios).count() == 0
     assert secretscan.train(secretscan.labelled_samples(spark).limit(0)) == [0.0] * 16384
 
 
+def test_random_runs_by_brute_force(spark):
+    rng = random.Random(12)
+    ratios = secretscan.train(secretscan.labelled_samples(spark))
+    alphabets = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJ0123456789", "abcXYZ789+/_=-", "0123456789", "aeiou_")
+    runs = ["".join(rng.choice(a) for _ in range(rng.randrange(1, 60))) for a in alphabets for _ in range(40)]
+    texts = [" ".join(rng.sample(runs, 5) + rng.sample(["token=abcdefgh", "é😀", "AKIA" + "B" * 16, "0" * 40, "the cat"], 3)) for _ in range(120)]
+    llr = lambda w: sum(ratios[ord(x) * 128 + ord(y)] for x, y in zip(w, w[1:]))
+    got = {r["doc_id"]: r["spans"] for r in secretscan.digest(secretscan.scan(docs(spark, texts), ratios)).collect()}
+    for i, t in enumerate(texts):
+        base = base_spans(t)
+        found = [(m.start(), 3, m.end()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", t) if re.search("[A-Za-z]", m[0]) and llr(m[0]) > 0.5 * (len(m[0]) - 1) + 0.5 * max(0, 24 - len(m[0]))]
+        found = [s for s in found if all(s[2] <= b[0] or b[2] <= s[0] for b in base)]
+        assert got[i] == ",".join(f"{secretscan.KINDS[k]}:{a}:{z}" for a, k, z in sorted(base + found)), t
+
+
+def test_random_strings_and_identifiers(spark):
+    rng = random.Random(13)
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {20: letters, 12: letters + letters.upper() + digits, 18: letters + digits, 19: letters.upper()}
+    secrets = ["".join(rng.choice(a) for _ in range(n)) for n, a in kinds.items() for _ in range(100)]
+    names = [rng.choice("_-").join(rng.choice(secretscan.WORDS) for _ in range(3)) for _ in range(200)] + ["".join(rng.choice(secretscan.WORDS).title() for _ in range(3)) for _ in range(200)]
+    got = [r["n"] for r in secretscan.scan(docs(spark, secrets + names), secretscan.train(secretscan.labelled_samples(spark))).orderBy("doc_id").selectExpr("size(spans) AS n").collect()]
+    assert sum(n > 0 for n in got[:400]) >= 360 and sum(got[400:]) <= 4
+
+
+def test_long_runs_and_many_matches(spark):
+    import time
+
+    rng = random.Random(14)
+    long_ = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEF0123456789") for _ in range(1_000_000))
+    many = " ".join(f"token=abcdefgh{k}" for k in range(50_000))
+    began = time.time()
+    rows = secretscan.scan(docs(spark, [long_, many]), secretscan.train(secretscan.labelled_samples(spark))).orderBy("doc_id").selectExpr("size(base) AS b", "size(spans) AS s", "spans[0].end AS z").collect()
+    assert [(r["b"], r["s"]) for r in rows] == [(0, 1), (50_000, 50_000)] and rows[0]["z"] == 1_000_000 and time.time() - began < 60
+
+
 def test_native_operators_run_no_python(spark):
     d = docs(spark, ["a\nb", "token=abcdefgh"])
     for df in (linededup.drop_lines(d), secretscan.scan(d, [0.0] * 16384)):
