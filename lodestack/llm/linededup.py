@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 
 RATIO = 0.03
 MIN_PAGES = 5
@@ -75,17 +75,22 @@ def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", ratio
 
 def drop_lines(docs: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True) -> DataFrame:
     """All rows of docs with boilerplate lines cut from their text; counts adds n_lines and n_dropped."""
+    names = unused(docs, "host", "bad", "own", "kept")
+    own_host, bad, own, kept = names
     found = boilerplate(docs, text, host, ratio, min_pages)
-    found = stored(found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("_bad")), "boilerplate")
-    size = found.agg(F.sum(F.expr("aggregate(_bad, 0L, (s, x) -> s + octet_length(x) + 16L)"))).first()[0] or 0
+    found = stored(found.groupBy(F.col("host").alias(own_host)).agg(F.collect_set("line").alias(bad)), "boilerplate")
+    size = found.agg(F.sum(F.expr(f"aggregate({bad}, 0L, (s, x) -> s + octet_length(x) + 16L)"))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         found = F.broadcast(found)
-    joined = docs.withColumn("_host", F.coalesce(F.col(host), F.lit(""))).join(found, "_host", "left")
-    lines = F.split(F.col(text), "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_bad"), F.trim(x, F.lit(" \t\r"))))
-    joined = joined.withColumn("_kept", F.when(F.col("_bad").isNotNull() & F.col(text).isNotNull(), kept))
-    cut = {text: F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n"))}
-    n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines))
+    given = [c for c in docs.columns if not counts or c.lower() not in ("n_lines", "n_dropped") or c in (text, host)]
+    joined = docs.select(*[f"`{c}`" for c in given], F.coalesce(F.col(f"`{host}`"), F.lit("")).alias(own_host)).join(found, own_host, "left")
+    # The page's own boilerplate lines, by a hash set of the host's; the page's lines are compared with these few.
+    joined = joined.withColumn(own, F.array_intersect(_trimmed(F.col(f"`{text}`")), bad))
+    lines = F.split(F.col(f"`{text}`"), "\n", -1)
+    rest = F.filter(lines, lambda x: ~F.array_contains(F.col(own), F.trim(x, F.lit(" \t\r"))))
+    joined = joined.withColumn(kept, F.when(F.size(own) > 0, rest))
+    cut = {text: F.when(F.col(kept).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))}
+    n = F.when(F.col(f"`{text}`").isNull(), F.lit(0)).otherwise(F.size(lines))
     if counts:
-        cut |= {"n_lines": n.cast("long"), "n_dropped": F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(n - F.size("_kept")).cast("long")}
-    return joined.withColumns(cut).drop("_host", "_bad", "_kept")
+        cut |= {"n_lines": n.cast("long"), "n_dropped": F.when(F.col(kept).isNull(), F.lit(0)).otherwise(n - F.size(kept)).cast("long")}
+    return joined.withColumns(cut).drop(*names)
