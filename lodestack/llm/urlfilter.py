@@ -13,23 +13,27 @@ case, without user, port and final dot; a fetch at the first second of an interv
 in it and one at its end isn't; no entries or no captures give no matches; extra
 columns are returned as they are, those named like an output column are replaced.
 
-Scale: intervals are dealt by (pattern, period of ``PERIOD`` seconds), captures by the
-keys of their url and their period, so a pattern with many entries over time meets
-only those near the fetch time. The list is broadcast if its measured size is below
-``BROADCAST_BYTES``; beyond it is joined by key, where adaptive execution splits hot
-hosts. Matches are few; every capture keeps its place and is joined with them by url
+Scale: intervals are dealt by (pattern, period), captures by the keys of their url and
+their period, so a pattern with many entries over time meets only those near the fetch
+time. Periods are bounded by at most ``PERIODS`` quantiles of the captures' own fetch
+times, so an interval has at most as many rows, however long it is, however far off
+single times are, and whatever their unit is. The list is broadcast if its measured size
+is below ``BROADCAST_BYTES``; beyond it is joined by key, where adaptive execution splits
+hot hosts. Matches are few; every capture keeps its place and is joined with them by url
 and time.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 
 KINDS = ("domain", "host", "url")
-PERIOD = 30 * 86400
+PERIODS = 64
 BROADCAST_BYTES = 8 << 20
 
 
@@ -66,15 +70,22 @@ def _seconds(df: DataFrame, col: str) -> Column:
     return F.unix_seconds(col) if dict(df.dtypes)[col] == "timestamp" else F.col(col).cast("long")
 
 
+def bounds(seen: DataFrame, periods: int = PERIODS) -> list[int]:
+    """Fetch times, in order, at which periods of about equally many captures begin."""
+    shares = F.array(*[F.lit(k / periods) for k in range(1, periods)])
+    found = seen.agg(F.percentile_approx(_seconds(seen, "fetched"), shares, F.lit(1000))).first()[0]
+    return sorted(set(found or []))
+
+
 def matches(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at") -> DataFrame:
     """Active entries of each capture: url, fetched, list, key."""
-    seen = captures.select(F.col(url).alias("url"), F.col(fetched).alias("fetched")).where("url is not null and fetched is not null")
-    last = seen.agg(F.max(_seconds(seen, "fetched"))).first()[0]
+    seen = captures.select(F.col(f"`{url}`").alias("url"), F.col(f"`{fetched}`").alias("fetched")).where("url is not null and fetched is not null")
+    edges = bounds(seen)
+    period = lambda c: reduce(lambda n, e: n + (c >= F.lit(e)).cast("int"), edges, F.lit(0))
     spans = intervals(entries)
-    period = lambda c: F.floor(c / PERIOD).cast("long")
-    first, until = period(_seconds(spans, "since")), F.coalesce(_seconds(spans, "until"), F.lit(last))
-    top = F.least(period(until), period(F.lit(0 if last is None else last)))
-    spans = spans.withColumn("_period", F.explode(F.when(first <= top, F.sequence(first, top)).otherwise(F.array().cast("array<bigint>"))))
+    # An interval without an end goes on to the last period.
+    last = F.coalesce(period(_seconds(spans, "until")), F.lit(len(edges)))
+    spans = spans.withColumn("_period", F.explode(F.sequence(period(_seconds(spans, "since")), last)))
     spans = stored(spans, "intervals")
     size = spans.agg(F.sum(F.length("key") + F.length("list") + 48)).first()[0] or 0
     if size <= BROADCAST_BYTES:
@@ -88,14 +99,16 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
     """All captures with host, lists (active lists, sorted, comma-joined), entries (active patterns, likewise), n_entries and blocked."""
     # At most lists x keys of one url; only captures with a match are shuffled, and repeated ones combine before.
     found = matches(captures, entries, url, fetched).groupBy("url", "fetched").agg(F.array_sort(F.collect_set(F.struct("list", "key"))).alias("_s"))
+    given = [c for c in captures.columns if c.lower() not in ("host", "lists", "entries", "n_entries", "blocked") or c in (url, fetched)]
+    u, t, n, lists, names = unused(captures, "url", "fetched", "n", "lists", "entries")
     found = found.select(
-        F.col("url").alias("_url"), F.col("fetched").alias("_fetched"), F.size("_s").alias("_n"),
-        F.array_join(F.array_distinct(F.transform("_s", lambda s: s["list"])), ",").alias("_lists"),
-        F.array_join(F.array_sort(F.transform("_s", lambda s: F.concat_ws("/", s["list"], s["key"]))), ",").alias("_entries"),
+        F.col("url").alias(u), F.col("fetched").alias(t), F.size("_s").alias(n),
+        F.array_join(F.array_distinct(F.transform("_s", lambda s: s["list"])), ",").alias(lists),
+        F.array_join(F.array_sort(F.transform("_s", lambda s: F.concat_ws("/", s["list"], s["key"]))), ",").alias(names),
     )
-    out = captures.join(found, (F.col(url) == F.col("_url")) & (F.col(fetched) == F.col("_fetched")), "left")
-    host = host_of(F.col(url))
+    out = captures.select(*[f"`{c}`" for c in given]).join(found, (F.col(f"`{url}`") == F.col(u)) & (F.col(f"`{fetched}`") == F.col(t)), "left")
+    host = host_of(F.col(f"`{url}`"))
     return out.withColumns({
-        "host": F.when(host != "", host), "lists": F.coalesce("_lists", F.lit("")), "entries": F.coalesce("_entries", F.lit("")),
-        "n_entries": F.coalesce("_n", F.lit(0)).cast("long"), "blocked": F.col("_n").isNotNull(),
-    }).drop("_url", "_fetched", "_lists", "_entries", "_n")
+        "host": F.when(host != "", host), "lists": F.coalesce(lists, F.lit("")), "entries": F.coalesce(names, F.lit("")),
+        "n_entries": F.coalesce(n, F.lit(0)).cast("long"), "blocked": F.col(n).isNotNull(),
+    }).drop(u, t, lists, names, n)

@@ -54,6 +54,15 @@ def test_line_dedup(spark):
     assert linededup.boilerplate(d, ratio=0.5).count() == 0 and linededup.boilerplate(d, ratio=0.49).first()["pages"] == 5
 
 
+def test_line_dedup_odd_tables(spark):
+    long_ = "\n".join(["common"] + [f"line {k}" for k in range(100_000)])
+    texts = [f"common\n{k}" for k in range(20)] + [long_, "", None]
+    d = docs(spark, texts, source=["s"] * len(texts)).withColumns({"_host": F.lit(1), "_bad": F.lit(2), "_kept": F.lit(3), "n_lines": F.lit("old")})
+    got = {r["doc_id"]: r for r in linededup.drop_lines(d).collect()}
+    assert [got[k]["text"] for k in (3, 21, 22)] == ["3", "", None] and got[20]["text"] == long_[7:] and got[20]["n_lines"] == 100_001
+    assert all((r["_host"], r["_bad"], r["_kept"]) == (1, 2, 3) for r in got.values())
+
+
 def test_line_dedup_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(linededup, "BROADCAST_BYTES", -1)
     d = docs(spark, [f"menu\n{i}" for i in range(9)])
@@ -109,6 +118,19 @@ def test_urls(spark):
 # 4. Packing
 
 
+def test_urls_at_absurd_times(spark):
+    start = 1704067200
+    entries = [("a", "domain", "x.org", 0, "add"), ("a", "domain", "y.org", -(10**15), "add"), ("b", "host", "x.org", start, "add"), ("b", "host", "x.org", 10**15, "remove"), ("b", "host", "y.org", 10**17, "add")]
+    table = spark.createDataFrame(entries, "list string, kind string, pattern string, since long, action string")
+    times = [start + 60 * k for k in range(300)] + [start * 1000, 10**15, 10**18, -5, -(10**16)]
+    pages = spark.createDataFrame([(k, f"http://{'xy'[k % 2]}.org/p", t, "u", "n", "h") for k, t in enumerate(times)], "page_id long, url string, fetched_at long, _url string, _n string, host string")
+    got = {r["page_id"]: r for r in urlfilter.evaluate(pages, table).collect()}
+    for k, t in enumerate(times):
+        on = (["a"] if t >= (0, -(10**15))[k % 2] else []) + (["b"] if (start <= t < 10**15, t >= 10**17)[k % 2] else [])
+        assert got[k]["lists"] == ",".join(on) and got[k]["host"] == f"{'xy'[k % 2]}.org" and (got[k]["_url"], got[k]["_n"]) == ("u", "n")
+    assert len(got) == len(times) and len(urlfilter.bounds(pages.select("url", F.col("fetched_at").alias("fetched")))) < urlfilter.PERIODS
+
+
 def test_packing(spark):
     rng = random.Random(2)
     texts = [prose(rng, rng.choice([1, 3, 20, 80, 300])) for _ in range(120)] + ["", None, prose(rng, 3000), "same", "same"]
