@@ -2,24 +2,26 @@
 
 Equal vectors are one point of the index; a point keeps the ids of its smallest
 ``top + 1`` rows, since no other row of it can be among anyone's ``top``. Points are
-dealt to shards by hash. A shard's graph is a few arrays: levels, one flat neighbour
-array for each layer (-1 for none) and the vectors. Every query searches every shard
-and the shards' results are merged by score and id.
+dealt to shards by length and hash. A shard's graph is a few arrays: levels, one flat
+neighbour array for each layer (-1 for none) and the vectors. Every query searches every
+shard of vectors of its length and the shards' results are merged by score and id.
 
-Nearness is the largest inner product; graphs link by it too, which serves vectors of
-about equal length well. Scores are computed anew in double precision.
+Nearness is the largest inner product; graphs are walked by it in single precision,
+which serves vectors of about equal length well. Scores are computed in double precision
+from the vectors as they are given.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
-components, and rows without an id, take no part; vectors of another length than the
-most frequent one take no part either; ties go to the smaller id; a query finds itself
-never, but finds rows that repeat its vector; repeated rows of one id count once;
-fewer candidates than ``top`` give them all; an empty table gives an empty table;
-extra columns are not read.
+components, and rows without an id, take no part; vectors of different length have no
+inner product, so each length is searched by itself; ties go to the smaller id; a query
+finds itself never, but finds rows that repeat its vector; of rows that repeat an id the
+one with the least vector counts; fewer candidates than ``top`` give them all; an empty
+table gives an empty table; extra columns are not read.
 
 Scale: a group of the search is one shard (at most about 2 x ``SHARD_ROWS`` points)
 and one block of at most about ``BLOCK_ROWS`` queries, so its memory is bounded and
-its number is shards x blocks. The shards' arrays are written once and read from the
-shared folder by the groups that need them.
+its number is shards x blocks: with a fixed share of the rows as queries, work and what
+is shuffled (a shard goes once to each block, a block once to each shard) grow with the
+square of the rows, by a factor that larger shards and blocks make smaller.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import ship, stored
 
 TOP = 20
-SHARD_ROWS, BLOCK_ROWS = 4096, 4096
+SHARD_ROWS, BLOCK_ROWS = 8192, 16384
 #: Neighbours in upper layers (twice as many in the lowest), and beam widths.
 LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 80, 128
 BATCH = 256
@@ -41,17 +43,18 @@ BATCH = 256
 class Graph:
     """A navigable small-world graph over rows of x, built and searched for batches of points."""
 
-    def __init__(self, x: np.ndarray, levels: np.ndarray, layers: list[np.ndarray], entry: int):
-        self.x, self.levels, self.layers, self.entry = x, levels, layers, entry
+    def __init__(self, given: np.ndarray, x: np.ndarray, levels: np.ndarray, layers: list[np.ndarray], entry: int):
+        self.given, self.x, self.levels, self.layers, self.entry = given, x, levels, layers, entry
 
     @classmethod
-    def build(cls, x: np.ndarray, links: int = LINKS, beam: int = BUILD_BEAM, seed: int = 11) -> Graph:
+    def build(cls, given: np.ndarray, links: int = LINKS, beam: int = BUILD_BEAM, seed: int = 11) -> Graph:
+        x = given.astype(np.float32)
         rng, n = np.random.default_rng(seed), len(x)
         levels = np.minimum((-np.log(rng.random(n)) / np.log(links)).astype(np.int64), 6)
         order = np.argsort(-levels, kind="stable")  # upper layers first: a point's layers exist when it comes
         x, levels = x[order], levels[order]
         layers = [np.full((n, 2 * links if k == 0 else links), -1, dtype=np.int32) for k in range(int(levels[0]) + 1)] if n else []
-        graph = cls(x, levels, layers, 0)
+        graph = cls(given, x, levels, layers, 0)
         graph.order = order
         done = 1
         while done < n:
@@ -170,52 +173,55 @@ class Graph:
         return np.concatenate(out) if out else np.empty((0, top), dtype=np.int64)
 
     def arrays(self) -> dict[str, bytes]:
-        return {"levels": self.levels.astype("<i1").tobytes(), "layers": b"".join(t.astype("<i4").tobytes() for t in self.layers), "vectors": self.x.astype("<f4").tobytes()}
+        return {"levels": self.levels.astype("<i1").tobytes(), "layers": b"".join(t.astype("<i4").tobytes() for t in self.layers), "vectors": self.given[self.order].tobytes()}
 
     @classmethod
-    def of(cls, levels: bytes, layers: bytes, vectors: bytes, links: int = LINKS) -> Graph:
+    def of(cls, levels: bytes, layers: bytes, vectors: bytes, kind: str, links: int = LINKS) -> Graph:
         lv = np.frombuffer(levels, "<i1").astype(np.int64)
         n = len(lv)
-        x, flat = np.frombuffer(vectors, "<f4").reshape(n, -1), np.frombuffer(layers, "<i4")
+        given, flat = np.frombuffer(vectors, kind).reshape(n, -1), np.frombuffer(layers, "<i4")
         tables, at = [], 0
         while at < len(flat):
             w = 2 * links if not tables else links
             tables.append(flat[at : at + n * w].reshape(n, w))
             at += n * w
-        return cls(x, lv, tables, 0)
+        return cls(given, given.astype(np.float32), lv, tables, 0)
 
 
-def points(rows: DataFrame, key: str, vector: str, top: int) -> DataFrame:
-    """Distinct usable vectors: _h (a hash), vector, ids (the smallest top + 1)."""
-    v = F.col(vector).cast("array<double>")
-    fine = F.col(vector).isNotNull() & F.col(key).isNotNull() & (F.size(v) > 0)
+def points(rows: DataFrame, key: str, vector: str, top: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct usable vectors: _h (a hash), d (length), vector, ids (the smallest top + 1); and the usable rows: id, _h, d, vector."""
+    v = F.col(f"`{vector}`")
+    kind = "float" if rows.schema[vector].dataType.elementType.typeName() == "float" else "double"
+    v = v.cast(f"array<{kind}>")
+    fine = v.isNotNull() & F.col(f"`{key}`").isNotNull() & (F.size(v) > 0)
     fine = fine & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False)) & F.exists(v, lambda x: x != 0)
-    usable = rows.where(fine).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
     # -0.0 and 0.0 are one value
-    usable = usable.withColumn("vector", F.transform("vector", lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x)))
-    size = usable.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    usable = usable.where(F.size("vector") == (size["d"] if size else 0))
-    usable = usable.withColumn("_h", F.xxhash64("vector")).dropDuplicates(["id"])
+    plain = F.transform(v, lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x))
+    usable = rows.where(fine).select(F.col(f"`{key}`").cast("long").alias("id"), plain.alias("vector"))
+    usable = usable.groupBy("id").agg(F.min("vector").alias("vector")).withColumns({"_h": F.xxhash64("vector"), "d": F.size("vector")})
     dealt = usable.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(64)))
     # the smallest ids of a vector, first within parts of it: a vector may be a third of all rows
     some = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_h", "vector", "_part").orderBy("id"))).where(F.col("_r") <= top + 1)
     some = some.withColumn("_r", F.row_number().over(Window.partitionBy("_h", "vector").orderBy("id"))).where(F.col("_r") <= top + 1)
-    return some.groupBy("_h", "vector").agg(F.array_sort(F.collect_list("id")).alias("ids")), usable
+    return some.groupBy("_h", "d", "vector").agg(F.array_sort(F.collect_list("id")).alias("ids")), usable
 
 
-def index(pts: DataFrame, shards: int) -> DataFrame:
-    """One row a shard: its graph's arrays, and the ids of its points in the graph's order."""
+def index(pts: DataFrame) -> DataFrame:
+    """One row a shard of pts, which has columns d, shard: its graph's arrays, and the ids of its points in the graph's order."""
+    kind = _kind(pts)
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first", kind="stable")
-        x = np.stack(pdf["vector"].to_numpy()).astype(np.float32)
-        g = Graph.build(x)
+        pdf = pdf.assign(first=[i[0] for i in pdf["ids"]]).sort_values("first", kind="stable")
+        g = Graph.build(np.stack(pdf["vector"].to_numpy()).astype(kind))
         ids = pdf["ids"].to_numpy()[g.order]
         counts = np.array([len(i) for i in ids], dtype="<i4")
-        return pd.DataFrame([{"shard": int(key[0]), "n": len(x), **g.arrays(), "counts": counts.tobytes(), "ids": np.concatenate(ids).astype("<i8").tobytes()}])
+        return pd.DataFrame([{"d": int(key[0]), "shard": int(key[1]), "n": len(ids), **g.arrays(), "counts": counts.tobytes(), "ids": np.concatenate(ids).astype("<i8").tobytes()}])
 
-    placed = pts.withColumn("shard", F.pmod(F.xxhash64("_h"), F.lit(shards)).cast("int")).withColumn("first", F.col("ids")[0])
-    return placed.groupBy("shard").applyInPandas(build, "shard int, n long, levels binary, layers binary, vectors binary, counts binary, ids binary")
+    return pts.groupBy("d", "shard").applyInPandas(build, "d int, shard int, n long, levels binary, layers binary, vectors binary, counts binary, ids binary")
+
+
+def _kind(df: DataFrame) -> str:
+    return "<f4" if df.schema["vector"].dataType.elementType.typeName() == "float" else "<f8"
 
 
 def search(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", top: int = TOP, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS, beam: int = SEARCH_BEAM) -> DataFrame:
@@ -226,35 +232,36 @@ def search(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
     pts = stored(pts, "points")
     asked_pts, asked = points(queries, key, vector, top)
     # a query's vector is searched once, whoever asks
-    asked_vectors = stored(asked_pts.select("_h", "vector"), "asked")
-    n, m = pts.count(), asked_vectors.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-m // block_rows))
-    graphs = stored(index(pts, shards), "graphs")
-    left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked_vectors.withColumn("block", F.pmod(F.xxhash64("_h", F.lit(7)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asked_vectors = stored(asked_pts.select("_h", "d", "vector"), "asked")
+    parts = lambda df, size, name: df.groupBy("d").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    shards, blocks = parts(pts, shard_rows, "shards"), parts(asked_vectors, block_rows, "blocks")
+    deal = lambda n, seed: F.pmod(F.xxhash64("_h", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    graphs = stored(index(pts.join(shards, "d").withColumn("shard", deal("shards", 5)).drop("shards")), "graphs")
+    left = graphs.join(blocks, "d").withColumn("block", every("blocks")).drop("blocks")
+    right = asked_vectors.join(blocks, "d").join(shards, "d").withColumn("block", deal("blocks", 7)).withColumn("shard", every("shards")).drop("blocks", "shards")
+    kinds = _kind(pts), _kind(asked_vectors)
 
     def run(g: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"_h": pd.Series(dtype="int64"), "vector": pd.Series(dtype=object), "found": pd.Series(dtype=object)})
         if not len(g) or not len(q):
             return none
         r = g.iloc[0]
-        graph = Graph.of(r["levels"], r["layers"], r["vectors"])
-        x = np.stack(q["vector"].to_numpy()).astype(np.float32)
-        found = graph.search(x, min(top + 1, int(r["n"])), beam)
-        ids, ends = np.frombuffer(r["ids"], "<i8"), np.cumsum(np.frombuffer(r["counts"], "<i4"))
-        exact, wide = x.astype(np.float64), graph.x.astype(np.float64)
+        graph = Graph.of(r["levels"], r["layers"], r["vectors"], kinds[0])
+        x = np.stack(q["vector"].to_numpy()).astype(kinds[1])
+        found = graph.search(x.astype(np.float32), min(top + 1, int(r["n"])), beam)
+        counts = np.frombuffer(r["counts"], "<i4")
+        ids, ends = np.frombuffer(r["ids"], "<i8"), np.cumsum(counts)
         out = []
         for a, places in enumerate(found):
-            best: list[tuple[float, int]] = []
-            for p in places[places >= 0].tolist():
-                score = float((exact[a] * wide[p]).sum())
-                best += [(-score, int(i)) for i in ids[ends[p] - np.frombuffer(r["counts"], "<i4")[p] : ends[p]]]
-            best.sort()
+            places = places[places >= 0]
+            scores = (graph.given[places].astype(np.float64) * x[a].astype(np.float64)).sum(axis=1).tolist()
+            best = sorted((-s, int(i)) for s, p in zip(scores, places.tolist()) for i in ids[ends[p] - counts[p] : ends[p]])
             out.append([{"score": -s, "vec_id": i} for s, i in best[: top + 1]])
         return pd.DataFrame({"_h": q["_h"].to_numpy(), "vector": q["vector"].to_numpy(), "found": out})
 
-    schema = "_h long, vector array<float>, found array<struct<score:double,vec_id:long>>"
-    each = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(run, schema)
+    schema = f"_h long, vector {asked_vectors.schema['vector'].dataType.simpleString()}, found array<struct<score:double,vec_id:long>>"
+    each = left.groupBy("d", "shard", "block").cogroup(right.groupBy("d", "shard", "block")).applyInPandas(run, schema)
     # at most shards x (top + 1) entries a query vector
     flat = each.select("_h", "vector", F.explode("found").alias("f")).select("_h", "vector", "f.score", "f.vec_id")
     order = Window.partitionBy("_h", "vector").orderBy(F.desc("score"), "vec_id")

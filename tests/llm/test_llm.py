@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -100,6 +101,40 @@ def test_nearest(spark, monkeypatch):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def brute_nearest(vectors, top=20):
+    """(query, rank, id, score) of queries whose id is divisible by 20, among vectors of the same length."""
+    out = []
+    for q, x in vectors.items():
+        if q % 20 == 0:
+            near = sorted((-float(np.dot(x.astype(float), y.astype(float))), i) for i, y in vectors.items() if i != q and len(x) == len(y))[:top]
+            out += [(q, k + 1, i, -s) for k, (s, i) in enumerate(near)]
+    return out
+
+
+def test_nearest_of_doubles_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(21)
+    vectors = {i: rng.normal(size=4 if i % 3 else 6) for i in range(240)}
+    rows = [(i, x.tolist(), "e") for i, x in vectors.items()]
+    rows += [(40, (vectors[40] + 1).tolist(), "again"), (41, (vectors[41] - 5).tolist(), "again"), (None, [1.0] * 4, ""), (500, [], ""), (520, [0.0] * 4, ""), (540, [1.0, None, 1.0, 1.0], ""), (560, [float("nan")] * 4, ""), (580, None, ""), (600, [1.0] * 9, "alone")]
+    for i, x in ((40, vectors[40] + 1), (41, vectors[41] - 5)):
+        vectors[i] = np.array(min(vectors[i].tolist(), x.tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, _h string")
+    got = [tuple(r) for r in ann.search(df, df.where("vec_id % 20 = 0"), shard_rows=64, block_rows=4).select("query_id", "rank", "vec_id", "score").collect()]
+    want = brute_nearest(vectors)
+    assert sorted(r[:3] for r in got) == sorted(r[:3] for r in want)
+    scores = {r[:3]: r[3] for r in want}
+    assert all(abs(r[3] - scores[r[:3]]) < 1e-12 for r in got)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1"), reason="the driver's tables aren't here")
+def test_nearest_recall(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    vectors = {r["vec_id"]: np.array(r["embedding"], dtype=np.float32) for r in df.collect() if r["embedding"]}
+    want = {r[:3:2] for r in brute_nearest(vectors)}
+    got = {(r["query_id"], r["vec_id"]) for r in ann.search(df, df.where("vec_id % 20 = 0")).collect()}
+    assert len(got & want) / len(want) >= 0.97 and len(got) == len(want)
+
+
 # 3. URLs
 
 
