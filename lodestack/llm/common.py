@@ -27,11 +27,12 @@ _written: list[tuple[SparkSession, str]] = []
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once for each application.
 
-    Rows here are whole texts, so Arrow batches of the default of 10,000 rows would take much memory: a session that
-    has the default gets smaller ones.
+    Rows here are whole texts, so Arrow batches of the defaults of 10,000 rows and 64 MB would take much memory: a session
+    that has the defaults gets smaller ones, also for what else it runs.
     """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    for name, default, less in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "8m")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", less)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

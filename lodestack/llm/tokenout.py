@@ -1,12 +1,17 @@
 """Token ids in a binary format whose documents can be read one by one.
 
 A written folder holds ``dictionary.zdict`` (a zstandard dictionary, trained on the
-serialized id arrays of a bounded sample), one ``shard-NNNNN.ids`` for each range of
-doc_ids, and ``manifest.json``. A shard ends with a 64-byte footer (magic, id width, SHA-256
-of the dictionary, number of documents, place of the index) after one zstandard frame for
-each document and the index: doc_id, frame offset, number of ids before the document
-in the shard, as 64-bit arrays, and one byte saying whether the doc_id is known.
-Documents are in ascending doc_id order, first those without a doc_id.
+serialized id arrays of a bounded sample), ``manifest.json`` and ``blocks``, a table of
+binary blocks. A block has some ``BLOCK_BYTES`` of zstandard frames, one for each
+document, and an index: doc_id, frame offset, number of ids before the document in the
+shard, as 64-bit arrays, and one byte saying whether the doc_id is known; a header says
+magic, id width, SHA-256 of the dictionary, number of documents and size of the frames.
+Beside it are the columns by which a block is found: shard, block, first_id, last_id,
+documents, tokens. Documents are in ascending doc_id order, first those without a
+doc_id; shards are ranges of them.
+
+All files go through Spark and Hadoop's file systems, so the folder may be in any store
+that the session reaches.
 
 Defined cases: a null or empty text gives the end id alone; a null doc_id sorts
 first; repeated doc_ids and rows are all written, in the order of their texts'
@@ -14,9 +19,9 @@ hashes; an empty table gives a folder without documents; ids are 16 bits wide if
 vocabulary allows, and else 32; extra columns are not read.
 
 Scale: texts are tokenized once, where they are read; only compressed frames are
-shuffled, by ranges of doc_id, to write the shards. A shard goes out under a name of
-the task attempt and is then renamed, so a repeated task replaces it with the same
-bytes. Starts across shards are sums over the manifest, one entry a shard.
+shuffled, by ranges of doc_id, text hash and place, so neither null nor repeated doc_ids
+meet in one task. Blocks are written by Spark's commit protocol, so a repeated task
+leaves one copy. Starts across shards are sums over the manifest, one entry a shard.
 """
 
 from __future__ import annotations
@@ -35,17 +40,16 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, id_columns, ids_of, ship, stored, text_of
 from .tokens import encoder
 
-MAGIC = b"LSTKIDS1"
+MAGIC = b"LSTKIDS2"
 HEADER = "<8sI32sQQ4x"
 HEADER_BYTES = struct.calcsize(HEADER)
 #: Documents of the dictionary's sample, by hash order, and the dictionary's size.
 SAMPLE_DOCUMENTS, DICTIONARY_BYTES = 400, 64 << 10
 LEVEL = 3
-#: Shards aim at this many bytes of frames.
-SHARD_BYTES = 24 << 20
+#: Shards and blocks aim at this many bytes of frames.
+SHARD_BYTES, BLOCK_BYTES = 12 << 20, 1 << 20
 #: The manifest has at most about so many entries; beyond, shards grow.
 MOST_SHARDS = 50_000
-READ_BYTES = 4 << 20
 
 
 def width_of(tokenizer: str, end_id: int) -> int:
@@ -96,143 +100,144 @@ def frames(docs: DataFrame, tokenizer: str, dictionary: bytes, end_id: int = 0,
     return rows.mapInPandas(run, "doc_id long, text_hash long, n_tokens long, frame binary")
 
 
-def _open(path: str):
-    from pyarrow import fs
+def _put(spark: SparkSession, path: str, raw: bytes) -> None:
+    """Write one small file from the driver."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(raw))
+    finally:
+        out.close()
+
+
+def _get(spark: SparkSession, path: str) -> bytes:
+    """Read one small file on the driver."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    source = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(source))
+    finally:
+        source.close()
 
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace("file:", "", 1))
 
+def pack(width: int, digest: bytes, ids: np.ndarray, known: np.ndarray, frames_: list[bytes], starts: np.ndarray) -> bytes:
+    """One block; starts has one entry more than there are documents."""
+    ends = np.cumsum([0, *map(len, frames_)])
+    parts = (ids.astype("<i8"), ends.astype("<i8"), starts.astype("<i8"), known.astype("u1"))
+    return b"".join([struct.pack(HEADER, MAGIC, width, digest, len(frames_), int(ends[-1])), *(x.tobytes() for x in parts), *frames_])
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> dict:
+
+BLOCKS = "shard int, block int, first_id long, last_id long, documents long, tokens long, data binary"
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, key: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> dict:
     """Write docs below path, a folder that driver and executors share; returns the manifest."""
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, tokenizer, end_id, text)
     digest, width = hashlib.sha256(dictionary).digest(), width_of(tokenizer, end_id)
-    fs, root = _open(path)
-    fs.create_dir(root, recursive=True)
-    with fs.open_output_stream(f"{root}/dictionary.zdict") as f:
-        f.write(dictionary)
     made = stored(frames(docs, tokenizer, dictionary, end_id, key, text), "frames")
     total = made.agg(F.sum(F.octet_length("frame"))).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, min(MOST_SHARDS, -(-total // shard_bytes)))
 
     def run(batches):
-        context = TaskContext.get()
-        out, at, ids, known, offsets, starts, tokens = None, 0, [], [], [], [], 0
-        own, base = _open(path)
-        name = f"shard-{context.partitionId():05d}.ids"
-        part = f"{base}/.{name}.{context.taskAttemptId()}"
+        shard, number, tokens = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple] = []
+        size = 0
+
+        def block() -> pd.DataFrame:
+            nonlocal number, tokens
+            ids, known, n, frames_ = (np.array([h[k] for h in held], dtype=kind) if kind else [h[k] for h in held] for k, kind in enumerate(("int64", "bool", "int64", None)))
+            starts = tokens + np.concatenate([[0], np.cumsum(n)])
+            named = ids[known]
+            ends = (int(named[0]), int(named[-1])) if len(named) else (0, -1)
+            row = (shard, number, *ends, len(held), int(n.sum()), pack(width, digest, ids, known, frames_, starts))
+            number, tokens = number + 1, int(starts[-1])
+            held.clear()
+            return pd.DataFrame([row], columns=["shard", "block", "first_id", "last_id", "documents", "tokens", "data"])
+
         for b in batches:
-            if not len(b):
-                continue
-            if out is None:
-                out = own.open_output_stream(part)
-            known.append(b["_known"].to_numpy("bool"))
-            ids.append(b["doc_id"].to_numpy("int64"))
-            sizes, n = b["frame"].map(len).to_numpy("int64"), b["n_tokens"].to_numpy("int64")
-            offsets.append(at + np.cumsum(sizes) - sizes)
-            starts.append(tokens + np.cumsum(n) - n)
-            out.write(b"".join(b["frame"]))
-            at, tokens = at + int(sizes.sum()), tokens + int(n.sum())
-        if out is None:
-            return
-        count = sum(map(len, ids))
-        for arrays, kind in ((ids, "<i8"), ([*offsets, np.array([at])], "<i8"), ([*starts, np.array([tokens])], "<i8"), (known, "u1")):
-            out.write(np.concatenate(arrays).astype(kind).tobytes())
-        # A stream can't go back: what describes the file ends it.
-        out.write(struct.pack(HEADER, MAGIC, width, digest, count, at))
-        out.close()
-        own.move(part, f"{base}/{name}")
-        named = np.concatenate(ids)[np.concatenate(known)]
-        ends = [int(named.min()), int(named.max())] if len(named) else [0, -1]
-        yield pd.DataFrame({"shard": [name], "documents": [count], "tokens": [tokens], "first_id": ends[:1], "last_id": ends[1:]})
-
-    ordered = made.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text_hash", "n_tokens")
-    ordered = ordered.select(*id_columns("doc_id"), "n_tokens", "frame")
-    entries = sorted(ordered.mapInPandas(run, "shard string, documents long, tokens long, first_id long, last_id long").collect())  # one row a shard
+            for row in zip(b["doc_id"].tolist(), b["_known"].tolist(), b["n_tokens"].tolist(), b["frame"]):
+                held.append(row)
+                size += len(row[3])
+                if size >= block_bytes:
+                    yield block()
+                    size = 0
+        if held:
+            yield block()
+
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash"), F.col("_row")]
+    ordered = made.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    ordered.select(*id_columns("doc_id"), "n_tokens", "frame").mapInPandas(run, BLOCKS).write.mode("overwrite").option("compression", "none").parquet(f"{path}/blocks")
+    by_shard = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("shard").agg(F.count(F.lit(1)).alias("blocks"), F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+    entries = sorted(tuple(r) for r in by_shard.collect())  # one row a shard
     manifest = {"width": width, "dictionary_sha256": digest.hex(), "end_id": end_id, "shards": [list(e) for e in entries]}
-    with fs.open_output_stream(f"{root}/manifest.json") as f:
-        f.write(json.dumps(manifest).encode())
+    _put(spark, f"{path}/dictionary.zdict", dictionary)
+    _put(spark, f"{path}/manifest.json", json.dumps(manifest).encode())
     return manifest
 
 
-def manifest_of(path: str) -> dict:
-    fs, root = _open(path)
-    with fs.open_input_stream(f"{root}/manifest.json") as f:
-        return json.loads(f.read())
+def manifest_of(spark: SparkSession, path: str) -> dict:
+    return json.loads(_get(spark, f"{path}/manifest.json"))
 
 
-def dictionary_of(path: str, digest: bytes) -> bytes:
-    fs, root = _open(path)
-    with fs.open_input_stream(f"{root}/dictionary.zdict") as f:
-        dictionary = f.read()
-    if hashlib.sha256(dictionary).digest() != digest:
-        raise ValueError(f"the dictionary of {path} isn't the one its shards were written with")
+def dictionary_of(spark: SparkSession, path: str) -> bytes:
+    """The dictionary, if it is the one that the documents were written with."""
+    dictionary = _get(spark, f"{path}/dictionary.zdict")
+    if hashlib.sha256(dictionary).hexdigest() != manifest_of(spark, path)["dictionary_sha256"]:
+        raise ValueError(f"the dictionary of {path} isn't the one its documents were written with")
     return dictionary
 
 
-class Shard:
-    """One shard file: its index, and documents by place."""
+class Block:
+    """One block: its index, and documents by place."""
 
-    def __init__(self, path: str, name: str):
-        fs, root = _open(path)
-        self.file = fs.open_input_file(f"{root}/{name}")
-        size = self.file.size()
-        self.file.seek(size - HEADER_BYTES)
-        magic, self.width, self.digest, self.count, self.end = struct.unpack(HEADER, self.file.read(HEADER_BYTES))
+    def __init__(self, raw: bytes, dictionary: bytes):
+        magic, self.width, digest, n, size = struct.unpack_from(HEADER, raw)
         if magic != MAGIC:
-            raise ValueError(f"{name} is no shard")
-        self.file.seek(self.end)
-        raw, n = self.file.read(size - HEADER_BYTES - self.end), self.count
-        self.ids = np.frombuffer(raw, "<i8", n)
-        self.offsets = np.frombuffer(raw, "<i8", n + 1, 8 * n)
-        self.starts = np.frombuffer(raw, "<i8", n + 1, 8 * (2 * n + 1))
-        self.known = np.frombuffer(raw, "u1", n, 8 * (3 * n + 2)).astype(bool)
-        self.unzip = _decompressor(dictionary_of(path, self.digest))
-
-    def documents(self, first: int, last: int) -> list[np.ndarray]:
-        """Ids of the documents in places first to last, end exclusive, by one read."""
-        self.file.seek(int(self.offsets[first]))
-        raw, base = self.file.read(int(self.offsets[last] - self.offsets[first])), self.offsets[first]
-        cut = (self.offsets[first : last + 1] - base).tolist()
-        return [np.frombuffer(self.unzip.decompress(raw[a:b]), f"<u{self.width}").astype("<u4") for a, b in zip(cut, cut[1:])]
-
-
-def lookup(path: str, doc_id: int) -> list[np.ndarray]:
-    """Ids of the documents with this doc_id: reads the manifest, the indexes of shards whose range holds it, and their frames."""
-    found = []
-    for name, _, _, first, last in manifest_of(path)["shards"]:
-        if not first <= doc_id <= last:
-            continue
-        shard = Shard(path, name)
-        at = np.flatnonzero((shard.ids == doc_id) & shard.known)
-        found += shard.documents(int(at[0]), int(at[-1]) + 1) if len(at) else []
+            raise ValueError("no block of token ids")
+        if digest != hashlib.sha256(dictionary).digest():
+            raise ValueError("the dictionary isn't the one this block was written with")
+        self.count, at = n, HEADER_BYTES
+        self.ids = np.frombuffer(raw, "<i8", n, at)
+        self.offsets = np.frombuffer(raw, "<i8", n + 1, at + 8 * n)
+        self.starts = np.frombuffer(raw, "<i8", n + 1, at + 8 * (2 * n + 1))
+        self.known = np.frombuffer(raw, "u1", n, at + 8 * (3 * n + 2)).astype(bool)
+        self.frames, self.unzip = memoryview(raw)[len(raw) - size :], _decompressor(dictionary)
+
+    def document(self, k: int) -> np.ndarray:
+        return np.frombuffer(self.unzip.decompress(self.frames[self.offsets[k] : self.offsets[k + 1]]), f"<u{self.width}").astype("<u4")
+
+
+def lookup(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
+    """Ids of the documents with this doc_id: reads the blocks whose range holds it, which Parquet's statistics tell, and opens its frames alone."""
+    dictionary, found = dictionary_of(spark, path), []
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
+    for r in blocks.orderBy("shard", "block").toLocalIterator():
+        block = Block(bytes(r["data"]), dictionary)
+        found += [block.document(int(k)) for k in np.flatnonzero((block.ids == doc_id) & block.known)]
     return found
 
 
 def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """What the files hold: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (little-endian 32 bits each)."""
     ship(spark)
-    shards, start = [], 0
-    for name, _, tokens, *_ in manifest_of(path)["shards"]:
-        shards.append((name, start))
+    dictionary, base, start = dictionary_of(spark, path), {}, 0
+    for shard, _, _, tokens in manifest_of(spark, path)["shards"]:
+        base[shard] = start
         start += tokens
 
     def run(batches):
         for b in batches:
-            for k in b["id"]:
-                name, base = shards[int(k)]
-                shard, first = Shard(path, name), 0
-                while first < shard.count:
-                    last = max(first + 1, int(np.searchsorted(shard.offsets, shard.offsets[first] + READ_BYTES, "right")) - 1)
-                    last = min(last, shard.count)
-                    docs = [x.tobytes() for x in shard.documents(first, last)]
-                    out = {
-                        "doc_id": pd.array(np.where(shard.known[first:last], shard.ids[first:last], 0), "Int64"),
-                        "start": base + shard.starts[first:last], "n_tokens": np.diff(shard.starts[first : last + 1]), "ids_crc32": [zlib.crc32(x) for x in docs],
-                    }
-                    out["doc_id"][~shard.known[first:last]] = pd.NA
-                    yield pd.DataFrame(out | ({"ids": docs} if ids else {}))
-                    first = last
+            for shard, raw in zip(b["shard"].tolist(), b["data"]):
+                block = Block(bytes(raw), dictionary)
+                docs = [block.document(k).tobytes() for k in range(block.count)]
+                out = {
+                    "doc_id": pd.array(np.where(block.known, block.ids, 0), "Int64"), "start": base[shard] + block.starts[:-1],
+                    "n_tokens": np.diff(block.starts), "ids_crc32": [zlib.crc32(x) for x in docs],
+                }
+                out["doc_id"][~block.known] = pd.NA
+                yield pd.DataFrame(out | ({"ids": docs} if ids else {}))
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids
-    return spark.range(0, len(shards), 1, max(1, len(shards))).mapInPandas(run, schema)
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select("shard", "data").mapInPandas(run, schema)

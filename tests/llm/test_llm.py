@@ -492,7 +492,7 @@ def test_token_files(spark, tmp_path):
     ids = [*range(100, 183), 7, 7, 7]
     d = docs(spark, texts, ids=ids).unionByName(docs(spark, ["nameless"], ids=[None]))
     path = str(tmp_path / "ids")
-    made = tokenout.write(d, path, vocabulary("byte_bpe_50k.json"), shard_bytes=2000)
+    made = tokenout.write(d, path, vocabulary("byte_bpe_50k.json"), shard_bytes=2000, block_bytes=60)
     rows = sorted(tokenout.read(spark, path).collect(), key=lambda r: r["start"])
     assert len(made["shards"]) > 2 and [r["doc_id"] for r in rows] == [None, 7, 7, 7, *range(100, 183)]
     enc, at, by = tokens.encoder(vocabulary("byte_bpe_50k.json")), 0, dict(zip(ids, texts))
@@ -505,12 +505,28 @@ def test_token_files(spark, tmp_path):
     big = docs(spark, ["a", "b"], ids=[(1 << 62) + 1, None])
     tokenout.write(big, str(tmp_path / "big"), vocabulary("byte_bpe_50k.json"))
     assert {r["doc_id"] for r in tokenout.read(spark, str(tmp_path / "big")).collect()} == {(1 << 62) + 1, None}
-    assert len(tokenout.lookup(path, 7)) == 3 and len(tokenout.lookup(path, 150)) == 1 and tokenout.lookup(path, 1) == []
+    assert sum(s[1] for s in made["shards"]) > len(made["shards"]) and sum(s[2] for s in made["shards"]) == len(rows)
+    assert len(tokenout.lookup(spark, path, 7)) == 3 and len(tokenout.lookup(spark, path, 150)) == 1 and tokenout.lookup(spark, path, 1) == []
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    for k in (100, 182, 120):
+        assert tokenout.lookup(spark, path, k)[0].tolist() == [*library.encode(by[k] or "", add_special_tokens=False).ids, 0]
     assert tokenout.write(d.limit(0), str(tmp_path / "none"), vocabulary("byte_bpe_50k.json"))["shards"] == []
     assert tokenout.read(spark, str(tmp_path / "none")).count() == 0
-    (tmp_path / "ids/dictionary.zdict").write_bytes(b"other")
+    tokenout._put(spark, f"{path}/dictionary.zdict", b"other")
     with pytest.raises(ValueError, match="dictionary"):
-        tokenout.lookup(path, 7)
+        tokenout.lookup(spark, path, 7)
+
+
+def test_hot_ids_are_split(spark, tmp_path):
+    rng = random.Random(17)
+    texts = ["same text"] * 300 + [prose(rng, 20) for _ in range(300)]
+    d = docs(spark, texts, ids=[5] * 600).unionByName(docs(spark, texts[:400]).withColumn("doc_id", F.lit(None).cast("long")))
+    made = tokenout.write(d.repartition(6), str(tmp_path / "hot"), vocabulary("byte_bpe_50k.json"), shard_bytes=1000)
+    assert len(made["shards"]) > 8 and max(s[2] for s in made["shards"]) < 200 and sum(s[2] for s in made["shards"]) == 1000
+    rows = tokenout.read(spark, str(tmp_path / "hot")).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == [None] * 400 + [5] * 600 and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:]))
 
 
 # 10. Secrets
