@@ -12,11 +12,13 @@ exactly 0.8 is missed with a chance of some 0.8 ** K, below one in a million. Pa
 the lists are filtered by the estimate from the union's sketch, and confirmed by exact
 Jaccard on full sets of 64-bit shingle hashes.
 
-Long lists (over ``LONG``) are mostly large groups of near copies. Pairs with a few
-centres of the list come first; then, knowing the components so far, the members
-outside a list's largest component meet all members of other components, in blocks of
-full sets where they are many. So no link that could join two components is left out,
-and a large group costs links in proportion to its size instead of its square.
+A list's first candidates are its centre, the member with the smallest id, beside each
+other member: as many as it has members, not their square. Then, knowing the components
+so far, the members outside a list's largest component meet all members of other
+components, in blocks of full sets where they are many. So no link that could join two
+components is left out, and a large group costs links in proportion to its size. What
+stays quadratic is a list of many documents that are not near copies of each other,
+which share four neighbouring retained values all the same.
 
 Defined cases: a null or empty text, or one without words, has the empty set and is
 linked with nothing; a text with fewer words than a shingle has one shingle of them
@@ -45,7 +47,6 @@ from .components import components
 
 K = 64
 SIGMAS = 5
-LONG, CENTRES = 16, 4
 #: Lists with more pairs to look at than this are worked through in blocks of about so many sets and bytes.
 PLAIN_PAIRS, BLOCK, BLOCK_BYTES = 2048, 512, 4 << 20
 BROADCAST_ROWS = 500_000
@@ -99,21 +100,28 @@ def run_length(similarity: float) -> int:
 
 
 def runs(classes: DataFrame, similarity: float, k: int = K) -> DataFrame:
-    """Runs that two or more of classes(node, n, sketch) have: value, df (how many), node, n."""
+    """Inverted lists of the runs of classes(node, n, sketch)."""
     r = run_length(similarity)
     marks = lambda low: F.array(*[F.lit((-(1 << 63) + i) if low else ((1 << 63) - 1 - i)) for i in range(2)])
     marked = F.when(F.col("n") <= k, F.concat(marks(True), F.col("sketch"), marks(False))).otherwise(F.col("sketch"))
     places = F.sequence(F.lit(1), F.size("_m") - r + 1)
     held = classes.withColumn("_m", marked).where(F.size("_m") >= r)
     held = held.select("node", "n", F.explode(F.transform(places, lambda i: F.xxhash64(F.slice("_m", i, F.lit(r))))).alias("value"))
-    counts = held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    return held.join(counts, "value").select("value", "df", "node", "n")
+    return inverted(held)
 
 
-def _fits(similarity: float) -> Column:
+def inverted(held: DataFrame) -> DataFrame:
+    """Inverted lists of held(value, node, n) with two members or more: value, df (how many), centre (node, n), node, n."""
+    # sums of numbers only, which need no sorting
+    heads = held.groupBy("value").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("_node"), F.min_by("n", "node").alias("_n")).where("df > 1")
+    heads = heads.select("value", "df", F.struct(F.col("_node").alias("node"), F.col("_n").alias("n")).alias("centre"))
+    return held.join(heads, "value").select("value", "df", "centre", "node", "n")
+
+
+def _fits(similarity: float, x: str = "x", y: str = "y") -> Column:
     """Sets of too different sizes can't be similar."""
     percent = round(similarity * 100)
-    return (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    return (F.col(f"{x}.n") * 100 >= F.col(f"{y}.n") * percent) & (F.col(f"{y}.n") * 100 >= F.col(f"{x}.n") * percent)
 
 
 def _agreement(x: np.ndarray, y: np.ndarray, nx: int, ny: int, k: int) -> tuple[int, int]:
@@ -270,22 +278,16 @@ def document_texts(docs: DataFrame, key: str, text: str) -> Callable[[DataFrame]
 def links(lists: DataFrame, screen: Callable[[DataFrame], DataFrame], texts: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
     """Confirmed links (a, b) that join the same components as all links would.
 
-    lists(value, df, node, n) are inverted lists of which every two similar nodes share one.
+    lists are inverted lists of which every two similar nodes share one.
     """
     front = stored(lists, "lists")
-    short, long_ = front.where(F.col("df") <= LONG), front.where(F.col("df") > LONG)
-    pair = lambda x, y, more: x.alias("x").join(y.alias("y"), (F.col("x.value") == F.col("y.value")) & _fits(similarity) & more)
-    ends = lambda df: df.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    near = ends(pair(short, short, F.col("x.node") < F.col("y.node")))
-    # Of a long list the members with the smallest hashes are centres, found within parts of it first.
-    pick = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("_h", "node"))
-    centre = long_.withColumns({"_h": F.xxhash64("node"), "_part": F.pmod(F.xxhash64("node", F.lit(1)), F.lit(64))})
-    centre = centre.withColumn("_r", pick("value", "_part")).where(f"_r <= {CENTRES}").withColumn("_r", pick("value")).where(f"_r <= {CENTRES}").select("value", "node", "n")
-    first = stored(near.unionByName(ends(pair(centre, long_, F.col("x.node") != F.col("y.node")))).distinct(), "candidates")
+    ends = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+    one = front.select("centre", F.struct("node", "n").alias("member")).where("centre.node <> member.node").where(_fits(similarity, "centre", "member"))
+    first = stored(ends(one, "centre.node", "member.node"), "candidates")
     found = stored(confirmed(screen(first), texts, words, similarity), "links")
     # What the centres left apart.
     groups = components(found)
-    labelled = long_.join(groups.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = front.where("df > 2").select("value", "node", "n").join(groups.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = stored(labelled, "labelled")
     held = labelled.groupBy("value", "component").agg(F.count(F.lit(1)).alias("size"), (F.sum("n") * 8).alias("bytes"))
     by_list = held.groupBy("value").agg(
@@ -300,7 +302,8 @@ def links(lists: DataFrame, screen: Callable[[DataFrame], DataFrame], texts: Cal
     )
     labelled = stored(labelled.join(by_list, "value"), "open-lists")
     plain, large = labelled.where(F.col("pairs") <= PLAIN_PAIRS), labelled.where(F.col("pairs") > PLAIN_PAIRS)
-    rest = ends(pair(plain.where("component <> largest"), plain, (F.col("x.node") != F.col("y.node")) & (F.col("x.component") != F.col("y.component"))))
+    other = (F.col("x.value") == F.col("y.value")) & (F.col("x.component") != F.col("y.component")) & _fits(similarity)
+    rest = ends(plain.where("component <> largest").alias("x").join(plain.alias("y"), other), "x.node", "y.node")
     rest = stored(rest.join(first, ["a", "b"], "left_anti"), "candidates")
     wanted = stored(large.select("node").distinct(), "ends")
     blocked = block_links(large.where("component <> largest"), large, full_sets(texts(wanted), words), similarity)

@@ -108,8 +108,7 @@ def repeated_paragraphs(docs: DataFrame, words: int, similarity: float, min_word
     bands, rows = tuned(similarity)
     band = F.array(*[F.xxhash64(F.lit(k), F.slice("signature", k * rows + 1, rows)) for k in range(bands)])
     held = full.select(F.explode(band).alias("value"), "node", "n")
-    counts = held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    lists = held.join(counts, "value").select("value", "df", "node", "n")
+    lists = neardup.inverted(held)
 
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
     floor = similarity - neardup.SIGMAS * (similarity * (1 - similarity) / PERMUTATIONS) ** 0.5
