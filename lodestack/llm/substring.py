@@ -18,8 +18,8 @@ by doc_id and place stays; neighbouring windows with the same first document are
 passage. What a paragraph's row says already isn't listed again, and links chain: the
 first holder of a run may lie in a paragraph that goes for a similar one.
 
-Defined cases: a null or empty text has no paragraphs; paragraphs with equal shingle
-sets are one class and linked; a paragraph that repeats within a document counts like
+Defined cases: a null or empty text has no paragraphs; paragraphs with the same
+words are one class and linked; a paragraph that repeats within a document counts like
 one across documents; rows without a doc_id take no part (``cut_repeats`` keeps them);
 doc_ids are taken to be unique, and of repeated rows every one is cut alike; an empty
 table gives an empty table; extra columns are not read; a doc_id of repeated rows is
@@ -46,6 +46,8 @@ from .components import components
 
 WORDS, SIMILARITY, MIN_WORDS = 5, 0.8, 50
 PERMUTATIONS, RECALL = 48, 0.9999
+#: Texts are laid out as arrays of words so many bytes at a time.
+PART_BYTES = 1 << 20
 
 
 def tuned(similarity: float, permutations: int = PERMUTATIONS, recall: float = RECALL) -> tuple[int, int]:
@@ -56,49 +58,82 @@ def tuned(similarity: float, permutations: int = PERMUTATIONS, recall: float = R
 
 
 def _multipliers(n: int) -> np.ndarray:
-    return np.random.default_rng(5).integers(1, 1 << 63, (2, n), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return np.random.default_rng(5).integers(1, 1 << 31, (2, n), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def signature(shingles: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
-    """The upper halves of the minima of each permutation."""
-    x = shingles.view(np.uint64)
-    out = np.full(multipliers.shape[1], np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(x), 512):
-        part = x[at : at + 512, None] * multipliers[0][None] + multipliers[1][None]
-        out = np.minimum(out, part.min(axis=0))
-    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def signatures(shingles: np.ndarray, first: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """The minima of each permutation over the upper halves of the hashes from each first one up to the next."""
+    x = (shingles >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(first), multipliers.shape[1]), dtype=np.uint32)
+    ends, at = np.append(first, len(x))[1:], 0
+    while at < len(first):  # as many sets at once as stay in the processor's cache
+        last = max(at + 1, int(np.searchsorted(ends, first[at] + 32768, "right")))
+        part, cuts = x[first[at] : ends[last - 1]], first[at:last] - first[at]
+        for k, (a, b) in enumerate(multipliers.T):
+            out[at:last, k] = np.minimum.reduceat(part * a + b, cuts)
+        at = last
+    return out.view(np.int32)
+
+
+def _lists(values: np.ndarray):
+    """An Arrow array of the rows of a table, as lists."""
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
 
 
 def paragraphs(docs: DataFrame, words: int, min_words: int, key: str, text: str, permutations: int = PERMUTATIONS) -> DataFrame:
-    """Paragraphs of at least min_words words: doc_id, paragraph (line number), start, end, n_words, n, d1, d2, signature."""
+    """Paragraphs of at least min_words words: doc_id, paragraph (line number), start, end, n_words, n (shingles), d1, d2 (a digest of its words), signature.
+
+    A shingle has ``words`` words, or min_words if those are fewer.
+    """
     ship(docs.sparkSession)
+    width = min(words, min_words)
 
     def run(batches):
+        import pyarrow as pa
         import xxhash
 
-        by = _multipliers(permutations)
-        for b in batches:
-            out = []
-            for doc, t in zip(b["doc_id"], b["text"]):
+        by, digest = _multipliers(permutations), xxhash.xxh3_128_digest
+        kept_for("paragraphs")
+        for b in _parts(batches):
+            held, made, digests = [], [], []
+            for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 at = 0
                 for number, line in enumerate(t.split("\n")):
-                    n_words = len(line.split()) if len(line) >= 2 * min_words - 1 else 0
-                    if n_words >= min_words:
-                        s = neardup.shingles(line, words)
-                        d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
-                        out.append((doc, number, at, at + len(line), n_words, len(s), int(d[0]), int(d[1]), signature(s, by)))
+                    if len(line) >= 2 * min_words - 1:
+                        found = line.encode("utf-8", "surrogatepass").translate(neardup._LOWER).split()
+                        if len(found) >= min_words:
+                            held += found
+                            made.append((doc, number, at, at + len(line), len(found)))
+                            digests.append(digest(b" ".join(found)))
                     at += len(line) + 1
-            yield pd.DataFrame(out, columns=["doc_id", "paragraph", "start", "end", "n_words", "n", "d1", "d2", "signature"])
+            table = np.array(made, dtype=np.int64).reshape(-1, 5)
+            sizes = table[:, 4]
+            x = _joined_n(_hashed(held), width)
+            # shingles within one line, and how many of them are different
+            place = np.arange(len(x))
+            line = np.repeat(np.arange(len(sizes)), sizes)[: len(x)]
+            inside = place + width <= np.cumsum(sizes)[line]
+            x, line = x[inside], line[inside]
+            first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else line
+            bits = np.uint64(max(1, int(len(sizes)).bit_length()))
+            in_order = np.sort((line.astype(np.uint64) << (np.uint64(64) - bits)) | (x >> bits))
+            new = np.r_[True, in_order[1:] != in_order[:-1]] if len(in_order) else np.empty(0, dtype=bool)
+            n = np.add.reduceat(new.astype(np.int64), first) if len(first) else first
+            d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            columns = [*(pa.array(c) for c in table.T), pa.array(n.astype(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in d.T), _lists(signatures(x, first, by))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "paragraph", "start", "end", "n_words", "n", "d1", "d2", "signature"])
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
     schema = "doc_id long, paragraph long, start long, `end` long, n_words long, n long, d1 long, d2 long, signature array<int>"
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def repeated_paragraphs(docs: DataFrame, words: int, similarity: float, min_words: int, key: str, text: str) -> DataFrame:
     """Paragraphs that repeat: doc_id, paragraph, start, end, n_words, first_doc_id and first_paragraph of the group, kept."""
     all_ = stored(paragraphs(docs, words, min_words, key, text), "paragraphs")
-    # A class of equal sets goes by one half of its digest; both halves name it among paragraphs.
+    # A class of equal words goes by one half of its digest; both halves name it among paragraphs.
     place = F.struct("doc_id", "paragraph")
     classes = all_.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("size"))
     classes = stored(classes.select(F.col("d1").alias("node"), "d2", "first", "size"), "classes")
@@ -132,12 +167,11 @@ def repeated_paragraphs(docs: DataFrame, words: int, similarity: float, min_word
     return out.select("doc_id", "paragraph", "start", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"), kept.alias("kept"))
 
 
-def _hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word of a text."""
+def _hashed(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word."""
     import xxhash
 
-    h = xxhash.xxh3_64_intdigest
-    return np.array([h(w) for w in text.encode("utf-8", "surrogatepass").translate(neardup._LOWER).split()], dtype=np.uint64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def _joined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -161,26 +195,101 @@ def grams(x: np.ndarray, n: int) -> np.ndarray:
         block, length = _joined(block[:-length], block[length:]), 2 * length
 
 
-def blocks(x: np.ndarray, run: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, number, mark, block) of neighbouring windows of run words with the same least gram, the mark; block is a hash of all their words."""
+def _joined_n(x: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every n neighbours of x, one after the other."""
+    if len(x) < n:
+        return x[:0]
+    out = x[: len(x) - n + 1]
+    for k in range(1, n):
+        out = _joined(out, x[k : len(x) - n + 1 + k])
+    return out
+
+
+def _least(g: np.ndarray, wide: int) -> np.ndarray:
+    """The place of the least of every ``wide`` neighbours, counted from the first of them; argmin copies its windows, so a few at a time."""
+    view = np.lib.stride_tricks.sliding_window_view(g, wide)
+    return np.concatenate([view[k : k + 8192].argmin(axis=1) for k in range(0, len(view), 8192)])
+
+
+def blocks(x: np.ndarray, sizes: np.ndarray, run: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, number, mark, block) of neighbouring windows of run words with the same least gram, the mark; block is a hash of all their words.
+
+    x are the words of texts of these sizes in a row; windows lie within one text.
+    """
+    none = (np.empty(0, dtype=np.int64),) * 4
     h, g, wide = grams(x, run), grams(x, gram), run - gram + 1
     if not len(h):
-        return (np.empty(0, dtype=np.int64),) * 4
-    at = np.lib.stride_tricks.sliding_window_view(g, wide).argmin(axis=1) + np.arange(len(h))
+        return none
+    s = np.flatnonzero(np.repeat(np.cumsum(sizes), sizes)[: len(h)] - np.arange(len(h)) >= run)
+    if not len(s):
+        return none
+    at = _least(g, wide)[s] + s
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    n = np.diff(np.r_[first, len(h)])
+    n = np.diff(np.r_[first, len(s)])
+    begin, mark = s[first], g[at[first]]
     # Two windows with the same gram overlap, so the first and the last one hold all words.
-    block = _joined(_joined(h[first], h[first + n - 1]), g[at[first]] + n.astype(np.uint64))
-    return first, n, g[at[first]].view(np.int64), block.view(np.int64)
+    block = _joined(_joined(h[begin], h[begin + n - 1]), mark + n.astype(np.uint64))
+    return begin, n, mark.view(np.int64), block.view(np.int64)
+
+
+class Laid:
+    """Words of texts in a row: sizes (words of each text), base (words before each text), line (a word's line number in its text)."""
+
+    def __init__(self, texts: list[bytes]):
+        self.raw = b"\n".join(texts)
+        self.codes = codes = np.frombuffer(self.raw, np.uint8)
+        blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
+        turns = np.flatnonzero(np.diff(np.r_[True, blank, True]))
+        self.start, self.end = turns[::2], turns[1::2]
+        self.offset = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+        self.base = np.searchsorted(self.start, self.offset)
+        self.sizes = np.diff(np.r_[self.base, len(self.start)])
+        breaks = np.flatnonzero(codes == 10)
+        self.line = np.searchsorted(breaks, self.start) - np.repeat(np.searchsorted(breaks, self.offset), self.sizes)
+
+    def hashes(self) -> np.ndarray:
+        return _hashed(self.raw.translate(neardup._LOWER).split())
+
+    def spans(self, first: np.ndarray, last: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code points in its text at which the first word begins and the last one ends."""
+        before = np.r_[0, np.cumsum((self.codes & 0xC0) == 0x80)]  # bytes that go on a character
+        zero = self.offset[text] - before[self.offset[text]]
+        return self.start[first] - before[self.start[first]] - zero, self.end[last] - before[self.end[last]] - zero
 
 
-def _places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, line number) of each word of a text."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    blank = np.r_[True, (codes == 32) | ((codes >= 9) & (codes <= 13)), True]
-    turns = np.flatnonzero(blank[1:] != blank[:-1])
-    start, end = turns[::2], turns[1::2]
-    return start, end, np.searchsorted(np.flatnonzero(codes == 10), start)
+def _parts(batches):
+    """Batches, cut so that a part has about PART_BYTES of text at most, or one document."""
+    import pyarrow.compute as pc
+
+    for b in batches:
+        ends, at = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while at < len(ends):
+            last = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART_BYTES, "right")))
+            yield b.slice(at, last - at)
+            at = last
+
+
+def _entries(column, *names: str) -> tuple[np.ndarray, ...]:
+    """For a column of lists of structs: the row of each entry, and the entries' fields."""
+    import pyarrow.compute as pc
+
+    flat = column.flatten()
+    counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), counts), *(flat.field(n).to_numpy(zero_copy_only=False) for n in names)
+
+
+def _spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For entries of n places each: the entry and the number of every place."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _batch(schema: str, columns: list[np.ndarray]):
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    fields = [f.replace("`", "").split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(kinds[kind].to_pandas_dtype())) for c, (_, kind) in zip(columns, fields)], [n for n, _ in fields])
 
 
 def _at(rows: DataFrame, by_doc: DataFrame, column: str) -> DataFrame:
@@ -190,16 +299,6 @@ def _at(rows: DataFrame, by_doc: DataFrame, column: str) -> DataFrame:
     return rows.join(F.broadcast(by_doc) if few else by_doc, "doc_id")
 
 
-def _frame(parts: list, names: list[str]) -> pd.DataFrame:
-    """One table of parts, tuples of columns as arrays or values for all of a part's rows."""
-    columns = [[] for _ in names]
-    for part in parts:
-        n = max((len(c) for c in part if isinstance(c, np.ndarray)), default=0)
-        for held, c in zip(columns, part):
-            held.append(c if isinstance(c, np.ndarray) else np.full(n, c))
-    return pd.DataFrame({name: np.concatenate(held) if held else np.empty(0, dtype=np.int64) for name, held in zip(names, columns)})
-
-
 def equal_windows(rows: DataFrame, run: int) -> DataFrame:
     """Ranges of equal windows of run words: doc_id, at, to (the first and last window's word), first_doc_id, first_at, first_line.
 
@@ -208,19 +307,20 @@ def equal_windows(rows: DataFrame, run: int) -> DataFrame:
     """
     gram = max(1, run // 3)
 
+    marked = "doc_id long, at int, n int, line int, mark long, block long"
+
     def mark(batches):
         kept_for("passages")
-        for b in batches:
-            made = []
-            for doc, t in zip(b["doc_id"], b["text"]):
-                at, n, m, block = blocks(_hashes(t), run, gram)
-                if len(at):
-                    made.append((doc, at, n, _places(t)[2][at], m, block))
-            yield _frame(made, ["doc_id", "at", "n", "line", "mark", "block"])
-
-    marks = stored(rows.mapInPandas(mark, "doc_id long, at int, n int, line int, mark long, block long"), "marks")
-    shared = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1").drop("_df")
-    hits = stored(marks.join(shared, "mark"), "hits")
+        for b in _parts(batches):
+            ids, laid = b.column("doc_id").to_numpy(), Laid(b.column("text").to_pylist())
+            at, n, m, block = blocks(laid.hashes(), laid.sizes, run, gram)
+            text = np.searchsorted(laid.base, at, "right") - 1
+            yield _batch(marked, [ids[text], at - laid.base[text], n, laid.line[at], m, block])
+
+    marks = stored(rows.mapInArrow(mark, marked), "marks")
+    # A table of its own: both sides of the join come straight from a shuffle, so that a very common mark can be split.
+    shared = stored(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1").drop("_df"), "marks")
+    hits = stored(marks.join(shared, "mark"), "hits", instead_of=marks)
     classes = hits.groupBy("block").agg(F.min("mark").alias("mark"), F.min(F.struct("doc_id", "at", "line", "n")).alias("first"), F.count(F.lit(1)).alias("size"))
     classes = stored(classes.select("block", "mark", "first.*", "size"), "classes")
     several = classes.groupBy("mark").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1").drop("_df")
@@ -228,19 +328,19 @@ def equal_windows(rows: DataFrame, run: int) -> DataFrame:
     whole = whole.select("block", F.lit(0).alias("i"), (F.col("n") - 1).alias("j"), F.col("doc_id").alias("first_doc_id"), F.col("at").alias("first_at"), F.col("line").alias("first_line"))
     open_ = classes.join(several, "mark").groupBy("doc_id").agg(F.collect_list(F.struct("block", "at", "n", "size")).alias("open"))
 
+    windows = "h long, block long, i int, doc_id long, at int, line int, size long"
+
     def spread(batches):
         kept_for("passages")
-        for b in batches:
-            made = []
-            for doc, t, found in zip(b["doc_id"], b["text"], b["open"]):
-                h = grams(_hashes(t), run)
-                line = _places(t)[2]
-                for r in found:
-                    at = np.arange(r["at"], min(r["at"] + r["n"], len(h)))
-                    made.append((h[at].view(np.int64), r["block"], at - r["at"], doc, at, line[at], r["size"]))
-            yield _frame(made, ["h", "block", "i", "doc_id", "at", "line", "size"])
-
-    single = stored(_at(rows, open_, "open").mapInPandas(spread, "h long, block long, i int, doc_id long, at int, line int, size long"), "windows")
+        for b in _parts(batches):
+            ids, laid = b.column("doc_id").to_numpy(), Laid(b.column("text").to_pylist())
+            h = grams(laid.hashes(), run)
+            text, block, at, n, size = _entries(b.column("open"), "block", "at", "n", "size")
+            which, i = _spread(np.clip(np.minimum(n, laid.sizes[text] - run + 1 - at), 0, None))
+            place = laid.base[text[which]] + at[which] + i
+            yield _batch(windows, [h[place].view(np.int64), block[which], i, ids[text[which]], at[which] + i, laid.line[place], size[which]])
+
+    single = stored(_at(rows, open_, "open").mapInArrow(spread, windows), "windows")
     first = single.groupBy("h").agg(F.min(F.struct("doc_id", "at", "line")).alias("first"), F.sum("size").alias("size")).where("size > 1").drop("size")
     found = single.select("h", "block", "i").join(first, "h")
     by = ["block", "first_doc_id", "_shift"]
@@ -255,39 +355,38 @@ def repeated_runs(docs: DataFrame, lines: DataFrame, min_words: int, key: str, t
     """Runs of more than min_words words that repeat and that lines, the repeated paragraphs, don't name; columns as there."""
     ship(docs.sparkSession)
     run = min_words + 1
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), text_of(text).cast("binary").alias("text"))
     equal = equal_windows(rows, run).groupBy("doc_id").agg(F.collect_set(F.struct("at", "to", "first_doc_id", "first_at", "first_line")).alias("equal"))
     named = lines.groupBy("doc_id").agg(F.collect_set(F.struct("paragraph", "kept")).alias("named"))
 
+    schema = "doc_id long, paragraph long, start long, `end` long, n_words long, first_doc_id long, first_paragraph long, kept boolean"
+
     def merged(batches):
         kept_for("passages")
-        names = ["doc_id", "paragraph", "start", "end", "n_words", "first_doc_id", "first_paragraph", "kept"]
-        for b in batches:
-            out = []
-            for doc, t, found, lines_ in zip(b["doc_id"], b["text"], b["equal"], b["named"]):
-                found = sorted((r["at"], r["to"], r["first_doc_id"], r["first_at"], r["first_line"]) for r in found)
-                places: list[list] = []
-                kept_of = {} if lines_ is None else {r["paragraph"]: r["kept"] for r in lines_}
-                start, end, line = _places(t)
-                last = None
-                for at, to, first, first_at, first_line in found:
-                    kept = first == doc and first_at == at
-                    s = np.arange(at, min(to, len(line) - run) + 1)
-                    if kept_of:  # without what the paragraph's row says
-                        said = [number for number, stays in kept_of.items() if kept or not stays]
-                        s = s[(line[s] != line[s + run - 1]) | ~np.isin(line[s], said)]
-                    for part in np.split(s, np.flatnonzero(np.diff(s) > 1) + 1) if len(s) else []:
-                        x, y = int(part[0]), int(part[-1])
-                        if last and last[0] == (first, kept) and x <= last[2] + 1:
-                            last[2] = max(y, last[2])
-                        else:
-                            last = [(first, kept), x, y, first_line]
-                            places.append(last)
-                out += [(doc, int(line[x]), int(start[x]), int(end[y + run - 1]), y - x + run, first, at, kept) for (first, kept), x, y, at in places]
-            yield pd.DataFrame(out, columns=names)
-
-    schema = "doc_id long, paragraph long, start long, `end` long, n_words long, first_doc_id long, first_paragraph long, kept boolean"
-    return _at(rows, equal.join(named, "doc_id", "left"), "equal").mapInPandas(merged, schema)
+        for b in _parts(batches):
+            ids, laid = b.column("doc_id").to_numpy(), Laid(b.column("text").to_pylist())
+            text, *ranges = _entries(b.column("equal"), "at", "to", "first_doc_id", "first_at", "first_line")
+            order = np.lexsort((ranges[0], text))
+            text, (at, to, first, first_at, first_line) = text[order], (c[order] for c in ranges)
+            kept = (first == ids[text]) & (first_at == at)
+            # every window, by text and place
+            r, i = _spread(np.clip(np.minimum(to, laid.sizes[text] - run) - at + 1, 0, None))
+            s = at[r] + i
+            place = laid.base[text[r]] + s
+            # without what the paragraph's row says
+            of, number, stays = _entries(b.column("named"), "paragraph", "kept")
+            own = laid.line[place]
+            code, said = text[r] << 32 | own, of << 32 | number
+            said = np.where(kept[r], np.isin(code, said), np.isin(code, said[~stays.astype(bool)])) & (own == laid.line[place + run - 1])
+            r, s, place = r[~said], s[~said], place[~said]
+            turn = lambda c: c[1:] != c[:-1]
+            new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1] + 1) | turn(text[r]) | turn(first[r]) | turn(kept[r])]) if len(r) else r
+            last = np.r_[new[1:], len(r)].astype(np.int64) - 1 if len(r) else r
+            x, y, r = place[new], place[last] + run - 1, r[new]
+            start, end = laid.spans(x, y, text[r])
+            yield _batch(schema, [ids[text[r]], laid.line[x], start, end, y - x + 1, first[r], first_line[r], kept[r]])
+
+    return _at(rows, equal.join(named, "doc_id", "left"), "equal").mapInArrow(merged, schema)
 
 
 def repeats(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:

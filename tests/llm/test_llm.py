@@ -462,11 +462,49 @@ def test_blocks_hold_every_window():
         x = rng.integers(0, alphabet, 700).astype(np.uint64)
         x[300:500] = 0
         for run, gram in ((51, 17), (9, 3), (2, 1)):
-            g, (at, n, mark, _) = substring.grams(x, gram).view(np.int64), substring.blocks(x, run, gram)
-            assert [s for a, k in zip(at, n) for s in range(a, a + k)] == list(range(len(x) - run + 1))
-            of = np.repeat(mark, n)
-            assert all(of[s] == g[s : s + run - gram + 1].view(np.uint64).min().view(np.int64) for s in range(len(of)))
-    assert len(substring.blocks(x[:50], 51, 17)[0]) == 0
+            g = substring.grams(x, gram).view(np.int64)
+            for sizes in ([700], [0, 100, 0, 30, 8, 1, 561, 0]):
+                at, n, mark, _ = substring.blocks(x, np.array(sizes), run, gram)
+                ends = np.cumsum(sizes)
+                assert [s for a, k in zip(at, n) for s in range(a, a + k)] == [s for z, k in zip(ends, sizes) for s in range(z - k, z - run + 1)]
+                of = np.repeat(mark, n)
+                places = [s for a, k in zip(at, n) for s in range(a, a + k)]
+                assert all(m == g[s : s + run - gram + 1].view(np.uint64).min().view(np.int64) for m, s in zip(of, places))
+    assert len(substring.blocks(x[:50], np.array([50]), 51, 17)[0]) == 0
+
+
+def test_laid_words():
+    texts = ["", "one two\n three", " \n\né 😀x\r\ny\u00a0z ", "", "end", "\x0b"]
+    laid = substring.Laid([t.encode() for t in texts])
+    for k, t in enumerate(texts):
+        found = list(re.finditer(r"[^\x20\x09-\x0D]+", t))
+        at = np.arange(laid.base[k], laid.base[k] + laid.sizes[k])
+        start, end = laid.spans(at, at, np.full(len(at), k))
+        assert [m.span() for m in found] == list(zip(start.tolist(), end.tolist()))
+        assert [t[: m.start()].count("\n") for m in found] == laid.line[at].tolist()
+    assert len(laid.hashes()) == len(laid.start) and len(substring.Laid([]).hashes()) == 0 and len(substring.Laid([b"", b""]).start) == 0
+
+
+def test_parts_of_batches():
+    import pyarrow as pa
+
+    entry = lambda k: [{"at": k, "to": k + 1}] * (k % 3)
+    texts = [b"x" * n for n in (0, 5, 2 * substring.PART_BYTES, 7, substring.PART_BYTES - 7, 1)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "equal": [entry(k) if k != 4 else None for k in range(6)]})
+    parts = list(substring._parts([batch]))
+    assert [len(p) for p in parts] == [2, 1, 2, 1] and [t for p in parts for t in p.column("text").to_pylist()] == texts
+    got = [(int(r) + sum(map(len, parts[:n])), int(a)) for n, p in enumerate(parts) for r, a, _ in zip(*substring._entries(p.column("equal"), "at", "to"))]
+    assert got == [(k, k) for k in range(6) for _ in entry(k) if k != 4]
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    sets = [x[:100], x[10:110], x[2000:2001], x[:2900], x[:2900], x[100:3000]]
+    first = np.cumsum([0, *map(len, sets)])[:-1]
+    sig = substring.signatures(np.concatenate(sets), first, substring._multipliers(256))
+    same = lambda a, b: float((sig[a] == sig[b]).mean())
+    assert abs(same(0, 1) - 90 / 110) < 0.12 and same(3, 4) == 1 and abs(same(3, 5) - 2800 / 3000) < 0.08 and same(0, 2) < 0.05
 
 
 # 9. Ids
