@@ -5,10 +5,11 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from os.path import abspath
 from posixpath import normpath
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
@@ -27,6 +28,16 @@ def _name(path: str | Column = "path") -> Column:
     return F.element_at(F.split(F.col(path) if isinstance(path, str) else path, "/"), -1)
 
 
+def plain_path(path: str | Column) -> Column:
+    """A local path without its scheme, so that it can be compared with one that was never given any."""
+    return F.regexp_replace(F.col(path) if isinstance(path, str) else path, "^file:/+", "/")
+
+
+def _source() -> Column:
+    """The file a row comes from, as it is written: Spark gives it percent-encoded."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def listing(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
     """[E18, S13 to S15] path, name, extension, length, modificationTime; file contents aren't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path)
@@ -44,9 +55,10 @@ def main_logs(files: DataFrame) -> DataFrame:
 
 
 def resolved_logs(files: DataFrame, explicit: list[str] | None = None, everything: bool = False) -> DataFrame:
-    """[S3 to S6] An explicit choice, or all main logs by name, or the one changed last (the greater name at one time)."""
+    """[S3 to S6] An explicit choice by path, URI or bare name, or all main logs by name, or the one changed last (the greater name at one time)."""
     if explicit:
-        return files.where(F.col("path").isin(*explicit) | F.col("name").isin(*explicit)).select("path")
+        paths = ["/" + x.removeprefix("file:").lstrip("/") if x.startswith("file:") else x if "://" in x else abspath(x) for x in explicit]
+        return files.where(plain_path("path").isin(*paths) | F.col("name").isin(*explicit)).select("path")
     logs = main_logs(files)
     if everything:
         return logs.select("path").orderBy("path")
@@ -54,38 +66,64 @@ def resolved_logs(files: DataFrame, explicit: list[str] | None = None, everythin
 
 
 def log_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """[S1, S2, H1] file, line_no, value of logs; a carriage return at a line's end goes. A file is numbered as a whole, so it is one task's."""
-    whole = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n", -1)).alias("line_no", "value"))
-    return whole.select("file", F.col("line_no").cast("long").alias("line_no"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    """[S1, S2, H1] file, line_no from 0, value of logs; a carriage return at a line's end goes.
+
+    Files are read by splits, so a log may be of any size. A line's number is its place in its split and the lines of the
+    file's earlier splits: only a count for each split is gathered.
+    """
+    rows = spark.read.option("lineSep", "\n").text(list(paths)).select("value", _source().alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    splits = rows.groupBy("file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    numbered = rows.join(splits, ["file", "_block"])
+    return numbered.select("file", (F.col("_id") + F.col("_shift")).alias("line_no"), F.regexp_replace("value", r"\r$", "").alias("value"))
 
 
 def markdown(spark: SparkSession, path: str) -> DataFrame:
-    """[S7] name, content of the *.md files of a folder, itself only."""
+    """[S7] name, content of the *.md files of a folder, itself only, by name."""
     docs = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    return docs.select(_name(F.input_file_name()).alias("name"), F.col("value").alias("content"))
+    return docs.select(_name(_source()).alias("name"), F.col("value").alias("content")).orderBy("name")
 
 
 def parsed_parts(spark: SparkSession, path: str) -> DataFrame:
     """[S11, E14] subject, part, text of <path>/<subject>[_part<n>]/full.md; [D29] a whole text counts as part 0 beside parts."""
     docs = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "full.md").text(path, wholetext=True)
-    folder = F.element_at(F.split(F.input_file_name(), "/"), -2)
+    folder = F.element_at(F.split(_source(), "/"), -2)
     return docs.select(T.part_of(folder).alias("p"), F.col("value").alias("text")).select("p.subject", F.coalesce("p.part", F.lit(0)).alias("part"), "text")
 
 
+def pending_inputs(inputs: DataFrame, parts: DataFrame) -> DataFrame:
+    """[U6, J6] What is to be parsed: all parts that can be, and of the inputs those that can be but are neither PDF nor split already."""
+    from ..operators.organize import unsplit
+
+    others = [x for x in P.SUPPORTED if x != "pdf"]
+    rest = inputs.where(F.col("extension").isin(*others))
+    office = unsplit(rest.where("extension = 'docx'"), parts)
+    return parts.where(T.supported("path")).unionByName(rest.where("extension <> 'docx'")).unionByName(office)
+
+
 def image_files(files: DataFrame) -> DataFrame:
     """[S12] Files of folders named images: name, path, folder."""
     return files.where(F.col("path").rlike("/images/[^/]+$")).select("name", "path", F.element_at(F.split("path", "/"), -3).alias("folder"))
 
 
 def progress_items(spark: SparkSession, path: str) -> DataFrame:
-    """[S8, S9, D10, H10] Items at any depth, with _corrupt for files that aren't JSON: skip them for progress, count them as invalid."""
-    reader = spark.read.schema(f"{ITEM_SCHEMA}, _corrupt string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
-    return reader.json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
+    """[S8, S9, D10, H10] Items at any depth, one or more a file, with _corrupt for what isn't JSON: skip it for progress, count it as invalid."""
+    texts = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    each = F.when(F.forall(lines, lambda x: x.startswith("{") & F.rtrim(x, F.lit(" \r")).endswith("}")), lines).otherwise(F.array("value"))
+    return json_items(texts.select(F.explode(each).alias("value")))
+
+
+def json_items(texts: DataFrame, content: str = "value") -> DataFrame:
+    """[E6] Items of JSON texts; one that can't be read is kept in _corrupt."""
+    item = F.from_json(content, f"{ITEM_SCHEMA}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return texts.select(item.alias("item")).select("item.*")
 
 
 def task_states(spark: SparkSession, path: str) -> DataFrame:
-    """[S10, D19] Task states; files that aren't JSON are no state."""
-    reader = spark.read.schema(f"{STATE_SCHEMA}, _corrupt string").option("pathGlobFilter", "*.json")
+    """[S10, D19] Task states, at any depth; files that aren't JSON are no state."""
+    reader = spark.read.schema(f"{STATE_SCHEMA}, _corrupt string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
     # parsed once and kept: a filter on the corrupt column alone would read nothing else
     states = reader.json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
     return states.where("_corrupt is null and file is not null").drop("_corrupt")
@@ -134,4 +172,9 @@ def unzipped(files: DataFrame) -> DataFrame:
 
 def images_base64(files: DataFrame) -> DataFrame:
     """[S20, without resizing] path and content of image files as base64."""
-    return files.select("path", F.base64("content").alias("image"))
+    return files.select("path", base64_of("content").alias("image"))
+
+
+def base64_of(content: str | Column) -> Column:
+    """Base64 in one line: Spark's own breaks it after 76 characters."""
+    return F.translate(F.base64(content), "\r\n", "")

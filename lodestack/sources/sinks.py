@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions.text import _c
+from ..operators.sessions import latest_per_key
+from .files import ITEM_SCHEMA, STATE_SCHEMA
 
 SESSION_COLUMNS = ("key", "thread_id", "tool_calls", "status", "elapsed_sec", "error_type", "error_msg", "img_type")
 
@@ -29,16 +35,115 @@ def write_thread_logs(lines: DataFrame, path: str) -> None:
     ordered.drop("line_no").write.mode("overwrite").partitionBy("log", "tid").text(path)
 
 
-def write_documents(docs: DataFrame, path: str, name: str = "name", content: str = "content") -> None:
-    """[K5, K6] One text file's worth for each document, below a folder of its name."""
-    docs.select(name, content).write.mode("overwrite").option("lineSep", "\n").partitionBy(name).text(path)
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and a function that makes its paths."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's listings write it."""
+    fs, make = _files(spark, path)
+    return fs.makeQualified(make(path)).toString()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """[F43]"""
+    fs, make = _files(spark, path)
+    return fs.exists(make(path))
 
 
-def write_items(items: DataFrame, path: str, key: str = "key") -> None:
-    """[K3, K4, K13] Progress items as JSON, by document and safe name; a folder appears when its job is committed, never in part."""
+def write_documents(docs: DataFrame, path: str, name: str = "name", content: str = "content") -> None:
+    """[K5, K6] One file ``<path>/<name>`` for each document, with .md where the name has no such end.
+
+    Executors write; the driver only renames, one rename a document. A text file ends with a line end.
+    """
+    spark = docs.sparkSession
+    fs, make = _files(spark, path)
+    fs.mkdirs(make(path))
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    # the writer adds the last line end
+    whole = docs.select(name, F.regexp_replace(content, r"\n\z", "").alias("_text"))
+    whole.repartition(name).write.partitionBy(name).text(staged)
+    for folder in fs.listStatus(make(staged)):
+        said = folder.getPath().getName()
+        if not said.startswith(f"{name}="):
+            continue
+        named = unquote(said.split("=", 1)[1])
+        target = make(f"{path}/{named if named.endswith('.md') else named + '.md'}")
+        for part in fs.listStatus(folder.getPath()):
+            if part.getPath().getName().startswith("part-"):
+                fs.mkdirs(target.getParent())
+                fs.delete(target, False)
+                fs.rename(part.getPath(), target)
+    fs.delete(make(staged), True)
+
+
+def write_file(lines: DataFrame, folder: str, name: str) -> None:
+    """One text file of rows in their order, written by one task and renamed at the end."""
+    fs, make = _files(lines.sparkSession, folder)
+    fs.mkdirs(make(folder))
+    staged = f"{folder}/_staged-{uuid.uuid4().hex}"
+    lines.coalesce(1).write.text(staged)
+    for part in fs.listStatus(make(staged)):
+        if part.getPath().getName().startswith("part-"):
+            fs.delete(make(f"{folder}/{name}"), False)
+            fs.rename(part.getPath(), make(f"{folder}/{name}"))
+    fs.delete(make(staged), True)
+
+
+def write_bytes(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
+    """Binary files of rows(name, content), one after the other through the driver, which holds one at a time; returns how many."""
+    spark, n = rows.sparkSession, 0
+    fs, make = _files(spark, folder)
+    for r in rows.select(name, content).toLocalIterator():
+        out = fs.create(make(f"{folder}/{r[name]}"), True)
+        out.write(r[content])
+        out.close()
+        n += 1
+    return n
+
+
+def copied(files: DataFrame, target: str, path: str = "path", to: str = "target") -> int:
+    """[K11] Copies files(path, target: a path below the folder target); executors list, the driver's file system copies. Returns how many."""
+    spark, n = files.sparkSession, 0
+    for r in files.select(path, to).toLocalIterator():
+        (fs, make), (there, _) = _files(spark, r[path]), _files(spark, target)
+        spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, make(r[path]), there, make(f"{target}/{r[to]}"), False, True, spark.sparkContext._jsc.hadoopConfiguration())
+        n += 1
+    return n
+
+
+def _upsert(new: DataFrame, path: str, by: str, key: str, kept: DataFrame | None) -> None:
+    """Replace the folders (of column by) that new rows touch by what they hold and the new rows, the latter winning."""
+    if kept is not None:
+        old = kept.join(new.select(by).distinct(), by, "left_semi").join(new.select(key), key, "left_anti")
+        new = old.unionByName(new, allowMissingColumns=True)
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).json(path)
+
+
+def write_items(items: DataFrame, path: str, key: str = "key", order: str | None = None) -> None:
+    """[K3, K4] Upserts progress items as JSON, by document and safe name; a folder appears when its job is committed, never in part.
+
+    Of items with one key the last by ``order`` counts (any, without one). Only the documents of new items are written anew.
+    """
+    spark = items.sparkSession
     parts = T.key_parts(key)
-    placed = items.withColumns({"document": T.stem(parts["document"]), "item": T.safe_name(parts["path"])})
-    placed.write.mode("overwrite").partitionBy("document").json(path)
+    one = items.dropDuplicates([key]) if order is None else latest_per_key(items, key, [order]).drop(order)
+    placed = one.withColumns({"document": T.stem(parts["document"]), "item": T.safe_name(parts["path"])})
+    _upsert(placed, path, "document", key, _kept(spark, path, placed, ITEM_SCHEMA))
+
+
+def write_states(states: DataFrame, path: str, key: str = "file") -> None:
+    """[K13] Upserts task states as JSON, a folder for each file."""
+    placed = states.dropDuplicates([key]).withColumn("task", T.stem(key))
+    _upsert(placed, path, "task", key, _kept(states.sparkSession, path, placed, STATE_SCHEMA))
+
+
+def _kept(spark: SparkSession, path: str, like: DataFrame, usual: str) -> DataFrame | None:
+    """What is there, with the columns of new rows and the usual ones."""
+    fields = like.schema.fields + [f for f in StructType.fromDDL(usual).fields if f.name not in like.columns]
+    return spark.read.schema(StructType(fields)).json(path) if exists(spark, path) else None
 
 
 def log_line(time: str | Column, thread: str | Column, body: str | Column, concurrency: int = 10, level: str | None = None) -> Column:
