@@ -22,6 +22,13 @@ def _or(x: Column, default: str) -> Column:
     return F.coalesce(F.nullif(x, F.lit("")), F.lit(default))
 
 
+def running_sum(xs: str | Column) -> Column:
+    """Sums of an array's numbers up to each: every round adds the sum that ends 1, 2, 4, ... places before, so no array is grown one by one."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(xs), F.lit(1)))).cast("int"))
+    before = lambda acc, k: F.slice(F.concat(F.array_repeat(F.lit(0).cast("long"), F.pow(F.lit(2), k).cast("int")), acc), F.lit(1), F.size(acc))
+    return F.aggregate(rounds, F.transform(_c(xs), lambda x: x.cast("long")), lambda acc, k: F.zip_with(before(acc, k), acc, lambda x, y: x + y))
+
+
 # Log lines
 
 
@@ -159,10 +166,15 @@ def line_index(content: str | Column, offset: str | Column) -> Column:
 
 
 def spliced(content: str | Column, replacements: str | Column) -> Column:
-    """[F21, T6] Puts a description block in place of each replacement(start, end, path, result), last offset first."""
+    """[F21, T6] Puts a description block in place of each replacement(start, end, path, result); they don't overlap.
+
+    The text between two replacements is taken once, so nothing is copied again for each of them.
+    """
+    x, reps = _c(content), F.sort_array(_c(replacements))
     block = lambda r: F.concat(F.lit("\n\n<!-- IMG: "), r["path"], F.lit(" -->\n[AI] "), r["result"], F.lit("\n\n<!-- /IMG -->\n\n"))
-    put = lambda text, r: F.concat(F.substring(text, F.lit(1), r["start"]), block(r), F.substring(text, r["end"] + 1, F.length(text)))
-    return F.aggregate(F.sort_array(_c(replacements), asc=False), _c(content), put)
+    ends = F.concat(F.array(F.lit(0)), F.transform(reps, lambda r: r["end"]))
+    put = lambda end, r: F.when(r.isNull(), F.substring(x, end + 1, F.length(x))).otherwise(F.concat(F.substring(x, end + 1, r["start"] - end), block(r)))
+    return F.array_join(F.zip_with(ends, reps, put), "")
 
 
 def rewritten_paths(content: str | Column, subject: str | Column, pattern: str = P.IMAGE_REF, folder: str = "images/") -> Column:

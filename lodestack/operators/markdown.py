@@ -19,9 +19,8 @@ def lines_of(content: str | Column) -> Column:
 
 def line_starts(content: str | Column) -> Column:
     """[W9] Code points before each line."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    step = lambda s, x: F.struct((s["at"] + F.length(x) + 1).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts"))
-    return F.aggregate(lines_of(content), zero, step, lambda s: s["starts"])
+    sizes = F.transform(lines_of(content), lambda x: F.length(x) + 1)
+    return F.zip_with(T.running_sum(sizes), sizes, lambda end, n: end - n)
 
 
 def line_table(docs: DataFrame, key: str, content: str) -> DataFrame:
@@ -69,14 +68,8 @@ def references(docs: DataFrame, key: str, content: str, pattern: str = P.IMAGE_R
     lines = line_table(docs, key, content).where(F.col("line").rlike(pattern))
     hits, paths = F.regexp_extract_all("line", F.lit(pattern), F.lit(0)), F.regexp_extract_all("line", F.lit(pattern), F.lit(within))
     pieces = F.slice(F.split("line", pattern, -1), F.lit(1), F.size(hits))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("found"))
-
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["p"])
-        end = start + F.length(x["h"])
-        return F.struct(end.alias("at"), F.concat(s["found"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("found"))
-
-    places = F.aggregate(F.zip_with(pieces, hits, lambda p, h: F.struct(p.alias("p"), h.alias("h"))), zero, step, lambda s: s["found"])
+    ends = T.running_sum(F.zip_with(pieces, hits, lambda p, h: F.length(p) + F.length(h)))
+    places = F.zip_with(ends, hits, lambda end, h: F.struct((end - F.length(h)).alias("start"), end.alias("end")))
     flat = lines.select(key, "line_no", "start", F.posexplode(F.arrays_zip(places.alias("place"), paths.alias("path"))).alias("number", "x"))
     return flat.select(key, "line_no", F.col("number").cast("long").alias("number"), (F.col("start") + F.col("x.place.start")).alias("start"), (F.col("start") + F.col("x.place.end")).alias("end"), F.col("x.path").alias("path"))
 

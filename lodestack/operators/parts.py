@@ -8,34 +8,36 @@ from pyspark.sql import functions as F
 from ..functions.text import _c
 
 
-def part_numbers(sizes: str | Column, max_pages: int, max_size: float) -> Column:
-    """[O1, O2] The part, from 1, of each page of an array of sizes.
+def part_starts(sizes: str | Column, max_pages: int, max_size: float) -> Column:
+    """[O1, O2] The pages, from 0, at which the parts of an array of page sizes begin.
 
     A part takes pages as long as it has at most max_pages and stays within max_size; a page that is too large is a part
-    of its own; a max_size of 0 or less limits pages only.
+    of its own; a max_size of 0 or less limits pages only. Only a new part adds to the state, not each page.
     """
-    zero = F.struct(F.lit(0).alias("part"), F.lit(0).alias("pages"), F.lit(0.0).alias("size"), F.array().cast("array<int>").alias("parts"))
+    zero = F.struct(F.lit(0).alias("page"), F.lit(0).alias("pages"), F.lit(0.0).alias("size"), F.array().cast("array<int>").alias("starts"))
 
     def step(s: Column, x: Column) -> Column:
         x = F.coalesce(x.cast("double"), F.lit(0.0))
-        full = (s["part"] == 0) | (s["pages"] >= max_pages)
+        full = (s["page"] == 0) | (s["pages"] >= max_pages)
         if max_size > 0:
             full = full | (s["size"] + x > max_size)
-        part = s["part"] + full.cast("int")
         return F.struct(
-            part.alias("part"), F.when(full, 1).otherwise(s["pages"] + 1).alias("pages"),
-            F.when(full, x).otherwise(s["size"] + x).alias("size"), F.concat(s["parts"], F.array(part)).alias("parts"),
+            (s["page"] + 1).alias("page"), F.when(full, 1).otherwise(s["pages"] + 1).alias("pages"),
+            F.when(full, x).otherwise(s["size"] + x).alias("size"), F.when(full, F.concat(s["starts"], F.array(s["page"]))).otherwise(s["starts"]).alias("starts"),
         )
 
-    return F.aggregate(_c(sizes), zero, step, lambda s: s["parts"])
+    return F.aggregate(_c(sizes), zero, step, lambda s: s["starts"])
 
 
 def greedy_parts(docs: DataFrame, key: str, sizes: str | Column, max_pages: int, max_size: float) -> DataFrame:
     """[O1 to O3] Parts of each document: key, part, first_page, pages, size. A document's pages stay in its row, so only rows of parts go on."""
-    pages = docs.select(key, F.posexplode(F.arrays_zip(part_numbers(sizes, max_pages, max_size).alias("part"), _c(sizes).alias("size"))).alias("page", "x"))
-    return pages.groupBy(key, F.col("x.part").cast("long").alias("part")).agg(
-        (F.min("page") + 1).cast("long").alias("first_page"), F.count(F.lit(1)).alias("pages"), F.sum(F.coalesce("x.size", F.lit(0))).alias("size")
-    )
+    cut = docs.select(key, _c(sizes).alias("_sizes")).withColumn("_starts", part_starts("_sizes", max_pages, max_size))
+    # without pages there is no part, and so no end
+    ends = F.slice(F.concat(F.slice("_starts", F.lit(2), F.greatest(F.size("_starts") - 1, F.lit(0))), F.array(F.size("_sizes"))), F.lit(1), F.size("_starts"))
+    flat = cut.select(key, "_sizes", F.posexplode(F.zip_with("_starts", ends, lambda a, z: F.struct(a.alias("first"), (z - a).alias("pages")))).alias("part", "x"))
+    total = F.aggregate(F.slice("_sizes", F.col("x.first") + 1, F.col("x.pages")), F.lit(0).cast("double"), lambda acc, v: acc + F.coalesce(v, F.lit(0)))
+    kind = cut.schema["_sizes"].dataType.elementType.simpleString()
+    return flat.select(key, (F.col("part") + 1).cast("long").alias("part"), (F.col("x.first") + 1).cast("long").alias("first_page"), F.col("x.pages").cast("long").alias("pages"), total.cast("double" if kind in ("double", "float") else "long").alias("size"))
 
 
 def already_split(sources: DataFrame, parts: DataFrame, key: str = "key", pages: str = "pages") -> DataFrame:

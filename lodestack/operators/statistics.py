@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import percent
@@ -39,18 +42,47 @@ def tool_call_distribution(sessions: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.round(percent("sessions", total), 6))
 
 
+def exact_quantiles(rows: DataFrame, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """[A5, A6, T9] One row q0, q1, ... of exact quantiles, linear between neighbours; null without values.
+
+    Values are dealt to ranges between approximate quantiles and counted; only the ranges that hold a wanted rank are
+    sorted, each by itself, so no task holds all values. The rows are read three times: give it a stored table where they
+    are costly to make.
+    """
+    x = rows.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    n, edges = x.agg(F.count(F.lit(1)), F.percentile_approx("v", F.array(*[F.lit(k / 64) for k in range(1, 64)]), F.lit(1000))).first()
+    places = [(n - 1) * s for s in shares] if n else []
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+    bucket = reduce(lambda k, e: k + (F.col("v") >= F.lit(e)).cast("int"), sorted(set(edges or [])), F.lit(0))
+    x = x.withColumn("b", bucket)
+    before, wanted = 0, {}
+    for r in x.groupBy("b").count().orderBy("b").collect():  # 64 rows at most
+        if any(before <= k < before + r["count"] for k in ranks):
+            wanted[r["b"]] = before
+        before += r["count"]
+    offset = F.create_map(*[F.lit(v) for pair in wanted.items() for v in pair]) if wanted else F.lit(None).cast("map<int,int>")
+    counts = x.where(F.col("b").isin(*wanted) if wanted else F.lit(False)).groupBy("b", "v").agg(F.count(F.lit(1)).alias("n"))
+    last = offset[F.col("b")] + F.sum("n").over(Window.partitionBy("b").orderBy("v"))
+    ranked = counts.withColumn("last", last).withColumn("first", F.col("last") - F.col("n"))
+    at = lambda k: F.max(F.when((F.col("first") <= k) & (F.col("last") > k), F.col("v")))
+    one = ranked.agg(*[at(k).alias(f"r{k}") for k in ranks] or [F.max("v").alias("none")])
+    between = lambda p: F.col(f"r{math.floor(p)}") + (F.col(f"r{math.ceil(p)}") - F.col(f"r{math.floor(p)}")) * F.lit(p - math.floor(p))
+    return one.select(*[(between(places[k]) if places else F.lit(None).cast("double")).alias(f"q{k}") for k in range(len(shares))])
+
+
 def elapsed_stats(sessions: DataFrame) -> DataFrame:
     """[A4] Over successes; the sample deviation of one is 0; no row without any."""
-    x = F.col("elapsed")
-    out = sessions.where(_ok).agg(_r(F.sum(x), "sum_elapsed"), _r(F.avg(x), "avg_elapsed"), _r(F.median(x), "median_elapsed"), _r(F.min(x), "min_elapsed"), _r(F.max(x), "max_elapsed"), _r(F.coalesce(F.stddev_samp(x), F.lit(0.0)), "stdev_elapsed"))
-    return out.where("sum_elapsed is not null")
+    x, ok = F.col("elapsed"), sessions.where(_ok)
+    out = ok.agg(_r(F.sum(x), "sum_elapsed"), _r(F.avg(x), "avg_elapsed"), _r(F.min(x), "min_elapsed"), _r(F.max(x), "max_elapsed"), _r(F.coalesce(F.stddev_samp(x), F.lit(0.0)), "stdev_elapsed"))
+    median = exact_quantiles(ok, "elapsed", (0.5,)).select(_r(F.col("q0"), "median_elapsed"))
+    joined = out.join(median, F.lit(True))  # one row each
+    return joined.where("sum_elapsed is not null").select("sum_elapsed", "avg_elapsed", "median_elapsed", "min_elapsed", "max_elapsed", "stdev_elapsed")
 
 
 def elapsed_percentiles(sessions: DataFrame, wanted: tuple[int, ...] = PERCENTILES) -> DataFrame:
-    """[A5] Exact percentiles with linear interpolation, 0 without successes."""
-    points = F.array(*[F.lit(p / 100) for p in wanted])
-    one = sessions.where(_ok).agg(F.percentile("elapsed", points).alias("p"))
-    return one.select(*[F.round(F.coalesce(F.col("p")[k], F.lit(0.0)), 6).alias(f"p{p}") for k, p in enumerate(wanted)])
+    """[A5, T9] Over successes, p90 and so on; 0 without any."""
+    found = exact_quantiles(sessions.where(_ok), "elapsed", tuple(p / 100 for p in wanted))
+    return found.select(*[F.round(F.coalesce(f"q{k}", F.lit(0.0)), 6).alias(f"p{p}") for k, p in enumerate(wanted)])
 
 
 def elapsed_by_calls(sessions: DataFrame) -> DataFrame:
