@@ -35,3 +35,4 @@ TYPE_TAG, RESULT_TAG = "[IMG_TYPE:", "[IMG_"
 INVALID_RESPONSE, INVALID_FORMAT, EMPTY_RESPONSE = "__INVALID_RESPONSE__", "[IMG_INVALID_FORMAT]", "[IMG_EMPTY_RESPONSE]"
 STATE_LABELS = (("pending", "排队中"), ("running", "解析中"), ("converting", "格式转换中"), ("waiting-file", "等待文件上传"))
 STEP_LABELS = (("split", "split files"), ("parse", "parse documents"), ("organize", "organize results"), ("describe", "describe images"), ("analyze", "analyze logs"))
+RATE_LIMITED, NO_CONNECTION = "[IMG_RATE_LIMIT_EXCEEDED]", "[IMG_CONNECTION_TIMEOUT]"

@@ -62,13 +62,16 @@ def tool_requests(arguments: str | Column) -> Column:
 
 
 def content_text(content: str | Column) -> Column:
-    """A message's content as text; null as empty."""
-    return F.coalesce(_c(content), F.lit(""))
+    """A message's content as text, of its JSON: a string is itself, null is empty, anything else stays JSON."""
+    x = _c(content)
+    inside = F.get_json_object(F.concat(F.lit('{"c":'), x, F.lit("}")), "$.c")
+    return F.when(x.isNull() | (F.trim(x) == "null"), F.lit("")).when(F.startswith(F.ltrim(x), F.lit('"')), inside).otherwise(x)
 
 
 def prompt(template: str | Column, calls: int, language: str | Column) -> Column:
-    """The template with the number of calls and the language; Chinese where none is given."""
-    lang = F.coalesce(F.nullif(_c(language), F.lit("")), F.lit("Chinese"))
+    """The template with the number of calls and the language; Chinese where none is given, and short names of English as English."""
+    said = F.coalesce(F.nullif(F.trim(_c(language)), F.lit("")), F.lit("Chinese"))
+    lang = F.when(F.lower(said).isin("en", "english", "英文"), "English").otherwise(said)
     return F.replace(F.replace(_c(template), F.lit("{MAX_TOOL_CALLS}"), F.lit(str(calls))), F.lit("{OUTPUT_LANG}"), lang)
 
 

@@ -10,7 +10,7 @@ DEFAULTS = {
     "parser": {"poll_interval": 3, "log_poll_interval": 3, "progress_threshold": 10, "poll_timeout": 0, "max_pages": 200, "max_size_mb": 200, "concurrency": 5, "download_timeout": 120},
     "model": {"request_body": {}, "timeout": 400, "connect_timeout": 60, "concurrency": 10, "temperature": 0.1},
     "options": {"max_retries": 3, "api_max_retries": 3, "rate_limit_retries": 100, "window_up": 30, "window_down": 30, "max_window_up": 200, "max_window_down": 200, "format_fix_attempts": 1, "output_language": "Chinese"},
-    "paths": {"input": "input", "split": "split", "parsed": "parsed", "images": "images", "output": "output", "progress": "progress_items", "logs": "logs"},
+    "paths": {"input": "input", "split": "split", "parsed": "parsed", "markdown": "markdown", "images": "images", "output": "output", "progress": "progress_items", "logs": "logs"},
 }
 
 
