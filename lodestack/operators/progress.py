@@ -23,6 +23,11 @@ def counts(items: DataFrame, total: int | Column, result: str = "result") -> Dat
     return out.withColumn("remaining", F.col("total") - F.col("completed") - F.col("invalid"))
 
 
+def first_invalid(items: DataFrame, most: int = 10, key: str = "key", result: str = "result") -> DataFrame:
+    """[T8] The first keys of items without a valid result; the limit is the report's."""
+    return items.where(~valid_result(result)).select(key).orderBy(key).limit(most)
+
+
 def good_rate(completed: DataFrame, problems: DataFrame, path: str = "path") -> DataFrame:
     """[A15, J5, U3] completed, bad (completed paths with a problem) and the share of the others in percent."""
     done = completed.select(path).distinct()
