@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
+from ..operators import sessions as batch
 
 EVENT_SCHEMA = "file string, line_no long, value string"
-SESSION_SCHEMA = "file string, tid string, key string, start_ts string, tool_calls long, status string, elapsed double, error_msg string"
+SESSION_SCHEMA = "file string, tid string, key string, start_ts string, tool_calls long, status string, elapsed double, error_type string, error_msg string, img_type string"
 STATE_SCHEMA = "key string, start_ts string, tool_calls long, last long"
 
 
@@ -23,19 +26,16 @@ def lines(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA, per_trigge
 
 
 def events(rows: DataFrame) -> DataFrame:
-    """What each log line says, by row functions only; other lines are dropped."""
-    x = rows.withColumn("value", T.right_trimmed("value")).withColumn("ts", T.log_time("value")).where("ts is not null")
-    x = x.withColumns({"tid": T.log_thread("value"), "_start": T.started_key("value"), "_done": T.done("value"), "_failed": T.failed("value")})
-    kind = F.when(F.col("_start").isNotNull(), "start").when(T.tagged("value", "[ToolCall]"), "tool").when(F.col("_done").isNotNull(), "done").when(F.col("_failed").isNotNull(), "failed").otherwise("other")
-    return x.select("file", "tid", "line_no", "ts", kind.alias("kind"), F.col("_start").alias("key"), F.coalesce("_done.elapsed", "_failed.elapsed").alias("elapsed"), F.col("_failed.message").alias("message")).where("kind <> 'other'")
+    """What each log line says, by row functions only, as operators.sessions.log_events; lines that say nothing are dropped."""
+    return batch.log_events(rows).where("kind <> 'other'").withColumn("error_type", F.when(F.col("kind") == "failed", T.error_class(F.coalesce("message", F.lit("")))))
 
 
-def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """[R1, W1] One open session a thread is all the state there is."""
+def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, idle: int) -> Iterator[pd.DataFrame]:
+    """[R1, W1] One open session a thread is all the state there is. Lines are in order within a batch; a batch's lines follow those of earlier ones."""
     file, tid = key
     open_ = state.get if state.exists else None
     out: list[tuple[Any, ...]] = []
-    close = lambda status, elapsed=None, message=None: out.append((file, tid, open_[0], open_[1], open_[2], status, elapsed, message))
+    close = lambda status, *end: out.append((file, tid, open_[0], open_[1], open_[2], status, *(end or (None,) * 4)))
     if state.hasTimedOut:
         close("incomplete")
         state.remove()
@@ -49,25 +49,77 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
             elif open_ is not None and r.kind == "tool":
                 open_ = (open_[0], open_[1], open_[2] + 1, int(r.line_no))
             elif open_ is not None:
-                close("success" if r.kind == "done" else "failed", float(r.elapsed), r.message if r.kind == "failed" else None)
+                failed = r.kind == "failed"
+                close("failed" if failed else "success", float(r.elapsed), r.error_type if failed else None, r.message if failed else None, None if failed else r.img_type)
                 open_ = None
         if open_ is None:
             if state.exists:
                 state.remove()
         else:
             state.update(open_)
-            state.setTimeoutDuration(IDLE_MS)
-    yield pd.DataFrame(out, columns=["file", "tid", "key", "start_ts", "tool_calls", "status", "elapsed", "error_msg"])
+            state.setTimeoutDuration(idle)
+    yield pd.DataFrame(out, columns=["file", "tid", "key", "start_ts", "tool_calls", "status", "elapsed", "error_type", "error_msg", "img_type"])
 
 
 #: [R6, H9] A thread that is silent for so long has ended.
 IDLE_MS = 300_000
 
 
-def sessions(rows: DataFrame) -> DataFrame:
+def sessions(rows: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
     """[R1] Sessions as they end; a session that stays silent ends as incomplete. operators.sessions.log_sessions is the specification."""
-    kept = events(rows)
-    return kept.groupBy("file", "tid").applyInPandasWithState(_step, SESSION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    step = lambda key, batches, state: _step(key, batches, state, idle_ms)
+    return events(rows).groupBy("file", "tid").applyInPandasWithState(step, SESSION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def stop_after(query: StreamingQuery, rows: int, seconds: float = 600.0) -> None:
+    """Stops a query once it has read so many rows and written what they give. A query with timeouts of its own never runs out of batches."""
+    end = time.monotonic() + seconds
+    while sum(p["numInputRows"] for p in query.recentProgress) < rows:
+        if not query.isActive or time.monotonic() > end:
+            raise RuntimeError(f"the stream ended or took too long: {query.exception()}")
+        time.sleep(0.1)
+    query.stop()
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """[R2] What a reader of a run's output sees: file, line_no, text.
+
+    Before the first session begins or ends, each line that says something, without its time and thread; then a line of
+    counts whenever another whole percent of the total is done (the total is the last "To process" before), lines that
+    tell of a saved file, and the end. It is the batch form; ``filtered`` applies it to what a stream has brought so far.
+    """
+    x = rows.select("file", "line_no", T.right_trimmed("value").alias("value"))
+    x = x.withColumns({"ended": T.done("value").isNotNull() | T.failed("value").isNotNull(), "failed": T.failed("value").isNotNull(), "begun": F.contains("value", F.lit("▶")), "warned": T.tagged("value", "[WARNING]"), "total": F.regexp_extract("value", r"To process:\s*(\d+)", 1).try_cast("long")})
+    line = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    count = lambda c: F.sum(F.col(c).cast("int")).over(line)
+    x = x.withColumns({"total": F.coalesce(F.last("total", ignorenulls=True).over(line), F.lit(0)), "done": count("ended"), "errors": count("failed"), "body": F.max(F.col("begun") | F.col("ended")).over(line), "warns": F.sum((F.col("warned") & ~F.col("ended")).cast("int")).over(line)})
+    x = x.withColumn("percent", F.when(F.col("total") > 0, F.floor(F.col("done") * 100 / F.col("total"))).otherwise(-1))
+    before = F.coalesce(F.max(F.when(F.col("ended"), F.col("percent"))).over(Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    x = x.withColumn("last", before)
+    clean = T.without_prefix("value")
+    said = F.format_string("[%d/%d] %.2f%% (done: %d, errors: %d, warns: %d)", "done", "total", T.percent("done", "total"), "done", "errors", "warns")
+    text = (
+        F.when(~F.col("body"), F.when((F.trim(clean) != "") & ~clean.rlike("^=+"), clean))
+        .when(F.col("ended"), F.when(F.col("percent") > F.col("last"), said))
+        .when(F.contains("value", F.lit("Saved:")), clean)
+        .when(F.contains("value", F.lit("Done!")), F.concat(said, F.lit("\nDone!")))
+    )
+    return x.select("file", "line_no", text.alias("text")).where("text is not null")
+
+
+def filtered(apply: Callable[[DataFrame, int], None], kept: str) -> Callable[[DataFrame, int], None]:
+    """[R2] foreachBatch function: keeps the lines so far below the folder ``kept`` and hands on what the new ones show.
+
+    A batch is kept under its number, so a repeated one replaces itself.
+    """
+
+    def run(rows: DataFrame, number: int) -> None:
+        own = rows.select("file", "line_no", "value")
+        own.write.mode("overwrite").parquet(f"{kept}/batch={number}")
+        every = rows.sparkSession.read.option("basePath", kept).parquet(kept).where(F.col("batch") <= number).drop("batch")
+        apply(shown(every).join(own.select("file", "line_no"), ["file", "line_no"], "left_semi").orderBy("file", "line_no"), number)
+
+    return run
 
 
 def progress(rows: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
