@@ -477,8 +477,11 @@ def union_sources(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import registry_more  # noqa: F401  adds its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)
