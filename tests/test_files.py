@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.operators import organize, sessions
-from lodestack.plans import report, workflow
+from lodestack.plans import parse, report, workflow
 from lodestack.sources import config, connectors, files, sinks
 from lodestack.streaming import logs
 
@@ -32,7 +32,10 @@ def test_logs(spark, folder, capsys):
     assert name(files.resolved_logs(found)) == ["img2text_20240102_000000.log"]
     assert len(name(files.resolved_logs(found, everything=True))) == 2
     assert name(files.resolved_logs(found, ["img2text_20240101_000000.log"])) == ["img2text_20240101_000000.log"]
+    path = str(folder / "logs/img2text_20240101_000000.log")
+    assert name(files.resolved_logs(found, [path])) == name(files.resolved_logs(found, ["file://" + path])) == ["img2text_20240101_000000.log"]
     lines = files.log_lines(spark, *[r["path"] for r in files.resolved_logs(found, everything=True).collect()])
+    assert [r["value"] for r in lines.where("file like '%20240102%'").orderBy("line_no").collect()] == LOG
     assert lines.where("value like '%\\r'").count() == 0
     s = sessions.log_sessions(lines)
     assert s.groupBy("file").count().count() == 2 and s.count() == 6
@@ -73,8 +76,13 @@ def test_items(spark, tmp_path):
     assert "completed=1" in report.progress_report(items, 5)
     legacy = spark.createDataFrame([(json.dumps({"a::x": {"result": "r"}, "b": {"result": "s"}, "a::b::c": {"result": "t"}}),)], "value string")
     assert [(r["key"], r["result"]) for r in files.legacy_items(legacy).collect()] == [("a::x", "r")]
-    sinks.write_items(items.where("_corrupt is null").drop("_corrupt"), str(tmp_path / "out"))
+    kept = items.where("_corrupt is null").drop("_corrupt")
+    sinks.write_items(kept, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).first()["item"] == "x.json"
+    more = spark.createDataFrame([("a::x", "new", 1), ("a::y", "old", 0), ("a::y", "new", 5), ("b::z", "r", 0)], "key string, result string, seq int")
+    sinks.write_items(more, str(tmp_path / "out"), order="seq")
+    sinks.write_items(more.where("key = 'b::z'").drop("seq").withColumn("result", F.lit("s")), str(tmp_path / "out"))
+    assert {r["key"]: r["result"] for r in files.progress_items(spark, str(tmp_path / "out")).collect()} == {"a::x": "new", "a::y": "new", "b::z": "s"}
     (tmp_path / "st").mkdir()
     (tmp_path / "st/a_task.json").write_text(json.dumps({"file": "a", "batch_id": "1", "status": "done"}))
     (tmp_path / "st/b_task.json").write_text("nothing")
@@ -111,25 +119,121 @@ def test_config(tmp_path):
     assert ran == [1]
 
 
+def test_lines_of_split_files(spark, tmp_path):
+    text = "\n".join(f"{k} é" for k in range(5000)) + "\n"
+    for name in ("a b+c%.log", "d.log"):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7001")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        lines = files.log_lines(spark, str(tmp_path))
+        assert lines.where("value = concat(line_no, ' é')").count() == 10_000 == lines.select("file", "line_no").distinct().count()
+        assert {r["file"].rsplit("/", 1)[1] for r in lines.select("file").distinct().collect()} == {"a b+c%.log", "d.log"}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_written_documents_are_read(spark, tmp_path):
+    docs = spark.createDataFrame([("a b", "A\n\nB"), ("ü+%.md", "C\n"), ("x/full", "D")], "name string, content string")
+    for _ in range(2):
+        sinks.write_documents(docs, str(tmp_path / "out"))
+    assert [tuple(r) for r in files.markdown(spark, str(tmp_path / "out")).collect()] == [("a b.md", "A\n\nB\n"), ("ü+%.md", "C\n")]
+    assert (tmp_path / "out/x/full.md").read_text() == "D\n" and not [p for p in os.listdir(tmp_path / "out") if p.startswith("_")]
+    listed = files.listing(spark, str(tmp_path / "out"), "*.md").select("path", F.concat(F.lit("copy/"), "name").alias("target"))
+    assert sinks.copied(listed, str(tmp_path / "there")) == 3 and (tmp_path / "there/copy/a b.md").read_text() == "A\n\nB\n"
+
+
 def test_connectors(spark):
     df = spark.createDataFrame([("a", b"1"), ("b", b"2")], "name string, content binary")
     out = connectors.parsed(df, connectors.FakeParser(failing=("b",)), interval=0.0, concurrency=2)
     assert {r["name"]: r["status"] for r in out.collect()} == {"a": "done", "b": "fail"}
-    tasks = spark.createDataFrame([("k", "img", [str(i) for i in range(100)], 50)], "key string, image string, lines array<string>, line_at int")
-    r = connectors.described(tasks, connectors.FakeVision(asks=9), "m", "p").first()
-    assert (r["rounds"], r["result"]) == (4, "[IMG_TYPE: text] 3")
-    tries = iter([connectors.RateLimited, TimeoutError, None])
+    tasks = spark.createDataFrame([("k", "images/x.png", "img", [str(i) for i in range(100)], 50), ("n", "images/n.png", None, ["x"], 0)], "key string, path string, image string, lines array<string>, line_at int")
+    got = {r["key"]: r for r in connectors.described(tasks, connectors.FakeVision(asks=9), "m", "p").collect()}
+    r = got["k"]
+    assert (r["requests"], r["result"], r["status"]) == (5, "[IMG_TYPE: text] 4", "ok")  # three rounds with tools, one without, a last request
+    assert [tuple(a) for a in r["asked"]] == [(5, 500)] * 4 and (got["n"]["result"], got["n"]["status"], got["n"]["requests"]) == ("[IMG_MISSING: images/n.png]", "error", 0)
+    plain = connectors.described(tasks.where("key = 'k'"), connectors.FakeVision(asks=0, plain=True), "m", "p").first()
+    assert (plain["requests"], plain["result"]) == (2, "[IMG_TYPE: text] 0")
+    none = connectors.described(tasks.where("key = 'k'"), connectors.FakeVision(asks=0, plain=True), "m", "p", limits=connectors.Limits(fixes=0)).first()
+    assert (none["requests"], none["result"], none["status"]) == (1, "__INVALID_RESPONSE__", "retry")
+    tries = iter([connectors.RateLimited, TimeoutError, ValueError, None])
 
     def call():
         e = next(tries)
         if e:
-            raise e
+            raise e("x")
         return 5
 
     waits = []
-    assert connectors.called(call, sleep=waits.append) == 5 and waits == [2.0, 5.0]
+    assert connectors.called(call, sleep=waits.append) == 5 and waits == [2.0, 5.0, 2.0]
     assert [len(x) for x in connectors.chunks(b"x" * 5, 2)] == [2, 2, 1]
+    clock = iter([0.0, 1.0, 1.0, 900.0])
+    with pytest.raises(TimeoutError):
+        list(connectors.unless_idle(iter([b"a", b"b", b"c"]), 300.0, lambda: next(clock)))
     assert connectors.request_of({"a": 1}, {"a": 2, "b": 3}) == {"a": 2, "b": 3}
+    limits = connectors.tools(7, 9)[0]["function"]["parameters"]["properties"]
+    assert [(limits[k]["minimum"], limits[k]["maximum"]) for k in ("more_above", "more_below")] == [(1, 7), (1, 9)]
+    assert connectors.arguments_of({"name": "other", "arguments": "{}"}) is None and connectors.arguments_of({"arguments": "{"}) is None
+    assert connectors.text_of(None) == "" and connectors.text_of([{"a": 1}]) == '[{"a": 1}]'
+
+    class Failing:
+        def complete(self, request):
+            raise RuntimeError("500 broken")
+
+    failed = connectors.Conversation(Failing(), "m", "p", {}, connectors.Limits(), sleep=lambda s: None).result("i", "images/x.png", ["x"], 0)
+    assert failed == ("[IMG_API_ERROR: 500 broken]", "error")
+
+
+def zip_splitter():
+    return parse.by_zip_entries
+
+
+def test_whole_workflow(spark, tmp_path, capsys):
+    """Split, parse, organize, describe and analyze on fakes; a second run asks for nothing that is known."""
+    folder = lambda name: str(tmp_path / name)
+    given = {"paths": {k: folder(k) for k in ("input", "split", "parsed", "markdown", "images", "output", "progress", "logs")}, "parser": {"poll_interval": 0, "concurrency": 2}, "model": {"concurrency": 3}}
+    (tmp_path / "c.json").write_text(json.dumps(given))
+    (tmp_path / "input").mkdir()
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("1", "page one")
+        z.writestr("2", "page two")
+    (tmp_path / "input/book.pdf").write_bytes(raw.getvalue())
+    (tmp_path / "input/note.png").write_bytes(b"png")
+    (tmp_path / "input/skip.txt").write_bytes(b"no")
+    command = lambda *a: workflow.main(["-c", folder("c.json"), *a])
+    assert command("split", "--splitter", "test_files:zip_splitter") == 0
+    assert sorted(os.listdir(tmp_path / "split")) == [".book_part1.pdf.crc", ".book_part2.pdf.crc", "book_part1.pdf", "book_part2.pdf"]
+    assert command("parse", "--parser", "lodestack.sources.connectors:FakeParser") == 0
+    assert "{'done': 3}" in capsys.readouterr().out and (tmp_path / "parsed/book_part2/full.md").read_text() == "# batch-book_part2.pdf\n"
+    assert command("parse", "--parser", "lodestack.sources.connectors:FakeParser") == 0 and "{'skip': 3}" in capsys.readouterr().out
+    for k in (1, 2):  # what a parser would have found
+        with open(tmp_path / f"parsed/book_part{k}/full.md", "a") as f:
+            f.write(f"text\n![a](images/p{k}.png) and ![b](images/gone{k}.png)\n")
+        (tmp_path / f"parsed/book_part{k}/images").mkdir()
+        (tmp_path / f"parsed/book_part{k}/images/p{k}.png").write_bytes(b"picture")
+    for p in (tmp_path / "parsed").glob("*/.full.md.crc"):
+        p.unlink()
+    assert command("organize") == 0
+    merged = (tmp_path / "markdown/book.md").read_text()
+    assert merged.startswith("# batch-book_part1.pdf") and "![a](images/book/p2.png)" in merged and (tmp_path / "images/book/p1.png").read_bytes() == b"picture"
+    assert command("img2text", "--vision", "lodestack.sources.connectors:FakeVision", "--test", "--number", "1", "--seed", "7") == 0
+    assert "'asked': 1" in capsys.readouterr().out
+    assert command("img2text", "--vision", "lodestack.sources.connectors:FakeVision") == 0
+    said = capsys.readouterr().out
+    assert "'images': 4" in said and "'left': 2" in said  # two images have no file: an error that is kept, but not as done
+    out = (tmp_path / "output/book.md").read_text()
+    assert out.count("[AI] [IMG_TYPE: text] 1") == 2 and "![a]" not in out and out.count("![b]") == 2
+    assert command("img2text", "--vision", "lodestack.sources.connectors:FakeVision") == 0 and "'asked': 2" in capsys.readouterr().out
+    assert command("analyze", "--all") == 0
+    said = capsys.readouterr().out
+    assert "success=2" in said and "img_missing" in said and "total=4" in said
+    assert command("analyze", "--progress") == 0 and "completed=2" in capsys.readouterr().out
+    assert command("workflow", "--step", "analyze") == 0 and command("workflow", "--step", "organize") == 0
+    with pytest.raises(SystemExit):
+        command("parse")
 
 
 def test_streaming(spark, tmp_path):
@@ -139,8 +243,8 @@ def test_streaming(spark, tmp_path):
         (tmp_path / f"in/{k:03d}.json").write_text("\n".join(map(json.dumps, rows[k : k + 4])), encoding="utf-8")
         os.utime(tmp_path / f"in/{k:03d}.json", (1e9 + k, 1e9 + k))
     stream = logs.sessions(logs.lines(spark, str(tmp_path / "in"), per_trigger=1))
-    q = stream.writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = stream.writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    logs.stop_after(q, len(rows), 60)
     got = sorted((r["tid"], r["key"], r["status"], r["tool_calls"]) for r in spark.table("sessions").collect())
     batch = sessions.log_sessions(spark.createDataFrame([(r["file"], r["line_no"], r["value"]) for r in rows], "file string, line_no long, value string"))
     # what is open at the end stays open until it times out

@@ -97,4 +97,7 @@ def test_policy(spark):
     assert df.select(policy.emitted_polls("p", 10)).first()[0] == [1, 3, 5, 6, 7]
     act = lambda *a: one(spark, policy.resume_action(*[F.lit(x).cast(t) for x, t in zip(a, ("string", "boolean", "string", "string"))]))
     assert [act("done", True, "b", None), act("done", False, "b", "done"), act("running", False, "b", "done"), act("timeout", False, "b", "running"), act("running", False, "b", None), act(None, False, None, None)] == ["skip", "submit", "download", "poll", "resubmit", "submit"]
-    assert one(spark, policy.prompt(F.lit("{MAX_TOOL_CALLS} {OUTPUT_LANG}"), 3, F.lit(""))) == "3 Chinese"
+    said = [one(spark, policy.prompt(F.lit("{MAX_TOOL_CALLS} {OUTPUT_LANG}"), 3, F.lit(x).cast("string"))) for x in ("", None, "en", "英文", "German")]
+    assert said == ["3 Chinese", "3 Chinese", "3 English", "3 English", "3 German"]
+    contents = {'"a \\"b\\" \\n"': 'a "b" \n', "null": "", None: "", '[{"x": 1}]': '[{"x": 1}]'}
+    assert [value(spark, policy.content_text, x) for x in contents] == list(contents.values())

@@ -148,8 +148,40 @@ def test_parts(spark):
     rows = [(i, [float(rng.randrange(0, 30)) for _ in range(rng.randrange(0, 40))]) for i in range(30)] + [(99, [100.0, 1.0, 100.0])]
     df = spark.createDataFrame(rows, "k long, sizes array<double>")
     for pages, most in ((5, 40.0), (200, 50.0), (3, 0.0)):
-        got = {r["k"]: r["p"] for r in df.select("k", parts.part_numbers("sizes", pages, most).alias("p")).collect()}
-        assert got == {k: greedy(s, pages, most) for k, s in rows}
+        got = {(r["k"], r["part"]): (r["first_page"], r["pages"], r["size"]) for r in parts.greedy_parts(df, "k", "sizes", pages, most).collect()}
+        want = {}
+        for k, s in rows:
+            for page, part in enumerate(greedy(s, pages, most)):
+                first, n, size = want.get((k, part), (page + 1, 0, 0.0))
+                want[k, part] = (first, n + 1, size + s[page])
+        assert got == want
     assert [r[0] for r in spark.createDataFrame([(0,), (100,), (101,)], "p int").select(parts.route("p")).collect()] == ["convert", "keep", "convert"]
     files = spark.createDataFrame([("in/b.PDF",), ("in/.x.pdf",), ("in/a.docx",), ("in/a.txt",)], "path string")
     assert [r["path"] for r in parts.to_split(files).collect()] == ["in/b.PDF", "in/a.docx"]
+
+
+def test_long_texts_cost_in_proportion(spark):
+    import time
+
+    text = "\n".join(f"line {k} ![x](images/{k}.png)" for k in range(60_000))
+    docs = spark.createDataFrame([("a", text), ("b", ""), ("c", None), ("d", "x")], "k string, t string")
+    began = time.time()
+    assert {r["k"]: r["n"] for r in markdown.line_table(docs, "k", "t").groupBy("k").agg(F.count("*").alias("n")).collect()} == {"a": 60_000, "b": 1, "d": 1}
+    refs = markdown.references(docs, "k", "t")
+    assert all(text[r["start"] : r["end"]] == f"![x]({r['path']})" for r in refs.where("line_no % 5000 = 7").collect())
+    sizes = spark.createDataFrame([("a", [1.0] * 60_000)], "k string, sizes array<double>")
+    assert parts.greedy_parts(sizes, "k", "sizes", 200, 0.0).count() == 300 and time.time() - began < 40
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(5)
+    for values in ([], [3.0], [1.0] * 50, [rng.random() for _ in range(1001)], [float(rng.randrange(4)) for _ in range(200)] + [1e300, -1e300]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        got = statistics.exact_quantiles(df, "v", (0.0, 0.5, 0.95, 1.0)).first()
+        for k, share in enumerate((0.0, 0.5, 0.95, 1.0)):
+            if not values:
+                assert got[k] is None
+                continue
+            place, x = (len(values) - 1) * share, sorted(values)
+            low, high = x[int(place)], x[min(int(place) + 1, len(x) - 1)]
+            assert abs(got[k] - (low + (high - low) * (place - int(place)))) <= 1e-9 * max(1.0, abs(got[k]))
