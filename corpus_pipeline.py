@@ -5,6 +5,12 @@ site-wide boilerplate lines; near-duplicate detection keeps one document of each
 group; decontamination drops documents with passages of the benchmark; packing lays
 what is left into sequences of 4096 tokens. The first four return the columns of
 documents.
+
+Defined cases: a null, empty or letterless text has no language, so its row goes in the
+first stage; a null language or source is no label and the empty host; a row without a
+doc_id goes through all stages, is linked with nothing and is packed under a null doc_id;
+repeated rows stay together: near-duplicate detection knows rows by doc_id, so it keeps
+or drops all rows of one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
