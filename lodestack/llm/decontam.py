@@ -14,8 +14,9 @@ once.
 
 Scale: no shuffle; documents are scanned where they are read. The benchmark is
 fetched in slices of at most ``SLICE_WORDS`` words, by which one automaton's memory
-is bounded; one slice, the usual case, is one pass. With more, each pass adds to what
-the one before wrote.
+is bounded; one slice, the usual case, is one pass over the texts. A benchmark of n times
+as many words takes n automata and n passes, each of which adds to what the one before
+wrote; the result is the same.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -176,8 +178,24 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     return state
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **names) -> DataFrame:
-    """The rows of docs whose text holds no window. Whether it does depends on the text alone, so rows are known by its hash."""
-    of_text = F.sha2(text_of(text).cast("binary"), 256)
-    bad = scan(docs.select(of_text.alias("_text"), text), benchmark, "_text", text, **names).where("contaminated").select("_text").distinct()
-    return docs.join(stored(bad, "contaminated"), of_text == F.col("_text"), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, slice_words: int = SLICE_WORDS) -> DataFrame:
+    """The rows of docs whose text holds no window. Only texts go to Python and only flags come back; nothing is shuffled."""
+    spark = docs.sparkSession
+    ship(spark)
+    parts = list(slices(benchmark, item, item_text, window, slice_words))
+    before: DataFrame | None = None
+    for k, part in enumerate(parts):
+        shared = spark.sparkContext.broadcast((next(_slice_ids), part))
+        docs = docs.where(~_holds(shared, window)(text_of(f"`{text}`")))
+        if k < len(parts) - 1:
+            docs = before = stored(docs, "decontam", instead_of=before)
+    return docs
+
+
+def _holds(shared, window: int):
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        m = matcher(shared, window)
+        return pd.Series([bool(m.hits(normalised(t))) for t in texts], dtype=bool)
+
+    return holds
