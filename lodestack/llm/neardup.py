@@ -24,8 +24,9 @@ Defined cases: a null or empty text, or one without words, has the empty set and
 linked with nothing; a text with fewer words than a shingle has one shingle of them
 all; equal sets are linked; rows without a doc_id are linked with nothing and are
 their own, null, component; doc_ids are taken to be unique, and repeated rows are all
-returned; an empty table gives an empty table; extra columns are not read. For a
-similarity below 0.8 runs are shorter, see ``run_length``.
+returned; an empty table gives an empty table; extra columns are not read (``keep_one``
+returns them). For a similarity below 0.8 runs are shorter, see ``run_length``. Sets are
+sets of 64-bit hashes: sizes and similarities are exact but for collisions of these.
 
 Scale: texts are shuffled only if the documents in question don't fit
 ``BROADCAST_ROWS``; else what moves is ``K`` values for each distinct text. Hot runs
@@ -42,7 +43,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_columns, ids_of, kept_for, ship, stored, text_of
+from .common import id_columns, ids_of, kept_for, ship, stored, text_of, unused
 from .components import components
 
 K = 64
@@ -328,5 +329,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ke
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without those whose group keeps another document."""
-    gone = near_duplicates(docs, words, similarity, key, text).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(stored(gone, "gone"), F.col(key) == F.col("_gone"), "left_anti")
+    (name,) = unused(docs, "gone")
+    gone = near_duplicates(docs, words, similarity, key, text).where("not kept").select(F.col("doc_id").alias(name))
+    return docs.join(stored(gone, "gone"), F.col(key) == F.col(name), "left_anti")

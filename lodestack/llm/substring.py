@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import neardup
-from .common import kept_for, ship, stored, text_of
+from .common import kept_for, ship, stored, text_of, unused
 from .components import components
 
 WORDS, SIMILARITY, MIN_WORDS = 5, 0.8, 50
@@ -422,12 +422,14 @@ def cut_repeats(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     span = F.array("start", "end")
     gone = lines.where("not kept").select("doc_id", "paragraph", F.lit(None).cast("array<long>").alias("cut"), F.lit(None).cast("array<long>").alias("stay"))
     runs = repeated_runs(docs, lines, min_words, key, text).select("doc_id", F.lit(None).cast("long").alias("paragraph"), F.when(~F.col("kept"), span).alias("cut"), F.when(F.col("kept"), span).alias("stay"))
-    what = gone.unionByName(runs).groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("paragraph").alias("_gone"), F.collect_set("cut").alias("_cut"), F.collect_set("stay").alias("_stay"))
-    what = stored(what.where(F.size("_gone") + F.size("_cut") > 0), "gone")
+    names = unused(docs, "doc", "gone", "cut", "stay")
+    by, lost, out, rest_ = names
+    what = gone.unionByName(runs).groupBy(F.col("doc_id").alias(by)).agg(F.collect_set("paragraph").alias(lost), F.collect_set("cut").alias(out), F.collect_set("stay").alias(rest_))
+    what = stored(what.where(F.size(lost) + F.size(out) > 0), "gone")
 
     @F.pandas_udf("string")
     def rest(t: pd.Series, gone: pd.Series, cut: pd.Series, stay: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else x if g is None else without(x, g, c, s) for x, g, c, s in zip(t, gone, cut, stay)], dtype=object)
 
-    joined = docs.join(what, F.col(key).cast("long") == F.col("_doc"), "left")
-    return joined.withColumn(text, rest(F.col(text), "_gone", "_cut", "_stay")).drop("_doc", "_gone", "_cut", "_stay")
+    joined = docs.join(what, F.col(key).cast("long") == F.col(by), "left")
+    return joined.withColumn(text, rest(F.col(text), lost, out, rest_)).drop(*names)

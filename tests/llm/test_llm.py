@@ -642,3 +642,39 @@ def test_native_operators_run_no_python(spark):
     for df in (linededup.drop_lines(d), secretscan.scan(d, [0.0] * 16384)):
         plan = df._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# All of them: clashing names and very long texts
+
+
+CLASH = ("_gone", "_doc", "_cut", "_stay", "_known", "_text", "text_hash", "node", "value", "component", "sketch", "_row", "start", "kept", "block", "mark", "lang_pred")
+
+
+def test_clashing_names(spark, tmp_path):
+    rng = random.Random(31)
+    p = prose(rng, 60)
+    plain = docs(spark, [p, p + " end", prose(rng, 30), None, "", p])
+    d = plain.withColumns({c: F.lit(f"own {c}") for c in CLASH})
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    items = spark.createDataFrame([(1, prose(random.Random(1), 10))], "item_id long, text string")
+    for f in (neardup.near_duplicates, substring.repeats, lambda x: packing.pack(x, vocabulary("word_bpe_49k.json")), lambda x: decontam.scan(x, items)):
+        assert same(f(d), f(plain))
+    for f in (neardup.keep_one, substring.cut_repeats, lambda x: decontam.clean(x, items)):
+        rows = f(d)
+        assert set(rows.columns) == set(d.columns) and same(rows.select(*plain.columns), f(plain)) and all(r[c] == f"own {c}" for r in rows.collect() for c in CLASH)
+    tokenout.write(d, str(tmp_path / "ids"), vocabulary("byte_bpe_50k.json"))
+    assert tokenout.read(spark, str(tmp_path / "ids")).count() == 6
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(32)
+    words = [f"x{rng.randrange(10**6)}" for _ in range(400_000)]
+    item = words[200_000:200_012]
+    passage = words[300_000:300_060]
+    d = docs(spark, [" ".join(words), "a " + " ".join(item) + " b", "c\n" + "\n".join(passage) + "\nd", "y" * 2_000_000])
+    hits = {r["doc_id"]: r["n_hit"] for r in decontam.scan(d, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert hits == {0: 12, 1: 12, 2: 0, 3: 0}
+    assert {r["doc_id"]: r["n_words"] for r in substring.repeats(d).collect()} == {0: 60, 2: 60}
+    assert {r["doc_id"]: r["kept"] for r in neardup.near_duplicates(d).collect()} == {0: True, 1: True, 2: True, 3: True}
+    net = langid.train([("a", "x1 x2 x3"), ("b", "the cat sat")] * 20)
+    assert langid.predict(d, net).where("score between 0 and 1").count() == 4

@@ -52,6 +52,24 @@ def test_stages(spark):
     assert seen == ["language_id", "line_dedup", "near_duplicates", "decontamination", "packing"]
 
 
+def test_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows and an empty table, through all stages."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(None, None, None, None, None), (7001, None, "en", None, None), (None, "some words in a text without a key", None, None, 3), (7002, "", "", "", 0), (7003, "1 2 3", None, "s", 5)], docs.schema)
+    long_ = spark.createDataFrame([(7004, "a long text of ordinary words " * 20_000, "en", "s", 1)], docs.schema)
+    rows = docs.unionByName(docs.limit(10)).unionByName(odd).unionByName(long_)
+    for given in (rows, rows.limit(0)):
+        now, columns = stored(given, "odd"), given.columns
+        for name, stage in corpus_pipeline.STAGES:
+            before = {r["doc_id"] for r in now.collect()}
+            now = stored(stage(spark, now, SF), name)
+            assert {r["doc_id"] for r in now.collect()} <= before
+            assert name == "packing" or now.columns == columns
+        assert (now.count() > 0) == (given is rows)
+        if given is rows:
+            assert {7004} <= {r["doc_id"] for r in now.collect()} and not {7001, 7002, 7003} & {r["doc_id"] for r in now.collect()}
+
+
 def test_registered():
     found = [m[1] for q in queries.queries() if (m := re.match(r"op(\d+)_", q))]
     assert sorted(map(int, found)) == list(range(1, 11))
