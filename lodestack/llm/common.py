@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -30,7 +31,7 @@ def ship(spark: SparkSession) -> None:
     Rows here are whole texts, so Arrow batches of the defaults of 10,000 rows and 64 MB would take much memory: a session
     that has the defaults gets smaller ones, also for what else it runs.
     """
-    for name, default, less in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "8m")):
+    for name, default, less in (("maxRecordsPerBatch", "10000", "500"), ("maxBytesPerBatch", "67108864b", "4m")):
         if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) == default:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", less)
     app = spark.sparkContext.applicationId
@@ -69,10 +70,12 @@ def kept_for(operator: str) -> dict:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share; only a local session may do without the setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not own.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = own.get() if own.isDefined() else f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
     return base.rstrip("/")
 

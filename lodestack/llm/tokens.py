@@ -13,13 +13,14 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 from .common import kept_for
 
-#: Pieces that a worker keeps; others are encoded anew in each batch.
-KEEP = 300_000
-#: Characters that are gathered before new pieces are encoded.
-BATCH_CHARS = 2_000_000
+#: Pieces that a worker keeps; others are encoded each time.
+KEEP = 150_000
+#: Characters of whole texts that go to the library at once.
+BATCH_CHARS = 500_000
 
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ňŊ-ž"
 #: A character outside these is cut by the library itself: classes differ between regex engines there.
@@ -46,7 +47,7 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self._tokenizer.get_vocab_size()
-        self._kept: dict[str, bytes] = {}
+        self._kept = _Kept(self._of_piece)
         self._model = self._tokenizer.model
         spec = json.loads(self._tokenizer.to_str())
         self._pieces = self._cutter(spec)
@@ -73,32 +74,35 @@ class Encoder:
         """Whether pieces can be cut here."""
         return not (self._pieces is None or _ODD.search(text) or self._added and self._added.search(text))
 
-    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+    def _of_piece(self, piece: str) -> bytes:
         """A piece goes straight to the library's model, in the characters that stand for its bytes."""
-        tokenize = self._model.tokenize
-        return [array("I", [x.id for x in tokenize(p.encode().decode("latin-1").translate(_BYTES))]).tobytes() for p in pieces]
+        return array("I", [x.id for x in self._model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))]).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        start = size = 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size >= BATCH_CHARS or i == len(texts) - 1:
-                out += self._some(texts[start : i + 1])
-                start, size = i + 1, 0
+        out: list[bytes | None] = [b"".join(map(self._kept.__getitem__, self._pieces(t))) if self._plain(t) else None for t in texts]
+        whole = [i for i, x in enumerate(out) if x is None]
+        while whole:
+            size = n = 0
+            while n < len(whole) and size < BATCH_CHARS:
+                size, n = size + len(texts[whole[n]]), n + 1
+            for i, x in zip(whole[:n], self._encoded([texts[i] for i in whole[:n]])):
+                out[i] = x
+            whole = whole[n:]
         return out
 
-    def _some(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(t) if self._plain(t) else None for t in texts]
-        kept = self._kept
-        new = list(set().union(*filter(None, cut)) - kept.keys())
-        room = max(0, KEEP - len(kept))
-        kept.update(zip(new, self._of_pieces(new)))
-        whole = iter(self._encoded([t for t, pieces in zip(texts, cut) if pieces is None]))
-        out = [next(whole) if pieces is None else b"".join(map(kept.__getitem__, pieces)) for pieces in cut]
-        for p in new[room:]:
-            del kept[p]
-        return out
+
+class _Kept(dict):
+    """Ids of pieces; one that isn't there is encoded, and kept as long as there is room."""
+
+    def __init__(self, of: Callable[[str], bytes]):
+        super().__init__()
+        self._of = of
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._of(piece)
+        if len(self) < KEEP:
+            self[piece] = ids
+        return ids
 
 
 def encoder(path: str) -> Encoder:
