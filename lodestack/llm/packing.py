@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_columns, ids_of, ship, stored, text_of
-from .tokens import encoder
+from .tokens import KEEP, encoder
 
 LENGTH = 4096
 CLASSES = 320
@@ -45,13 +45,13 @@ DENSEST = 24
 RANK_BUCKETS, BUCKET_PIECES = 256, 500_000
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document's pieces: doc_id, start, length, ids_crc32, doc_tokens."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH, key: str = "doc_id", text: str = "text", keep: int = KEEP) -> DataFrame:
+    """Each document's pieces: doc_id, start, length, ids_crc32, doc_tokens. keep is how many encoded word pieces a worker holds on to."""
     ship(docs.sparkSession)
     end = struct.pack("<I", end_id)
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, keep)
         for b in batches:
             out = []
             for doc, x in zip(ids_of(b), enc.ids(b["text"].tolist())):
@@ -215,10 +215,10 @@ def ranked(df: DataFrame, by: str, order: list[str], buckets: int = RANK_BUCKETS
     return dealt.withColumn("_rank", F.row_number().over(own) - 1).join(counts, [by, "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_bucket", "_before")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH, key: str = "doc_id", text: str = "text", keep: int = KEEP) -> DataFrame:
     """pieces() with the sequence_id and offset of each."""
     spark = docs.sparkSession
-    cut = stored(pieces(docs, tokenizer, end_id, length, key, text), "pieces")
+    cut = stored(pieces(docs, tokenizer, end_id, length, key, text, keep), "pieces")
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``length`` rows
     widths, slots = plan(histogram, length)
     by_class: dict[int, list] = {}

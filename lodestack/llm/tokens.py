@@ -17,8 +17,8 @@ from collections.abc import Callable
 
 from .common import kept_for
 
-#: Pieces that a worker keeps; others are encoded each time.
-KEEP = 150_000
+#: Pieces that a worker keeps, some 220 bytes each; others are encoded each time.
+KEEP = 300_000
 #: Characters of whole texts that go to the library at once.
 BATCH_CHARS = 500_000
 
@@ -41,13 +41,13 @@ _BYTES = _byte_characters()
 class Encoder:
     """ids(texts) gives each text's ids as little-endian unsigned 32-bit integers in bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int = KEEP):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self._tokenizer.get_vocab_size()
-        self._kept = _Kept(self._of_piece)
+        self._kept = _Kept(self._of_piece, keep)
         self._model = self._tokenizer.model
         spec = json.loads(self._tokenizer.to_str())
         self._pieces = self._cutter(spec)
@@ -94,20 +94,20 @@ class Encoder:
 class _Kept(dict):
     """Ids of pieces; one that isn't there is encoded, and kept as long as there is room."""
 
-    def __init__(self, of: Callable[[str], bytes]):
+    def __init__(self, of: Callable[[str], bytes], room: int):
         super().__init__()
-        self._of = of
+        self._of, self._room = of, room
 
     def __missing__(self, piece: str) -> bytes:
         ids = self._of(piece)
-        if len(self) < KEEP:
+        if len(self) < self._room:
             self[piece] = ids
         return ids
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker process and file."""
+def encoder(path: str, keep: int = KEEP) -> Encoder:
+    """One for each worker process, file and number of pieces to keep."""
     kept = kept_for("tokens")
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
+    if (path, keep) not in kept:
+        kept[path, keep] = Encoder(path, keep)
+    return kept[path, keep]
