@@ -41,7 +41,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"), end_id=2, length=4096)
+    # after the stages before, executors have less memory left for kept pieces
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), end_id=2, length=4096, keep=150_000)
 
 
 STAGES = [
