@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, linededup, neardup, packing, secretscan, substring, tokenout, urlfilter
+from . import ann, bytewords, decontam, importance, langid, linededup, neardup, packing, secretscan, substring, tokenout, urlfilter
 from .common import new_path, read
 
 
@@ -184,9 +184,46 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digest(secretscan.scan(docs, ratios))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's text, and the rank of the 5 % that are drawn."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, read(spark, sf_dir, "benchmark").select("text"), percent=5).drop("n_words")
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the crc32 of a string's UTF-8 bytes: a fold over them with the polynomial's table."""
+    code = f"list_transform(range(strlen({text})), lambda k: ('0x' || substr(hex({text}), 2 * k + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({code}, lambda c, b: xor({bytewords.TABLE.tolist()}[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295)"
+
+
+def words_sql(text: str = "text") -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+OP11_SQL = f"""
+WITH docs AS (SELECT doc_id, {words_sql()} AS w FROM documents),
+runs AS (SELECT doc_id, array_to_string(list_slice(w, k, k + n - 1), ' ') AS f FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM docs, (VALUES (1), (2), (3)) v(n) WHERE len(w) >= n)),
+goal AS (SELECT array_to_string(list_slice(w, k, k + n - 1), ' ') AS f FROM (SELECT w, n, unnest(generate_series(1, len(w) - n + 1)) AS k FROM (SELECT {words_sql()} AS w FROM benchmark), (VALUES (1), (2), (3)) v(n) WHERE len(w) >= n)),
+per_text AS MATERIALIZED (SELECT doc_id, f, count(*) AS n FROM runs GROUP BY doc_id, f),
+hashed AS MATERIALIZED (SELECT f, CAST({crc_sql("f")} AS BIGINT) % 10000 AS bucket FROM (SELECT f FROM per_text UNION SELECT f FROM goal)),
+source AS (SELECT bucket, sum(n) AS s FROM per_text JOIN hashed USING (f) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS t FROM goal JOIN hashed USING (f) GROUP BY bucket),
+gain AS (
+  SELECT b.bucket, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(s), 0) FROM source)::DOUBLE + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(t), 0) FROM target)::DOUBLE + 10000)))) AS BIGINT) AS g
+  FROM range(10000) b(bucket) LEFT JOIN source ON source.bucket = b.bucket LEFT JOIN target ON target.bucket = b.bucket),
+weights AS (SELECT doc_id, sum(n * g) AS weight FROM per_text JOIN hashed USING (f) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT d.doc_id, len(w) AS n_words, 3 * len(w) - CASE WHEN len(w) = 0 THEN 0 WHEN len(w) = 1 THEN 2 ELSE 3 END AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) AS BIGINT) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM docs d LEFT JOIN weights ON weights.doc_id = d.doc_id),
+ranks AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r END AS rank FROM scored s LEFT JOIN ranks ON ranks.doc_id = s.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_url_filters": op3_url_filters, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_near_duplicates": op7_near_duplicates, "op8_repeated_passages": op8_repeated_passages, "op9_token_ids": op9_token_ids, "op10_secret_scan": op10_secret_scan}
+    return {"op1_line_dedup": op1_line_dedup, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_url_filters": op3_url_filters, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_near_duplicates": op7_near_duplicates, "op8_repeated_passages": op8_repeated_passages, "op9_token_ids": op9_token_ids, "op10_secret_scan": op10_secret_scan, "op11_importance_resampling": op11_importance_resampling}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op3_url_filters": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_near_duplicates": OP7_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_url_filters": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_near_duplicates": OP7_SQL, "op11_importance_resampling": OP11_SQL}
