@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bytewords, decontam, importance, langid, linededup, neardup, packing, secretscan, substring, tokenout, urlfilter
+from . import ann, bytewords, decontam, importance, langid, linededup, neardup, packing, secretscan, spelling, substring, tokenout, urlfilter
 from .common import new_path, read
 
 
@@ -221,9 +221,37 @@ SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= 5 * n // 100 THEN r E
 """
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word, its near words, its form and its root."""
+    return spelling.variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY doc_id, run),
+hashed AS MATERIALIZED (SELECT run, n, {crc_sql("(doc_id || ':' || run)")} AS h FROM runs),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+gaps AS MATERIALIZED (SELECT word, n, k, substr(word, 1, k - 1) AS l, substr(word, k + 1) AS r FROM (SELECT word, n, unnest(generate_series(1, length(word))) AS k FROM words)),
+shorter AS MATERIALIZED (SELECT DISTINCT g.word AS long, g.n AS long_n, w.word AS short, w.n AS short_n FROM gaps g JOIN words w ON g.l || g.r = w.word),
+near AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM gaps a JOIN gaps b ON a.k = b.k AND a.l = b.l AND a.r = b.r AND a.word <> b.word
+  UNION ALL SELECT long, long_n, short, short_n FROM shorter UNION ALL SELECT short, short_n, long, long_n FROM shorter),
+best AS (SELECT word, n, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS r FROM near),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= 2 * w.n THEN b.near END AS form, CASE WHEN b.near_n >= 2 * w.n THEN b.near_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word AND b.r = 1),
+way AS (SELECT word, word AS at, form FROM forms UNION ALL SELECT way.word, f.word, f.form FROM way JOIN forms f ON way.form = f.word)
+SELECT f.word, f.form, way.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN way ON way.word = f.word AND way.form IS NULL
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_url_filters": op3_url_filters, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_near_duplicates": op7_near_duplicates, "op8_repeated_passages": op8_repeated_passages, "op9_token_ids": op9_token_ids, "op10_secret_scan": op10_secret_scan, "op11_importance_resampling": op11_importance_resampling}
+    return {"op1_line_dedup": op1_line_dedup, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_url_filters": op3_url_filters, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_near_duplicates": op7_near_duplicates, "op8_repeated_passages": op8_repeated_passages, "op9_token_ids": op9_token_ids, "op10_secret_scan": op10_secret_scan, "op11_importance_resampling": op11_importance_resampling, "op12_spelling_variants": op12_spelling_variants}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op3_url_filters": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_near_duplicates": OP7_SQL, "op11_importance_resampling": OP11_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op3_url_filters": OP3_SQL, "op5_decontamination": OP5_SQL, "op7_near_duplicates": OP7_SQL, "op11_importance_resampling": OP11_SQL, "op12_spelling_variants": OP12_SQL}
