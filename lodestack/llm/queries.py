@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bytewords, decontam, importance, langid, linededup, neardup, packing, secretscan, spelling, substring, tokenout, urlfilter
+from . import ann, bytewords, decontam, importance, langid, linededup, neardup, packing, secretscan, spelling, substring, tokenout, toxicity, urlfilter
 from .common import new_path, read
 
 
@@ -249,8 +249,14 @@ SELECT f.word, f.form, way.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN
 """
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from the labels of the folds that aren't held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.classified(docs, toxicity.learn(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_line_dedup": op1_line_dedup, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_url_filters": op3_url_filters, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_near_duplicates": op7_near_duplicates, "op8_repeated_passages": op8_repeated_passages, "op9_token_ids": op9_token_ids, "op10_secret_scan": op10_secret_scan, "op11_importance_resampling": op11_importance_resampling, "op12_spelling_variants": op12_spelling_variants}
+    return {"op1_line_dedup": op1_line_dedup, "op2_nearest_neighbours": op2_nearest_neighbours, "op3_url_filters": op3_url_filters, "op4_packing": op4_packing, "op5_decontamination": op5_decontamination, "op6_language_id": op6_language_id, "op7_near_duplicates": op7_near_duplicates, "op8_repeated_passages": op8_repeated_passages, "op9_token_ids": op9_token_ids, "op10_secret_scan": op10_secret_scan, "op11_importance_resampling": op11_importance_resampling, "op12_spelling_variants": op12_spelling_variants, "op13_toxicity": op13_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
