@@ -4,9 +4,9 @@ Bytes are embedded, convolved with filters of several widths, rectified, max-poo
 over a window and classified by softmax. A text is cut into windows of ``WINDOW``
 bytes, all of them are classified, and their probabilities are averaged by length.
 
-Learning reads at most ``PER_LANGUAGE`` labelled rows of each language, and fewer of
-each (one at least) where all languages together would have over ``MOST_ROWS``, by
-hash order, and ``PLACES`` windows of each; every language that has a label to learn
+Learning reads at most ``PER_LANGUAGE`` distinct labelled texts of each language, and fewer
+of each (one at least) where all languages together would have over ``MOST_ROWS``, by
+the order of their hashes, and ``PLACES`` windows of each; every language that has a label to learn
 from is a class, and everything else covers all rows and whole texts.
 
 Defined cases: a text that is null or holds no letter is ``und`` with score 0; so is
@@ -53,16 +53,16 @@ def held_out(key: str = "doc_id") -> Column:
 def labelled_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
     """(language, piece of text) pairs to learn from, bounded as the module says."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h")
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("h")
     )
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    counts = rows.select("lang", "h").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return []
     per_language = max(1, min(per_language, MOST_ROWS // len(counts)))
     limit = {r["lang"]: threshold((1.5 * per_language + 40) / r["count"]) for r in counts}
     low = F.create_map(*[F.lit(x) for pair in limit.items() for x in pair])
     at = lambda k: F.pmod(F.xxhash64("h", F.lit(k)), F.greatest(F.length("text") - WINDOW // 2, F.lit(1))).cast("int") + 1
-    some = rows.where(F.col("h") <= low[F.col("lang")]).select("lang", "h", F.array(*[F.substring("text", at(k), F.lit(WINDOW)) for k in range(PLACES)]).alias("w"))
+    some = rows.where(F.col("h") <= low[F.col("lang")]).select("lang", "h", F.array(*[F.substring("text", at(k), F.lit(WINDOW)) for k in range(PLACES)]).alias("w")).dropDuplicates(["lang", "h"])
     taken: dict[str, int] = {}
     out = []
     for r in sorted(some.collect(), key=lambda r: (r["h"], r["lang"])):  # at most about 1.5 x per_language for each language
