@@ -40,6 +40,14 @@ LINKS, BUILD_BEAM, SEARCH_BEAM = 16, 80, 128
 BATCH = 256
 
 
+def _single(given: np.ndarray, each: bool = False) -> np.ndarray:
+    """In single precision, after division by a power of two of the largest component (of each row, or of all): the walk
+    compares products only, which overflow or vanish without it. Rows are left out of a walk's best ones for nothing but
+    being 2 ** 126 times smaller than the largest of their shard."""
+    size = np.abs(given).max(axis=1 if each else None, keepdims=True, initial=0)
+    return np.ldexp(given.astype(np.float64), -np.frexp(size.astype(np.float64))[1]).astype(np.float32)
+
+
 class Graph:
     """A navigable small-world graph over rows of x, built and searched for batches of points."""
 
@@ -48,7 +56,7 @@ class Graph:
 
     @classmethod
     def build(cls, given: np.ndarray, links: int = LINKS, beam: int = BUILD_BEAM, seed: int = 11) -> Graph:
-        x = given.astype(np.float32)
+        x = _single(given)
         rng, n = np.random.default_rng(seed), len(x)
         levels = np.minimum((-np.log(rng.random(n)) / np.log(links)).astype(np.int64), 6)
         order = np.argsort(-levels, kind="stable")  # upper layers first: a point's layers exist when it comes
@@ -185,7 +193,7 @@ class Graph:
             w = 2 * links if not tables else links
             tables.append(flat[at : at + n * w].reshape(n, w))
             at += n * w
-        return cls(given, given.astype(np.float32), lv, tables, 0)
+        return cls(given, _single(given), lv, tables, 0)
 
 
 def points(rows: DataFrame, key: str, vector: str, top: int) -> tuple[DataFrame, DataFrame]:
@@ -249,7 +257,7 @@ def search(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
         r = g.iloc[0]
         graph = Graph.of(r["levels"], r["layers"], r["vectors"], kinds[0])
         x = np.stack(q["vector"].to_numpy()).astype(kinds[1])
-        found = graph.search(x.astype(np.float32), min(top + 1, int(r["n"])), beam)
+        found = graph.search(_single(x, each=True), min(top + 1, int(r["n"])), beam)
         counts = np.frombuffer(r["counts"], "<i4")
         ids, ends = np.frombuffer(r["ids"], "<i8"), np.cumsum(counts)
         out = []
