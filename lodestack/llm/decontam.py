@@ -21,6 +21,7 @@ wrote; the result is the same.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -74,6 +75,15 @@ def slices(benchmark: DataFrame, item: str, text: str, window: int, most: int) -
         yield held
 
 
+def _one_ahead(parts: Iterator[list]) -> Iterator[tuple[list, bool]]:
+    """Each slice, and whether it is the last; the driver holds two."""
+    now = next(parts, None)
+    while now is not None:
+        following = next(parts, None)
+        yield now, following is None
+        now = following
+
+
 class Matcher:
     """hits(words) finds every occurrence of a window: (first word, words, item_ids)."""
 
@@ -133,7 +143,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     ship(spark)
     kind = docs.schema[key].dataType.simpleString()
     state = docs.select(key, text_of(text).alias("text"), F.expr("cast(array() as array<struct<first:long,last:long>>)").alias("runs"), F.expr("cast(array() as array<string>)").alias("items"))
-    parts = list(slices(benchmark, item, item_text, window, slice_words)) or [[]]
     done = f"`{key}` {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>, contaminated boolean"
 
     def step(shared, last: bool):
@@ -169,12 +178,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         return run
 
     held: DataFrame | None = None
-    for k, part in enumerate(parts):
-        last = k == len(parts) - 1
+    parts = slices(benchmark, item, item_text, window, slice_words)
+    for part, last in _one_ahead(itertools.chain([next(parts, [])], parts)):
         shared = spark.sparkContext.broadcast((next(_slice_ids), part))
         state = state.mapInArrow(step(shared, last), done if last else state.schema)
         if not last:
             state = held = stored(state, "decontam", instead_of=held)
+            shared.destroy()
     return state
 
 
@@ -182,13 +192,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     """The rows of docs whose text holds no window. Only texts go to Python and only flags come back; nothing is shuffled."""
     spark = docs.sparkSession
     ship(spark)
-    parts = list(slices(benchmark, item, item_text, window, slice_words))
     before: DataFrame | None = None
-    for k, part in enumerate(parts):
+    for part, last in _one_ahead(slices(benchmark, item, item_text, window, slice_words)):
         shared = spark.sparkContext.broadcast((next(_slice_ids), part))
         docs = docs.where(~_holds(shared, window)(text_of(f"`{text}`")))
-        if k < len(parts) - 1:
+        if not last:
             docs = before = stored(docs, "decontam", instead_of=before)
+            shared.destroy()
     return docs
 
 
