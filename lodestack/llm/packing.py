@@ -218,7 +218,8 @@ def ranked(df: DataFrame, by: str, order: list[str], buckets: int = RANK_BUCKETS
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH, key: str = "doc_id", text: str = "text", keep: int = KEEP) -> DataFrame:
     """pieces() with the sequence_id and offset of each."""
     spark = docs.sparkSession
-    cut = stored(pieces(docs, tokenizer, end_id, length, key, text, keep), "pieces")
+    # a number tells repeats of a row apart, so that they are dealt to many buckets
+    cut = stored(pieces(docs, tokenizer, end_id, length, key, text, keep).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``length`` rows
     widths, slots = plan(histogram, length)
     by_class: dict[int, list] = {}
@@ -228,7 +229,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGTH,
     # Class of a length: the first width that holds it; at most length + 1 entries.
     upper = F.array(*[F.lit(int(x)) for x in np.searchsorted(widths, np.arange(length + 1))])
     classed = cut.withColumn("_class", F.element_at(upper, F.col("length").cast("int") + 1))
-    order = ["doc_id", "start", "ids_crc32", "doc_tokens"]
+    order = ["doc_id", "start", "ids_crc32", "doc_tokens", "_row"]
     placed = ranked(classed, "_class", order, max(RANK_BUCKETS, sum(histogram.values()) // BUCKET_PIECES)).join(F.broadcast(table), "_class")  # the table is bounded by classes and patterns
     slot = F.filter("_slots", lambda s: (s["first"] <= F.col("_rank")) & (F.col("_rank") < s["first"] + s["ranks"]))[0]
     placed = placed.withColumn("_slot", slot).withColumn("sequence_id", F.expr("_slot.sequence + (_rank - _slot.first) div _slot.each"))
