@@ -12,7 +12,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodestack.llm import bytewords, importance, spelling, toxicity
+from lodestack.llm import ann, bytewords, decontam, importance, langid, packing, spelling, toxicity
+from lodestack.llm.queries import vocabulary
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -242,3 +243,87 @@ def test_toxicity_of_the_tables(spark):
     found = toxicity.classified(d, toxicity.learn(d, labels)).where("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
     n = {(r["toxic"], r["predicted"]): r["count"] for r in found}
     assert n.get((0, 1), 0) <= 0.01 * n[0, 0] and n[1, 1] >= 0.85 * (n[1, 1] + n.get((1, 0), 0))
+
+
+# Odd rows of earlier operators
+
+
+def test_nearest_of_any_magnitude(spark):
+    rng = np.random.default_rng(2)
+    plain = rng.normal(size=(300, 8))
+    for scale in (1e25, 1e-25, 1e-160, 1e150):
+        x = plain * scale
+        rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = ann.search(rows, rows.where("vec_id % 20 = 0"), top=20).collect()
+        right = 0
+        for q in range(0, 300, 20):
+            s = (x * x[q]).sum(axis=1)
+            s[q] = -np.inf
+            right += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(-s)[:20].tolist()))
+        assert len(got) == 15 * 20 and right >= 0.95 * 15 * 20
+
+
+def test_languages_of_repeated_ids(spark):
+    words = {"aa": ["kala", "maja", "tuli"], "bb": ["brot", "stein", "wind"], "cc": ["ciel", "eau", "feu"]}
+    rng = random.Random(6)
+    said = lambda lang: " ".join(rng.choice(words[lang]) for _ in range(40))
+    rows = [(1, said("aa"), "aa") for _ in range(3000)] + [(k, said("bb"), "bb") for k in range(300)] + [(3, said("cc"), "cc") for _ in range(150)] * 20
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pairs = langid.labelled_windows(d)
+    n = Counter(a for a, _ in pairs)
+    assert n["aa"] == langid.PLACES * langid.PER_LANGUAGE and n["bb"] > 300 and n["cc"] == 150 * langid.PLACES  # a text that repeats counts once
+    net = langid.train(pairs)
+    assert langid.classify(net, [said("aa"), said("bb"), said("cc")])[0] == ["aa", "bb", "cc"]
+
+
+def test_languages_by_a_plain_loop(spark):
+    """The network's answers for whole texts, from its weights by loops over windows, places, filters and bytes."""
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abc déß漢 ") for _ in range(n)) for n in (1, 30, 511, 512, 513, 1300)]
+    net = langid.train([("x", t) for t in texts[1:4]] + [("y", t[::-1].upper()) for t in texts[2:]], epochs=1)
+    w = net.w
+    for t, lang, score in zip(texts, *langid.classify(net, texts)):
+        raw, mean = t.encode(), np.zeros(len(net.classes))
+        if not any(c.isalpha() for c in t):
+            continue
+        for a in range(0, len(raw), langid.WINDOW):
+            part = list(raw[a : a + langid.WINDOW])
+            codes = part + [langid.PAD] * (langid.WINDOW - len(part) + max(langid.WIDTHS))
+            top = []
+            for k, width in enumerate(langid.WIDTHS):
+                for f in range(langid.FILTERS):
+                    col = w["conv"][:, k * langid.FILTERS + f].reshape(-1, langid.EMBED)
+                    top.append(max(sum(float(w["embed"][codes[p + j]] @ col[j]) for j in range(width)) for p in range(langid.WINDOW)) + w["bias"][k * langid.FILTERS + f])
+            z = np.maximum(top, 0) @ w["dense"].astype(float) + w["out"]
+            p = np.exp(z - z.max())
+            mean += len(part) / len(raw) * p / p.sum()
+        assert lang == net.classes[int(np.argmax(mean))] and score == pytest.approx(mean.max(), abs=1e-4)
+
+
+def test_benchmark_slices_come_one_by_one(spark, monkeypatch):
+    made, used = [], []
+    plain, step = decontam.slices, decontam.stored
+
+    def watched(*a):
+        for part in plain(*a):
+            made.append(len(part))
+            yield part
+
+    monkeypatch.setattr(decontam, "slices", watched)
+    monkeypatch.setattr(decontam, "stored", lambda *a, **k: (used.append(len(made)), step(*a, **k))[1])
+    bench = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(12))) for k in range(6)], "item_id long, text string")
+    d = docs(spark, [" ".join(f"w{k}x{j}" for j in range(12)) for k in range(8)])
+    got = {r["doc_id"]: r["contaminated"] for r in decontam.scan(d, bench, slice_words=12).collect()}
+    assert got == {k: k < 6 for k in range(8)} and used == [2, 3, 4, 5, 6]  # one slice ahead of the one in work
+    assert decontam.clean(d, bench, slice_words=12).count() == 2 and decontam.clean(d, bench.limit(0)).count() == 8
+    assert decontam.scan(d, bench.limit(0)).where("contaminated").count() == 0
+
+
+def test_packing_deals_repeats(spark):
+    rows = spark.createDataFrame([(None, "")] * 3000 + [(k, "a b c") for k in range(50)], "doc_id long, text string")
+    got = packing.pack(rows, vocabulary("word_bpe_49k.json"))
+    assert got.count() == 3050 and got.groupBy("sequence_id", "offset").count().where("count > 1").isEmpty()
+    same = spark.range(3000).select(F.lit(0).alias("c"), F.lit(7).alias("x"), F.monotonically_increasing_id().alias("_row"))
+    dealt = packing.ranked(same, "c", ["x", "_row"], 64)
+    assert sorted(r["_rank"] for r in dealt.select("_rank").collect()) == list(range(3000))
+    assert same.groupBy(F.pmod(F.xxhash64("x", "_row"), F.lit(64)).alias("b")).count().agg(F.max("count")).first()[0] < 200
