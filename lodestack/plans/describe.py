@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import policy
 from ..functions import text as T
 from ..operators import markdown, progress, sessions
-from ..sources import connectors, files, sinks
+from ..sources import connectors, durable, files, sinks
 from ..sources.config import Config
 
 
@@ -58,9 +58,10 @@ def log_of(results: DataFrame, concurrency: int) -> DataFrame:
 def run(spark: SparkSession, paths: dict[str, str], client: connectors.VisionClient, config: Config, template: str, number: int | None = None, seed: int = 42, concurrency: int | None = None) -> dict[str, int]:
     """Describes the images of paths["markdown"] and writes the described documents to paths["output"].
 
-    Items are kept below paths["progress"]; those that are valid aren't asked for again. With a number only so many images
-    are taken, the same ones for a seed. Answers are written before anything else happens, so a failure later on costs no
-    call. Every occurrence of an image gets its text, from this run or an earlier one. Returns counts.
+    Items are kept below paths["progress"], each as soon as it is answered and before the next is asked for; those that are
+    valid aren't asked for again, by whatever run they came and however it ended. With a number only so many images are
+    taken, the same ones for a seed. Every occurrence of an image gets its text, from this run or an earlier one. Returns
+    counts. A run that ends well removes the notes (_runs) of itself and of those that were killed.
     """
     options, limits = config.options, connectors.Limits.of(config.options)
     concurrency = concurrency or config.model["concurrency"]
@@ -73,11 +74,11 @@ def run(spark: SparkSession, paths: dict[str, str], client: connectors.VisionCli
         left = sessions.sample_n(left, "key", number, seed)
     prompt = said_prompt(spark, template, options)
     ready = with_images(with_lines(left, docs, limits), spark, paths["images"])
-    answers = f"{paths['progress']}/_answers-{uuid.uuid4().hex}"
-    connectors.described(ready, client, config.model.get("name", "model"), prompt, config.model["request_body"], limits, concurrency).write.parquet(answers)
-    results = spark.read.parquet(answers)
-    new = results.where(policy.persisted("status")).join(left.select("key", "path", "start", "end"), "key")
-    sinks.write_items(new.select("key", "result", F.col("start").cast("int"), F.col("end").cast("int"), F.col("path").alias("img_path")), paths["progress"])
+    number_of_run = uuid.uuid4().hex
+    model = connectors.Model(client, config.model.get("name", "model"), prompt, config.model["request_body"], limits)
+    calls = ready.select("key", sinks.item_file("key").alias("item"), "path", "image", "lines", "line_at", F.col("start").cast("int"), F.col("end").cast("int"))
+    durable.write_calls(calls, connectors.describing(model, paths["progress"], number_of_run), concurrency)
+    results = durable.outcomes(spark, f"{paths['progress']}/_runs/{number_of_run}", connectors.RESULTS)
     if "logs" in paths:
         stamp = datetime.now(UTC).strftime("%Y%m%d_%H%M%S")
         sinks.write_file(log_of(results, concurrency), paths["logs"], f"img2text_{stamp}.log")
@@ -87,7 +88,9 @@ def run(spark: SparkSession, paths: dict[str, str], client: connectors.VisionCli
     described = tasks.join(texts, "key").select("name", "start", "end", "path", "result")
     sinks.write_documents(markdown.spliced_documents(docs, "name", "content", described), paths["output"])
     counts: dict[str, Any] = results.agg(F.count(F.lit(1)).alias("asked"), *[F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("ok", "error", "retry")]).first().asDict()
-    return counts | {"images": tasks.count(), "left": progress.pending(once, items).count()}
+    counts |= {"images": tasks.count(), "left": progress.pending(once, items).count()}
+    sinks.removed(spark, f"{paths['progress']}/_runs")
+    return counts
 
 
 def said_prompt(spark: SparkSession, template: str, options: dict[str, Any]) -> str:

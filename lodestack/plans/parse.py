@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import policy
 from ..functions import text as T
 from ..operators import parts, progress
-from ..sources import connectors, files, sinks
+from ..sources import connectors, durable, files, sinks
 from ..sources.config import Config
 
 #: A splitter gives the parts (name, content) of a file.
@@ -32,8 +32,9 @@ def actions(inputs: DataFrame, states: DataFrame, outputs: DataFrame, client: co
 def run(spark: SparkSession, inputs: DataFrame, output: str, states: str, client: connectors.ParseClient, config: Config) -> DataFrame:
     """Parses inputs, a listing with path and name, into <output>/<stem>/full.md; returns counts of done, skip, fail and running.
 
-    Outcomes are written before anything is made of them: texts and states follow from what was written, so no call is
-    made twice if a later step fails. A failed file doesn't end the run; its count says so.
+    A file's state has its batch id before the first poll and its text is there before the state says done, so a run that is
+    killed leaves nothing to be paid for again: the next one polls the batches that are open and skips what is done. A failed
+    file doesn't end the run; its count says so.
     """
     o = config.parser
     kept = files.task_states(spark, states) if sinks.exists(spark, states) else spark.createDataFrame([], files.STATE_SCHEMA)
@@ -42,17 +43,13 @@ def run(spark: SparkSession, inputs: DataFrame, output: str, states: str, client
     have = texts.select(F.element_at(F.split("path", "/"), -2).alias("folder"))
     todo = actions(inputs.select("path", "name"), kept, have, client, o["concurrency"])
     content = spark.read.format("binaryFile").load([r["path"] for r in inputs.select("path").collect()]) if inputs.take(1) else spark.createDataFrame([], "path string, content binary")
-    outcome = f"{states}/_outcomes-{uuid.uuid4().hex}"
-    ready = todo.join(content.select("path", "content"), "path")
-    connectors.parsed(ready, client, o["poll_interval"], o["poll_timeout"], o["concurrency"]).write.parquet(outcome)
-    results = spark.read.parquet(outcome)
-    sinks.write_documents(results.where("status = 'done'").select(F.concat(T.stem("name"), F.lit("/full.md")).alias("name"), F.col("text").alias("content")), output)
-    new = results.where("status <> 'skip'").select(
-        F.col("name").alias("file"), "batch_id", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("created_at"),
-        F.when(F.col("status") == "fail", "failed").otherwise(F.col("status")).alias("status"), F.coalesce("error", F.lit("")).alias("last_error"), T.stem("name").alias("output_folder"),
-    )
-    sinks.write_states(new, states)
-    return progress.outcomes(results)
+    ready = todo.join(content.select("path", "content"), "path").select("name", T.stem("name").alias("stem"), sinks.state_file("name").alias("state"), "content", "action", "batch_id")
+    run_id = uuid.uuid4().hex
+    durable.write_calls(ready, connectors.parsing(client, states, output, run_id, connectors.Waits(o["poll_interval"], o["poll_timeout"])), o["concurrency"])
+    results = durable.outcomes(spark, f"{states}/_runs/{run_id}", "name string, status string, batch_id string, error string")
+    counts = spark.createDataFrame(progress.outcomes(results).collect(), "status string, files long")
+    sinks.removed(spark, f"{states}/_runs")
+    return counts
 
 
 def split(listed: DataFrame, splitters: dict[str, Splitter]) -> DataFrame:

@@ -7,12 +7,11 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions.text import _c
 from ..operators.sessions import latest_per_key
-from .files import ITEM_SCHEMA, STATE_SCHEMA
+from . import durable
 
 SESSION_COLUMNS = ("key", "thread_id", "tool_calls", "status", "elapsed_sec", "error_type", "error_msg", "img_type")
 
@@ -53,6 +52,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(make(path))
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there."""
+    fs, make = _files(spark, path)
+    fs.delete(make(path), True)
+
+
 def write_documents(docs: DataFrame, path: str, name: str = "name", content: str = "content") -> None:
     """[K5, K6] One file ``<path>/<name>`` for each document, with .md where the name has no such end.
 
@@ -114,36 +119,29 @@ def copied(files: DataFrame, target: str, path: str = "path", to: str = "target"
     return n
 
 
-def _upsert(new: DataFrame, path: str, by: str, key: str, kept: DataFrame | None) -> None:
-    """Replace the folders (of column by) that new rows touch by what they hold and the new rows, the latter winning."""
-    if kept is not None:
-        old = kept.join(new.select(by).distinct(), by, "left_semi").join(new.select(key), key, "left_anti")
-        new = old.unionByName(new, allowMissingColumns=True)
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).json(path)
-
-
 def write_items(items: DataFrame, path: str, key: str = "key", order: str | None = None) -> None:
-    """[K3, K4] Upserts progress items as JSON, by document and safe name; a folder appears when its job is committed, never in part.
+    """[K3, K4] Upserts progress items, each as ``<path>/<stem of its document>/<safe name of its image>.json``.
 
-    Of items with one key the last by ``order`` counts (any, without one). Only the documents of new items are written anew.
+    Of items with one key the last by ``order`` counts (any, without one). Nothing but the files of new items is touched.
     """
-    spark = items.sparkSession
-    parts = T.key_parts(key)
     one = items.dropDuplicates([key]) if order is None else latest_per_key(items, key, [order]).drop(order)
-    placed = one.withColumns({"document": T.stem(parts["document"]), "item": T.safe_name(parts["path"])})
-    _upsert(placed, path, "document", key, _kept(spark, path, placed, ITEM_SCHEMA))
+    durable.write_records(one, path, item_file(key), durable.json_of(*one.columns))
 
 
 def write_states(states: DataFrame, path: str, key: str = "file") -> None:
-    """[K13] Upserts task states as JSON, a folder for each file."""
-    placed = states.dropDuplicates([key]).withColumn("task", T.stem(key))
-    _upsert(placed, path, "task", key, _kept(states.sparkSession, path, placed, STATE_SCHEMA))
+    """[K13] Upserts task states, each as ``<path>/<stem of its file>_task.json``."""
+    durable.write_records(states.dropDuplicates([key]), path, state_file(key), durable.json_of(*states.columns))
+
+
+def item_file(key: str | Column = "key") -> Column:
+    """[K4] Where the item of a key is kept."""
+    parts = T.key_parts(key)
+    return F.concat(T.stem(parts["document"]), F.lit("/"), T.safe_name(parts["path"]))
 
 
-def _kept(spark: SparkSession, path: str, like: DataFrame, usual: str) -> DataFrame | None:
-    """What is there, with the columns of new rows and the usual ones."""
-    fields = like.schema.fields + [f for f in StructType.fromDDL(usual).fields if f.name not in like.columns]
-    return spark.read.schema(StructType(fields)).json(path) if exists(spark, path) else None
+def state_file(file: str | Column = "file") -> Column:
+    """[K13] Where the state of a file is kept."""
+    return F.concat(T.stem(file), F.lit("_task.json"))
 
 
 def log_line(time: str | Column, thread: str | Column, body: str | Column, concurrency: int = 10, level: str | None = None) -> Column:
