@@ -524,3 +524,43 @@ def stream_progress(spark, sf_dir):
     q.awaitTermination()
     out = spark.read.parquet(f"{path}/out/{q.lastProgress['batchId']}")
     return out.select(F.unix_seconds("window.start").alias("hour"), "done", "errors", "warnings")
+
+
+# One hot key: all events as one log of one worker
+
+
+HOT = """WITH b AS (SELECT event_id, event_type, value, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS session FROM events),
+f AS (SELECT session, min(event_id) AS fin FROM b WHERE event_type IN ('purchase', 'error') GROUP BY 1)
+"""
+
+
+def _one_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").withColumn("log", F.lit("one"))
+
+
+@query(HOT + """SELECT b.session, max(CASE WHEN event_type = 'signup' THEN event_id END) AS key, count(*) FILTER (event_type IN ('view', 'click')) AS tool_calls,
+  coalesce(max(CASE event_type WHEN 'purchase' THEN 'success' WHEN 'error' THEN 'failed' END), 'incomplete') AS status, max(CASE WHEN event_type IN ('purchase', 'error') THEN value END) AS elapsed
+FROM b LEFT JOIN f ON b.session = f.session WHERE b.session > 0 AND (fin IS NULL OR event_id <= fin) GROUP BY 1""")
+def hot_sessions(spark, sf_dir):
+    """Sessions of one key, in segments of 500 rows that are finished side by side."""
+    kind = F.when(F.col("event_type") == "signup", "start").when(F.col("event_type").isin("view", "click"), "tool").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed")
+    found = sessions.sessionise(_one_log(spark, sf_dir), ["log"], ["event_id"], kind, "event_id", "value", F.lit(None), F.lit("x"), segment=F.expr("event_id div 500"))
+    return found.select("session", "key", "tool_calls", "status", "elapsed")
+
+
+@query("""WITH b AS (SELECT *, count(*) FILTER (event_type = 'signup') OVER (ORDER BY event_id) AS block FROM events)
+SELECT block, max(CASE WHEN event_type = 'signup' THEN 'p' || event_id END) AS path, bool_or(event_type = 'error') AS bad FROM b WHERE block > 0 GROUP BY 1""")
+def hot_blocks(spark, sf_dir):
+    """Blocks of one log and whether they hold an error."""
+    header = F.when(F.col("event_type") == "signup", F.format_string("p%d", "event_id"))
+    return sessions.problem_blocks(_one_log(spark, sf_dir), ["log"], ["event_id"], header, F.col("event_type") == "error", F.expr("event_id div 500")).select("block", "path", "bad")
+
+
+@query("""WITH c AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS done, (SELECT count(*) FROM events) // 2 AS total FROM events WHERE event_type IN ('purchase', 'error', 'view')),
+p AS (SELECT *, done * 100 // total AS percent, lag(done * 100 // total, 1, -1) OVER (ORDER BY event_id) AS last FROM c)
+SELECT event_id, done, percent FROM p WHERE percent > last""")
+def hot_progress(spark, sf_dir):
+    """The running percent of one log, where it grows."""
+    e = _one_log(spark, sf_dir)
+    rows = e.withColumn("total", F.floor(F.lit(e.count()) / 2))
+    return sessions.running_progress(rows, ["log"], ["event_id"], F.col("event_type").isin("purchase", "error", "view"), "total", F.expr("event_id div 500")).select("event_id", "done", "percent")

@@ -185,3 +185,34 @@ def test_exact_quantiles(spark):
             place, x = (len(values) - 1) * share, sorted(values)
             low, high = x[int(place)], x[min(int(place) + 1, len(x) - 1)]
             assert abs(got[k] - (low + (high - low) * (place - int(place)))) <= 1e-9 * max(1.0, abs(got[k]))
+
+
+def test_segments_of_one_key(spark):
+    """However a key's rows are cut, the sessions, blocks and percents are those of the whole."""
+    rng = random.Random(17)
+    rows = [(rng.choice(["a", None]), k, rng.choice(["start", "tool", "tool", "done", "failed", "other"]), rng.random() < 0.1, rng.choice([0, 7, 40])) for k in range(400)]
+    df = spark.createDataFrame(rows, "k string, n long, kind string, flag boolean, total long").cache()
+    told = lambda x: sorted(map(str, x.collect()))
+    of = {
+        "sessions": lambda seg: sessions.sessionise(df, ["k"], ["n"], "kind", "n", F.col("n") / 2, "n", "kind", segment=seg),
+        "blocks": lambda seg: sessions.problem_blocks(df, ["k"], ["n"], F.when(F.col("kind") == "start", F.col("n")), "flag", seg),
+        "progress": lambda seg: sessions.running_progress(df, ["k"], ["n"], F.col("kind") != "other", "total", seg),
+    }
+    for name, f in of.items():
+        whole = told(f(None))
+        assert len(whole) > 20 and all(told(f(F.expr(f"n div {size}"))) == whole for size in (1, 7, 100, 1000)), name
+
+
+def test_one_thread_runs_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sessions, "SEGMENT_LINES", 50)
+    value = F.format_string("[10:00:00][T01] %s", F.when(F.col("id") % 5 == 0, F.format_string("▶ START d::images/%d.png", "id")).when(F.col("id") % 5 == 4, "✓ [1.5s] DONE [IMG_TYPE: table]").otherwise("  [ToolCall] AI wants +5up/-5down"))
+    lines = spark.range(5000).select(F.lit("one.log").alias("file"), F.col("id").alias("line_no"), value.alias("value"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = sessions.log_sessions(lines)
+        assert found.count() == 1000 and found.where("status = 'success' and tool_calls = 3").count() == 1000
+        dealt = sessions._carried(sessions.log_events(lines).withColumn("_segment", F.expr("line_no div 50")), ["file", "tid"], {"_n": F.count(F.lit(1))}, {"_b": lambda w: F.sum("_n").over(w)})
+        sizes = [r["count"] for r in dealt.repartition("file", "tid", "_segment").groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 2500
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
