@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -42,41 +41,56 @@ def tool_call_distribution(sessions: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.round(percent("sessions", total), 6))
 
 
-def exact_quantiles(rows: DataFrame, value: str, shares: tuple[float, ...]) -> DataFrame:
-    """[A5, A6, T9] One row q0, q1, ... of exact quantiles, linear between neighbours; null without values.
+#: Ranges that values are dealt to; their edges are one row.
+RANGES = 128
+
+
+def value_counts(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, v (the value as double, null too), n: how often each value occurs. Ties combine before the shuffle, groups don't meet."""
+    return rows.groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def quantiles(counts: DataFrame, by: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """[A5, A6, A7, T9] by, q0, q1, ... of value_counts: exact quantiles of each group, linear between neighbours.
 
-    Values are dealt to ranges between approximate quantiles and counted; only the ranges that hold a wanted rank are
-    sorted, each by itself, so no task holds all values. The rows are read three times: give it a stored table where they
-    are costly to make.
+    Distinct values are dealt to ranges between approximate quantiles of all of them. Sums by group and range tell which
+    range holds a wanted rank; only those are sorted, each by itself, so a group with most of the values is spread over
+    tasks. Nothing runs while this is built, and the rows behind the counts are read once, as their shuffle is used again.
+
+    A group without a value has no row; without groups (by is empty) there is no row if there are no values.
     """
-    x = rows.select(F.col(value).cast("double").alias("v")).where("v is not null")
-    n, edges = x.agg(F.count(F.lit(1)), F.percentile_approx("v", F.array(*[F.lit(k / 64) for k in range(1, 64)]), F.lit(1000))).first()
-    places = [(n - 1) * s for s in shares] if n else []
-    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
-    bucket = reduce(lambda k, e: k + (F.col("v") >= F.lit(e)).cast("int"), sorted(set(edges or [])), F.lit(0))
-    x = x.withColumn("b", bucket)
-    before, wanted = 0, {}
-    for r in x.groupBy("b").count().orderBy("b").collect():  # 64 rows at most
-        if any(before <= k < before + r["count"] for k in ranks):
-            wanted[r["b"]] = before
-        before += r["count"]
-    offset = F.create_map(*[F.lit(v) for pair in wanted.items() for v in pair]) if wanted else F.lit(None).cast("map<int,int>")
-    counts = x.where(F.col("b").isin(*wanted) if wanted else F.lit(False)).groupBy("b", "v").agg(F.count(F.lit(1)).alias("n"))
-    last = offset[F.col("b")] + F.sum("n").over(Window.partitionBy("b").orderBy("v"))
-    ranked = counts.withColumn("last", last).withColumn("first", F.col("last") - F.col("n"))
-    at = lambda k: F.max(F.when((F.col("first") <= k) & (F.col("last") > k), F.col("v")))
-    one = ranked.agg(*[at(k).alias(f"r{k}") for k in ranks] or [F.max("v").alias("none")])
-    between = lambda p: F.col(f"r{math.floor(p)}") + (F.col(f"r{math.ceil(p)}") - F.col(f"r{math.floor(p)}")) * F.lit(p - math.floor(p))
-    return one.select(*[(between(places[k]) if places else F.lit(None).cast("double")).alias(f"q{k}") for k in range(len(shares))])
+    x = counts.where("v is not null")
+    edges = x.agg(F.percentile_approx("v", F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), F.lit(10_000)).alias("e")).scalar()
+    x = x.withColumn("_e", edges).withColumn("_b", F.size(F.filter("_e", lambda e: e <= F.col("v")))).drop("_e")
+    same = lambda cols: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in cols])
+    sums = x.groupBy(*by, "_b").agg(F.sum("n").alias("_m"))
+    whole, line = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_b")  # a row a range: RANGES of a group at most
+    sums = sums.select(*[F.col(c).alias(f"_at_{c}") for c in [*by, "_b"]], "_m", F.sum("_m").over(whole).alias("_all"), (F.sum("_m").over(line) - F.col("_m")).alias("_before"))
+    place = [(F.col("_all") - 1) * F.lit(s) for s in shares]
+    ends = [(F.floor(p), F.ceil(p)) for p in place]
+    holds = lambda first, m: reduce(lambda a, b: a | b, [(first <= r) & (r < first + m) for pair in ends for r in pair])
+    hit = x.join(sums.where(holds(F.col("_before"), F.col("_m"))), same([*by, "_b"]))
+    own = Window.partitionBy(*by, "_b").orderBy("v")
+    hit = hit.withColumn("_first", F.col("_before") + F.sum("n").over(own) - F.col("n")).where(holds(F.col("_first"), F.col("n")))
+    at = lambda r: F.max(F.when((F.col("_first") <= r) & (r < F.col("_first") + F.col("n")), F.col("v")))
+    found = hit.groupBy(*by, "_all").agg(*[at(r).alias(f"_r{k}_{e}") for k, pair in enumerate(ends) for e, r in enumerate(pair)])
+    return found.select(*by, *[(F.col(f"_r{k}_0") + (F.col(f"_r{k}_1") - F.col(f"_r{k}_0")) * (p - F.floor(p))).alias(f"q{k}") for k, p in enumerate(place)])
+
+
+def exact_quantiles(rows: DataFrame, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """[A5, A6, T9] One row q0, q1, ... of exact quantiles; null without values."""
+    found = quantiles(value_counts(rows, [], value), [], shares)
+    return found.agg(*[F.max(f"q{k}").alias(f"q{k}") for k in range(len(shares))])
 
 
 def elapsed_stats(sessions: DataFrame) -> DataFrame:
     """[A4] Over successes; the sample deviation of one is 0; no row without any."""
-    x, ok = F.col("elapsed"), sessions.where(_ok)
-    out = ok.agg(_r(F.sum(x), "sum_elapsed"), _r(F.avg(x), "avg_elapsed"), _r(F.min(x), "min_elapsed"), _r(F.max(x), "max_elapsed"), _r(F.coalesce(F.stddev_samp(x), F.lit(0.0)), "stdev_elapsed"))
-    median = exact_quantiles(ok, "elapsed", (0.5,)).select(_r(F.col("q0"), "median_elapsed"))
-    joined = out.join(median, F.lit(True))  # one row each
-    return joined.where("sum_elapsed is not null").select("sum_elapsed", "avg_elapsed", "median_elapsed", "min_elapsed", "max_elapsed", "stdev_elapsed")
+    counts = value_counts(sessions.where(_ok), [], "elapsed").where("v is not null")
+    n, v = F.col("n"), F.col("v")
+    mean = counts.agg(F.sum(v * n) / F.sum(n)).scalar()
+    deviation = F.when(F.sum(n) > 1, F.sqrt(F.sum(n * (v - mean) * (v - mean)) / (F.sum(n) - 1))).otherwise(0.0)
+    out = counts.agg(_r(F.sum(v * n), "sum_elapsed"), _r(F.sum(v * n) / F.sum(n), "avg_elapsed"), _r(quantiles(counts, [], (0.5,)).agg(F.max("q0")).scalar(), "median_elapsed"), _r(F.min(v), "min_elapsed"), _r(F.max(v), "max_elapsed"), _r(deviation, "stdev_elapsed"))
+    return out.where("sum_elapsed is not null")
 
 
 def elapsed_percentiles(sessions: DataFrame, wanted: tuple[int, ...] = PERCENTILES) -> DataFrame:
@@ -87,8 +101,11 @@ def elapsed_percentiles(sessions: DataFrame, wanted: tuple[int, ...] = PERCENTIL
 
 def elapsed_by_calls(sessions: DataFrame) -> DataFrame:
     """[A7]"""
-    x = F.col("elapsed")
-    return sessions.where(_ok).groupBy("tool_calls").agg(F.count(F.lit(1)).alias("sessions"), _r(F.avg(x), "avg_elapsed"), _r(F.median(x), "median_elapsed"))
+    counts = value_counts(sessions.where(_ok), ["tool_calls"], "elapsed")
+    known = F.when(F.col("v").isNotNull(), F.col("n"))
+    means = counts.groupBy("tool_calls").agg(F.sum("n").alias("sessions"), _r(F.sum(F.col("v") * F.col("n")) / F.sum(known), "avg_elapsed"))
+    medians = quantiles(counts, ["tool_calls"], (0.5,)).select(F.col("tool_calls").alias("_calls"), _r(F.col("q0"), "median_elapsed"))
+    return means.join(medians, F.col("tool_calls").eqNullSafe(F.col("_calls")), "left").drop("_calls")
 
 
 def error_distribution(sessions: DataFrame) -> DataFrame:

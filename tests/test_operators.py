@@ -216,3 +216,19 @@ def test_one_thread_runs_in_many_tasks(spark, monkeypatch):
         assert len(sizes) == 4 and max(sizes) < 2500
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_quantiles_of_groups(spark):
+    """A hot group, null groups, ties, one value, no value: as numpy has them, and the hot group's values are sorted in many tasks."""
+    import numpy as np
+
+    rng = random.Random(23)
+    rows = [("hot", round(rng.gauss(0, 9), 2)) for _ in range(6000)] + [(None, float(rng.randint(0, 3))) for _ in range(500)] + [("one", 5.0), ("none", None), ("two", 1.0), ("two", 2.0)] + [("same", 7.0)] * 900
+    df = spark.createDataFrame(rows, "g string, v double")
+    counts = statistics.value_counts(df, ["g"], "v")
+    got = {r["g"]: r for r in statistics.quantiles(counts, ["g"], (0.0, 0.5, 0.95, 1.0)).collect()}
+    assert set(got) == {"hot", None, "one", "two", "same"}
+    for g, r in got.items():
+        want = np.quantile([v for k, v in rows if k == g and v is not None], [0.0, 0.5, 0.95, 1.0])
+        assert np.allclose([r[f"q{k}"] for k in range(4)], want, atol=1e-12), g
+    assert statistics.quantiles(counts.limit(0), ["g"], (0.5,)).count() == 0
