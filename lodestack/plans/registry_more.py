@@ -12,7 +12,7 @@ from ..functions import policy
 from ..functions import text as T
 from ..operators import organize, parts, progress, sessions, statistics
 from ..sources import config, connectors, durable, files, scratch, sinks
-from ..streaming import logs
+from ..streaming import follow, logs
 from .registry import _ITEMS, LOG_SESSIONS, _items, query, read
 
 # Log lines
@@ -454,10 +454,13 @@ def workflow_steps(spark, sf_dir):
 # Streams
 
 
-@query(LOG_SESSIONS + """o AS (SELECT user_id, max(session) AS last FROM s GROUP BY 1)
+STREAM_SESSIONS = LOG_SESSIONS + """o AS (SELECT user_id, max(session) AS last FROM s GROUP BY 1)
 SELECT s.user_id, 'doc::images/' || s.key || '.png' AS key, count_tools AS tool_calls, s.status, round(s.elapsed, 6) AS elapsed, CASE WHEN s.status = 'failed' THEN 'rate_limit' END AS error_type, CASE WHEN s.status = 'success' THEN 'table' END AS img_type
 FROM (SELECT s.*, (SELECT count(*) FROM base b WHERE b.user_id = s.user_id AND b.session = s.session AND b.event_type = 'view' AND (s.fin IS NULL OR b.event_id < s.fin)) AS count_tools FROM (SELECT s.*, (SELECT min(event_id) FROM base b WHERE b.user_id = s.user_id AND b.session = s.session AND b.event_type IN ('purchase', 'error')) AS fin FROM s) s) s JOIN o ON o.user_id = s.user_id
-WHERE NOT (s.status = 'incomplete' AND s.session = o.last)""")
+WHERE NOT (s.status = 'incomplete' AND s.session = o.last)"""
+
+
+@query(STREAM_SESSIONS)
 def stream_sessions(spark, sf_dir):
     """Sessions of the logs as a stream brings them; those still open at its end are not among them."""
     path = scratch.folder(spark, "stream")
@@ -469,6 +472,37 @@ def stream_sessions(spark, sf_dir):
     return out.select(F.col("tid").cast("long").alias("user_id"), "key", "tool_calls", "status", F.round("elapsed", 6).alias("elapsed"), "error_type", "img_type")
 
 
+def _raw_logs(spark: SparkSession, sf_dir: str, head: str | None = None) -> tuple[str, int]:
+    """The event lines as plain logs in a folder, each after a line of its own if there is a head; and how many lines there are."""
+    path, lines = scratch.folder(spark, "raw"), event_lines(spark, sf_dir).select("name", "event_id", "value")
+    if head is not None:
+        lines = lines.unionByName(lines.select("name").distinct().select("name", F.lit(-1).cast("long").alias("event_id"), F.lit(head).alias("value")))
+    for k in range(3):
+        sinks.write_file(lines.where(f"name = 'img2text_{k}.log'").orderBy("event_id").select("value"), path, f"img2text_{k}.log")
+    return path, lines.count()
+
+
+@query(STREAM_SESSIONS)
+def followed_sessions(spark, sf_dir):
+    """Sessions of plain logs that are followed as they grow, some hundred kilobytes a batch."""
+    path, n = _raw_logs(spark, sf_dir)
+    rows = follow.lines(spark, path, max_bytes=1 << 19, split_bytes=1 << 17, state=f"{path}/plan")
+    q = logs.sessions(rows).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").start()
+    logs.stop_after(q, n)
+    out = spark.read.parquet(f"{path}/out")
+    return out.select(F.col("tid").cast("long").alias("user_id"), "key", "tool_calls", "status", F.round("elapsed", 6).alias("elapsed"), "error_type", "img_type")
+
+
+@query(f"SELECT name, text FROM ({RUN_LINES})")
+def live_output(spark, sf_dir):
+    """What a reader of a growing log is shown, from counts that are kept between batches."""
+    path, n = _raw_logs(spark, sf_dir, "[00:00:00][T00] To process: 5000")
+    rows = logs.live(follow.lines(spark, path, max_bytes=1 << 20), dense=False)
+    q = logs.started(rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append"), spark)
+    logs.stop_after(q, n)
+    return spark.read.parquet(f"{path}/out").select(F.col("file").alias("name"), "text")
+
+
 @query("SELECT user_id AS key, max(event_id) AS seq FROM events GROUP BY 1")
 def stream_upsert(spark, sf_dir):
     """One writer that keeps the last row of each key, batch after batch."""

@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..functions import text as T
 from ..operators import sessions as batch
@@ -71,14 +72,25 @@ def sessions(rows: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
     return events(rows).groupBy("file", "tid").applyInPandasWithState(step, SESSION_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def stop_after(query: StreamingQuery, rows: int, seconds: float = 600.0) -> None:
-    """Stops a query once it has read so many rows and written what they give. A query with timeouts of its own never runs out of batches."""
+def stop_after(query: StreamingQuery, rows: int, seconds: float = 600.0, stop: bool = True) -> None:
+    """Stops a query (or leaves it running) once it has read so many rows and written what they give. A query with timeouts of its own never runs out of batches."""
     end = time.monotonic() + seconds
     while sum(p["numInputRows"] for p in query.recentProgress) < rows:
         if not query.isActive or time.monotonic() > end:
             raise RuntimeError(f"the stream ended or took too long: {query.exception()}")
         time.sleep(0.1)
-    query.stop()
+    if stop:
+        query.stop()
+
+
+def _flags(rows: DataFrame) -> DataFrame:
+    """What a line is to a reader of the output."""
+    x = rows.select("file", "line_no", T.right_trimmed("value").alias("value"))
+    return x.withColumns({"ended": T.done("value").isNotNull() | T.failed("value").isNotNull(), "failed": T.failed("value").isNotNull(), "begun": F.contains("value", F.lit("▶")), "warned": T.tagged("value", "[WARNING]"), "total": F.regexp_extract("value", r"To process:\s*(\d+)", 1).try_cast("long")})
+
+
+def _counted() -> Column:
+    return F.format_string("[%d/%d] %.2f%% (done: %d, errors: %d, warns: %d)", "done", "total", T.percent("done", "total"), "done", "errors", "warns")
 
 
 def shown(rows: DataFrame) -> DataFrame:
@@ -86,10 +98,9 @@ def shown(rows: DataFrame) -> DataFrame:
 
     Before the first session begins or ends, each line that says something, without its time and thread; then a line of
     counts whenever another whole percent of the total is done (the total is the last "To process" before), lines that
-    tell of a saved file, and the end. It is the batch form; ``filtered`` applies it to what a stream has brought so far.
+    tell of a saved file, and the end. It is the batch form of ``live``.
     """
-    x = rows.select("file", "line_no", T.right_trimmed("value").alias("value"))
-    x = x.withColumns({"ended": T.done("value").isNotNull() | T.failed("value").isNotNull(), "failed": T.failed("value").isNotNull(), "begun": F.contains("value", F.lit("▶")), "warned": T.tagged("value", "[WARNING]"), "total": F.regexp_extract("value", r"To process:\s*(\d+)", 1).try_cast("long")})
+    x = _flags(rows)
     line = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     count = lambda c: F.sum(F.col(c).cast("int")).over(line)
     x = x.withColumns({"total": F.coalesce(F.last("total", ignorenulls=True).over(line), F.lit(0)), "done": count("ended"), "errors": count("failed"), "body": F.max(F.col("begun") | F.col("ended")).over(line), "warns": F.sum((F.col("warned") & ~F.col("ended")).cast("int")).over(line)})
@@ -97,7 +108,7 @@ def shown(rows: DataFrame) -> DataFrame:
     before = F.coalesce(F.max(F.when(F.col("ended"), F.col("percent"))).over(Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     x = x.withColumn("last", before)
     clean = T.without_prefix("value")
-    said = F.format_string("[%d/%d] %.2f%% (done: %d, errors: %d, warns: %d)", "done", "total", T.percent("done", "total"), "done", "errors", "warns")
+    said = _counted()
     text = (
         F.when(~F.col("body"), F.when((F.trim(clean) != "") & ~clean.rlike("^=+"), clean))
         .when(F.col("ended"), F.when(F.col("percent") > F.col("last"), said))
@@ -107,19 +118,94 @@ def shown(rows: DataFrame) -> DataFrame:
     return x.select("file", "line_no", text.alias("text")).where("text is not null")
 
 
-def filtered(apply: Callable[[DataFrame, int], None], kept: str) -> Callable[[DataFrame, int], None]:
-    """[R2] foreachBatch function: keeps the lines so far below the folder ``kept`` and hands on what the new ones show.
-
-    A batch is kept under its number, so a repeated one replaces itself.
+LIVE_SCHEMA = "file string, line_no long, kind string, clean string, done long, total long, errors long, warns long"
+
+
+class _Shown(StatefulProcessor):
+    """What ``shown`` keeps of a file's earlier lines: counts, and lines that came before their turn."""
+
+    def __init__(self, dense: bool, idle: int):
+        self.dense, self.idle = dense, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getValueState("counts", "next long, total long, done long, errors long, warns long, body boolean, last long")
+        self.early = handle.getListState("early", "line_no long, clean string, ended boolean, failed boolean, begun boolean, warned boolean, total long, saved boolean, over boolean")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _emitted(self, file: str, rows: list[tuple], whole: bool) -> pd.DataFrame:
+        """Goes on with the rows whose turn it is (all, if whole) and keeps the others."""
+        following, total, done, errors, warns, body, last = self.counts.get() if self.counts.exists() else (0, 0, 0, 0, 0, False, -1)
+        out, rows = [], sorted(rows)
+        for k, (n, clean, ended, failed, begun, warned, said, saved, over) in enumerate(rows):
+            if n > following and not whole:
+                break
+            following = max(following, n + 1)
+            total = total if said is None or said != said else int(said)
+            done, errors, warns, body = done + ended, errors + failed, warns + (warned and not ended), body or begun or ended
+            percent = done * 100 // total if total > 0 else -1
+            kind = ("count" if percent > last else None) if body and ended else None if body and not (saved or over) else "line" if not body or saved else "over"
+            if not body and (not clean.strip(" ") or clean.startswith("=")):
+                kind = None
+            last = max(last, percent) if ended else last
+            if kind:
+                out.append((file, n, kind, clean, done, total, errors, warns))
+        else:
+            k = len(rows)
+        self.counts.update((following, total, done, errors, warns, body, last))
+        if rows[k:]:
+            self.early.put(rows[k:])
+        elif self.early.exists():
+            self.early.clear()
+        return pd.DataFrame(out, columns=["file", "line_no", "kind", "clean", "done", "total", "errors", "warns"])
+
+    def _waiting(self) -> list[tuple]:
+        return [tuple(r) for r in self.early.get()] if self.early.exists() else []
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = [tuple(r) for b in rows for r in b.drop(columns="file").astype(object).where(b.drop(columns="file").notna(), None).itertuples(index=False)]
+        yield self._emitted(key[0], self._waiting() + new, not self.dense)
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+            self.timer.clear()
+        if self.early.exists():
+            at = timerValues.getCurrentProcessingTimeInMs() + self.idle
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.timer.clear()
+        yield self._emitted(key[0], self._waiting(), True)
+
+    def close(self) -> None:
+        pass
+
+
+def live(rows: DataFrame, dense: bool = True, idle_ms: int = IDLE_MS) -> DataFrame:
+    """[R2] ``shown`` of a stream: file, line_no, text as lines come. A batch costs its own lines, whatever came before.
+
+    Kept of a file are its counts. If its lines are numbered without gaps from 0 (dense), lines that come before their turn
+    wait in the state; when no more lines of a file come for idle_ms, a missing one is given up. Otherwise lines are
+    taken as batches bring them, in order within a batch. Start the query with ``started``.
     """
-
-    def run(rows: DataFrame, number: int) -> None:
-        own = rows.select("file", "line_no", "value")
-        own.write.mode("overwrite").parquet(f"{kept}/batch={number}")
-        every = rows.sparkSession.read.option("basePath", kept).parquet(kept).where(F.col("batch") <= number).drop("batch")
-        apply(shown(every).join(own.select("file", "line_no"), ["file", "line_no"], "left_semi").orderBy("file", "line_no"), number)
-
-    return run
+    flags = _flags(rows).select(
+        "file", "line_no", T.without_prefix("value").alias("clean"), *[F.coalesce(c, F.lit(False)).alias(c) for c in ("ended", "failed", "begun", "warned")], "total",
+        F.contains("value", F.lit("Saved:")).alias("saved"), F.contains("value", F.lit("Done!")).alias("over"),
+    )
+    kept = flags.groupBy("file").transformWithStateInPandas(_Shown(dense, idle_ms), LIVE_SCHEMA, "append", "processingTime")
+    said = _counted()
+    return kept.select("file", "line_no", F.when(F.col("kind") == "line", F.col("clean")).when(F.col("kind") == "count", said).otherwise(F.concat(said, F.lit("\nDone!"))).alias("text"))
+
+
+def started(writer: DataStreamWriter, spark: SparkSession) -> StreamingQuery:
+    """Starts a query with state of several kinds, for which Spark needs its RocksDB state store; the session's choice stays."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(name, before)
 
 
 def progress(rows: DataFrame, window: str = "1 minute", late: str = "10 minutes") -> DataFrame:
