@@ -60,8 +60,8 @@ def quantiles(counts: DataFrame, by: list[str], shares: tuple[float, ...]) -> Da
     A group without a value has no row; without groups (by is empty) there is no row if there are no values.
     """
     x = counts.where("v is not null")
-    edges = x.agg(F.percentile_approx("v", F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), F.lit(10_000)).alias("e")).scalar()
-    x = x.withColumn("_e", edges).withColumn("_b", F.size(F.filter("_e", lambda e: e <= F.col("v")))).drop("_e")
+    edges = x.agg(F.percentile_approx("v", F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), F.lit(10_000)).alias("_e"))  # one row
+    x = x.join(F.broadcast(edges), F.lit(True)).withColumn("_b", F.size(F.filter("_e", lambda e: e <= F.col("v")))).drop("_e")
     same = lambda cols: reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in cols])
     sums = x.groupBy(*by, "_b").agg(F.sum("n").alias("_m"))
     whole, line = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_b")  # a row a range: RANGES of a group at most
@@ -87,10 +87,14 @@ def elapsed_stats(sessions: DataFrame) -> DataFrame:
     """[A4] Over successes; the sample deviation of one is 0; no row without any."""
     counts = value_counts(sessions.where(_ok), [], "elapsed").where("v is not null")
     n, v = F.col("n"), F.col("v")
-    mean = counts.agg(F.sum(v * n) / F.sum(n)).scalar()
-    deviation = F.when(F.sum(n) > 1, F.sqrt(F.sum(n * (v - mean) * (v - mean)) / (F.sum(n) - 1))).otherwise(0.0)
-    out = counts.agg(_r(F.sum(v * n), "sum_elapsed"), _r(F.sum(v * n) / F.sum(n), "avg_elapsed"), _r(quantiles(counts, [], (0.5,)).agg(F.max("q0")).scalar(), "median_elapsed"), _r(F.min(v), "min_elapsed"), _r(F.max(v), "max_elapsed"), _r(deviation, "stdev_elapsed"))
-    return out.where("sum_elapsed is not null")
+    sums = counts.agg(F.sum(v * n).alias("_sum"), F.sum(n).alias("_n"), F.min(v).alias("_min"), F.max(v).alias("_max"))
+    # one row each: sums, the median, and the deviation from the mean in the sums
+    off = v - F.col("_sum") / F.col("_n")
+    apart = counts.join(F.broadcast(sums.select("_sum", "_n")), F.lit(True)).agg(F.sum(n * off * off).alias("_apart"))
+    out = sums.join(apart, F.lit(True)).join(exact_quantiles(sessions.where(_ok), "elapsed", (0.5,)), F.lit(True))
+    deviation = F.when(F.col("_n") > 1, F.sqrt(F.col("_apart") / (F.col("_n") - 1))).otherwise(0.0)
+    named = {"sum": F.col("_sum"), "avg": F.col("_sum") / F.col("_n"), "median": F.col("q0"), "min": F.col("_min"), "max": F.col("_max"), "stdev": deviation}
+    return out.where("_sum is not null").select(*[_r(c, f"{name}_elapsed") for name, c in named.items()])
 
 
 def elapsed_percentiles(sessions: DataFrame, wanted: tuple[int, ...] = PERCENTILES) -> DataFrame:

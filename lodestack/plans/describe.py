@@ -32,13 +32,25 @@ def with_images(tasks: DataFrame, spark: SparkSession, images: str) -> DataFrame
     return tasks.withColumn("_file", T.image_file("path")).join(pictures, "_file", "left").drop("_file")
 
 
+#: Lines in a block, the unit in which documents and frames meet.
+BLOCK_LINES = 256
+
+
 def with_lines(tasks: DataFrame, docs: DataFrame, limits: connectors.Limits) -> DataFrame:
-    """Adds lines and line_at: of a task's document only what any conversation can reach, so a row's size is bounded by the limits."""
+    """[J8] Adds lines and line_at: of a task's document only what any conversation can reach, so a row's size is bounded by the limits.
+
+    A band join: documents are cut into blocks of lines once, a task's frame is dealt to the few blocks that it touches, both
+    meet by document and block, and the exact bounds are cut from those. A task of a document that isn't there is left out.
+    """
     up, down = limits.reach()
-    lines = docs.select("name", markdown.lines_of("content").alias("_lines"))
+    cut = F.transform(F.sequence(F.lit(0), (F.size("_lines") - 1).cast("int"), F.lit(BLOCK_LINES)), lambda at: F.slice(F.col("_lines"), at + 1, F.lit(BLOCK_LINES)))
+    blocks = docs.select("name", markdown.lines_of("content").alias("_lines")).select("name", F.posexplode(cut).alias("_block", "_part"))
     first = F.greatest(F.col("line_no") - up, F.lit(0)).cast("int")
-    cut = F.slice("_lines", first + 1, F.lit(up + down + 1))
-    return tasks.join(lines, "name").withColumns({"lines": cut, "line_at": (F.col("line_no") - first).cast("int")}).drop("_lines")
+    touched = F.sequence((first / BLOCK_LINES).cast("int"), ((F.col("line_no") + down) / BLOCK_LINES).cast("int"))
+    met = tasks.withColumn("_block", F.explode(touched)).join(blocks, ["name", "_block"])
+    whole = met.groupBy(*tasks.columns).agg(F.sort_array(F.collect_list(F.struct("_block", "_part"))).alias("_parts"))  # as many as a frame touches
+    lines = F.flatten(F.transform("_parts", lambda p: p["_part"]))
+    return whole.withColumns({"lines": F.slice(lines, first % BLOCK_LINES + 1, F.col("line_no").cast("int") + down - first + 1), "line_at": (F.col("line_no") - first).cast("int")}).drop("_parts")
 
 
 def log_of(results: DataFrame, concurrency: int) -> DataFrame:

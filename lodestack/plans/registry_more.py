@@ -403,6 +403,20 @@ def parse_actions(spark, sf_dir):
     return parse.actions(inputs, states, outputs, connectors.FakeParser(polls=1 << 30, lost=("lost",))).select("name", "action")
 
 
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS k FROM documents),
+w AS (SELECT doc_id, k, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) AS around FROM l)
+SELECT doc_id, CAST(k AS BIGINT) AS line_no, md5(around) AS lines, least(k, 3)::INT AS line_at FROM w WHERE k % 2 = 0""")
+def frame_lines(spark, sf_dir):
+    """The lines that a conversation about every other line of each document can reach."""
+    from . import describe
+
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("content"))
+    at = F.explode(F.sequence(F.lit(0), F.size(F.split("content", "\n", -1)) - 1, F.lit(2)))
+    found = describe.with_lines(docs.select("name", at.alias("line_no")), docs, connectors.Limits(start=(2, 1), most=(1, 1), rounds=1))
+    return found.select(F.col("name").cast("long").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), F.md5(F.array_join("lines", "\n")).alias("lines"), "line_at")
+
+
 BLOCK = "chr(10) || chr(10) || '<!-- IMG: images/' || page_id % 5 || '.png -->' || chr(10) || '[AI] [IMG_TYPE: text] 1' || chr(10) || chr(10) || '<!-- /IMG -->' || chr(10) || chr(10)"
 
 

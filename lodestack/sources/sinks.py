@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,30 +57,14 @@ def removed(spark: SparkSession, path: str) -> None:
     fs.delete(make(path), True)
 
 
-def write_documents(docs: DataFrame, path: str, name: str = "name", content: str = "content") -> None:
-    """[K5, K6] One file ``<path>/<name>`` for each document, with .md where the name has no such end.
+def write_documents(docs: DataFrame, path: str, name: str = "name", content: str = "content", manifest: str | None = None) -> None:
+    """[K5, K6] One file ``<path>/<name>`` for each document, with .md where the name has no such end; a text ends with a line end.
 
-    Executors write; the driver only renames, one rename a document. A text file ends with a line end.
+    The task that has a document writes its file, beside its place and then into it; the driver touches none. Each task
+    lists what it wrote below ``manifest``, if that is given.
     """
-    spark = docs.sparkSession
-    fs, make = _files(spark, path)
-    fs.mkdirs(make(path))
-    staged = f"{path}/_staged-{uuid.uuid4().hex}"
-    # the writer adds the last line end
-    whole = docs.select(name, F.regexp_replace(content, r"\n\z", "").alias("_text"))
-    whole.repartition(name).write.partitionBy(name).text(staged)
-    for folder in fs.listStatus(make(staged)):
-        said = folder.getPath().getName()
-        if not said.startswith(f"{name}="):
-            continue
-        named = unquote(said.split("=", 1)[1])
-        target = make(f"{path}/{named if named.endswith('.md') else named + '.md'}")
-        for part in fs.listStatus(folder.getPath()):
-            if part.getPath().getName().startswith("part-"):
-                fs.mkdirs(target.getParent())
-                fs.delete(target, False)
-                fs.rename(part.getPath(), target)
-    fs.delete(make(staged), True)
+    named = F.when(F.endswith(F.col(name), F.lit(".md")), F.col(name)).otherwise(F.concat(F.col(name), F.lit(".md")))
+    durable.write_records(docs, path, named, F.concat(F.regexp_replace(content, r"\n\z", ""), F.lit("\n")), manifest)
 
 
 def write_file(lines: DataFrame, folder: str, name: str) -> None:
@@ -98,25 +81,24 @@ def write_file(lines: DataFrame, folder: str, name: str) -> None:
 
 
 def write_bytes(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> int:
-    """Binary files of rows(name, content), one after the other through the driver, which holds one at a time; returns how many."""
-    spark, n = rows.sparkSession, 0
-    fs, make = _files(spark, folder)
-    for r in rows.select(name, content).toLocalIterator():
-        out = fs.create(make(f"{folder}/{r[name]}"), True)
-        out.write(r[content])
-        out.close()
-        n += 1
+    """[K14] Binary files of rows(name, content), written by the tasks that have them; returns how many."""
+    listed = f"{folder}/_written-{uuid.uuid4().hex}"
+    durable.write_records(rows, folder, name, content, listed)
+    spark = rows.sparkSession
+    n = spark.read.text(listed).count() if exists(spark, listed) else 0
+    removed(spark, listed)
     return n
 
 
-def copied(files: DataFrame, target: str, path: str = "path", to: str = "target") -> int:
-    """[K11] Copies files(path, target: a path below the folder target); executors list, the driver's file system copies. Returns how many."""
-    spark, n = files.sparkSession, 0
-    for r in files.select(path, to).toLocalIterator():
-        (fs, make), (there, _) = _files(spark, r[path]), _files(spark, target)
-        spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, make(r[path]), there, make(f"{target}/{r[to]}"), False, True, spark.sparkContext._jsc.hadoopConfiguration())
-        n += 1
-    return n
+def copied(files: DataFrame, target: str, path: str = "path", to: str = "target", concurrency: int = 16) -> int:
+    """[K11] Copies files(path, target: a path below the folder target) on executors, some megabytes at a time. Returns how many."""
+    listed = files.select(F.col(path).alias("source"), F.col(to).alias("name"))
+
+    def call(row) -> None:
+        durable.Store(target).copy(row.source, row.name)
+
+    durable.write_calls(listed, call, concurrency)
+    return listed.count()
 
 
 def write_items(items: DataFrame, path: str, key: str = "key", order: str | None = None) -> None:

@@ -206,3 +206,26 @@ def test_parse_service_fails_now_and_then(spark, tmp_path, inputs, monkeypatch):
 
     states = spark.createDataFrame([("a", "running", "x"), ("b", "done", "y")], "name string, status string, batch_id string")
     assert {r["name"]: r["remote"] for r in connectors.remote_states(states, Gone(), 1, calm).collect()} == {"a": None, "b": None}
+
+
+def test_files_are_written_by_executors(spark, tmp_path):
+    docs = spark.createDataFrame([("a b", "A\n\nB"), ("x/full.md", "D\n"), ("ü", "")], "name string, content string")
+    sinks.write_documents(docs, str(tmp_path / "out"), manifest=str(tmp_path / "made"))
+    assert {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*.md")} == {"a b.md": "A\n\nB\n", "x/full.md": "D\n", "ü.md": "\n"}
+    assert sorted(x for p in (tmp_path / "made").iterdir() for x in p.read_text().splitlines()) == ["a b.md", "x/full.md", "ü.md"]
+    raw = spark.createDataFrame([(f"{k}.bin", bytes([k]) * 10) for k in range(20)], "name string, content binary")
+    assert sinks.write_bytes(raw, str(tmp_path / "bin")) == 20 and sorted(os.listdir(tmp_path / "bin")) == sorted(f"{k}.bin" for k in range(20))
+    listed = files.listing(spark, str(tmp_path / "bin"), "*.bin").select("path", F.concat(F.lit("there/"), "name").alias("target"))
+    assert sinks.copied(listed, f"file://{tmp_path}/copy") == 20 and (tmp_path / "copy/there/7.bin").read_bytes() == b"\x07" * 10
+    assert sinks.write_bytes(raw.limit(0), str(tmp_path / "none")) == 0
+
+
+def test_lines_of_frames(spark):
+    """A band join gives what cutting each document's own list gives, at edges of blocks and of documents."""
+    texts = {"a": [f"a{k}" for k in range(1000)], "b": ["only"], "c": [str(k) for k in range(257)]}
+    docs = spark.createDataFrame([(n, "\n".join(x)) for n, x in texts.items()], "name string, content string")
+    at = [("a", k) for k in (0, 1, 255, 256, 300, 511, 999)] + [("b", 0), ("c", 256), ("gone", 3)]
+    tasks = spark.createDataFrame([(f"{n}::{k}", n, k) for n, k in at], "key string, name string, line_no int")
+    limits = connectors.Limits(start=(30, 20), most=(100, 90), rounds=3)
+    got = {r["key"]: (r["lines"], r["line_at"]) for r in describe.with_lines(tasks, docs, limits).collect()}
+    assert got == {f"{n}::{k}": (texts[n][max(0, k - 330) : k + 291], min(k, 330)) for n, k in at if n in texts}
