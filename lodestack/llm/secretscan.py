@@ -57,8 +57,15 @@ WORDS = (
 ).split()
 
 
+# Fixed short names of which ordinary paths are made, beside WORDS.
+FOLDERS = (
+    "api app assets bin build cfg conf core css dev dist doc docs en etc ext home html icons img java js lib lib64 local log main man "
+    "media mnt node opt pkg pub py python3 site src srv static std sys test tests tmp tools usr util var vendor web www"
+).split()
+
+
 def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, text: str = "text") -> DataFrame:
-    """Samples (sample string, is_random boolean): digests in three alphabets, and identifiers of WORDS and of the documents.
+    """Samples (sample string, is_random boolean): digests in three alphabets, and identifiers and paths of WORDS, FOLDERS and the documents.
 
     The sizes are bounded by RANDOM_SAMPLES and ORDINARY_DOCUMENTS; documents are taken in the order of a hash.
     """
@@ -79,7 +86,18 @@ def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, text: s
         .alias("sample"),
         F.lit(False).alias("is_random"),
     )
-    parts = [random, named]
+    folders = F.array(*map(F.lit, FOLDERS))
+    short = lambda k: F.element_at(folders, (F.pmod(F.xxhash64(F.col("id"), F.lit(k)), F.lit(len(FOLDERS))) + 1).cast("int"))
+    number = F.pmod(F.xxhash64(F.col("id"), F.lit(9)), F.lit(1000)).cast("string")
+    paths = spark.range(RANDOM_SAMPLES).select(
+        F.when(F.col("id") % 4 == 0, F.concat(F.lit("/"), F.concat_ws("/", short(1), short(2), pick(3), pick(4))))
+        .when(F.col("id") % 4 == 1, F.concat_ws("/", short(1), F.concat_ws("-", pick(2), short(3)), F.concat(pick(4), number)))
+        .when(F.col("id") % 4 == 2, F.concat_ws("/", short(1), F.concat_ws("_", pick(2), pick(3)), F.initcap(pick(4)), F.concat(F.initcap(pick(5)), F.initcap(pick(6)))))
+        .otherwise(F.concat_ws("/", pick(1), F.concat_ws("-", short(2), number), F.concat_ws("_", short(3), pick(4))))
+        .alias("sample"),
+        F.lit(False).alias("is_random"),
+    )
+    parts = [random, named, paths]
     if docs is not None:
         some = bounded_sample(docs.select(text_of(text).alias("_t")), "_t", ORDINARY_DOCUMENTS)
         word = F.explode(F.regexp_extract_all("_t", F.lit(r"([A-Za-z]{3,})"), F.lit(1)))
