@@ -45,6 +45,8 @@ HEADER = "<8sI32sQQ4x"
 HEADER_BYTES = struct.calcsize(HEADER)
 #: Documents of the dictionary's sample, by hash order, and the dictionary's size.
 SAMPLE_DOCUMENTS, DICTIONARY_BYTES = 400, 64 << 10
+#: Characters of a document that the dictionary may be trained on.
+SAMPLE_CHARS = 20_000
 LEVEL = 3
 #: Shards and blocks aim at this many bytes of frames.
 SHARD_BYTES, BLOCK_BYTES = 12 << 20, 1 << 20
@@ -61,10 +63,12 @@ def _serial(ids: bytes, width: int) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = 0, text: str = "text", documents: int = SAMPLE_DOCUMENTS, size: int = DICTIONARY_BYTES) -> bytes:
-    """A zstandard dictionary from at most ``documents`` documents; empty if they are too few to train one."""
+    """A zstandard dictionary from at most ``documents`` documents, a window of SAMPLE_CHARS of each; empty if they are too few to train one."""
     import zstandard
 
-    rows = bounded_sample(docs.select(text_of(text).alias("t")), "t", documents).collect()
+    t = text_of(text)
+    at = F.pmod(F.xxhash64(t), F.greatest(F.length(t) - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    rows = bounded_sample(docs.select(F.xxhash64(t).alias("h"), F.substring(t, at, F.lit(SAMPLE_CHARS)).alias("t")), "h", documents).collect()
     width, end = width_of(tokenizer, end_id), struct.pack("<I", end_id)
     samples = [_serial(x + end, width) for x in encoder(tokenizer).ids([r["t"] for r in rows])]
     try:
