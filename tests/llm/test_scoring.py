@@ -327,3 +327,42 @@ def test_packing_deals_repeats(spark):
     dealt = packing.ranked(same, "c", ["x", "_row"], 64)
     assert sorted(r["_rank"] for r in dealt.select("_rank").collect()) == list(range(3000))
     assert same.groupBy(F.pmod(F.xxhash64("x", "_row"), F.lit(64)).alias("b")).count().agg(F.max("count")).first()[0] < 200
+
+
+def test_unseen_identifiers_and_paths(spark):
+    """Names that the secret model wasn't trained on, of the standard library and of the files of a package."""
+    import asyncio
+    import email.message
+    import http.client
+    import inspect
+    import logging
+    import socket
+    import unittest
+    from pathlib import Path
+
+    import pyspark
+
+    from lodestack.llm import secretscan
+
+    run = re.compile("[A-Za-z0-9+/_=-]{12,}")
+    names = {n for m in (asyncio, email.message, http.client, inspect, logging, socket, unittest) for k in dir(m) for n in [k, *dir(getattr(m, k))] if run.fullmatch(n)}
+    top = Path(pyspark.__file__).parent
+    paths = sorted({x for p in top.rglob("*") for x in run.findall(f"/usr/lib/{p.relative_to(top.parent)}")})[:6000]
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    secrets = ["".join(rng.choice(letters) for _ in range(n)) for n in (12, 20, 32) for _ in range(200)]
+    ratios = secretscan.train(secretscan.labelled_samples(spark))
+    groups = {"names": sorted(names), "paths": paths, "secrets": secrets}
+    rows = spark.createDataFrame([(k, x) for k, v in groups.items() for x in v], "kind string, text string")
+    found = {r["kind"]: r["share"] for r in secretscan.scan(rows, ratios).groupBy("kind").agg(F.avg((F.size("spans") > 0).cast("int")).alias("share")).collect()}
+    assert len(names) > 300 and len(paths) > 500 and found["names"] < 0.02 and found["paths"] < 0.02 and found["secrets"] > 0.94
+
+
+def test_dictionary_of_long_texts(spark, monkeypatch):
+    """What the driver gets of a text is a window, however long the text is."""
+    from lodestack.llm import tokenout
+
+    sizes, plain = [], tokenout.bounded_sample
+    monkeypatch.setattr(tokenout, "bounded_sample", lambda df, *a: (sizes.append(df.agg(F.max(F.length("t"))).first()[0]), plain(df, *a))[1])
+    d = docs(spark, [f"{k} some words of text {k * k} " * (20_000 if k % 9 == 0 else 20) for k in range(60)])
+    assert len(tokenout.train_dictionary(d, vocabulary("byte_bpe_50k.json"))) > 200 and sizes == [tokenout.SAMPLE_CHARS]
