@@ -230,6 +230,14 @@ def poll_emit(spark, sf_dir):
     return batches.select("user_id", "day", F.explode(F.transform(policy.emitted_polls("polls", 100), lambda p: p.cast("long"))).alias("place"))
 
 
+@query(POLL)
+def poll_stream(spark, sf_dir):
+    """The same, of sorted polls that pass by one after the other."""
+    e = read(spark, sf_dir, "events").withColumns({"day": F.to_date("ts"), "at": T.micros("ts") / 1e6 / 3600})
+    state = F.when(F.col("event_type") == "purchase", "done").otherwise("running")
+    return progress.shown_polls(e, ["user_id", "day"], ["ts", "event_id"], "at", F.floor("value"), state, 100)
+
+
 # Error classes and texts
 
 _CLASS = """CASE WHEN regexp_matches({x}, 'connection|timeout|timed out', 'i') THEN 'connection_timeout' WHEN regexp_matches({x}, '429|rate.*limit', 'i') THEN 'rate_limit' WHEN regexp_matches({x}, 'IMG_MISSING', 'i') THEN 'img_missing'

@@ -232,3 +232,23 @@ def test_quantiles_of_groups(spark):
         want = np.quantile([v for k, v in rows if k == g and v is not None], [0.0, 0.5, 0.95, 1.0])
         assert np.allclose([r[f"q{k}"] for k in range(4)], want, atol=1e-12), g
     assert statistics.quantiles(counts.limit(0), ["g"], (0.5,)).count() == 0
+
+
+def test_polls_pass_by(spark):
+    """A fold over sorted batches shows what the fold over each key's array does, at any batch size."""
+    from lodestack.functions import policy
+
+    rng = random.Random(29)
+    rows = [(rng.choice(["a", "b", None]), k, rng.choice([None, *[float(k)] * 9]), rng.choice([None, *range(0, 60)]), rng.choice(["running"] * 30 + ["done"])) for k in range(900)]
+    df = spark.createDataFrame(rows, "k string, n long, at double, pages long, state string")
+    polls = df.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("n", "at", "pages", "state"))).alias("p"))
+    want = sorted(map(str, polls.select("k", F.explode(F.transform(policy.emitted_polls("p", 30), lambda x: x.cast("long"))).alias("place")).collect()))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for n in ("7", "10000"):
+            spark.conf.set(size, n)
+            assert sorted(map(str, progress.shown_polls(df, ["k"], ["n"], "at", "pages", "state", 30).collect())) == want
+    finally:
+        spark.conf.set(size, before)
+    assert len(want) > 30 and progress.shown_polls(df.limit(0), ["k"], ["n"], "at", "pages", "state", 30).count() == 0
