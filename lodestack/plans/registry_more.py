@@ -583,6 +583,22 @@ def group_quantiles(spark, sf_dir):
     return counts.groupBy("priority", "closed").agg(F.sum("n").alias("orders")).join(found, ["priority", "closed"])
 
 
+TAKE = "greatest(1, len(list_filter(range(1, least(20, len(s) - {f} + 1) + 1), lambda k: k * list_max(list_slice(s, {f}, {f} + k - 1)) <= 400)))"
+
+
+@query(f"""
+WITH RECURSIVE l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: strlen(x)) AS s FROM documents),
+p AS (
+  SELECT doc_id, s, 1 AS part, 1 AS f, {TAKE.format(f="1")} AS n FROM l
+  UNION ALL SELECT doc_id, s, part + 1, f + n, {TAKE.format(f="(f + n)")} FROM p WHERE f + n <= len(s))
+SELECT doc_id, CAST(part AS BIGINT) AS part, CAST(f AS BIGINT) AS first_page, CAST(n AS BIGINT) AS pages, CAST(n * list_max(list_slice(s, f, f + n - 1)) AS DOUBLE) AS size FROM p""")
+def measured_parts(spark, sf_dir):
+    """Lines of documents as pages that all get the room of the longest one: a size that isn't a sum."""
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page", "line"))
+    room = lambda pages: len(pages) * max(map(len, pages))
+    return parts.measured_parts(lines, "doc_id", "page", "line", room, max_pages=20, max_size=400)
+
+
 # One hot key: all events as one log of one worker
 
 

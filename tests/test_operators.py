@@ -252,3 +252,28 @@ def test_polls_pass_by(spark):
     finally:
         spark.conf.set(size, before)
     assert len(want) > 30 and progress.shown_polls(df.limit(0), ["k"], ["n"], "at", "pages", "state", 30).count() == 0
+
+
+def test_measured_parts(spark):
+    """Parts by their compressed bytes are those of a plain search page by page, in few measurements."""
+    rng = random.Random(37)
+    rows = [(d, p, None if rng.random() < 0.02 else bytes(rng.randrange(256) for _ in range(rng.choice([0, 5, 40, 300]))) if p % 7 else b"same " * 60) for d in ("a", "b", None) for p in range(180)]
+    rows.append(("huge", 0, bytes(rng.randrange(256) for _ in range(5000))))
+    df = spark.createDataFrame(rows, "d string, p int, raw binary")
+    for most, limit in ((200, 1500.0), (7, 1500.0), (30, 0.0)):
+        want = set()
+        for d in ("a", "b", None, "huge"):
+            pages, first, part = [r[2] or b"" for r in sorted((r for r in rows if r[0] == d), key=lambda r: r[1])], 0, 0
+            while first < len(pages):
+                n = 1
+                while n < most and first + n < len(pages) and (limit <= 0 or parts.compressed_size(pages[first : first + n + 1]) <= limit):
+                    n += 1
+                part += 1
+                want.add((d, part, first + 1, n, parts.compressed_size(pages[first : first + n])))
+                first += n
+        got = parts.measured_parts(df, "d", "p", "raw", parts.compressed_size, most, limit).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want), (most, limit)
+    assert parts.measured_parts(df.limit(0), "d", "p", "raw", parts.compressed_size).count() == 0
+    for n in range(1, 70):
+        asked = []
+        assert parts.longest_run(lambda k: asked.append(k) or k, 1000, n) == n and len(asked) <= 14
