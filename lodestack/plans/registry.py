@@ -280,12 +280,13 @@ def window_growth(spark, sf_dir):
 
 
 @query("""
-SELECT i AS attempt, k AS kind, CASE k WHEN 'rate_limit' THEN least(2 * pow(2, i), 60) WHEN 'connection' THEN least(5 * pow(2, i), 60) ELSE 2 END AS wait, least(3 * pow(2, i), 64) AS throttle
-FROM range(12) r(i), (VALUES ('rate_limit'), ('connection'), ('api')) v(k)""")
+WITH e AS (SELECT event_id, event_id % 12 AS attempt, CASE event_type WHEN 'view' THEN 'rate_limit' WHEN 'click' THEN 'connection' ELSE 'api' END AS kind FROM events)
+SELECT event_id, kind, CAST(CASE kind WHEN 'rate_limit' THEN least(2 * pow(2, attempt), 60) WHEN 'connection' THEN least(5 * pow(2, attempt), 60) ELSE 2 END AS DOUBLE) AS wait, CAST(least(3 * pow(2, attempt), 64) AS DOUBLE) AS throttle FROM e""")
 def retry_schedule(spark, sf_dir):
-    kinds = F.explode(F.array(F.lit("HTTP 429 rate"), F.lit("TLS handshake timeout"), F.lit("bad request"))).alias("message")
-    tries = spark.range(12).select(F.col("id").alias("attempt"), kinds).withColumn("kind", policy.transport_class("message"))
-    return tries.select("attempt", "kind", policy.backoff("kind", "attempt").alias("wait"), policy.throttle("attempt").alias("throttle"))
+    """Waits after a failure of each event, by what its message says and how often it was tried."""
+    said = F.when(F.col("event_type") == "view", "HTTP 429 rate").when(F.col("event_type") == "click", "TLS handshake timeout").otherwise("bad request")
+    tries = read(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 12).alias("attempt"), said.alias("message")).withColumn("kind", policy.transport_class("message"))
+    return tries.select("event_id", "kind", policy.backoff("kind", "attempt").cast("double").alias("wait"), policy.throttle("attempt").cast("double").alias("throttle"))
 
 
 @query("""

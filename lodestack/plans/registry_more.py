@@ -5,13 +5,17 @@ What a query writes goes below the folder that driver and executors share.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import policy
 from ..functions import text as T
 from ..operators import organize, parts, progress, sessions, statistics
-from ..sources import config, connectors, durable, files, scratch, sinks
+from ..sources import config, connectors, durable, files, office, scratch, sinks
 from ..streaming import follow, logs
 from .registry import _ITEMS, LOG_SESSIONS, _items, query, read
 
@@ -225,14 +229,24 @@ def first_invalid(spark, sf_dir):
     return progress.first_invalid(_items(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('options', 'window_up', '7'), ('options', 'window_down', '30'), ('options', 'format_fix_attempts', '0'), ('parser', 'max_pages', '200'), ('model', 'concurrency', '10'), ('paths', 'logs', 'elsewhere'), ('seed', '7', '7'), ('seed', '', '42'), ('seed', 'x', '42'), ('percentiles', '95,90,95,0,x', '[95, 90]')) t(section, key, value)")
+@query("""
+SELECT n_nationkey, CAST(CASE WHEN n_nationkey % 3 = 0 THEN 30 ELSE n_nationkey END AS VARCHAR) AS window_up, '30' AS window_down, CASE WHEN n_nationkey % 2 = 0 THEN '0' ELSE '1' END AS format_fix_attempts, '200' AS max_pages, '10' AS concurrency,
+  'logs' || n_name AS logs, CASE WHEN n_nationkey % 4 = 0 THEN 42 ELSE n_nationkey END AS seed, '[' || (n_nationkey + 1) || ', 90]' AS percentiles FROM nation""")
 def config_values(spark, sf_dir):
-    """Explicit values, also those of zero, before defaults; null is no value."""
-    c = config.Config.load('{"options": {"window_up": 7, "window_down": null, "format_fix_attempts": 0}, "paths": {"logs": "elsewhere"}, "model": null}')
-    wanted = (("options", "window_up"), ("options", "window_down"), ("options", "format_fix_attempts"), ("parser", "max_pages"), ("model", "concurrency"), ("paths", "logs"))
-    rows = [(s, k, str(getattr(c, s)[k])) for s, k in wanted] + [("seed", x, str(config.seed(x))) for x in ("7", "", "x")]
-    rows.append(("percentiles", "95,90,95,0,x", str(config.percentiles("95,90,95,0,x"))))
-    return spark.createDataFrame(rows, "section string, key string, value string")
+    """A configuration for each nation: explicit values, also those of zero, before defaults; null is no value."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for n, name in zip(b["n_nationkey"], b["n_name"]):
+                given = {"options": {"window_up": None if n % 3 == 0 else int(n), "window_down": None} | ({"format_fix_attempts": 0} if n % 2 == 0 else {}), "paths": {"logs": f"logs{name}"}, "model": None}
+                c = config.Config.load(json.dumps(given))
+                said = [str(c.options[k]) for k in ("window_up", "window_down", "format_fix_attempts")] + [str(c.parser["max_pages"]), str(c.model["concurrency"]), c.paths["logs"]]
+                out.append((n, *said, config.seed("x" if n % 4 == 0 else str(n)), str(config.percentiles(f"{n + 1},90,{n + 1},0,x"))))
+            yield pd.DataFrame(out, columns=["n_nationkey", "window_up", "window_down", "format_fix_attempts", "max_pages", "concurrency", "logs", "seed", "percentiles"])
+
+    schema = "n_nationkey long, window_up string, window_down string, format_fix_attempts string, max_pages string, concurrency string, logs string, seed long, percentiles string"
+    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long"), "n_name").mapInPandas(run, schema)
 
 
 # Retries and rounds
@@ -367,6 +381,33 @@ def office_pages(spark, sf_dir):
     return files.office_pages(_zips(spark, sf_dir)).select(F.col("path").cast("long").alias("page_id"), "pages")
 
 
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS k FROM documents)
+SELECT doc_id, CAST(k AS BIGINT) AS element, CASE WHEN k % 5 = 4 THEN 'table' ELSE 'paragraph' END AS kind, md5(line) AS text FROM l""")
+def office_body(spark, sf_dir):
+    """Documents as DOCX files, a line a paragraph and every fifth a table, and the elements of their bodies."""
+
+    def run(batches):
+        import io
+        import zipfile
+        from xml.sax.saxutils import escape
+
+        for b in batches:
+            made = []
+            for text in b["text"]:
+                raw = io.BytesIO()
+                with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+                    lines = [f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for x in text.split("\n")]
+                    lines = [f"<w:tbl><w:tr>{x}</w:tr></w:tbl>" if k % 5 == 4 else x for k, x in enumerate(lines)]
+                    z.writestr("word/document.xml", f'<w:document xmlns:w="w"><w:body>{"".join(lines)}<w:sectPr/></w:body></w:document>')
+                made.append(raw.getvalue())
+            yield b[["path"]].assign(content=made)
+
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text").mapInPandas(run, "path string, content binary")
+    found = office.body_elements(d).where("kind in ('paragraph', 'table', 'error')")
+    return found.select(F.col("path").cast("long").alias("doc_id"), "element", "kind", F.md5("text").alias("text"))
+
+
 # Services, with fakes
 
 
@@ -448,21 +489,18 @@ def ref_order(spark, sf_dir):
     return flat.withColumn("place", F.col("place").cast("long"))
 
 
-@query("SELECT name FROM (VALUES ('split'), ('parse')) t(name)")
+@query("SELECT 'split' AS name, count(*) AS n FROM pages UNION ALL SELECT 'parse', count(*) FROM documents")
 def workflow_steps(spark, sf_dir):
-    """Steps that ran before one failed."""
+    """Steps that count a table each, until one reads a table that isn't there: those that ran before, and what they counted."""
     from . import workflow
 
-    ran: list[tuple[str]] = []
-
-    def failing() -> None:
-        raise RuntimeError("broken")
-
+    ran: list[tuple[str, int]] = []
+    steps = [("split", "pages"), ("parse", "documents"), ("organize", "missing"), ("describe", "events"), ("analyze", "orders")]
     try:
-        workflow.run([(n, failing if n == "organize" else lambda n=n: ran.append((n,))) for n in ("split", "parse", "organize", "describe", "analyze")], said=lambda _: None)
-    except RuntimeError:
-        return spark.createDataFrame(ran, "name string")
-    return spark.createDataFrame([("none failed",)], "name string")
+        workflow.run([(name, lambda name=name, table=table: ran.append((name, read(spark, sf_dir, table).count()))) for name, table in steps], said=lambda _: None)
+    except AnalysisException:
+        return spark.createDataFrame(ran, "name string, n long")
+    return spark.createDataFrame([("none failed", 0)], "name string, n long")
 
 
 # Streams

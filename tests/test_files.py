@@ -252,3 +252,31 @@ def test_streaming(spark, tmp_path):
     seen = []
     logs.upserting(lambda df, n: seen.append((n, sorted(tuple(r) for r in df.collect()))))(spark.createDataFrame([("a", 1), ("a", 2)], "key string, seq int"), 3)
     assert seen == [(3, [("a", 2)])]
+
+
+def test_office_bodies(spark, monkeypatch):
+    """Ranges give back the bytes, at any chunk size, with comments, self-closing and nested elements between."""
+    from lodestack.sources import office
+
+    inner = ['<w:p a="1"><w:r><w:t>one &amp; ä</w:t></w:r></w:p>', "<w:p/>", "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>x</w:t><w:t>y</w:t></w:r></w:p></w:tc></w:tr></w:tbl>", '<w:sdt><w:body>z</w:body></w:sdt >', "<w:sectPr><w:x/></w:sectPr>"]
+    between = ["\n", "<!-- c -->", "", "  <?pi?>", "\n", "\n "]
+    head, tail = '<?xml version="1.0" encoding="UTF-8"?>\n<w:document xmlns:w="w"><w:bg/><w:body>', "</w:body>\n</w:document>\n<!-- end -->"
+    xml = head + "".join(a + b for a, b in zip(between, inner)) + between[-1] + tail
+
+    def archive(entry, text):
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w") as z:
+            z.writestr(entry, text)
+        return raw.getvalue()
+
+    for chunk in (1, 7, 1 << 16):
+        monkeypatch.setattr(office, "CHUNK", chunk)
+        found = list(office._Body().scan(io.BytesIO(xml.encode())))
+        raw = xml.encode()
+        assert [k for k, *_ in found] == ["prefix", "paragraph", "paragraph", "table", "sdt", "section", "suffix"]
+        assert raw[: found[0][2]].decode() == head and raw[found[-1][1] : found[-1][2]].decode() == tail
+        assert [raw[a:z].decode() for _, a, z, _ in found[1:-1]] == inner and [t for *_, t in found[1:-1]] == ["one & ä", "", "xy", "", ""]
+    rows = [("good", archive("word/document.xml", xml)), ("no zip", b"x"), ("no entry", archive("other", "x")), ("no body", archive("word/document.xml", "<a/>")), ("broken", archive("word/document.xml", xml[:-40])), ("none", None)]
+    got = office.body_elements(spark.createDataFrame(rows, "path string, content binary")).collect()
+    assert {r["path"] for r in got if r["kind"] == "error"} == {"no zip", "no entry", "no body", "broken", "none"}
+    assert [(r["element"], r["kind"]) for r in got if r["path"] == "good"][:3] == [(-1, "prefix"), (0, "paragraph"), (1, "paragraph")]
