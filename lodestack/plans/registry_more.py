@@ -675,3 +675,105 @@ def hot_progress(spark, sf_dir):
     e = _one_log(spark, sf_dir)
     rows = e.withColumn("total", F.floor(F.lit(e.count()) / 2))
     return sessions.running_progress(rows, ["log"], ["event_id"], F.col("event_type").isin("purchase", "error", "view"), "total", F.expr("event_id div 500")).select("event_id", "done", "percent")
+
+
+# Files by kind, items that can't be read, texts for readers, schemas, uploads
+
+
+@query("""
+WITH f AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'deep/' ELSE '' END AS d, 's' || s_suppkey || '.' || CASE s_suppkey % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'DOCX' WHEN 2 THEN 'png' ELSE 'txt' END AS name FROM supplier)
+SELECT 'one' AS choice, name FROM f WHERE name LIKE '%.pdf' UNION ALL SELECT 'set', name FROM f WHERE lower(name) LIKE '%.docx' OR name LIKE '%.png' UNION ALL SELECT 'glob', name FROM f WHERE name LIKE 's1%.p%' UNION ALL SELECT 'top', name FROM f WHERE d = ''""")
+def listed_files(spark, sf_dir):
+    """Files of several kinds, one a supplier, by one extension, by a set, by a pattern, and of the folder itself only."""
+    path = scratch.folder(spark, "listed")
+    k = F.col("s_suppkey") % 4
+    kind = F.when(k == 0, "pdf").when(k == 1, "DOCX").when(k == 2, "png").otherwise("txt")
+    name = F.concat(F.when(F.col("s_suppkey") % 3 == 0, "deep/").otherwise(""), F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("."), kind)
+    durable.write_records(read(spark, sf_dir, "supplier"), path, name, F.lit("x"))
+    every = files.listing(spark, path)
+    chosen = {"one": files.listing(spark, path, "*.pdf"), "set": files.of_formats(every, "docx", "png"), "glob": files.listing(spark, path, "s1*.p*"), "top": files.listing(spark, path, recursive=False)}
+    out = [df.select(F.lit(choice).alias("choice"), "name") for choice, df in chosen.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+def _odd_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as they are kept, every seventh of them cut off in the middle."""
+    path = scratch.folder(spark, "odd")
+    whole = durable.json_of("key", "result", F.lit(0).alias("start"), F.lit(1).alias("end"), F.col("key").alias("img_path"))
+    text = F.when(F.col("doc_id") % 7 == 0, F.substring(whole, 1, 9)).otherwise(whole)
+    durable.write_records(_items(spark, sf_dir), path, sinks.item_file("key"), text)
+    return files.progress_items(spark, path)
+
+
+COUNTED = f"""WITH i AS ({_ITEMS}), x AS (SELECT key, doc_id % 7 = 0 AS broken, doc_id % 7 > 0 AND contains(result, '[IMG_TYPE:') AS ok FROM i),
+c AS (SELECT count(*) FILTER (ok) AS completed, count(*) FILTER (NOT ok) AS invalid, (SELECT count(*) FROM documents) AS total FROM x)
+"""
+
+
+@query(COUNTED + "SELECT completed, invalid, total, total - completed - invalid AS remaining FROM c")
+def counted_items(spark, sf_dir):
+    """Items for a count, in which those that can't be read are invalid."""
+    return progress.counts(_odd_items(spark, sf_dir), read(spark, sf_dir, "documents").count())
+
+
+@query(COUNTED + """, l AS (SELECT 0 AS a, 'Progress:' AS line UNION ALL SELECT 1, '  completed=' || completed || '  invalid=' || invalid || '  total=' || total || '  remaining=' || (total - completed - invalid) FROM c UNION ALL SELECT 2, 'Invalid:'
+  UNION ALL SELECT 3, '  key=' || coalesce(key, 'None') FROM (SELECT CASE WHEN broken THEN NULL ELSE key END AS key FROM x WHERE NOT ok ORDER BY key NULLS FIRST LIMIT 10))
+SELECT a, line, count(*) AS n FROM l GROUP BY ALL""")
+def progress_lines(spark, sf_dir):
+    """The report of progress, line by line; equal lines count."""
+    from . import report
+
+    said = report.progress_report(_odd_items(spark, sf_dir), read(spark, sf_dir, "documents").count()).split("\n")
+    rows = [(min(k, 3), x) for k, x in enumerate(said)]
+    return spark.createDataFrame(rows, "a int, line string").groupBy("a", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(LOG_SESSIONS + """t AS (SELECT user_id, count(*) AS n, count(*) FILTER (status = 'success') AS ok, count(*) FILTER (status = 'failed') AS bad, round(coalesce(sum(elapsed) FILTER (status = 'success'), 0), 6) AS total, round(coalesce(max(elapsed) FILTER (status = 'success'), 0), 6) AS most FROM s GROUP BY 1)
+SELECT row_number() OVER (ORDER BY user_id) AS place, 'tid=' || user_id || ' sessions=' || n || ' success=' || ok || ' failed=' || bad AS line FROM t""")
+def thread_report(spark, sf_dir):
+    """The threads of a session report, in the order of their numbers."""
+    from . import report
+
+    found = sessions.log_sessions(event_lines(spark, sf_dir).select(F.lit("all").alias("file"), F.col("event_id").alias("line_no"), "value")).withColumn("tid", F.col("tid").cast("long").cast("string"))
+    said = report.session_report(found, threads=True).split("Threads:\n")[1].split("\n")
+    rows = [(k + 1, " ".join(x.split()[:4])) for k, x in enumerate(said)]
+    return spark.createDataFrame(rows, "place long, line string")
+
+
+@query("SELECT n_nationkey, 'get_more_context' AS name, CAST(n_nationkey + 1 AS BIGINT) AS up, CAST(2 * n_nationkey + 3 AS BIGINT) AS down, 'more_above,more_below' AS needed FROM nation")
+def tool_schemas(spark, sf_dir):
+    """The tool that a model is offered, with limits for each nation."""
+
+    def run(batches):
+        for b in batches:
+            yield b.assign(tool=[json.dumps(connectors.tools(int(n) + 1, 2 * int(n) + 3)[0]["function"]) for n in b["n_nationkey"]])
+
+    made = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long")).mapInPandas(run, "n_nationkey long, tool string")
+    most = lambda side: F.get_json_object("tool", f"$.parameters.properties.more_{side}.maximum").cast("long")
+    needed = F.array_join(F.from_json(F.get_json_object("tool", "$.parameters.required"), "array<string>"), ",")
+    return made.select("n_nationkey", F.get_json_object("tool", "$.name").alias("name"), most("above").alias("up"), most("below").alias("down"), needed.alias("needed"))
+
+
+@query("""
+WITH g AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id, row_number() OVER w AS k, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER w AS gap FROM events WINDOW w AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id)),
+f AS (SELECT user_id, day, count(*) AS chunks, min(CASE WHEN gap > 7200 THEN k END) AS late FROM g GROUP BY 1, 2)
+SELECT user_id, day, CAST(coalesce(late - 2, chunks - 1) AS BIGINT) AS sent, late IS NOT NULL AS idle FROM f""")
+def idle_uploads(spark, sf_dir):
+    """Uploads whose chunks are taken at the times of a user's events of a day; one that waits for over two hours ends."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for times in b["times"]:
+                clock, sent, idle = iter([times[0], *(t for x in times[1:] for t in (x, x))]), 0, False
+                try:
+                    for _ in connectors.unless_idle(iter([b"x"] * (len(times) - 1)), 7200.0, lambda clock=clock: next(clock)):
+                        sent += 1
+                except TimeoutError:
+                    idle = True
+                out.append((sent, idle))
+            yield b[["user_id", "day"]].assign(sent=[x for x, _ in out], idle=[x for _, x in out])
+
+    at = F.struct((T.micros("ts") / 1e6).alias("at"), "event_id")
+    by = read(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.transform(F.sort_array(F.collect_list(at)), lambda x: x["at"]).alias("times"))
+    return by.mapInPandas(run, "user_id long, day date, sent long, idle boolean")
