@@ -25,9 +25,11 @@ def line_starts(content: str | Column) -> Column:
 
 def line_table(docs: DataFrame, key: str, content: str) -> DataFrame:
     """[W9] key, line_no from 0, start, line."""
-    zipped = F.arrays_zip(line_starts(content).alias("start"), lines_of(content).alias("line"))
-    flat = docs.select(key, F.posexplode(zipped).alias("line_no", "x"))
-    return flat.select(key, F.col("line_no").cast("long").alias("line_no"), F.col("x.start").cast("long").alias("start"), F.col("x.line").alias("line"))
+    # steps of their own: lines and sizes are used more than once, but made once
+    cut = docs.select(key, lines_of(content).alias("_lines")).withColumn("_sizes", F.transform("_lines", lambda x: F.length(x) + 1))
+    cut = cut.withColumn("_ends", T.running_sum("_sizes"))
+    flat = cut.select(key, F.posexplode(F.arrays_zip("_ends", "_sizes", "_lines")).alias("line_no", "x"))
+    return flat.select(key, F.col("line_no").cast("long").alias("line_no"), (F.col("x._ends") - F.col("x._sizes")).cast("long").alias("start"), F.col("x._lines").alias("line"))
 
 
 def _frame(lines: Column, at: Column, up: int | Column, down: int | Column) -> Column:
