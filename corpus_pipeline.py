@@ -60,6 +60,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of documents, after all stages."""
     docs = read(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        # what the stage before has written is freed once this one is
+        docs = before = stored(stage(spark, docs, sf_dir), name, instead_of=before)
     return STAGES[-1][1](spark, docs, sf_dir)
