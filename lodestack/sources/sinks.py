@@ -27,9 +27,12 @@ def write_session_csv(sessions: DataFrame, path: str, thread: str = "tid") -> No
 
 
 def write_thread_logs(lines: DataFrame, path: str) -> None:
-    """[K2] One folder of text for each file and thread, lines in their order."""
+    """[K2] One folder of text for each file and thread, lines in their order, over part files in theirs.
+
+    Dealt by ranges of (log, thread, line), so a thread with most lines is written by many tasks, and a task has few folders.
+    """
     x = lines.select(T.stem("file").alias("log"), T.split_thread("value").alias("tid"), "line_no", "value")
-    ordered = x.repartition("log", "tid").sortWithinPartitions("log", "tid", "line_no")
+    ordered = x.repartitionByRange("log", "tid", "line_no").sortWithinPartitions("log", "tid", "line_no")
     ordered.drop("line_no").write.mode("overwrite").partitionBy("log", "tid").text(path)
 
 

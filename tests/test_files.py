@@ -280,3 +280,16 @@ def test_office_bodies(spark, monkeypatch):
     got = office.body_elements(spark.createDataFrame(rows, "path string, content binary")).collect()
     assert {r["path"] for r in got if r["kind"] == "error"} == {"no zip", "no entry", "no body", "broken", "none"}
     assert [(r["element"], r["kind"]) for r in got if r["path"] == "good"][:3] == [(-1, "prefix"), (0, "paragraph"), (1, "paragraph")]
+
+
+def test_a_hot_thread_is_written_by_many_tasks(spark, tmp_path):
+    tid = F.when(F.col("id") % 10 == 0, F.lit("T02")).otherwise(F.lit("T01"))
+    lines = spark.range(20_000).select(F.lit("x.log").alias("file"), F.col("id").alias("line_no"), F.format_string("[10:00:00][%s] line %d", tid, "id").alias("value"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_thread_logs(lines, str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "out/log=x/tid=T01").glob("part-*"))
+    text = "".join(p.read_text() for p in parts)
+    assert len(parts) >= 3 and text.splitlines() == [f"[10:00:00][T01] line {k}" for k in range(20_000) if k % 10]
