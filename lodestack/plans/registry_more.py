@@ -352,6 +352,17 @@ def images_base64(spark, sf_dir):
     return files.images_base64(rows).select(F.col("path").cast("long").alias("page_id"), F.md5("image").alias("image"))
 
 
+@query("SELECT page_id, md5(html) AS content, strlen(html) AS length FROM pages")
+def copied_files(spark, sf_dir):
+    """Pages as binary files, copied into folders of their own, and the copies read."""
+    path = scratch.folder(spark, "copied")
+    sinks.write_bytes(read(spark, sf_dir, "pages").select(F.format_string("p%d.bin", "page_id").alias("name"), F.col("html").cast("binary").alias("content")), f"{path}/from")
+    listed = files.listing(spark, f"{path}/from", "*.bin").select("path", F.concat(F.regexp_extract("name", r"(\d)\.bin$", 1), F.lit("/"), "name").alias("target"))
+    sinks.copied(listed, f"{path}/to")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/to")
+    return found.select(F.regexp_extract("path", r"p(\d+)\.bin$", 1).cast("long").alias("page_id"), F.md5("content").alias("content"), "length")
+
+
 def _zips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as zip files with the page and a count of pages."""
 
