@@ -625,12 +625,13 @@ def stream_progress(spark, sf_dir):
     return out.select(F.unix_seconds("window.start").alias("hour"), "done", "errors", "warnings")
 
 
-@query("SELECT o_orderpriority AS priority, o_orderstatus = 'F' AS closed, count(*) AS orders, quantile_cont(CAST(o_totalprice AS DOUBLE), 0.1) AS p10, quantile_cont(CAST(o_totalprice AS DOUBLE), 0.5) AS median, quantile_cont(CAST(o_totalprice AS DOUBLE), 0.99) AS p99 FROM orders GROUP BY ALL")
+@query("SELECT o_orderpriority AS priority, o_orderstatus = 'F' AS closed, count(*) AS orders, round(quantile_cont(CAST(o_totalprice AS DOUBLE), 0.1), 6) AS p10, round(quantile_cont(CAST(o_totalprice AS DOUBLE), 0.5), 6) AS median, round(quantile_cont(CAST(o_totalprice AS DOUBLE), 0.99), 6) AS p99 FROM orders GROUP BY ALL")
 def group_quantiles(spark, sf_dir):
     """Exact quantiles of prices in groups of very different sizes."""
     rows = read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), (F.col("o_orderstatus") == "F").alias("closed"), "o_totalprice")
     counts = statistics.value_counts(rows, ["priority", "closed"], "o_totalprice")
-    found = statistics.quantiles(counts, ["priority", "closed"], (0.1, 0.5, 0.99)).withColumnsRenamed({"q0": "p10", "q1": "median", "q2": "p99"})
+    found = statistics.quantiles(counts, ["priority", "closed"], (0.1, 0.5, 0.99))
+    found = found.select("priority", "closed", *[F.round(f"q{k}", 6).alias(name) for k, name in enumerate(("p10", "median", "p99"))])
     return counts.groupBy("priority", "closed").agg(F.sum("n").alias("orders")).join(found, ["priority", "closed"])
 
 
