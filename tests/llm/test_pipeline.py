@@ -72,7 +72,7 @@ def test_odd_rows(spark, tmp_path):
 
 def test_registered():
     found = [m[1] for q in queries.queries() if (m := re.match(r"op(\d+)_", q))]
-    assert sorted(map(int, found)) == list(range(1, 11))
+    assert sorted(map(int, found)) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
