@@ -574,28 +574,33 @@ def stream_upsert(spark, sf_dir):
     path = scratch.folder(spark, "upsert")
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"))
     e.repartitionByRange(3, "seq").write.parquet(f"{path}/in")
+
+    def apply(rows: DataFrame, number: int) -> None:
+        kept = spark.read.parquet(f"{path}/out/{number - 1}") if number else rows.limit(0)
+        progress.upserted(kept, rows).write.mode("overwrite").parquet(f"{path}/out/{number}")
+
     stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    name = F.format_string("users/%d.json", "key")
-    durable.stream_records(stream, f"{path}/out", f"{path}/state", "seq", name, durable.json_of("key", "seq"), availableNow=True).awaitTermination()
-    return spark.read.schema(e.schema).json(f"{path}/out/users", multiLine=True)
+    q = stream.writeStream.foreachBatch(logs.upserting(apply)).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{path}/out/{q.lastProgress['batchId']}")
 
 
-@query("SELECT user_id, count(*) AS result, CAST(1 AS BIGINT) AS calls FROM events GROUP BY 1")
+@query("SELECT user_id % 100 AS user_id, count(*) AS result, CAST(1 AS BIGINT) AS calls FROM events GROUP BY 1")
 def durable_calls(spark, sf_dir):
-    """A call for each user that counts events, in a run that breaks half-way and one that goes on: no call that ended is made twice."""
+    """A call for each hundredth of the users that counts events, in a run that breaks half-way and one that goes on: no call that ended is made twice."""
     path = scratch.folder(spark, "calls")
-    asked = read(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    asked = read(spark, sf_dir, "events").groupBy((F.col("user_id") % 100).alias("user_id")).agg(F.count(F.lit(1)).alias("n"))
 
     def call(row) -> None:
         kept = durable.Store(path)
         if kept.has(f"answers/{row.user_id}.json"):
             return
-        if row.user_id % 700 == 3 and not kept.has(f"broken/{row.user_id}"):
-            kept.put(f"broken/{row.user_id}", b"")
+        if row.user_id == 3 and not kept.has(f"broken/{row.user_id}"):
+            kept.put(f"broken/{row.user_id}", b"", sync=False)
             raise RuntimeError("the run breaks here")
         made = (kept.get_json(f"made/{row.user_id}.json") or {"calls": 0})["calls"] + 1
-        kept.put_json(f"made/{row.user_id}.json", {"user_id": row.user_id, "calls": made})
-        kept.put_json(f"answers/{row.user_id}.json", {"user_id": row.user_id, "result": row.n})
+        kept.put_json(f"made/{row.user_id}.json", {"user_id": row.user_id, "calls": made}, sync=False)
+        kept.put_json(f"answers/{row.user_id}.json", {"user_id": row.user_id, "result": row.n}, sync=False)
 
     for _ in range(100):  # as often as it breaks
         try:
