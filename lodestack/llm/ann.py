@@ -214,8 +214,17 @@ def points(rows: DataFrame, key: str, vector: str, top: int) -> tuple[DataFrame,
     return some.groupBy("_h", "d", "vector").agg(F.array_sort(F.collect_list("id")).alias("ids")), usable
 
 
-def index(pts: DataFrame) -> DataFrame:
-    """One row a shard of pts, which has columns d, shard: its graph's arrays, and the ids of its points in the graph's order."""
+def _spread(df: DataFrame, groups: int, *by: str) -> DataFrame:
+    """Groups over about as many tasks: their rows are few bytes for the seconds that they take, so that adaptive execution
+    would put all of them into one task."""
+    return df.repartition(max(1, min(4 * groups, 10_000)), *by)
+
+
+def index(pts: DataFrame, shards: int) -> DataFrame:
+    """One row a shard of pts, which has columns d, shard: its graph's arrays, and the ids of its points in the graph's order.
+
+    ``shards`` is how many there are, over which tasks are spread.
+    """
     kind = _kind(pts)
 
     def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -225,7 +234,7 @@ def index(pts: DataFrame) -> DataFrame:
         counts = np.array([len(i) for i in ids], dtype="<i4")
         return pd.DataFrame([{"d": int(key[0]), "shard": int(key[1]), "n": len(ids), **g.arrays(), "counts": counts.tobytes(), "ids": np.concatenate(ids).astype("<i8").tobytes()}])
 
-    return pts.groupBy("d", "shard").applyInPandas(build, "d int, shard int, n long, levels binary, layers binary, vectors binary, counts binary, ids binary")
+    return _spread(pts, shards, "d", "shard").groupBy("d", "shard").applyInPandas(build, "d int, shard int, n long, levels binary, layers binary, vectors binary, counts binary, ids binary")
 
 
 def _kind(df: DataFrame) -> str:
@@ -245,7 +254,8 @@ def search(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
     shards, blocks = parts(pts, shard_rows, "shards"), parts(asked_vectors, block_rows, "blocks")
     deal = lambda n, seed: F.pmod(F.xxhash64("_h", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    graphs = stored(index(pts.join(shards, "d").withColumn("shard", deal("shards", 5)).drop("shards")), "graphs")
+    counted = shards.join(blocks, "d", "left").agg(F.sum("shards").alias("shards"), F.sum(F.col("shards") * F.col("blocks")).alias("pairs")).first()
+    graphs = stored(index(pts.join(shards, "d").withColumn("shard", deal("shards", 5)).drop("shards"), counted["shards"] or 0), "graphs")
     left = graphs.join(blocks, "d").withColumn("block", every("blocks")).drop("blocks")
     right = asked_vectors.join(blocks, "d").join(shards, "d").withColumn("block", deal("blocks", 7)).withColumn("shard", every("shards")).drop("blocks", "shards")
     kinds = _kind(pts), _kind(asked_vectors)
@@ -264,17 +274,17 @@ def search(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
         for a, places in enumerate(found):
             places = places[places >= 0]
             scores = (graph.given[places].astype(np.float64) * x[a].astype(np.float64)).sum(axis=1).tolist()
-            best = sorted((-s, int(i)) for s, p in zip(scores, places.tolist()) for i in ids[ends[p] - counts[p] : ends[p]])
-            out.append([{"score": -s, "vec_id": i} for s, i in best[: top + 1]])
+            best = sorted((0.0 - s, int(i)) for s, p in zip(scores, places.tolist()) for i in ids[ends[p] - counts[p] : ends[p]])
+            out.append([{"minus": s, "vec_id": i} for s, i in best[: top + 1]])
         return pd.DataFrame({"_h": q["_h"].to_numpy(), "vector": q["vector"].to_numpy(), "found": out})
 
-    schema = f"_h long, vector {asked_vectors.schema['vector'].dataType.simpleString()}, found array<struct<score:double,vec_id:long>>"
-    each = left.groupBy("d", "shard", "block").cogroup(right.groupBy("d", "shard", "block")).applyInPandas(run, schema)
-    # at most shards x (top + 1) entries a query vector
-    flat = each.select("_h", "vector", F.explode("found").alias("f")).select("_h", "vector", "f.score", "f.vec_id")
-    order = Window.partitionBy("_h", "vector").orderBy(F.desc("score"), "vec_id")
-    flat = flat.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top + 1)
-    merged = flat.groupBy("_h", "vector").agg(F.array_sort(F.collect_list(F.struct("_r", "score", "vec_id"))).alias("found"))
+    schema = f"_h long, vector {asked_vectors.schema['vector'].dataType.simpleString()}, found array<struct<minus:double,vec_id:long>>"
+    by = "d", "shard", "block"
+    spread = lambda df: _spread(df, counted["pairs"] or 0, *by).groupBy(*by)
+    each = spread(left).cogroup(spread(right)).applyInPandas(run, schema)
+    # one row a shard for a query vector, of at most top + 1 entries
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, top + 1)
+    merged = each.groupBy("_h", "vector").agg(F.transform(best, lambda f: F.struct((F.lit(0.0) - f["minus"]).alias("score"), f["vec_id"].alias("vec_id"))).alias("found"))
     ends = asked.select(F.col("id").alias("query_id"), "_h", "vector").join(stored(merged, "merged"), ["_h", "vector"])
     others = F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("query_id")), 1, top)
     one = ends.select("query_id", F.posexplode(others).alias("rank", "f"))

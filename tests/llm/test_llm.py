@@ -111,6 +111,17 @@ def brute_nearest(vectors, top=20):
     return out
 
 
+def test_shards_are_built_by_many_tasks(spark):
+    """Shards are few bytes: adaptive execution used to put all of them into one task."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 8)).astype(np.float32))], "vec_id long, embedding array<float>")
+    pts = ann.points(df, "vec_id", "embedding", 20)[0].withColumn("shard", F.pmod("_h", F.lit(8)).cast("int"))
+    built = ann.index(pts, 8).select("shard", F.spark_partition_id().alias("task")).collect()
+    assert sorted(r["shard"] for r in built) == list(range(8)) and len({r["task"] for r in built}) >= 4
+
+
 def test_nearest_of_doubles_lengths_and_repeated_ids(spark):
     rng = np.random.default_rng(21)
     vectors = {i: rng.normal(size=4 if i % 3 else 6) for i in range(240)}
