@@ -28,6 +28,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LETTERS = "[A-Za-zÀ-ÿ]"
 MIN_LENGTH, MIN_COUNT, RATIO, NOISE = 5, 3, 2, 97
 LONG = 64
+#: By shuffle, whatever sizes are guessed: the guess for keys is that of the compressed words, which are a small part of them, so
+#: that a broadcast would take gigabytes of the driver.
+JOIN = "merge"
 #: Primes and bases of the hashes of long words' deletions.
 _HASHES = ((2147483647, 911382323), (2147483629, 972663749))
 
@@ -54,7 +57,7 @@ def _near_short(vocabulary: DataFrame) -> DataFrame:
     cut = "transform(sequence(1, char_length(word)), i -> concat(substring(word, 1, i - 1), substring(word, i + 1)))"
     keys = vocabulary.select("word", "n", F.explode(F.expr(f"array_distinct(concat(array(word), {cut}))")).alias("key"))
     other = keys.select(F.col("word").alias("near"), F.col("n").alias("near_n"), "key")
-    return keys.join(other, "key").where("word <> near").where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
+    return keys.join(other.hint(JOIN), "key").where("word <> near").where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
 
 
 def deletion_hashes(word: str) -> np.ndarray:
@@ -86,8 +89,8 @@ def _near_long(vocabulary: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + (1 << 16)]), pa.array(np.full(len(keys[k : k + (1 << 16)]), ident))], ["key", "id"])
 
     keys = numbered.select("id", "word").mapInArrow(run, "key long, id long")
-    pairs = keys.join(keys.withColumnRenamed("id", "other"), "key").where("id < other").select("id", "other").distinct()
-    near = pairs.join(numbered, "id").join(numbered.select(F.col("id").alias("other"), F.col("word").alias("near"), F.col("n").alias("near_n")), "other").where(F.levenshtein("word", "near", 1) == 1)
+    pairs = keys.join(keys.withColumnRenamed("id", "other").hint(JOIN), "key").where("id < other").select("id", "other").distinct()
+    near = pairs.join(numbered.hint(JOIN), "id").join(numbered.select(F.col("id").alias("other"), F.col("word").alias("near"), F.col("n").alias("near_n")).hint(JOIN), "other").where(F.levenshtein("word", "near", 1) == 1)
     return near.select("word", "n", "near", "near_n").unionByName(near.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
 
 
@@ -116,7 +119,7 @@ def roots(found: DataFrame) -> DataFrame:
     now = stored(found.where("form is not null").select("word", F.col("form").alias("root")), "roots")
     while True:
         onward = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = stored(now.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        moved = stored(now.join(onward.hint(JOIN), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         forget(now.sparkSession, now._stored_at)
         if moved.where("moved").isEmpty():
             return moved.select("word", "root")
@@ -127,4 +130,4 @@ def variants(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """(word, n, n_near, form, form_n, root) of every frequent word."""
     vocabulary = stored(words(docs, key, text), "words")
     found = stored(forms(vocabulary), "forms")
-    return found.join(roots(found), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(roots(found).hint(JOIN), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -163,6 +163,13 @@ def test_variants_of_chains_and_nothing(spark):
     assert spelling.variants(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_keys_are_joined_by_shuffle(spark, tmp_path):
+    """Keys are guessed by the size of the compressed words; a broadcast of them took gigabytes of the driver."""
+    spark.createDataFrame([("letters", 3), ("lettres", 5), ("z" * 70, 3)], "word string, n long").write.parquet(str(tmp_path / "words"))
+    plan = spelling.near_words(spark.read.parquet(str(tmp_path / "words")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_long_words_keys():
     word = "abc" * 30_000
     keys = spelling.deletion_hashes(word)
