@@ -26,6 +26,17 @@ def folder(tmp_path):
     return tmp_path
 
 
+def test_report_of_many_threads(spark):
+    """All threads by their numbers, also those after the first ten thousand and beyond the range of an int."""
+    n = 12_000
+    s = spark.range(n).select((F.col("id") + (1 << 31) - 5).cast("string").alias("tid"), F.lit("success").alias("status"), F.lit(1.5).alias("elapsed"), F.lit(1).alias("tool_calls"), F.lit("k").alias("key"), F.lit(None).cast("string").alias("error_type"), F.lit("00:00:00").alias("start_ts"), F.lit(1).alias("session"))
+    want = [f"tid={k + (1 << 31) - 5}" for k in range(n)]
+    said = report.session_report(s, threads=True).split("Threads:\n")[1].split("\n")
+    assert [x.split()[0] for x in said] == want
+    lines = report.numbered(report.lines_of(report.by_thread(s))).orderBy("place").collect()
+    assert [r["place"] for r in lines] == list(range(1, n + 1)) and [r["line"] for r in lines] == said
+
+
 def test_logs(spark, folder, capsys):
     found = files.listing(spark, str(folder / "logs"))
     name = lambda df: [r["path"].rsplit("/", 1)[1] for r in df.collect()]
