@@ -48,9 +48,13 @@ def with_lines(tasks: DataFrame, docs: DataFrame, limits: connectors.Limits) ->
     first = F.greatest(F.col("line_no") - up, F.lit(0)).cast("int")
     touched = F.sequence((first / BLOCK_LINES).cast("int"), ((F.col("line_no") + down) / BLOCK_LINES).cast("int"))
     met = tasks.withColumn("_block", F.explode(touched)).join(blocks, ["name", "_block"])
+    # cut to the frame before the shuffle: a block is some hundred lines, a frame a few
+    at = F.col("_block") * BLOCK_LINES
+    low = F.greatest(first - at, F.lit(0)).cast("int")
+    high = F.least(F.col("line_no").cast("int") + down - at, F.lit(BLOCK_LINES - 1)).cast("int")
+    met = met.withColumn("_part", F.slice("_part", low + 1, high - low + 1))
     whole = met.groupBy(*tasks.columns).agg(F.sort_array(F.collect_list(F.struct("_block", "_part"))).alias("_parts"))  # as many as a frame touches
-    lines = F.flatten(F.transform("_parts", lambda p: p["_part"]))
-    return whole.withColumns({"lines": F.slice(lines, first % BLOCK_LINES + 1, F.col("line_no").cast("int") + down - first + 1), "line_at": (F.col("line_no") - first).cast("int")}).drop("_parts")
+    return whole.withColumns({"lines": F.flatten(F.transform("_parts", lambda p: p["_part"])), "line_at": (F.col("line_no") - first).cast("int")}).drop("_parts")
 
 
 def log_of(results: DataFrame, concurrency: int) -> DataFrame:
