@@ -229,3 +229,17 @@ def test_lines_of_frames(spark):
     limits = connectors.Limits(start=(30, 20), most=(100, 90), rounds=3)
     got = {r["key"]: (r["lines"], r["line_at"]) for r in describe.with_lines(tasks, docs, limits).collect()}
     assert got == {f"{n}::{k}": (texts[n][max(0, k - 330) : k + 291], min(k, 330)) for n, k in at if n in texts}
+
+
+def test_large_values_come_in_pieces(spark, tmp_path, monkeypatch):
+    """Files of values that are larger than a piece, empty, null or of a name that comes twice; no piece is larger than PIECE."""
+    monkeypatch.setattr(durable, "PIECE", 7)
+    seen = durable.write_pieces
+    sizes = []
+    monkeypatch.setattr(durable, "write_pieces", lambda rows, *a, **k: (sizes.append(rows.agg(F.max(F.octet_length("value"))).first()[0]), seen(rows, *a, **k)))
+    rows = spark.createDataFrame([("a/x", "grüße, " * 9), ("b", ""), ("c", None), ("d", "one"), ("d", "second")], "name string, value string").coalesce(1)
+    durable.write_large(rows, str(tmp_path / "out"))
+    read = lambda n: (tmp_path / "out" / n).read_text(encoding="utf-8")
+    assert read("a/x") == "grüße, " * 9 and read("b") == "" and read("d") == "second" and not (tmp_path / "out/c").exists()
+    assert sizes == [7] and not list((tmp_path / "out").rglob("*.tmp"))
+
