@@ -14,6 +14,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -50,22 +51,43 @@ def ship(spark: SparkSession) -> None:
 _worker: dict[str, dict] = {}
 
 
+def give_back() -> None:
+    """What this Python worker has freed goes back to the system; allocators keep it otherwise, beside what an executor's
+    other processes need."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+#: A worker gives back what it has freed after so many batches, and when a task ends: pages cost time to get again.
+GIVE_BACK = 8
+
+
+def lean(batches: Iterator) -> Iterator:
+    """A task's batches, between which freed memory goes back to the system."""
+    for n, b in enumerate(batches, 1):
+        yield b
+        del b
+        if n % GIVE_BACK == 0:
+            give_back()
+    give_back()
+
+
 def kept_for(operator: str) -> dict:
     """What a Python worker keeps for an operator from task to task. Workers are used again by other operators: what was
     kept for those is given up then, and freed memory goes back to the system."""
     if operator not in _worker:
-        import ctypes
         import gc
 
-        import pyarrow
-
         _worker.clear()
         gc.collect()
-        pyarrow.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass
+        give_back()
     return _worker.setdefault(operator, {})
 
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_for, ship, stored, text_of
+from .common import kept_for, lean, ship, stored, text_of
 
 WINDOW = 10
 SLICE_WORDS = 200_000
@@ -204,8 +204,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 
 def _holds(shared, window: int):
     @F.pandas_udf("boolean")
-    def holds(texts: pd.Series) -> pd.Series:
+    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = matcher(shared, window)
-        return pd.Series([bool(m.hits(normalised(t))) for t in texts], dtype=bool)
+        for texts in lean(batches):
+            yield pd.Series([bool(m.hits(normalised(t))) for t in texts], dtype=bool)
 
     return holds

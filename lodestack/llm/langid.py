@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import kept_for, ship, threshold
+from .common import kept_for, lean, ship, threshold
 
 WINDOW = 512
 EMBED, WIDTHS, FILTERS = 6, (2, 3, 4, 5), 8
@@ -212,7 +212,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text") -> DataFra
         import pyarrow as pa
 
         kept_for("langid")
-        for b in batches:
+        for b in lean(batches):
             langs, scores = classify(net, b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, "lang_pred", "score"])
 

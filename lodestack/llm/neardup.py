@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_columns, ids_of, kept_for, ship, stored, text_of, unused
+from .common import id_columns, ids_of, kept_for, lean, ship, stored, text_of, unused
 from .components import components
 
 K = 64
@@ -83,7 +83,7 @@ def sketches(docs: DataFrame, words: int, key: str, text: str, k: int = K) -> Da
         import xxhash
 
         kept_for("neardup")
-        for b in batches:
+        for b in lean(batches):
             out = []
             for doc, t in zip(ids_of(b), b["text"]):
                 s = shingles(t, words)
@@ -144,7 +144,7 @@ def screened(pairs: DataFrame, classes: DataFrame, similarity: float, k: int = K
 
     def run(batches):
         kept_for("neardup")
-        for b in batches:
+        for b in lean(batches):
             keep, whole = [], []
             for x, y, nx, ny in zip(b["sa"], b["sb"], b["na"], b["nb"]):
                 hits, size = _agreement(x, y, nx, ny, k)
@@ -242,7 +242,7 @@ def confirmed(seen: DataFrame, texts: Callable[[DataFrame], DataFrame], words: i
 
     def check(batches):
         kept_for("neardup")
-        for b in batches:
+        for b in lean(batches):
             ok = []
             for x, y in zip(b["x"], b["y"]):
                 x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
@@ -260,7 +260,7 @@ def full_sets(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         kept_for("neardup")
-        for b in batches:
+        for b in lean(batches):
             yield pd.DataFrame({"node": b["node"], "set": [shingles(t, words).tobytes() for t in b["text"]]})
 
     return stored(texts.mapInPandas(run, "node long, set binary"), "sets").dropDuplicates(["node"])

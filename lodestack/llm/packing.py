@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_columns, ids_of, ship, stored, text_of
+from .common import id_columns, ids_of, lean, ship, stored, text_of
 from .tokens import KEEP, encoder
 
 LENGTH = 4096
@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = LENGT
 
     def run(batches):
         enc = encoder(tokenizer, keep)
-        for b in batches:
+        for b in lean(batches):
             out = []
             for doc, x in zip(ids_of(b), enc.ids(b["text"].tolist())):
                 x += end

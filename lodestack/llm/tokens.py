@@ -15,7 +15,7 @@ import re
 from array import array
 from collections.abc import Callable
 
-from .common import kept_for
+from .common import give_back, kept_for
 
 #: Pieces that a worker keeps, some 220 bytes each; others are encoded each time.
 KEEP = 300_000
@@ -110,4 +110,5 @@ def encoder(path: str, keep: int = KEEP) -> Encoder:
     kept = kept_for("tokens")
     if (path, keep) not in kept:
         kept[path, keep] = Encoder(path, keep)
+        give_back()  # the tokenizer's file as JSON is larger than what is left of it
     return kept[path, keep]

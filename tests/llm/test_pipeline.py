@@ -86,3 +86,39 @@ def test_language_is_learned(spark):
     rows = queries.op6_language_id(spark, "/root/testdata/sf0.01").where("held_out").select("doc_id", "lang_pred").collect()
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").collect()}
     assert sum(lang[r["doc_id"]] == r["lang_pred"] for r in rows) / len(rows) > 0.97 and langid.WINDOW == 512
+
+
+MEMORY = """
+import re
+from lodestack.llm import common, tokens
+from lodestack.llm.queries import vocabulary
+import numpy, pandas, pyarrow, tokenizers
+
+def now():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+before = now()
+enc = tokens.encoder(vocabulary("word_bpe_49k.json"), 1000)
+print(now() - before)
+assert now() - before < 23
+"""
+
+
+def test_workers_give_memory_back():
+    """Executors' workers went on holding what they had freed: with the JVM's share, over 3000 MB in packing."""
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", MEMORY], cwd=corpus_pipeline.__file__.rsplit("/", 1)[0], capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stdout + done.stderr
+
+
+def test_lean(monkeypatch):
+    from lodestack.llm import common
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(len(seen)))
+    seen = []
+    for b in common.lean(iter(range(2 * common.GIVE_BACK + 1))):
+        seen.append(b)
+    assert seen == list(range(2 * common.GIVE_BACK + 1)) and given == [common.GIVE_BACK, 2 * common.GIVE_BACK, 2 * common.GIVE_BACK + 1]
