@@ -29,12 +29,12 @@ _written: list[tuple[SparkSession, str]] = []
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once for each application.
 
-    Rows here are whole texts, so Arrow batches of the defaults of 10,000 rows and 64 MB would take much memory: a session
-    that has the defaults gets smaller ones, also for what else it runs.
+    Rows here are whole texts, so batches of the defaults, of 10,000 rows and 64 MB in Arrow and of 4096 rows from Parquet,
+    would take much memory: a session that has the defaults gets smaller ones, also for what else it runs.
     """
-    for name, default, less in (("maxRecordsPerBatch", "10000", "500"), ("maxBytesPerBatch", "67108864b", "4m")):
-        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) == default:
-            spark.conf.set(f"spark.sql.execution.arrow.{name}", less)
+    for name, default, less in (("execution.arrow.maxRecordsPerBatch", "10000", "500"), ("execution.arrow.maxBytesPerBatch", "67108864b", "4m"), ("parquet.columnarReaderBatchSize", "4096", "500")):
+        if spark.conf.get(f"spark.sql.{name}") == default:  # with a default of None, get() gives that for what isn't set
+            spark.conf.set(f"spark.sql.{name}", less)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

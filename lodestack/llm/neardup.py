@@ -176,7 +176,7 @@ def joining(hit: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, in
     return out
 
 
-def common_counts(x: list[np.ndarray], y: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
+def common_counts(x: list[np.ndarray], y: list[np.ndarray], columns: int = 1 << 12) -> np.ndarray:
     """Sizes of the intersections of the sets x with the sets y, by products of incidence matrices of so many values at once."""
     values, code, times = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
     often = np.flatnonzero(times > 1)
@@ -263,7 +263,14 @@ def full_sets(texts: DataFrame, words: int) -> DataFrame:
         for b in lean(batches):
             yield pd.DataFrame({"node": b["node"], "set": [shingles(t, words).tobytes() for t in b["text"]]})
 
-    return stored(texts.mapInPandas(run, "node long, set binary"), "sets").dropDuplicates(["node"])
+    return one_each(stored(texts.mapInPandas(run, "node long, set binary"), "sets"))
+
+
+def one_each(table: DataFrame) -> DataFrame:
+    """A stored table with one row a node. Nearly all have that already: to see it from the nodes alone takes less memory than
+    to sort whole rows twice."""
+    rows, nodes = table.agg(F.count("node"), F.countDistinct("node")).first()
+    return table if rows == nodes else table.dropDuplicates(["node"])
 
 
 def bounded(ends: DataFrame) -> DataFrame:
@@ -317,8 +324,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, ke
     known = all_.where("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
     classes = stored(classes, "classes")
-    full = known.join(classes, ["d1", "d2"]).where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"])
-    full = stored(full, "class-sketches")
+    full = known.join(classes, ["d1", "d2"]).where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "sketch")
+    full = one_each(stored(full, "class-sketches"))
     found = links(runs(full, similarity), lambda pairs: screened(pairs, full, similarity), document_texts(docs, key, text), words, similarity)
     groups = components(found)
     labels = classes.join(groups, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component_id"))
@@ -331,4 +338,4 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str
     """The rows of docs without those whose group keeps another document."""
     (name,) = unused(docs, "gone")
     gone = near_duplicates(docs, words, similarity, key, text).where("not kept").select(F.col("doc_id").alias(name))
-    return docs.join(stored(gone, "gone"), F.col(key) == F.col(name), "left_anti")
+    return docs.join(bounded(stored(gone, "gone")), F.col(key) == F.col(name), "left_anti")

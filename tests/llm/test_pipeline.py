@@ -122,3 +122,31 @@ def test_lean(monkeypatch):
     for b in common.lean(iter(range(2 * common.GIVE_BACK + 1))):
         seen.append(b)
     assert seen == list(range(2 * common.GIVE_BACK + 1)) and given == [common.GIVE_BACK, 2 * common.GIVE_BACK, 2 * common.GIVE_BACK + 1]
+
+
+def test_batches_of_texts_are_small(spark):
+    """ship() took defaults for values that a user had set, so batches of 10,000 texts went through executors."""
+    from lodestack.llm import common
+
+    other = spark.newSession()
+    other.conf.set("spark.sql.parquet.columnarReaderBatchSize", "77")
+    common.ship(other)
+    assert [other.conf.get(f"spark.sql.{k}") for k in ("execution.arrow.maxRecordsPerBatch", "execution.arrow.maxBytesPerBatch", "parquet.columnarReaderBatchSize")] == ["500", "4m", "77"]
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    assert {r["n"] for r in other.range(0, 2000, 1, 1).mapInArrow(sizes, "n long").collect()} == {500}
+
+
+def test_one_each(spark):
+    from lodestack.llm import neardup
+
+    rows = stored(spark.createDataFrame([(1, b"x"), (2, b"y"), (2, b"y"), (3, b"")], "node long, set binary"), "rows")
+    for table, want in ((rows, [1, 2, 3]), (rows.where("node <> 2"), [1, 3]), (rows.limit(0), [])):
+        assert sorted(r["node"] for r in neardup.one_each(table).collect()) == want
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan(neardup.one_each(rows)) and "Aggregate" not in plan(neardup.one_each(rows.where("node <> 2")))
