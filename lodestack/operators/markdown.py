@@ -68,10 +68,11 @@ def references(docs: DataFrame, key: str, content: str, pattern: str = P.IMAGE_R
     A reference never crosses a line end, so matches are placed by the pieces between them within each line.
     """
     lines = line_table(docs, key, content).where(F.col("line").rlike(pattern))
-    hits, paths = F.regexp_extract_all("line", F.lit(pattern), F.lit(0)), F.regexp_extract_all("line", F.lit(pattern), F.lit(within))
-    pieces = F.slice(F.split("line", pattern, -1), F.lit(1), F.size(hits))
-    ends = T.running_sum(F.zip_with(pieces, hits, lambda p, h: F.length(p) + F.length(h)))
-    places = F.zip_with(ends, hits, lambda end, h: F.struct((end - F.length(h)).alias("start"), end.alias("end")))
+    # steps of their own: each line is matched once for its hits and once for their paths
+    lines = lines.withColumn("_hits", F.regexp_extract_all("line", F.lit(pattern), F.lit(0)))
+    lines = lines.withColumn("_sizes", F.zip_with(F.slice(F.split("line", pattern, -1), F.lit(1), F.size("_hits")), "_hits", lambda p, h: F.length(p) + F.length(h)))
+    places = F.zip_with(T.running_sum("_sizes"), "_hits", lambda end, h: F.struct((end - F.length(h)).alias("start"), end.alias("end")))
+    paths = F.regexp_extract_all("line", F.lit(pattern), F.lit(within))
     flat = lines.select(key, "line_no", "start", F.posexplode(F.arrays_zip(places.alias("place"), paths.alias("path"))).alias("number", "x"))
     return flat.select(key, "line_no", F.col("number").cast("long").alias("number"), (F.col("start") + F.col("x.place.start")).alias("start"), (F.col("start") + F.col("x.place.end")).alias("end"), F.col("x.path").alias("path"))
 

@@ -81,8 +81,8 @@ def run(spark: SparkSession, paths: dict[str, str], client: connectors.VisionCli
     """
     options, limits = config.options, connectors.Limits.of(config.options)
     concurrency = concurrency or config.model["concurrency"]
-    docs = files.markdown(spark, paths["markdown"])
-    tasks = tasks_of(docs)
+    docs = files.markdown(spark, paths["markdown"], by_name=False)
+    tasks = tasks_of(docs).persist()  # of each text once: they are asked for, spliced and counted
     kept = files.progress_items(spark, paths["progress"]) if sinks.exists(spark, paths["progress"]) else spark.createDataFrame([], f"{files.ITEM_SCHEMA}, _corrupt string")
     once = sessions.first_seen(tasks, "key", ["start"])
     left = progress.pending(once, kept)
@@ -105,6 +105,7 @@ def run(spark: SparkSession, paths: dict[str, str], client: connectors.VisionCli
     sinks.write_documents(markdown.spliced_documents(docs, "name", "content", described), paths["output"])
     counts: dict[str, Any] = results.agg(F.count(F.lit(1)).alias("asked"), *[F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("ok", "error", "retry")]).first().asDict()
     counts |= {"images": tasks.count(), "left": progress.pending(once, items).count()}
+    tasks.unpersist()
     sinks.removed(spark, f"{paths['progress']}/_runs")
     return counts
 

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +73,42 @@ def test_splice(spark):
     assert df.select(T.spliced("t", "r")).first()[0] == f"a {block('images/x.png', 'X')} b {block('images/y.png', 'Y')}"
 
 
+def spliced_by_hand(text, reps):
+    out, end = "", 0
+    for a, z, p, r in reps:
+        out, end = out + text[end:a] + f"\n\n<!-- IMG: {p} -->\n[AI] {r}\n\n<!-- /IMG -->\n\n", z
+    return out + text[end:]
+
+
+def test_splice_at_edges_of_blocks(spark):
+    """Places at, before and after the edges of blocks, of texts of any code points, line ends among them."""
+    some, rows = random.Random(5), [("", [(0, 0, "p", "R")]), ("x" * T.BLOCK, [(T.BLOCK, T.BLOCK, "p", "R")]), ("x" * 3 * T.BLOCK, []), ("abc", [(0, 3, "p", "R")])]
+    for n in (1, T.BLOCK - 1, T.BLOCK, T.BLOCK + 1, 5 * T.BLOCK + 3):
+        for _ in range(8):
+            text = "".join(some.choices("aä😀\n\r\u2028", k=n))
+            edges = [e for e in (0, 1, T.BLOCK - 1, T.BLOCK, T.BLOCK + 1, 2 * T.BLOCK, 4 * T.BLOCK, n) if e <= n]
+            at = sorted(some.choices(edges, k=4) + some.choices(range(n + 1), k=6))
+            rows.append((text, [(a, z, f"{k}", f"R{k}") for k, (a, z) in enumerate(zip(at[::2], at[1::2]))]))
+    # replacements are put by their places, so given in any order
+    df = spark.createDataFrame([(k, t, some.sample(r, len(r))) for k, (t, r) in enumerate(rows)], "k int, t string, r array<struct<start:int,end:int,path:string,result:string>>")
+    got = {r["k"]: r["x"] for r in df.select("k", T.spliced("t", "r").alias("x")).collect()}
+    assert [got[k] for k in range(len(rows))] == [spliced_by_hand(t, sorted(r)) for t, r in rows]
+
+
+def test_splice_of_many_in_one_text(spark):
+    """Its time grows with the text and its replacements, not with their product."""
+    refs = [f"p{k}![x](images/{k % 5}.png)" for k in range(40_000)]
+    text, reps, at = "\n".join(refs), [], 0
+    for x in refs:
+        reps.append((at + x.index("!"), at + len(x), "p", "R"))
+        at += len(x) + 1
+    df = spark.createDataFrame([(text, reps)], "t string, r array<struct<start:int,end:int,path:string,result:string>>").cache()
+    df.count()
+    began = time.monotonic()
+    assert df.select(T.spliced("t", "r")).first()[0] == spliced_by_hand(text, reps)
+    assert time.monotonic() - began < 20
+
+
 @pytest.mark.parametrize(
     ("result", "fix", "wanted"),
     [
