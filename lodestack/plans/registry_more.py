@@ -435,9 +435,9 @@ def parse_service(spark, sf_dir):
 
 @query("SELECT doc_id, '[IMG_TYPE: text] ' || CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS result, 'ok' AS status, CAST(CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 1 END AS BIGINT) AS requests FROM documents")
 def vision_service(spark, sf_dir):
-    """Documents' lines described by a model that asks twice for more lines, or not at all."""
+    """Documents' lines, all of them, described by a model that asks twice for more lines, or not at all."""
     d = read(spark, sf_dir, "documents")
-    lines = F.slice(F.split("text", "\n", -1), 1, 50)
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     tasks = d.select(F.col("doc_id").cast("string").alias("key"), F.lit("images/x.png").alias("path"), F.lit("aW1n").alias("image"), lines.alias("lines"), F.lit(0).alias("line_at"))
     asked = lambda rows, n: connectors.described(rows, connectors.FakeVision(asks=n), "model", "prompt", concurrency=4)
     even = F.col("key").cast("long") % 2 == 0

@@ -1,6 +1,7 @@
 import io
 import json
 import os
+import re
 import time
 import zipfile
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.operators import organize, sessions
-from lodestack.plans import parse, report, workflow
+from lodestack.plans import parse, registry_more, report, workflow
 from lodestack.sources import config, connectors, files, sinks
 from lodestack.streaming import logs
 
@@ -156,6 +157,29 @@ def test_written_documents_are_read(spark, tmp_path):
     assert sinks.copied(listed, str(tmp_path / "there")) == 3 and (tmp_path / "there/copy/a b.md").read_text() == "A\n\nB\n"
 
 
+def test_vision_is_given_whole_texts(spark, tmp_path, monkeypatch):
+    """The query's conversations hold all lines of a text, and a model that asks for them is shown those beyond the fiftieth."""
+
+    class Reader(connectors.FakeVision):
+        def complete(self, request):
+            said = super().complete(request)
+            if "content" in said:
+                shown = re.findall(r"\[L\d+\] (w\d+)", str(request["messages"]))
+                said["content"] += f" {shown[-1] if shown else None}"
+            return said
+
+    seen, described = [], connectors.described
+    monkeypatch.setattr(connectors, "FakeVision", Reader)
+    monkeypatch.setattr(connectors, "described", lambda rows, *a, **k: (seen.extend(rows.collect()), described(rows, *a, **k))[1])
+    n = {0: 400, 1: 60, 2: 51, 4: 5000}
+    docs = spark.createDataFrame([(k, "\n".join(f"w{i}" for i in range(m))) for k, m in n.items()] + [(5, None)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["result"] for r in registry_more.vision_service(spark, str(tmp_path)).collect()}
+    assert {int(r["key"]): r["lines"] for r in seen} == {k: [f"w{i}" for i in range(m)] for k, m in n.items()} | {5: [""]}
+    # asked twice: 30 lines below the first and 200 more each time; not asked: the 30
+    assert got == {0: "[IMG_TYPE: text] 2 w399", 1: "[IMG_TYPE: text] 0 w30", 2: "[IMG_TYPE: text] 2 w50", 4: "[IMG_TYPE: text] 2 w430", 5: "[IMG_TYPE: text] 0 None"}
+
+
 def test_connectors(spark):
     df = spark.createDataFrame([("a", b"1"), ("b", b"2")], "name string, content binary")
     out = connectors.parsed(df, connectors.FakeParser(failing=("b",)), interval=0.0, concurrency=2)
